@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_templates, substring_radix, substring_recompress, token_files
+from . import decontaminate, likelihood_rules, line_crf, line_templates, mixing, substring_radix, substring_recompress, token_files, warc_zip
 from ._shared import table
 
 
@@ -21,10 +21,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_radix.remove_repeats(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.archive(spark, table(spark, sf_dir, "pages"))
+
+
+def op8_likelihood_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood_rules.quality_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_recompress.remove_repeated_windows(spark, table(spark, sf_dir, "documents"))
 
@@ -34,7 +50,8 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_decontamination, op5_substring_dedup, op9_recompression_dedup, op10_line_templates)}
+    own = (op2_token_files, op3_decontamination, op4_line_crf, op5_substring_dedup, op6_sainte_lague_mix, op7_warc_packages, op8_likelihood_rules, op9_recompression_dedup, op10_line_templates)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

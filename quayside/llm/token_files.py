@@ -18,8 +18,10 @@ columns other than doc_id and text are ignored, whatever their names.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,11 @@ BLOCK = 512
 PERCENTILE = 0.9
 IDS_PER_FILE = 1 << 21
 CACHED_WORDS = 1 << 19
+#: Words of ASCII and Latin-1 letters without apostrophes and angle brackets, and the runs in them after lower-casing.
+SIMPLE = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+#: How byte-level tokenizers write the bytes that are no printable Latin-1 characters: fixed values.
+BYTE_LEVEL = {b: 256 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+RUN = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> list[bytes]:
@@ -118,28 +125,56 @@ class TokenFile:
         return out.reshape(-1)[a - first * self.block : b - first * self.block]
 
 
-class Encoder:
-    """Encodes texts word by word: a word between ASCII white space gets the same ids wherever it stands,
-    so the library sees each new word once and a bounded cache holds the rest."""
+class Runs(dict):
+    """Ids of runs of characters, as bytes, by the tokenizer's model alone: such a run is left as it is by normalisation and splitting."""
+
+    def __init__(self, tokenizer) -> None:
+        self.model = tokenizer.model.tokenize
+
+    def __missing__(self, run: str) -> bytes:
+        text = run if run.isascii() else run.encode().decode("latin-1").translate(BYTE_LEVEL)
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[run] = ids = array("I", [t.id for t in self.model(text)]).tobytes()
+        return ids
+
+
+class Words(dict):
+    """Ids of words, as bytes. A word between ASCII white space gets the same ids wherever it stands, so the library sees each
+    new word once and a bounded cache holds the rest. Where the tokenizer lower-cases and splits words into runs of
+    letters, single digits and runs of other characters (`simple`), it sees each new run only."""
 
+    def __init__(self, tokenizer, simple: bool) -> None:
+        self.tokenizer, self.simple, self.runs = tokenizer, simple, Runs(tokenizer)
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        if self.simple and SIMPLE.fullmatch(text):
+            ids = b"".join(map(self.runs.__getitem__, RUN.findall(text.lower())))
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+
+class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        # A probe tells whether words may be taken apart.
+        probe = '"Zwölf,ÀB12c.."x-Éa!!7%%de(f)#g]{h}ÿ×àí'
+        runs = Runs(tokenizer)
+        simple = b"".join(runs[r] for r in RUN.findall(probe.lower())) == array("I", tokenizer.encode(probe, add_special_tokens=False).ids).tobytes()
+        self.words = Words(tokenizer, simple)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
-        split = [t.split() for t in texts]
-        new = list({w for ws in split for w in ws}.difference(self.cache))
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache = {}
-            new = list({w for ws in split for w in ws})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}

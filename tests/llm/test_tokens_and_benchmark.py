@@ -32,11 +32,17 @@ def test_file_round_trip(ids, a, b):
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("ab'sT 1\n\t ́İΣς<|endoftext|>\x1c\x85")), max_size=60))
 def test_word_by_word_is_the_same(text):
-    global _plain, _fast
     ids = np.frombuffer(FAST([text.encode()])[0], "<u4").tolist()
     assert ids == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aZéÉßÿ×÷ªµ'sT19.,!<|>#-_ ÀÖØ´"), max_size=40))
+def test_runs_are_the_same(text):
+    assert FAST.words.simple
+    assert np.frombuffer(FAST([text.encode()])[0], "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
 PLAIN, FAST = Tokenizer.from_file(PATH), token_files.Encoder(PATH)
 
 

@@ -78,23 +78,30 @@ class Store:
         return os.path.getsize(f"{self.local}/{name}") if self.local is not None else self.fs.get_file_info(f"{self.root}/{name}").size
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Groups of rows with equal keys, from rows that come sorted by them.
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows that come sorted by keys, in tables of whole groups, and where the groups begin and end in each.
 
-    Groups are cut out of whole Arrow batches; only the last group of a batch waits for the next one.
-    """
+    Groups are cut out of whole Arrow batches; only the last group of a batch waits for the next one."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        t = pa.Table.from_batches(held)
+        t = pa.Table.from_batches(held).combine_chunks()
         cuts = _cuts(t, keys)
-        for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield t.slice(a, b - a)
-        held = t.slice(cuts[-2]).combine_chunks().to_batches()
+        if len(cuts) > 2:
+            yield t.slice(0, cuts[-2]), cuts[:-1]
+        held = t.slice(cuts[-2]).to_batches()
     if held:
-        yield pa.Table.from_batches(held)
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, _cuts(t, keys)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Groups of rows with equal keys, from rows that come sorted by them."""
+    for t, cuts in whole_groups(batches, keys):
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield t.slice(a, b - a)
 
 
 def _cuts(t: pa.Table, keys: list[str]) -> list[int]:

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, likelihood_rules, line_crf, line_templates, mixing, substring_radix, substring_recompress, token_files, warc_zip
+from . import decontaminate, likelihood_rules, line_crf, line_templates, minhash_forest, mixing, substring_radix, substring_recompress, token_files, warc_zip
 from ._shared import table
 
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_forest.jaccard_join(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,7 +55,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_token_files, op3_decontamination, op4_line_crf, op5_substring_dedup, op6_sainte_lague_mix, op7_warc_packages, op8_likelihood_rules, op9_recompression_dedup, op10_line_templates)
+    own = (op1_minhash_forest, op2_token_files, op3_decontamination, op4_line_crf, op5_substring_dedup, op6_sainte_lague_mix, op7_warc_packages, op8_likelihood_rules, op9_recompression_dedup, op10_line_templates)
     return {f.__name__: f for f in own}
 
 

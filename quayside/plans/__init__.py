@@ -1,0 +1,3 @@
+"""Registered queries; importing the package registers them all."""
+
+from . import addresses, documents, offers  # noqa: F401

@@ -20,7 +20,9 @@ def spark():
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    return s
+    from quayside.ship import ship
+
+    return ship(s)
 
 
 @pytest.fixture(scope="session")

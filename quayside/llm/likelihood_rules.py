@@ -3,9 +3,9 @@
 Words and pairs of neighbouring words are hashed into buckets. Two multinomials over the buckets, of the trusted
 documents and of the whole raw corpus, with add-one smoothing, give each bucket the weight log(p_trusted / p_raw). A
 document's score is the mean weight of its words and pairs; at `threshold` or above it is kept, unless a base rule
-fails. The number of buckets grows with the corpus: a power of two, about one per
-`words_per_bucket` words, between 2**14 and `most_buckets` (a documented bound: the weights, 8 bytes each, are the only data that
-every task gets).
+fails. The size of the hash space is `n_buckets`, a documented parameter, or one bucket to a hundred words in a small corpus, lest the words of a
+document weigh in its own score. The weights, 8 bytes each, are the only data that
+every task gets; the counts behind them are those of all words of all documents.
 
 Cases: null and empty texts have no words and fail the base rules; without trusted documents all weights are the
 same and every document's score is 0; labels of absent documents are ignored, a document with several
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 THRESHOLD = -0.06
-WORDS_PER_BUCKET = 512
-MOST_BUCKETS = 1 << 20
+N_BUCKETS = 1 << 14
+WORDS_PER_BUCKET = 100
 SPACES = " \t\n\x0b\f\r"
 REPEAT = 8
 
@@ -69,16 +69,11 @@ def bucketed(words: Column, n_buckets: int) -> Column:
     return let(hashes, lambda h: let(paired(h, 1), lambda p: F.struct(F.transform(F.concat(h, p), lambda x: F.pmod(x, F.lit(n_buckets)).cast("int")).alias("buckets"), p.alias("pairs"))))
 
 
-def bucket_count(docs: DataFrame, words_per_bucket: int = WORDS_PER_BUCKET, most_buckets: int = MOST_BUCKETS) -> int:
-    """Words are reckoned as the corpus's bytes over six."""
-    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    return 1 << min(max(14, (words // words_per_bucket).bit_length()), most_buckets.bit_length() - 1)
-
-
 def bucket_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int) -> DataFrame:
-    """One row: weights, an array with log(p_trusted / p_raw) of each bucket. trusted: doc_id of trusted documents."""
+    """One row: weights, an array with log(p_trusted / p_raw) of each bucket. trusted: doc_id of trusted documents. Their number
+    grows with the corpus, so they are never broadcast."""
     good = trusted.select(F.col("doc_id").cast("long").alias("_good")).dropna().distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, F.col("doc_id") == F.col("_good"), "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left")
     each = rows.select(F.col("_good").isNotNull().cast("long").alias("good"), F.explode(bucketed(word_array(F.col("text")), n_buckets)["buckets"]).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
     every = docs.sparkSession.range(n_buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
@@ -102,8 +97,13 @@ def score(docs: DataFrame, weights: DataFrame, n_buckets: int, threshold: float
     return made.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
 
+def bucket_count(docs: DataFrame, n_buckets: int = N_BUCKETS) -> int:
+    """A power of two; words are reckoned as the corpus's bytes over six."""
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    return min(n_buckets, 1 << max(8, (words // WORDS_PER_BUCKET).bit_length() - 1))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Trusted: documents labelled as good."""
     n = bucket_count(docs)
-    weights = bucket_weights(docs, labels.filter("quality = 1"), n)
-    return score(docs, weights, n, threshold)
+    return score(docs, bucket_weights(docs, labels.filter("quality = 1"), n), n, threshold)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -12,6 +13,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+def release() -> None:
+    """Give memory that large arrays held back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _libc = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,6 +58,11 @@ def stored(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """A stored list of files, about one to a task: its rows are small and would else be put into one."""
+    return files.repartition(max(1, files.count()))
+
+
 class Store:
     """Byte files in a shared folder, for tasks: local paths directly, other file systems through pyarrow."""
 

@@ -1,7 +1,7 @@
 """WARC records in ZIP packages, read by range.
 
-A package is a ZIP archive whose members are stored, not deflated: `archive/data.warc`, the records one after another, and
-`indexes/index.cdxj`, a line with offset and length for each. The reader looks for the end of the central directory (with ZIP64's,
+A package is a ZIP archive whose members are stored, not deflated: `archive/data.warc.gz`, the records one after another, each a
+gzip member of its own, and `indexes/index.cdxj`, a line with offset and length for each. The reader looks for the end of the central directory (with ZIP64's,
 where there is one), parses the directory, finds where a member's bytes begin, reads the index, and then reads just the records
 asked for. Nothing is extracted.
 
@@ -16,6 +16,7 @@ an empty table gives no packages and no rows; columns other than page_id, url an
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -28,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import Store, shared_dir, stored
+from ._shared import Store, shared_dir, spread, stored
 
 PACKAGE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LOCAL, CENTRAL = struct.Struct("<IHHHHHIIIHH"), struct.Struct("<IHHHHHHIIIHHHHHII")
 END, END64, LOCATOR = struct.Struct("<IHHHHIIH"), struct.Struct("<IQHHIIQQQQ"), struct.Struct("<IIQI")
 MAX32, MAX16 = 0xFFFFFFFF, 0xFFFF
@@ -177,7 +178,7 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, package_by
 
         for b in batches:
             for p, url, html, refers, revisit in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "revisit")), strict=True):
-                raw = record(p, url, html.encode(), refers, revisit)
+                raw = gzip.compress(record(p, url, html.encode(), refers, revisit), 4, mtime=0)
                 records.append(raw)
                 index.append({"url": url, "offset": at, "length": len(raw)})
                 at += len(raw)
@@ -209,7 +210,7 @@ def read_packages(files: DataFrame, folder: str) -> DataFrame:
                     zipped = Package(f, store.size(name))
                     rows = []
                     for x in zipped.index():
-                        fields, http, payload = parse(zipped.range(DATA, x["offset"], x["length"]))
+                        fields, http, payload = parse(gzip.decompress(zipped.range(DATA, x["offset"], x["length"])))
                         revisit = fields["WARC-Type"] == "revisit"
                         known = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         if not revisit and digest(payload) != known:
@@ -217,7 +218,7 @@ def read_packages(files: DataFrame, folder: str) -> DataFrame:
                         rows.append((page_of(fields["WARC-Record-ID"]), x["url"], int(http["Content-Length"]), known, fields["WARC-Type"], page_of(fields["WARC-Refers-To"]) if revisit else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return files.repartition("file").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spread(files).mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:

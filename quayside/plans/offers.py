@@ -236,10 +236,9 @@ def coverage_order(spark: SparkSession, d: str) -> DataFrame:
 def cross_rate_convert(spark: SparkSession, d: str) -> DataFrame:
     """100 units of one instrument in every other, at one bank: a board has a fixed few instruments."""
     b = _board(spark, d).filter("bank = 0")
-    s = b.select(F.col("instrument").alias("source"), (F.col("buy") + 1).cast("decimal(18,6)").alias("give"))
-    t = b.select(F.col("instrument").alias("target"), (F.col("sell") + 1).cast("decimal(18,6)").alias("get"))
-    pairs = s.join(F.broadcast(t), F.col("source") != F.col("target"))
-    return pairs.select("source", "target", (F.lit(100).cast("decimal(18,6)").cast("double") * F.col("give").cast("double") / F.col("get").cast("double")).alias("amount"))
+    listed = b.agg(F.collect_list(F.struct(F.col("instrument").alias("target"), (F.col("sell") + 1).cast("decimal(18,6)").alias("get")))).scalar()
+    pairs = b.select(F.col("instrument").alias("source"), (F.col("buy") + 1).cast("decimal(18,6)").alias("give"), F.inline(listed)).filter("source != target")
+    return pairs.select("source", "target", (F.lit(100.0) * F.col("give").cast("double") / F.col("get").cast("double")).alias("amount"))
 
 
 @register("audit_pivot_states", "SELECT user_id % 10 AS bank, count(*) FILTER (event_type IN ('view', 'click')) AS ok, count(*) FILTER (event_type = 'error') AS down, count(*) FILTER (event_type IN ('signup', 'purchase')) AS known FROM events GROUP BY 1")

@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytes import mix, slices, text_bytes, window_hashes, word_hashes, words
-from ._shared import stored, whole_groups
+from ._shared import release, stored, whole_groups
 
 N = 5
 THRESHOLD = 0.8
 TREES = 16
 DEPTH = 5
 RECALL = 0.999
-BLOCK = 1024
+BLOCK = 512
 SLICE = 1 << 18
 SALTS = 8
 #: Pairs whose signatures agree in less than the threshold minus this are not verified: over five standard deviations.
@@ -102,7 +102,9 @@ def signed(spark: SparkSession, docs: DataFrame, n: int, trees: int, depth: int)
                     s[has] = np.add.reduceat(mix(codes * order + np.uint64(salt)), first[:-1][has]) if has.any() else 0
                     both.append(pa.array(s.view(np.int64)))
                 sig = pa.array([raw[r * width : (r + 1) * width] if h else None for r, h in zip(rows.tolist(), has.tolist(), strict=True)], pa.binary())
+                del raw
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("row_key").slice(i, j - i), *both, sig], ["doc_id", "row_key", "h1", "h2", "sig"])
+            release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
     return stored(rows.mapInArrow(sign, "doc_id long, row_key long, h1 long, h2 long, sig binary"), spark, "signatures")
@@ -125,6 +127,11 @@ def branches(nodes: DataFrame, trees: int, depth: int, full: int) -> DataFrame:
 TASK = ["branch", "a", "b"]
 
 
+def by_task(rows: DataFrame) -> DataFrame:
+    """Rows of a task together. The number of partitions is stated, since the work goes with pairs and not with bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *TASK).sortWithinPartitions(*TASK)
+
+
 def judged(sig: np.ndarray, own: np.ndarray, tree: int, a: int, b: int, depth: int, agree: float) -> np.ndarray:
     """Pairs of rows that a task judges, one pair a row: of its two blocks, alike by signature, and in one branch in no earlier
     tree. sig: rows x trees x full depth."""
@@ -182,9 +189,10 @@ def wanted(tasks: DataFrame, nodes: DataFrame, trees: int, depth: int, full: int
                 found = judged(sig[i:j], cols["own"][i:j], int(cols["tree"][i]), int(cols["a"][i]), int(cols["b"][i]), depth, agree)
                 keep[i + np.unique(found)] = True
             yield from t.select(["branch", "tree", "a", "b", "own", "node"]).filter(pa.array(keep)).to_batches()
+            release()
 
     rows = tasks.join(nodes.select("node", "sig"), "node").select("branch", "tree", "a", "b", "own", "node", "sig")
-    return rows.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(run, "branch long, tree int, a int, b int, own int, node long")
+    return by_task(rows).mapInArrow(run, "branch long, tree int, a int, b int, own int, node long")
 
 
 def verified(rows: DataFrame, n: int, threshold: float, trees: int, depth: int, full: int, agree: float) -> DataFrame:
@@ -221,8 +229,9 @@ def verified(rows: DataFrame, n: int, threshold: float, trees: int, depth: int,
                 out.append([node[has], node[root[has]], links[has].astype(np.int64), found[has], expected[has]])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "root", "links", "found", "expected"])
+            release()
 
-    return rows.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(run, "node long, root long, links long, found long, expected double")
+    return by_task(rows).mapInArrow(run, "node long, root long, links long, found long, expected double")
 
 
 def connect(n: int, pairs: np.ndarray) -> np.ndarray:

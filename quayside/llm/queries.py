@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, likelihood_rules, line_crf, line_templates, minhash_forest, mixing, substring_radix, substring_recompress, token_files, warc_zip
+from . import decontaminate, likelihood_rules, line_crf, line_templates, minhash_forest, mixing, sql, substring_radix, substring_recompress, token_files, warc_zip
 from ._shared import table
 
 
@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)

@@ -61,6 +61,12 @@ def label_centroid_scores(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("label").agg(F.count("*").alias("dims"), F.round(F.sqrt(F.sum(F.col("m") * F.col("m"))).cast("decimal(20,10)"), 5).cast("double").alias("norm"))
 
 
+@register("embedding_dimensions", "SELECT len(embedding) AS dims, count(*) AS n, bool_and(len(embedding) = 64) AS fits FROM embeddings GROUP BY 1")
+def embedding_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """A collection refuses vectors of another size; here are the sizes there are."""
+    return table(spark, d, "embeddings").groupBy(F.size("embedding").cast("long").alias("dims")).agg(F.count("*").alias("n"), F.bool_and(F.size("embedding") == 64).alias("fits"))
+
+
 def _field_sql(f: str, w: str, weight: int) -> str:
     return f"list_max(list_transform(string_split({f}, ' '), lambda t: CASE WHEN t = '{w}' THEN 1.0 WHEN starts_with(t, '{w}') THEN 0.85 WHEN contains({f}, '{w}') THEN 0.6 WHEN levenshtein(t, '{w}') <= 1 THEN 0.5 WHEN substr(t, 1, 3) = substr('{w}', 1, 3) THEN 0.35 ELSE 0.0 END)) * {weight}"
 

@@ -12,8 +12,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once for each application: functions that run there refer to it by name."""
+    """Send this package to the executors, once for each application: functions that run there refer to it by name.
+
+    Where the session keeps Spark's default, Arrow batches become smaller, for a row may hold a whole text."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if context.applicationId not in _shipped:
         root = os.path.dirname(os.path.abspath(__file__))
         target = os.path.join(tempfile.mkdtemp(prefix="quayside-"), "quayside.zip")

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import text_bytes
-from ._shared import Store, shared_dir, sorted_groups, stored
+from ._shared import Store, release, shared_dir, sorted_groups, stored
 
-BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
+BUCKET_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 ROWS = "batch long, bucket int, keys binary, vals binary"
 
@@ -122,6 +122,7 @@ class Exchange:
                 ids = t.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy()
                 for out in work(Texts(ids, data, at, answers)):
                     yield out.add_column(0, "batch", pa.array(np.full(out.num_rows, g.column("batch")[0].as_py()))) if batch_key else out
+                release()
 
         return asked.repartition(self.n_batches, "batch").sortWithinPartitions("batch", "step", "bucket").mapInArrow(run, schema)
 
@@ -160,6 +161,8 @@ class Exchange:
                 cut = np.cumsum([0, *n])
                 out = [pack_bits(each[a:b]) if each.dtype == bool else each[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([g.column("batch").combine_chunks(), pa.array(np.full(len(n), step, np.int32)), g.column("bucket").combine_chunks(), pa.array(out, pa.binary())], ["batch", "step", "bucket", "answer"])
+                del keys, vals, order, each, joined, out
+                release()
 
         rows = self._over_batches(ask, True, ROWS).repartition(1 << shift, "bucket").sortWithinPartitions("bucket")
         self.answers.append(stored(rows.mapInArrow(answer, "batch long, step int, bucket int, answer binary"), self.spark, f"answers-{step}"))

@@ -13,8 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def release() -> None:
-    """Give memory that large arrays held back to the system: Python workers live on between tasks."""
+#: Caches of this Python worker that only one operator uses.
+caches: list[dict] = []
+
+
+def release(drop_caches: bool = True) -> None:
+    """Give memory that large arrays held back to the system: Python workers live on between tasks, also those of other
+    operators, whose caches go too."""
+    if drop_caches:
+        for c in caches:
+            c.clear()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)

@@ -13,7 +13,6 @@ A benchmark of more than `automaton_bytes` is read in blocks, each with its own
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import covered, slices, text_bytes, words
-from ._shared import stored
+from ._shared import release, stored
 
 WIDTH = 13
 AUTOMATON_BYTES = 16 << 20
@@ -64,6 +63,7 @@ def _scan(items: list[tuple[str, str]], width: int, again: bool = False, keep_te
         if not made:
             made.append(_automaton(items, width))
         found = made[0]
+        release()
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
             before = list(zip(batch.column("items").to_pylist(), batch.column("spans").to_pylist(), strict=True)) if again else None

@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._bytes import SPACE, mix, slices, text_bytes, window_hashes, word_hashes, words
+from ._bytes import mix, slices, text_bytes, window_hashes, word_hashes, words
+from ._shared import release
 
 MAX_DOCS = 6000
-SLICE = 1 << 20
+SLICE = 1 << 19
 THRESHOLD = 0.7
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "exclaim": b"!?", "pause": b",;:", "stop": b".",
@@ -206,6 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
     sample = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             data, at = text_bytes(b.column("text"))
             for i, j in slices(at, SLICE):
@@ -227,6 +229,7 @@ def score(docs: DataFrame, model: Model, with_lines: bool = False) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted and, if asked for, the probability of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             data, at = text_bytes(b.column("text"))
             parts = [score_texts(model, data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(at, SLICE)]
@@ -249,9 +252,11 @@ def good_documents(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             data, at = text_bytes(b.column("text"))
             value = [score_texts(model, data[at[i] : at[j]], at[i : j + 1] - at[i])[0] for i, j in slices(at, SLICE)]
             yield b.filter(pa.array(np.concatenate(value) >= THRESHOLD)) if value else b
+        release()
 
     return docs.select(*names).mapInArrow(keep, docs.schema)

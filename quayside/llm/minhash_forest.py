@@ -86,6 +86,7 @@ def signed(spark: SparkSession, docs: DataFrame, n: int, trees: int, depth: int)
     """Per row: doc_id, row_key, two hashes of the word sequence and the signature (null without words)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             data, at = text_bytes(b.column("text"))
             for i, j in slices(at, SLICE):
@@ -247,6 +248,12 @@ def connect(n: int, pairs: np.ndarray) -> np.ndarray:
         root = low
 
 
+def with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges with the m of their node. A node may have very many edges: its m stands once for each salt."""
+    salted = low.select("node", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return edges.withColumn("_salt", F.pmod(F.xxhash64("root"), F.lit(SALTS)).cast("int")).join(salted, ["node", "_salt"])
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """edges: node, root. Per node that has an edge: node, label, the least node of its component. Each round joins every larger neighbour of a
     node to its least neighbour, then every smaller one; rounds end when the edges stay the same."""
@@ -255,11 +262,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
         low = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("m", "node").alias("m"))
-        large = both.filter("root > node").join(low, "node").select(F.col("root").alias("node"), F.col("m").alias("root"))
+        large = with_least(both.filter("root > node"), low).select(F.col("root").alias("node"), F.col("m").alias("root"))
         large = stored(large.filter("node != root").distinct(), spark, "large-star")
         down = large.select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root"))
         low = down.groupBy("node").agg(F.min("root").alias("m"))
-        small = down.join(low, "node").select(F.col("root").alias("node"), F.col("m").alias("root")).unionByName(low.select("node", F.col("m").alias("root")))
+        small = with_least(down, low).select(F.col("root").alias("node"), F.col("m").alias("root")).unionByName(low.select("node", F.col("m").alias("root")))
         edges = stored(small.filter("node != root").distinct(), spark, "small-star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
         if now == before:

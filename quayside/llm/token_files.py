@@ -30,16 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import Store, shared_dir, stored
+from ._shared import Store, caches, release, shared_dir, spread, stored
 
 MAGIC = b"QYPFOR01"
 HEAD = struct.Struct("<8sQQQII")
 BLOCK = 512
 PERCENTILE = 0.9
-IDS_PER_FILE = 1 << 21
+IDS_PER_FILE = 1 << 20
 CACHED_WORDS = 1 << 19
 #: Words of ASCII and Latin-1 letters without apostrophes and angle brackets, and the runs in them after lower-casing.
 SIMPLE = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+BIT_LENGTH = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 #: How byte-level tokenizers write the bytes that are no printable Latin-1 characters: fixed values.
 BYTE_LEVEL = {b: 256 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 RUN = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -55,15 +56,17 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
     rows = padded.reshape(n_blocks, block)
     low = rows.min(1) if n_blocks else np.zeros(0, np.uint32)
     rest = rows - low[:, None]
-    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
+    narrow = not n or int(rest.max()) < 1 << 16
+    bits = BIT_LENGTH[rest] if narrow else np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
+    stored_as, n_bytes = ("<u2", 2) if narrow else ("<u4", 4)
     at = min(block - 1, int(percentile * block))
     width = np.partition(bits, at, axis=1)[:, at] if n_blocks else np.zeros(0, np.uint8)
     packed: list[bytes] = [b""] * n_blocks
     for w in np.unique(width[width > 0]).tolist():
         of = np.flatnonzero(width == w)
         for part in np.array_split(of, -(-len(of) // 1024)):
-            spread = np.unpackbits(rest[part].astype("<u4").view(np.uint8).reshape(len(part), block, 4), axis=2, bitorder="little")[:, :, :w]
-            for k, row in zip(part.tolist(), np.packbits(spread.reshape(len(part), -1), axis=1, bitorder="little"), strict=True):
+            taken = np.unpackbits(rest[part].astype(stored_as).view(np.uint8).reshape(len(part), block, n_bytes), axis=2, bitorder="little")[:, :, :w]
+            for k, row in zip(part.tolist(), np.packbits(taken.reshape(len(part), -1), axis=1, bitorder="little"), strict=True):
                 packed[k] = row.tobytes()
     where, place = np.nonzero(bits > width[:, None])
     high = (rest[where, place].astype(np.uint64) >> width[where].astype(np.uint64)).astype("<u4")
@@ -110,10 +113,10 @@ class TokenFile:
         for w in np.unique(width[width > 0]).tolist():
             of = np.flatnonzero(width == w)
             for part in np.array_split(of, -(-len(of) // 1024)):
-                spread = np.unpackbits(raw[at[part, None] + 8 + np.arange(self.block * w // 8)], axis=1, bitorder="little").reshape(len(part), self.block, w)
-                full = np.zeros((len(part), self.block, 4), np.uint8)
-                full[:, :, : -(-w // 8)] = np.packbits(spread, axis=2, bitorder="little")
-                out[part] = full.view("<u4")[:, :, 0]
+                bits = np.unpackbits(raw[at[part, None] + 8 + np.arange(self.block * w // 8)], axis=1, bitorder="little").reshape(len(part), self.block, w)
+                full = np.zeros((len(part), self.block, 2 if w <= 16 else 4), np.uint8)
+                full[:, :, : -(-w // 8)] = np.packbits(bits, axis=2, bitorder="little")
+                out[part] = full.view("<u2" if w <= 16 else "<u4")[:, :, 0]
         if n_exc.any():
             row = np.repeat(np.arange(last - first), n_exc)
             k = np.arange(len(row)) - np.repeat(np.cumsum(n_exc) - n_exc, n_exc)
@@ -125,36 +128,34 @@ class TokenFile:
         return out.reshape(-1)[a - first * self.block : b - first * self.block]
 
 
-class Runs(dict):
-    """Ids of runs of characters, as bytes, by the tokenizer's model alone: such a run is left as it is by normalisation and splitting."""
+class Words(dict):
+    """Ids of words and of runs of characters, as bytes. A word between ASCII white space gets the same ids wherever it
+    stands, so the library sees each new word once and a bounded cache holds the rest. Where the tokenizer lower-cases and splits
+    words into runs of letters, single digits and runs of other characters (`simple`), it sees each new run only, and its
+    model alone: normalisation and splitting leave a run as it is."""
 
     def __init__(self, tokenizer) -> None:
-        self.model = tokenizer.model.tokenize
-
-    def __missing__(self, run: str) -> bytes:
-        text = run if run.isascii() else run.encode().decode("latin-1").translate(BYTE_LEVEL)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[run] = ids = array("I", [t.id for t in self.model(text)]).tobytes()
-        return ids
-
-
-class Words(dict):
-    """Ids of words, as bytes. A word between ASCII white space gets the same ids wherever it stands, so the library sees each
-    new word once and a bounded cache holds the rest. Where the tokenizer lower-cases and splits words into runs of
-    letters, single digits and runs of other characters (`simple`), it sees each new run only."""
+        self.tokenizer, self.model, self.simple = tokenizer, tokenizer.model.tokenize, True
 
-    def __init__(self, tokenizer, simple: bool) -> None:
-        self.tokenizer, self.simple, self.runs = tokenizer, simple, Runs(tokenizer)
+    def run(self, text: str) -> bytes:
+        plain = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LEVEL)
+        return array("I", [t.id for t in self.model(plain)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
         if len(self) >= CACHED_WORDS:
             self.clear()
-        if self.simple and SIMPLE.fullmatch(text):
-            ids = b"".join(map(self.runs.__getitem__, RUN.findall(text.lower())))
+        if self.simple and word.isalpha():
+            low = word.lower()
+            ids = self.run(word.decode()) if low == word else self[low]
+        elif self.simple and word[:-1].isalpha() and word[-1:] in b".,:;!?":
+            ids = self[word[:-1].lower()] + self[word[-1:]]
         else:
-            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            text = word.decode()
+            if self.simple and SIMPLE.fullmatch(text):
+                runs = RUN.findall(text.lower())
+                ids = b"".join([self[r.encode()] for r in runs]) if len(runs) > 1 or runs[0] != text else self.run(text)
+            else:
+                ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         self[word] = ids
         return ids
 
@@ -165,11 +166,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        self.words = Words(tokenizer)
         # A probe tells whether words may be taken apart.
         probe = '"Zwölf,ÀB12c.."x-Éa!!7%%de(f)#g]{h}ÿ×àí'
-        runs = Runs(tokenizer)
-        simple = b"".join(runs[r] for r in RUN.findall(probe.lower())) == array("I", tokenizer.encode(probe, add_special_tokens=False).ids).tobytes()
-        self.words = Words(tokenizer, simple)
+        self.words.simple = self.words[probe.encode()] == array("I", tokenizer.encode(probe, add_special_tokens=False).ids).tobytes()
+        self.words.clear()
+        caches.append(self.words)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
@@ -211,8 +213,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                     if held >= IDS_PER_FILE:
                         yield flush()
                         doc_ids, pieces, held, nth = [], [], 0, nth + 1
+                        release(False)
         if doc_ids:
             yield flush()
+        release(False)
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(write, "part long, nth long, file string, n_docs long, n_ids long")
@@ -245,8 +249,10 @@ def read_tokens(files: DataFrame, folder: str, with_ids: bool = False) -> DataFr
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([begins, t.ends[-1:]]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
+                del ids, raw, t
+                release(False)
 
-    return files.repartition("file").mapInArrow(read, schema)
+    return spread(files).mapInArrow(read, schema)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:

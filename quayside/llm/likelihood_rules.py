@@ -3,9 +3,9 @@
 Words and pairs of neighbouring words are hashed into buckets. Two multinomials over the buckets, of the trusted
 documents and of the whole raw corpus, with add-one smoothing, give each bucket the weight log(p_trusted / p_raw). A
 document's score is the mean weight of its words and pairs; at `threshold` or above it is kept, unless a base rule
-fails. The size of the hash space is `n_buckets`, a documented parameter, or one bucket to a hundred words in a small corpus, lest the words of a
-document weigh in its own score. The weights, 8 bytes each, are the only data that
-every task gets; the counts behind them are those of all words of all documents.
+fails. The hash space grows with the corpus, one bucket to `WORDS_PER_BUCKET` words at every size, so buckets don't fill up
+as the corpus grows. The weights therefore grow too: they are never sent to a task whole, but joined to the words and pairs by bucket.
+Sums go back to the rows by a 64-bit hash of the text, equal texts having equal scores.
 
 Cases: null and empty texts have no words and fail the base rules; without trusted documents all weights are the
 same and every document's score is 0; labels of absent documents are ignored, a document with several
@@ -15,13 +15,16 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import stored
+
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 THRESHOLD = -0.06
-N_BUCKETS = 1 << 14
 WORDS_PER_BUCKET = 100
 SPACES = " \t\n\x0b\f\r"
 REPEAT = 8
@@ -66,41 +69,43 @@ def repeated_words(pairs: Column) -> Column:
 def bucketed(words: Column, n_buckets: int) -> Column:
     """Bucket numbers of all words and pairs, with the hashes of the pairs: (buckets, pairs)."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return let(hashes, lambda h: let(paired(h, 1), lambda p: F.struct(F.transform(F.concat(h, p), lambda x: F.pmod(x, F.lit(n_buckets)).cast("int")).alias("buckets"), p.alias("pairs"))))
+    return let(hashes, lambda h: let(paired(h, 1), lambda p: F.struct(F.transform(F.concat(h, p), lambda x: F.pmod(x, F.lit(n_buckets))).alias("buckets"), p.alias("pairs"))))
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int) -> DataFrame:
-    """One row: weights, an array with log(p_trusted / p_raw) of each bucket. trusted: doc_id of trusted documents. Their number
-    grows with the corpus, so they are never broadcast."""
+    """bucket, raw and good: how often all documents and the trusted ones have each bucket that occurs. trusted: doc_id of trusted
+    documents. Their number grows with the corpus, so they are never broadcast."""
     good = trusted.select(F.col("doc_id").cast("long").alias("_good")).dropna().distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left")
     each = rows.select(F.col("_good").isNotNull().cast("long").alias("good"), F.explode(bucketed(word_array(F.col("text")), n_buckets)["buckets"]).alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
-    every = docs.sparkSession.range(n_buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
-    packed = every.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "good"))).alias("all"), F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    weight = lambda x: F.log((x["good"] + 1) / (F.col("good") + n_buckets)) - F.log((x["raw"] + 1) / (F.col("raw") + n_buckets))
-    return packed.select(F.when(F.col("good") == 0, F.array_repeat(F.lit(0.0), n_buckets)).otherwise(F.transform("all", weight)).alias("weights"))
+    return stored(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")), docs.sparkSession, "bucket-counts")
 
 
 def score(docs: DataFrame, weights: DataFrame, n_buckets: int, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, the counts, base_failed, score (null without words) and kept."""
-    # The weights, one row, are a scalar subquery: made once, and a constant to each task.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_w", weights.scalar())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+    # log(p_trusted / p_raw) is log((good + 1) / (raw + 1)) and a part that all buckets share.
+    raw, good = (x or 0 for x in weights.agg(F.sum("raw"), F.sum("good")).first())
+    shared = math.log((raw + n_buckets) / (good + n_buckets))
+    each = rows.select(key.alias("_key"), F.explode(bucketed(word_array(F.col("text")), n_buckets)["buckets"]).alias("bucket"))
+    own = weights.select("bucket", (F.log(F.col("good") + 1) - F.log(F.col("raw") + 1)).alias("_w"))
+    means = each.join(own.hint("shuffle_hash"), "bucket", "left").groupBy("_key").agg((F.avg(F.coalesce("_w", F.lit(0.0))) + shared if good else F.lit(0.0)).alias("score"))
 
     def over(words: Column) -> Column:
-        mean = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(F.col("_w"), x)) / F.size(b)
-        return let(bucketed(words, n_buckets), lambda x: F.struct(F.size(words).cast("long").alias("n"), repeated_words(x["pairs"]).alias("repeat"), F.when(F.size(words) > 0, mean(x["buckets"])).alias("score")))
+        pairs = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: paired(h, 1))
+        return F.struct(F.size(words).cast("long").alias("n"), repeated_words(pairs).alias("repeat"))
 
-    parts = rows.select("doc_id", *[c.alias(k) for k, c in text_counts(F.col("text")).items()], let(word_array(F.col("text")), over).alias("_x"))
-    made = parts.select("doc_id", F.col("_x.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_x.repeat").alias("n_repeat_words"), F.col("_x.score").alias("score"))
+    parts = rows.select("doc_id", key.alias("_key"), *[c.alias(k) for k, c in text_counts(F.col("text")).items()], let(word_array(F.col("text")), over).alias("_x"))
+    made = parts.join(means.hint("merge"), "_key", "left").select("doc_id", F.col("_x.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_x.repeat").alias("n_repeat_words"), "score")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return made.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
 
-def bucket_count(docs: DataFrame, n_buckets: int = N_BUCKETS) -> int:
-    """A power of two; words are reckoned as the corpus's bytes over six."""
-    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    return min(n_buckets, 1 << max(8, (words // WORDS_PER_BUCKET).bit_length() - 1))
+def bucket_count(docs: DataFrame, words_per_bucket: int = WORDS_PER_BUCKET) -> int:
+    """One bucket to so many words; words are reckoned as the corpus's bytes over six."""
+    return max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6 // words_per_bucket)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -95,6 +95,11 @@ def test_rules_tell_good_from_bad(spark):
     assert share[1] > 0.97 and share[0] < 0.1 and min(r.n for r in own) > 200
 
 
+def test_hash_space_grows_without_cap(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcde "), 4000).alias("text"))
+    assert [likelihood_rules.bucket_count(docs.limit(n)) for n in (0, 2, 200, 2000)] == [1, 80, 8000, 80000]
+
+
 def test_ratio_by_hand(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
     n = 1 << 14

@@ -1,7 +1,7 @@
 """Line dedup with a log-template tree of fixed depth.
 
-A line goes to a leaf by its number of tokens and its leading tokens, tokens with a digit counting
-as variable. Within a leaf, a token at a place stays constant if lines of at least `min_docs`
+A line goes to a leaf by its number of tokens and its leading tokens. Tokens with a digit count as variable, and so do leading
+tokens that lines of that many tokens have at that place in fewer than `min_docs` documents. Within a leaf, a token at a place stays constant if lines of at least `min_docs`
 documents have it there; every other token becomes a variable field. The line with its variable fields is its
 template. Templates that occur in at least `min_docs` documents, with at least `constant_share` of constant
 tokens, are boilerplate: all their lines are dropped.
@@ -10,7 +10,7 @@ The tree is built over the whole corpus at once, so results don't depend on the
 tokens and templates are summed in each batch before they are shuffled, so a line that a third of all
 documents hold costs one entry a batch.
 
-Cases: null text has one empty line, as the empty text; lines of fewer than `min_tokens` tokens are kept;
+Cases: null text has one empty line, as the empty text; lines of fewer than `min_tokens` tokens are kept (the query looks at all);
 equal lines of one document count once for it, and all are dropped or kept together; repeated rows count as documents;
 an empty table gives no rows; columns other than doc_id and text are ignored.
 """
@@ -53,11 +53,25 @@ class Lines:
         codes[digits[ends] > digits[starts]] = VARIABLE
         self.codes, self.first, self.count = codes, first, np.diff(first)
         self.used = np.flatnonzero(self.count >= max(1, min_tokens))
+        self.depth = depth
+
+    def leading(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the leading tokens of used lines: (count, place, token) keys, the line of each, numbered from 0, its place and code."""
+        count = self.count[self.used]
+        n = np.minimum(count, self.depth)
+        line = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+        code = self.codes[self.first[:-1][self.used][line] + place]
+        key = mix(mix(count[line].astype(np.uint64)) + mix(place.astype(np.uint64) + np.uint64(1)) ^ code)
+        return np.where(code == VARIABLE, np.uint64(0), key), line, place, code
+
+    def set_leaf(self, line: np.ndarray, place: np.ndarray, code: np.ndarray, known: np.ndarray) -> None:
+        """Leading tokens that are not known go to the leaf's wildcard child."""
+        lead = np.zeros((len(self.used), self.depth), np.uint64)
+        lead[line, place] = np.where(known, code, VARIABLE)
         key = mix(self.count[self.used].astype(np.uint64))
-        for k in range(depth):
-            has = self.count[self.used] > k
-            place = np.minimum(first[:-1][self.used] + k, max(0, len(codes) - 1))
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.where(has, codes[place], np.uint64(0))) if len(codes) else key
+        for k in range(self.depth):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + lead[:, k])
         self.leaf = key
 
     def tokens(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,17 +103,31 @@ def _steps(depth: int, min_docs: int, min_tokens: int, share: float):
     joined = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.uint64)
     yes = lambda keys, bits, own: bits[np.searchsorted(keys, own)] if len(own) else np.zeros(0, bool)
 
-    def leaves(t: Texts):
+    def leading(t: Texts):
         p = parts(t)
+        own = [x.leading()[:2] for x in p]
+        keys, n = counted_once_a_document(joined([k for k, _ in own]), joined([x.doc[x.used][line] for x, (_, line) in zip(p, own, strict=True)]))
+        return keys, [n]
+
+    def with_leaves(t: Texts) -> list[Lines]:
+        p = parts(t)
+        own = [x.leading() for x in p]
+        keys = np.unique(joined([k for k, *_ in own]))
+        for x, (k, line, place, code) in zip(p, own, strict=True):
+            x.set_leaf(line, place, code, yes(keys, t.bits(0), k))
+        return p
+
+    def leaves(t: Texts):
+        p = with_leaves(t)
         keys, n = counted_once_a_document(joined([x.leaf for x in p]), joined([x.doc[x.used] for x in p]))
         return keys, [n]
 
     def in_leaves(t: Texts) -> list[tuple[Lines, np.ndarray, np.ndarray, np.ndarray]]:
-        p = parts(t)
+        p = with_leaves(t)
         keys = np.unique(joined([x.leaf for x in p]))
         out = []
         for x in p:
-            keep = yes(keys, t.bits(0), x.leaf)
+            keep = yes(keys, t.bits(1), x.leaf)
             out.append((x, keep, *x.tokens(keep)))
         return out
 
@@ -111,7 +139,7 @@ def _steps(depth: int, min_docs: int, min_tokens: int, share: float):
     def in_templates(t: Texts) -> list[tuple[Lines, np.ndarray, np.ndarray, np.ndarray]]:
         p = in_leaves(t)
         keys = np.unique(joined([k for _, _, k, _ in p]))
-        return [(x, keep, *_templates(x, keep, k, line, yes(keys, t.bits(1), k) & (k != 0), share)) for x, keep, k, line in p]
+        return [(x, keep, *_templates(x, keep, k, line, yes(keys, t.bits(2), k) & (k != 0), share)) for x, keep, k, line in p]
 
     def templates(t: Texts):
         p = in_templates(t)
@@ -124,7 +152,7 @@ def _steps(depth: int, min_docs: int, min_tokens: int, share: float):
         n_lines, n_dropped, kept = [], [], []
         for (x, keep, k, ok), (i, j) in zip(p, slices(t.at, SLICE), strict=True):
             drop = np.zeros(len(x.doc), bool)
-            drop[x.used[keep][ok]] = yes(keys, t.bits(2), k[ok])
+            drop[x.used[keep][ok]] = yes(keys, t.bits(3), k[ok])
             cut = np.searchsorted(x.doc, np.arange(i, j + 1))
             for d in range(i, j):
                 a, b = int(cut[d - i]), int(cut[d - i + 1])
@@ -142,15 +170,16 @@ def _steps(depth: int, min_docs: int, min_tokens: int, share: float):
             names.append("kept")
         return pa.RecordBatch.from_arrays(cols, names)
 
-    return leaves, tokens, templates, cut
+    return leading, leaves, tokens, templates, cut
 
 
 def drop_template_lines(
     spark: SparkSession, docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, constant_share: float = CONSTANT_SHARE, with_text: bool = False, **sizes: int
 ) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, n_chars_kept, kept_sha256 and, if asked for, the kept lines."""
-    leaves, tokens, templates, cut = _steps(depth, min_docs, min_tokens, constant_share)
+    leading, leaves, tokens, templates, cut = _steps(depth, min_docs, min_tokens, constant_share)
     x = Exchange(spark, docs, **sizes)
+    x.ask(leading, at_least(min_docs), ["u2"])
     x.ask(leaves, at_least(min_docs), ["u2"])
     x.ask(tokens, at_least(min_docs), ["u2"])
     x.ask(templates, at_least(min_docs), ["u2"])

@@ -51,7 +51,7 @@ def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_templates.drop_template_lines(spark, table(spark, sf_dir, "documents"))
+    return line_templates.drop_template_lines(spark, table(spark, sf_dir, "documents"), min_tokens=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

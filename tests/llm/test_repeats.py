@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 from quayside.llm.line_templates import drop_template_lines
+from quayside.llm.queries import op10_line_templates
 from quayside.llm.substring_radix import remove_repeats
 from quayside.llm.substring_recompress import remove_repeated_windows
 
@@ -126,6 +127,15 @@ def test_lines(spark):
     assert sum(x[2] for x in got) > 0
 
 
+def test_short_lines_and_leading_fields(spark, tmp_path):
+    name = lambda k: "abcdefghijklmno"[k] * 4
+    texts = [f"By {name(k)} | posted on the site\nRead more\nLes.\n{name(k)} {name(k)}\n{k}" for k in range(12)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op10_line_templates(spark, str(tmp_path)).collect()
+    want = {k: "\n".join(t.split("\n")[3:]) for k, t in enumerate(texts)}
+    assert {(x.doc_id, x.n_lines, x.n_dropped, x.kept_sha256) for x in got} == {(k, 5, 3, hashlib.sha256(t.encode()).hexdigest()) for k, t in want.items()}
+
+
 def test_empty(spark):
     none = frame(spark, [(1, "a")]).limit(0)
     assert remove_repeats(spark, none).collect() == []

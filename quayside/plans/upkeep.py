@@ -183,7 +183,7 @@ def card_installment_plan(spark: SparkSession, d: str) -> DataFrame:
     day = F.to_date("o_orderdate")
     dates = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.add_months(day, k))
     factors = F.transform(dates, lambda x: F.round(1 / F.pow(F.lit(1.0389), F.datediff(x, day) / 30), 6))
-    o = table(spark, d, "orders").filter("o_orderkey % 40 = 0").select("o_orderkey", "o_totalprice", dates.alias("dates"), factors.alias("f"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", dates.alias("dates"), factors.alias("f"))
     o = o.withColumn("pay", F.round(F.col("o_totalprice") / F.aggregate("f", F.lit(0.0), lambda a, x: a + x), 2))
     rows = o.select("o_orderkey", "o_totalprice", "pay", "f", F.posexplode("dates").alias("n", "due"))
     last = F.round((F.col("o_totalprice") - F.col("pay") * (F.aggregate("f", F.lit(0.0), lambda a, x: a + x) - F.element_at("f", 6))) / F.element_at("f", 6), 2)

@@ -57,3 +57,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 8
     assert set(catalog.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_card_plan_of_all_orders(spark, sf):
+    own = catalog.queries()["card_installment_plan"](spark, sf)
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    assert own.count() == 6 * orders.count() and own.select("o_orderkey").distinct().count() == orders.count()

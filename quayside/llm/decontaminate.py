@@ -143,8 +143,33 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     )
 
 
-def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns. Works in place: a null-safe
-    join on doc_id with the few contaminated ids."""
-    bad = contamination(spark, docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The documents that are not contaminated, with all their columns. The verdict is computed beside the row, so rows with a null or
+    repeated doc_id stand for themselves; the spans that earlier blocks of the benchmark found go along."""
+    names = docs.columns
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").dropna().distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = [[(r.item, r.text) for r in items.collect()]] if total <= automaton_bytes else _blocks(items, automaton_bytes)
+
+    def judge(block: list[tuple[str, str]], again: bool):
+        scan = _scan(block, width, again)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = {"doc_id": b.column("doc_id"), "text": b.column("text")}
+                if again:
+                    own |= {"items": pa.array([[]] * b.num_rows, pa.list_(pa.string())), "spans": b.column("_spans")}
+                for x in scan(iter([pa.RecordBatch.from_arrays(list(own.values()), list(own))])):
+                    n_words, n_hit = x.column("n_words").to_numpy(), x.column("n_hit").to_numpy()
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), x.column("spans"), pa.array((n_hit > 0) & (20 * n_hit >= n_words))], [*names, "_spans", "_bad"])
+
+        return run
+
+    schema = docs.select("*", F.expr("cast(null as array<struct<first:long,stop:long,begin:long,end:long>>)").alias("_spans"), F.expr("cast(null as boolean)").alias("_bad")).schema
+    rows, again = docs, False
+    for block in blocks:
+        rows = rows.mapInArrow(judge(block, again), schema)
+        if total > automaton_bytes:
+            rows = stored(rows, spark, "benchmark-block")
+        again = True
+    return rows.filter("not _bad").select(*names)

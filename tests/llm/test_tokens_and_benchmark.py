@@ -110,3 +110,13 @@ def test_hits(spark, sf, most, monkeypatch):
         assert decontaminate.fold(q.encode()[s.begin : s.end].decode()) == decontaminate.fold(q.rstrip("."))
     assert decontaminate.contamination(spark, df.limit(0), bf).collect() == []
     assert {r.n_hit for r in decontaminate.contamination(spark, df, bf.limit(0)).collect()} == {0}
+
+
+def test_clean_documents_by_row(spark):
+    passage = " ".join(f"word{k}" for k in range(40))
+    bench = spark.createDataFrame([("a", passage), ("b", " ".join(f"other{k}" for k in range(40)))], "item_id string, text string")
+    rows = [(None, passage, 1), (None, "clean words", 2), (5, f"x {passage}", 3), (5, "clean", 4), (6, None, 5), (7, " ".join(f"other{k}" for k in range(20)), 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(2)
+    for most in (1 << 24, 100):
+        got = decontaminate.clean_documents(spark, docs, bench, automaton_bytes=most)
+        assert got.columns == docs.columns and Counter(map(tuple, got.collect())) == Counter([rows[1], rows[3], rows[4]])

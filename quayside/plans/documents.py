@@ -160,18 +160,24 @@ def relevance_vote(spark: SparkSession, d: str) -> DataFrame:
 
 @register("contamination_join", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contamination_join(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold an evidence text word for word: candidates share a six-word window, then containment is checked. Items and documents meet
-    by window, not each with each."""
-    def grams(text):
-        words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
-        windows = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 6, F.lit(0))), lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(6)]))
-        return X.let(words, windows)
-
-    # The first and last words of an item may be parts of words in a document, so its anchor is the window after the first word.
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), F.get(grams(F.col("text")), F.lit(1)).alias("g"))
-    docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(grams(F.col("text")))).alias("g"))
-    pairs = docs.join(items, "g").select("doc_id", "item_id", "passage").distinct()
-    return pairs.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
+    """Documents that hold an evidence text word for word: candidates share a window of words, then containment is checked. Items and documents meet
+    by window, not each with each; only items of one or two words, which have no inner word, are sought in every document."""
+    split = lambda text: F.filter(F.split(text, "\\s+"), lambda w: w != "")
+    window = lambda t, i, n: F.xxhash64(F.lit(n), *[F.get(t, i + k) for k in range(n)])
+    windows = lambda t, n: F.transform(F.slice(t, F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0))), lambda _, i: window(t, i, n))
+
+    # The first and last words of an item may be parts of words in a document, so its anchor is the window after the first word, six words at most and
+    # without the last.
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), split(F.col("text")).alias("w")).withColumn("n", F.least(F.size("w") - 2, F.lit(6)))
+    sizes = sorted(r.n for r in items.filter("n > 0").select("n").distinct().collect())
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    found = documents.join(F.broadcast(items.filter("n <= 0")), F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
+    if not sizes:
+        return found
+    anchor = F.coalesce(*[F.when(F.col("n") == n, window(F.col("w"), F.lit(1), n)) for n in sizes])
+    grams = X.let(split(F.col("text")), lambda t: F.array_distinct(F.concat(*[windows(t, n) for n in sizes])))
+    pairs = documents.select("doc_id", F.explode(grams).alias("g")).join(items.filter("n > 0").select("item_id", "passage", anchor.alias("g")), "g").select("doc_id", "item_id", "passage").distinct()
+    return pairs.join(documents, "doc_id").filter(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id").unionByName(found)
 
 
 @register("neighbour_expand", "SELECT a.conv_id, a.turn, count(*) AS n_turns, string_agg(b.role, '>' ORDER BY b.turn) AS roles FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 GROUP BY a.conv_id, a.turn")

@@ -63,3 +63,13 @@ def test_card_plan_of_all_orders(spark, sf):
     own = catalog.queries()["card_installment_plan"](spark, sf)
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     assert own.count() == 6 * orders.count() and own.select("o_orderkey").distinct().count() == orders.count()
+
+
+def test_contamination_by_short_items(spark, tmp_path):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    items = [(f"i{n}", " ".join(words[:n])) for n in range(1, 11)] + [("part", "ta gam"), ("none", "nowhere at all here"), ("null", None)]
+    docs = [(n, f"before xx{' '.join(words[:n])}yy after") for n in range(1, 11)] + [(20, "alpha"), (21, ""), (22, None), (23, "al pha")]
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalog.queries()["contamination_join"](spark, str(tmp_path)).collect()))
+    assert got == sorted((k, i) for k, t in docs for i, x in items if t is not None and x is not None and x in t)

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Caches of this Python worker that only one operator uses.
-caches: list[dict] = []
+#: Caches of this Python worker that only one operator uses: each has clear().
+caches: list = []
 
 
 def release(drop_caches: bool = True) -> None:
@@ -98,6 +98,10 @@ class Store:
             self.fs.move(f"{self.root}/{tmp}", f"{self.root}/{name}")
         return name
 
+    def writer(self, name: str) -> Writer:
+        """A file to be written piece by piece; it gets its name when it is done."""
+        return Writer(self, name)
+
     def open(self, name: str):
         """A seekable reader."""
         return open(f"{self.local}/{name}", "rb") if self.local is not None else self.fs.open_input_file(f"{self.root}/{name}")
@@ -106,6 +110,28 @@ class Store:
         return os.path.getsize(f"{self.local}/{name}") if self.local is not None else self.fs.get_file_info(f"{self.root}/{name}").size
 
 
+class Writer:
+    """Writes under a name of this attempt; done() renames it."""
+
+    def __init__(self, store: Store, name: str) -> None:
+        self.store, self.name, self.tmp = store, name, f".{name}.{uuid.uuid4().hex}"
+        if store.local is not None:
+            os.makedirs(store.local, exist_ok=True)
+            self.file = open(f"{store.local}/{self.tmp}", "wb")  # noqa: SIM115
+        else:
+            store.fs.create_dir(store.root, recursive=True)
+            self.file = store.fs.open_output_stream(f"{store.root}/{self.tmp}")
+        self.write = self.file.write
+
+    def done(self) -> str:
+        self.file.close()
+        if self.store.local is not None:
+            os.replace(f"{self.store.local}/{self.tmp}", f"{self.store.local}/{self.name}")
+        else:
+            self.store.fs.move(f"{self.store.root}/{self.tmp}", f"{self.store.root}/{self.name}")
+        return self.name
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
     """Rows that come sorted by keys, in tables of whole groups, and where the groups begin and end in each.
 

@@ -1,16 +1,16 @@
 """Quality rules and a log-likelihood ratio test, in DataFrame operations only.
 
-Words and pairs of neighbouring words are hashed into buckets. Two multinomials over the buckets, of the trusted
-documents and of the whole raw corpus, with add-one smoothing, give each bucket the weight log(p_trusted / p_raw). A
-document's score is the mean weight of its words and pairs; at `threshold` or above it is kept, unless a base rule
-fails. The hash space grows with the corpus, one bucket to `WORDS_PER_BUCKET` words at every size, so buckets don't fill up
-as the corpus grows. The weights therefore grow too: they are never sent to a task whole, but joined to the words and pairs by bucket.
-Sums go back to the rows by a 64-bit hash of the text, equal texts having equal scores.
+Words and pairs of neighbouring words are hashed into `n_buckets` buckets, a fixed parameter: a document's verdict depends on the counts
+alone and not on how large the corpus is. Two multinomials over the buckets, of the trusted documents and of the whole raw corpus, give each bucket
+the weight log(p_trusted / p_raw). Both are smoothed by `PRIOR` occurrences that follow the raw share of trusted text, so a
+bucket seen a few times weighs little. A document's score is the mean weight of its words and pairs; at `threshold` or above it is kept, unless a base rule
+fails. Every word and pair of every document is counted; a task sums its own by bucket before the shuffle. The weights have a proven size, one row a bucket at most, so they are broadcast; the
+words and pairs are scored where they are read and sums go back to the rows by a 64-bit hash of the text, equal texts having equal scores.
 
 Cases: null and empty texts have no words and fail the base rules; without trusted documents all weights are the
 same and every document's score is 0; labels of absent documents are ignored, a document with several
-labels is trusted if one of them is good; rows repeat in the result as in the input, and each counts in the raw corpus;
-an empty table gives no rows; other columns are ignored.
+labels is trusted if one of them is good; a score equal to the threshold is kept; rows repeat in the result as in the input, and each counts in the raw corpus;
+a very long text is one row of its task, and needs memory for its words' hashes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +24,11 @@ from ._shared import stored
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-THRESHOLD = -0.06
-WORDS_PER_BUCKET = 100
+THRESHOLD = -0.2
+PRIOR = 16
+N_BUCKETS = 1 << 20
+#: Up to so many trusted ids, 8 bytes each, are sent to all tasks; beyond, texts and ids meet by a shuffle.
+SENT_IDS = 1 << 20
 SPACES = " \t\n\x0b\f\r"
 REPEAT = 8
 
@@ -67,31 +70,35 @@ def repeated_words(pairs: Column) -> Column:
 
 
 def bucketed(words: Column, n_buckets: int) -> Column:
-    """Bucket numbers of all words and pairs, with the hashes of the pairs: (buckets, pairs)."""
+    """Bucket numbers of all words and pairs."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return let(hashes, lambda h: let(paired(h, 1), lambda p: F.struct(F.transform(F.concat(h, p), lambda x: F.pmod(x, F.lit(n_buckets))).alias("buckets"), p.alias("pairs"))))
+    return let(hashes, lambda h: F.transform(F.concat(h, paired(h, 1)), lambda x: F.pmod(x, F.lit(n_buckets))))
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, n_buckets: int) -> DataFrame:
+def bucket_counts(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS, sent_ids: int = SENT_IDS) -> DataFrame:
     """bucket, raw and good: how often all documents and the trusted ones have each bucket that occurs. trusted: doc_id of trusted
-    documents. Their number grows with the corpus, so they are never broadcast."""
+    documents."""
     good = trusted.select(F.col("doc_id").cast("long").alias("_good")).dropna().distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left")
-    each = rows.select(F.col("_good").isNotNull().cast("long").alias("good"), F.explode(bucketed(word_array(F.col("text")), n_buckets)["buckets"]).alias("bucket"))
+    good = F.broadcast(good) if good.count() <= sent_ids else good.hint("merge")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, F.col("doc_id") == F.col("_good"), "left")
+    each = rows.select(F.col("_good").isNotNull().cast("long").alias("good"), F.explode(bucketed(word_array(F.col("text")), n_buckets)).alias("bucket"))
     return stored(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")), docs.sparkSession, "bucket-counts")
 
 
-def score(docs: DataFrame, weights: DataFrame, n_buckets: int, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, the counts, base_failed, score (null without words) and kept."""
+def bucket_weights(counts: DataFrame) -> DataFrame:
+    """bucket and w, for each bucket that occurs."""
+    raw, good = (x or 0 for x in counts.agg(F.sum("raw"), F.sum("good")).first())
+    share = good / raw if raw else 0.0
+    weight = F.log((F.col("good") + PRIOR * share) / (F.col("raw") + PRIOR)) - math.log(share) if share else F.lit(0.0)
+    return counts.select("bucket", weight.alias("w"))
+
+
+def score(docs: DataFrame, weights: DataFrame, n_buckets: int = N_BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: doc_id, the counts, base_failed, score (null without words) and kept. weights has at most n_buckets rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-
-    # log(p_trusted / p_raw) is log((good + 1) / (raw + 1)) and a part that all buckets share.
-    raw, good = (x or 0 for x in weights.agg(F.sum("raw"), F.sum("good")).first())
-    shared = math.log((raw + n_buckets) / (good + n_buckets))
-    each = rows.select(key.alias("_key"), F.explode(bucketed(word_array(F.col("text")), n_buckets)["buckets"]).alias("bucket"))
-    own = weights.select("bucket", (F.log(F.col("good") + 1) - F.log(F.col("raw") + 1)).alias("_w"))
-    means = each.join(own.hint("shuffle_hash"), "bucket", "left").groupBy("_key").agg((F.avg(F.coalesce("_w", F.lit(0.0))) + shared if good else F.lit(0.0)).alias("score"))
+    each = rows.select(key.alias("_key"), F.explode(bucketed(word_array(F.col("text")), n_buckets)).alias("bucket"))
+    means = each.join(F.broadcast(weights), "bucket", "left").groupBy("_key").agg(F.avg(F.coalesce("w", F.lit(0.0))).alias("score"))
 
     def over(words: Column) -> Column:
         pairs = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: paired(h, 1))
@@ -103,12 +110,7 @@ def score(docs: DataFrame, weights: DataFrame, n_buckets: int, threshold: float
     return made.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
 
-def bucket_count(docs: DataFrame, words_per_bucket: int = WORDS_PER_BUCKET) -> int:
-    """One bucket to so many words; words are reckoned as the corpus's bytes over six."""
-    return max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6 // words_per_bucket)
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int = N_BUCKETS) -> DataFrame:
     """Trusted: documents labelled as good."""
-    n = bucket_count(docs)
-    return score(docs, bucket_weights(docs, labels.filter("quality = 1"), n), n, threshold)
+    weights = bucket_weights(bucket_counts(docs, labels.filter("quality = 1"), n_buckets))
+    return score(docs, weights, n_buckets, threshold)

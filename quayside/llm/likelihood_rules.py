@@ -9,7 +9,7 @@ words and pairs are scored where they are read and sums go back to the rows by a
 
 Cases: null and empty texts have no words and fail the base rules; without trusted documents all weights are the
 same and every document's score is 0; labels of absent documents are ignored, a document with several
-labels is trusted if one of them is good; a score equal to the threshold is kept; rows repeat in the result as in the input, and each counts in the raw corpus;
+labels is trusted if one of them is good; scores are rounded to nine places, so that the order of sums doesn't matter, and one equal to the threshold is kept; rows repeat in the result as in the input, and each counts in the raw corpus;
 a very long text is one row of its task, and needs memory for its words' hashes; an empty table gives no rows; other columns are ignored.
 """
 
@@ -98,7 +98,7 @@ def score(docs: DataFrame, weights: DataFrame, n_buckets: int = N_BUCKETS, thres
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     each = rows.select(key.alias("_key"), F.explode(bucketed(word_array(F.col("text")), n_buckets)).alias("bucket"))
-    means = each.join(F.broadcast(weights), "bucket", "left").groupBy("_key").agg(F.avg(F.coalesce("w", F.lit(0.0))).alias("score"))
+    means = each.join(F.broadcast(weights), "bucket", "left").groupBy("_key").agg(F.round(F.avg(F.coalesce("w", F.lit(0.0))), 9).alias("score"))
 
     def over(words: Column) -> Column:
         pairs = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: paired(h, 1))

@@ -292,6 +292,11 @@ def _at_spaces(data: np.ndarray) -> Iterator[np.ndarray]:
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for each Python worker. Tasks call this by name: a dictionary that their own code named would be a new one in each task."""
+    return _encoders.get((path, end_id)) or _encoders.setdefault((path, end_id), Encoder(path, end_id))
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Write all documents in ascending doc_id order to token-id files in `folder`.
 
@@ -301,7 +306,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt, store = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), Store(folder)
-        encode = _encoders.get((tokenizer_path, end_id)) or _encoders.setdefault((tokenizer_path, end_id), Encoder(tokenizer_path, end_id))
+        encode = encoder(tokenizer_path, end_id)
         nth, out, w = 0, None, None
 
         def flush() -> pa.RecordBatch:

@@ -16,6 +16,7 @@ BYTE_CODES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, d
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+PIECE = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -27,7 +28,8 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[int(base)] = have
+        if size <= 1 << 21:
+            _powers[int(base)] = have
     return have[:n]
 
 
@@ -76,11 +78,19 @@ def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * powers(BASE, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word's bytes, the same wherever the word stands. Works in pieces of about PIECE bytes, or one word."""
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        a = int(starts[k])
+        j = max(k + 1, int(np.searchsorted(ends, a + PIECE, "right")))
+        s, e = starts[k:j] - a, ends[k:j] - a
+        n = int(e[-1])
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE_CODES[data[a : a + n]] * powers(BASE, n), out=total[1:])
+        out[k:j] = mix((total[e] - total[s]) * powers(INVERSE, n + 1)[s] + (e - s).astype(np.uint64))
+        k = j
+    return out
 
 
 def window_hashes(codes: np.ndarray, width: int, base: np.uint64 = WORD_BASE, inverse: np.uint64 = WORD_INVERSE) -> np.ndarray:

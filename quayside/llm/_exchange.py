@@ -4,22 +4,28 @@ Documents are packed into batch files of a few MB in the shared folder, once. A
 every batch, makes the sorted distinct 64-bit keys of its texts with a value for each, and sends
 them to buckets by their leading bits: a row per batch and bucket, holding arrays. A bucket joins
 the values of equal keys over all batches and answers every batch in the order that it asked.
-The next step reads the batch again together with all answers so far.
+The next step gets all answers so far; it reads the texts only if it looks at them. What a step saves of a batch, such as the few lines or windows that are
+still in question, later steps get back, so they need not make it again.
 
 A key adds one entry per batch however often it occurs there, so a line, passage or copy that a
 third of all documents share is summed before the shuffle and cannot fill one task. Bucket counts
 follow the bytes of the corpus. Lost executors cost a retry of their tasks only: batch files are
 named by the attempt that lists them, and answers are stored in the shared folder.
+
+A step's rows are at most its keys, and at most batches times buckets.
 """
 
 from __future__ import annotations
 
 import io
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +35,35 @@ from ._shared import Store, release, shared_dir, sorted_groups, stored
 
 BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
+TASK_BATCHES = 4
 NO_ID = np.iinfo(np.int64).max
 ROWS = "batch long, bucket int, keys binary, vals binary"
 
 
 class Texts:
-    """One batch: ids (NO_ID for null), all bytes, where each text begins, and the answers to earlier steps."""
+    """One batch: ids (NO_ID for null), all bytes, where each text begins, the answers to earlier steps, and what these saved."""
+
+    def __init__(self, store: Store, file: str, answers: dict[int, list[bytes]], saved: dict[int, str]) -> None:
+        self.store, self.file, self.answers, self._saved = store, file, answers, saved
+        self.to_save: dict[str, np.ndarray] | None = None
+
+    @cached_property
+    def _rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        with self.store.open(self.file) as f:
+            t = ipc.open_stream(f.read()).read_all().combine_chunks()
+        return t.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(), *text_bytes(t.column("text"))
+
+    ids = property(lambda self: self._rows[0])
+    data = property(lambda self: self._rows[1])
+    at = property(lambda self: self._rows[2])
+
+    def save(self, **arrays: np.ndarray) -> None:
+        """For later steps; written to the shared folder under a name of this attempt."""
+        self.to_save = arrays
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray, at: np.ndarray, answers: dict[int, list[bytes]]) -> None:
-        self.ids, self.data, self.at, self.answers = ids, data, at, answers
+    def saved(self, step: int) -> dict[str, np.ndarray]:
+        with self.store.open(self._saved[step]) as f, np.load(io.BytesIO(f.read())) as z:
+            return {k: z[k] for k in z.files}
 
     def bits(self, step: int) -> np.ndarray:
         """The yes/no answers to the keys of a step, in order of the keys."""
@@ -114,17 +140,17 @@ class Exchange:
             for g in sorted_groups(batches, ["batch"]):
                 steps, got = g.column("step").to_pylist(), g.column("answer").to_pylist()
                 answers: dict[int, list[bytes]] = {}
-                for s, x in zip(steps[1:], got[1:], strict=True):
-                    answers.setdefault(s, []).append(x)
-                with store.open(got[0].decode()) as f:
-                    t = ipc.open_stream(f.read()).read_all().combine_chunks()
-                data, at = text_bytes(t.column("text"))
-                ids = t.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy()
-                for out in work(Texts(ids, data, at, answers)):
+                saved: dict[int, str] = {}
+                for s, b, x in zip(steps[1:], g.column("bucket").to_pylist()[1:], got[1:], strict=True):
+                    if b < 0:
+                        saved[s] = x.decode()
+                    else:
+                        answers.setdefault(s, []).append(x)
+                for out in work(Texts(store, got[0].decode(), answers, saved)):
                     yield out.add_column(0, "batch", pa.array(np.full(out.num_rows, g.column("batch")[0].as_py()))) if batch_key else out
                 release()
 
-        return asked.repartition(self.n_batches, "batch").sortWithinPartitions("batch", "step", "bucket").mapInArrow(run, schema)
+        return asked.repartition(-(-self.n_batches // TASK_BATCHES), "batch").sortWithinPartitions("batch", "step", "bucket").mapInArrow(run, schema)
 
     def ask(self, keys_of: Callable[[Texts], tuple[np.ndarray, list[np.ndarray]]], join: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], types: list[str]) -> None:
         """One step. keys_of: the sorted distinct keys of a batch, and arrays of values beside them, of these types.
@@ -136,6 +162,11 @@ class Exchange:
             edges = (np.arange(1, 1 << shift, dtype=np.uint64) << np.uint64(64 - shift)).astype(np.uint64)
             cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             rows = [(b, cuts[b], cuts[b + 1]) for b in range(1 << shift) if cuts[b] < cuts[b + 1]]
+            if t.to_save is not None:
+                out = io.BytesIO()
+                np.savez(out, **t.to_save)
+                name = t.store.publish(f"{uuid.uuid4().hex}.npz", [out.getbuffer()])
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(name.encode()) % (1 << shift)], pa.int32()), pa.array([None], pa.binary()), pa.array([name.encode()], pa.binary())], ["bucket", "keys", "vals"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _, _ in rows], pa.int32()), pa.array([keys[i:j].tobytes() for _, i, j in rows], pa.binary()), pa.array([b"".join(v[i:j].astype(k).tobytes() for v, k in zip(vals, types, strict=True)) for _, i, j in rows], pa.binary())],
                 ["bucket", "keys", "vals"],
@@ -143,6 +174,13 @@ class Exchange:
 
         def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for g in sorted_groups(batches, ["bucket"]):
+                names = g.filter(pc.is_null(g.column("keys")))
+                if len(names):
+                    n = len(names)
+                    yield pa.RecordBatch.from_arrays([names.column("batch").combine_chunks(), pa.array(np.full(n, step, np.int32)), pa.array(np.full(n, -1, np.int32)), names.column("vals").combine_chunks()], ["batch", "step", "bucket", "answer"])
+                    g = g.filter(pc.is_valid(g.column("keys")))
+                    if not len(g):
+                        continue
                 parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("keys")]
                 n = [len(p) for p in parts]
                 raw = [x.as_buffer() for x in g.column("vals")]

@@ -36,131 +36,143 @@ RESULT = "doc_id long, n_lines long, n_dropped long, n_chars_kept long, kept_sha
 
 
 class Lines:
-    """The lines of a slice of texts, as token codes."""
-
-    def __init__(self, t: Texts, i: int, j: int, depth: int, min_tokens: int) -> None:
-        data, at = t.data[t.at[i] : t.at[j]], t.at[i : j + 1] - t.at[i]
-        breaks = np.flatnonzero(data == 0x0A)
-        owner = np.searchsorted(at, breaks, "right") - 1
-        n = j - i
-        # Each text begins a line, and so does what follows each break.
-        self.line_at = np.sort(np.concatenate([at[:-1], breaks + 1]), kind="stable")
-        self.doc = np.sort(np.concatenate([np.arange(n), owner]), kind="stable") + i
-        self.line_end = np.append(self.line_at[1:], at[-1]) if len(self.line_at) else self.line_at
-        starts, ends, first = words(data, np.append(self.line_at, at[-1]))
-        codes = word_hashes(data, starts, ends)
-        digits = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39))])
-        codes[digits[ends] > digits[starts]] = VARIABLE
-        self.codes, self.first, self.count = codes, first, np.diff(first)
+    """The lines of a slice of texts, and their tokens' places. Tokens get a code only where it is asked for."""
+
+    def __init__(self, t: Texts, i: int, j: int, min_tokens: int) -> None:
+        self.data, at = t.data[t.at[i] : t.at[j]], t.at[i : j + 1] - t.at[i]
+        self.line_at, self.doc = lines_of(self.data, at)
+        self.doc += i
+        self.starts, self.ends, self.first = words(self.data, np.append(self.line_at, at[-1]))
+        self.count = np.diff(self.first)
         self.used = np.flatnonzero(self.count >= max(1, min_tokens))
-        self.depth = depth
-
-    def leading(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the leading tokens of used lines: (count, place, token) keys, the line of each, numbered from 0, its place and code."""
-        count = self.count[self.used]
-        n = np.minimum(count, self.depth)
-        line = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
-        code = self.codes[self.first[:-1][self.used][line] + place]
-        key = mix(mix(count[line].astype(np.uint64)) + mix(place.astype(np.uint64) + np.uint64(1)) ^ code)
-        return np.where(code == VARIABLE, np.uint64(0), key), line, place, code
-
-    def set_leaf(self, line: np.ndarray, place: np.ndarray, code: np.ndarray, known: np.ndarray) -> None:
-        """Leading tokens that are not known go to the leaf's wildcard child."""
-        lead = np.zeros((len(self.used), self.depth), np.uint64)
-        lead[line, place] = np.where(known, code, VARIABLE)
-        key = mix(self.count[self.used].astype(np.uint64))
-        for k in range(self.depth):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + lead[:, k])
-        self.leaf = key
-
-    def tokens(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For the tokens of some used lines: (leaf, place, token) keys and the line of each, numbered from 0."""
-        lines = self.used[keep]
-        n = self.count[lines]
-        line = np.repeat(np.arange(len(lines)), n)
-        place = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
-        code = self.codes[self.first[:-1][lines][line] + place]
-        key = mix(self.leaf[keep][line] + mix(place.astype(np.uint64) + np.uint64(1)) ^ code)
-        return np.where(code == VARIABLE, np.uint64(0), key), line
-
-
-def _templates(x: Lines, keep: np.ndarray, keys: np.ndarray, line: np.ndarray, constant: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Template key of each kept line and whether it has enough constant tokens."""
-    n = int(keep.sum())
+
+    def codes(self, line: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Codes of tokens, given by line and place in ascending order."""
+        word = self.first[line] + place
+        starts, ends = self.starts[word], self.ends[word]
+        out = word_hashes(self.data, starts, ends)
+        digits = np.zeros(len(self.data) + 1, np.int32)
+        np.cumsum((self.data >= 0x30) & (self.data <= 0x39), out=digits[1:])
+        out[digits[ends] > digits[starts]] = VARIABLE
+        return out
+
+
+def lines_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each line begins and its text. Each text begins a line, and so does what follows each break."""
+    breaks = np.flatnonzero(data == 0x0A)
+    owner = np.searchsorted(at, breaks, "right") - 1
+    return np.sort(np.concatenate([at[:-1], breaks + 1]), kind="stable"), np.sort(np.concatenate([np.arange(len(at) - 1), owner]), kind="stable")
+
+
+def spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For n[0], n[1], ... tokens: the line of each, numbered from 0, and its place in it."""
+    line = np.repeat(np.arange(len(n)), n)
+    return line, np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _yes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The answers to keys, given those to their sorted distinct ones."""
+    return bits[np.searchsorted(np.unique(keys), keys)] if len(keys) else np.zeros(0, bool)
+
+
+def leading_keys(count: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count, place, token) keys of the leading tokens of lines, 0 for variable ones; the line and the place of each."""
+    line, place = spread(np.minimum(count, lead.shape[1]))
+    code = lead[line, place]
+    key = mix(mix(count[line].astype(np.uint64)) + mix(place.astype(np.uint64) + np.uint64(1)) ^ code)
+    return np.where(code == VARIABLE, np.uint64(0), key), line, place
+
+
+def leaf_keys(count: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    key = mix(count.astype(np.uint64))
+    for k in range(lead.shape[1]):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + lead[:, k])
+    return key
+
+
+def template_keys(leaf: np.ndarray, count: np.ndarray, keys: np.ndarray, constant: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Template key of each line and whether it has enough constant tokens. keys: those of all tokens of the lines."""
+    line, place = spread(count)
     parts = np.where(constant, keys, VARIABLE)
-    place = np.arange(len(line)) - np.searchsorted(line, line)
-    total = np.zeros(n, np.uint64)
-    if len(line):
-        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        total = np.add.reduceat(mix(parts + mix(place.astype(np.uint64))), first)
-    fixed = np.bincount(line, weights=constant, minlength=n)
-    return mix(total + x.leaf[keep]), fixed >= share * x.count[x.used[keep]]
+    total = np.add.reduceat(mix(parts + mix(place.astype(np.uint64))), np.cumsum(count) - count) if len(line) else np.zeros(0, np.uint64)
+    return mix(total + leaf), np.bincount(line, weights=constant, minlength=len(count)) >= share * count
 
 
 def _steps(depth: int, min_docs: int, min_tokens: int, share: float):
-    parts = lambda t: [Lines(t, i, j, depth, min_tokens) for i, j in slices(t.at, SLICE)]
-    joined = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.uint64)
-    yes = lambda keys, bits, own: bits[np.searchsorted(keys, own)] if len(own) else np.zeros(0, bool)
-
     def leading(t: Texts):
-        p = parts(t)
-        own = [x.leading()[:2] for x in p]
-        keys, n = counted_once_a_document(joined([k for k, _ in own]), joined([x.doc[x.used][line] for x, (_, line) in zip(p, own, strict=True)]))
+        counts, leads, docs = [], [], []
+        for i, j in slices(t.at, SLICE):
+            x = Lines(t, i, j, min_tokens)
+            n = x.count[x.used]
+            line, place = spread(np.minimum(n, depth))
+            lead = np.zeros((len(n), depth), np.uint64)
+            lead[line, place] = x.codes(x.used[line], place)
+            counts.append(n.astype(np.int32))
+            leads.append(lead)
+            docs.append(x.doc[x.used].astype(np.int32))
+        count, doc = _joined(counts, np.int32), _joined(docs, np.int32)
+        lead = np.concatenate(leads) if leads else np.zeros((0, depth), np.uint64)
+        t.save(count=count, lead=lead, doc=doc)
+        keys, line, _ = leading_keys(count, lead)
+        keys, n = counted_once_a_document(keys, doc[line])
         return keys, [n]
 
-    def with_leaves(t: Texts) -> list[Lines]:
-        p = parts(t)
-        own = [x.leading() for x in p]
-        keys = np.unique(joined([k for k, *_ in own]))
-        for x, (k, line, place, code) in zip(p, own, strict=True):
-            x.set_leaf(line, place, code, yes(keys, t.bits(0), k))
-        return p
-
     def leaves(t: Texts):
-        p = with_leaves(t)
-        keys, n = counted_once_a_document(joined([x.leaf for x in p]), joined([x.doc[x.used] for x in p]))
+        s = t.saved(0)
+        keys, line, place = leading_keys(s["count"], s["lead"])
+        lost = ~(_yes(keys, t.bits(0)) & (keys != 0))
+        lead = s["lead"]
+        lead[line[lost], place[lost]] = VARIABLE  # the leaf's wildcard child
+        leaf = leaf_keys(s["count"], lead)
+        t.save(leaf=leaf)
+        keys, n = counted_once_a_document(leaf, s["doc"])
         return keys, [n]
 
-    def in_leaves(t: Texts) -> list[tuple[Lines, np.ndarray, np.ndarray, np.ndarray]]:
-        p = with_leaves(t)
-        keys = np.unique(joined([x.leaf for x in p]))
-        out = []
-        for x in p:
-            keep = yes(keys, t.bits(1), x.leaf)
-            out.append((x, keep, *x.tokens(keep)))
-        return out
-
     def tokens(t: Texts):
-        p = in_leaves(t)
-        keys, n = counted_once_a_document(joined([k for _, _, k, _ in p]), joined([x.doc[x.used[keep]][line] for x, keep, _, line in p]))
-        return keys, [n]
-
-    def in_templates(t: Texts) -> list[tuple[Lines, np.ndarray, np.ndarray, np.ndarray]]:
-        p = in_leaves(t)
-        keys = np.unique(joined([k for _, _, k, _ in p]))
-        return [(x, keep, *_templates(x, keep, k, line, yes(keys, t.bits(2), k) & (k != 0), share)) for x, keep, k, line in p]
+        leaf = t.saved(1)["leaf"]
+        keep = _yes(leaf, t.bits(1))
+        keys, counts, docs, numbers, seen, before = [], [], [], [], 0, 0
+        for i, j in slices(t.at, SLICE):
+            x = Lines(t, i, j, min_tokens)
+            own = keep[seen : seen + len(x.used)]
+            of = x.used[own]
+            line, place = spread(x.count[of])
+            code = x.codes(of[line], place)
+            key = mix(leaf[seen : seen + len(x.used)][own][line] + mix(place.astype(np.uint64) + np.uint64(1)) ^ code)
+            keys.append(np.where(code == VARIABLE, np.uint64(0), key))
+            counts.append(x.count[of])
+            docs.append(x.doc[of])
+            numbers.append(of + before)
+            seen, before = seen + len(x.used), before + len(x.count)
+        every, count, doc = _joined(keys, np.uint64), _joined(counts, np.int64), _joined(docs, np.int64)
+        t.save(key=every, count=count, doc=doc, number=_joined(numbers, np.int64), leaf=leaf[keep])
+        found, n = counted_once_a_document(every, doc[spread(count)[0]])
+        return found, [n]
 
     def templates(t: Texts):
-        p = in_templates(t)
-        keys, n = counted_once_a_document(joined([k[ok] for _, _, k, ok in p]), joined([x.doc[x.used[keep]][ok] for x, keep, _, ok in p]))
+        s = t.saved(2)
+        key, ok = template_keys(s["leaf"], s["count"], s["key"], _yes(s["key"], t.bits(2)) & (s["key"] != 0), share)
+        t.save(key=key[ok], number=s["number"][ok])
+        keys, n = counted_once_a_document(key[ok], s["doc"][ok])
         return keys, [n]
 
     def cut(t: Texts, with_text: bool) -> pa.RecordBatch:
-        p = in_templates(t)
-        keys = np.unique(joined([k[ok] for _, _, k, ok in p]))
+        s = t.saved(3)
+        _, doc = lines_of(t.data, t.at)
+        drop = np.zeros(len(doc), bool)
+        drop[s["number"][_yes(s["key"], t.bits(3))]] = True
         n_lines, n_dropped, kept = [], [], []
-        for (x, keep, k, ok), (i, j) in zip(p, slices(t.at, SLICE), strict=True):
-            drop = np.zeros(len(x.doc), bool)
-            drop[x.used[keep][ok]] = yes(keys, t.bits(3), k[ok])
-            cut = np.searchsorted(x.doc, np.arange(i, j + 1))
-            for d in range(i, j):
-                a, b = int(cut[d - i]), int(cut[d - i + 1])
-                text = t.data[t.at[d] : t.at[d + 1]].tobytes()
-                lost = int(drop[a:b].sum())
-                n_lines.append(b - a)
-                n_dropped.append(lost)
-                kept.append(b"\n".join(s for s, gone in zip(text.split(b"\n"), drop[a:b].tolist(), strict=True) if not gone) if lost else text)
+        cuts = np.searchsorted(doc, np.arange(len(t.ids) + 1)).tolist()
+        for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            text = t.data[t.at[d] : t.at[d + 1]].tobytes()
+            lost = int(drop[a:b].sum())
+            n_lines.append(b - a)
+            n_dropped.append(lost)
+            kept.append(b"\n".join(x for x, gone in zip(text.split(b"\n"), drop[a:b].tolist(), strict=True) if not gone) if lost else text)
         ids = pa.array(t.ids, pa.int64(), mask=t.ids == NO_ID)
         texts = [k.decode() for k in kept]
         cols = [ids, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array([len(k) for k in texts], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]

@@ -78,7 +78,7 @@ class Runs:
         end[-1:] = stops[fits[-1:]]
         last = np.minimum(end, stops[doc]) - 1
         text = mix((total[last + width] - total[first]) * powers(INVERSE, n + 1)[first] + (last - first).astype(np.uint64)) if whole else np.zeros(len(first), np.uint64)
-        return digit[first], doc + i, first + a, last + a, text
+        return mix(digit[first]), doc + i, first + a, last + a, text  # mixed again: least values would fill the first buckets
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
@@ -118,13 +118,11 @@ def _radix(width: int, gram: int):
         keys, n = counted_once_a_document(r.keys, r.docs)
         return keys, [n]
 
-    def survivors(t: Texts) -> tuple[Runs, np.ndarray]:
-        r = Runs(t, width, gram, True)
-        return r, t.bits(0)[np.searchsorted(np.unique(r.keys), r.keys)] if len(r.keys) else np.zeros(0, bool)
-
     def by_run(t: Texts):
-        r, keep = survivors(t)
+        r = Runs(t, width, gram, True)
+        keep = t.bits(0)[np.searchsorted(np.unique(r.keys), r.keys)] if len(r.keys) else np.zeros(0, bool)
         order, first, keys = grouped(r.keys[keep])
+        t.save(keys=r.keys[keep], docs=r.docs[keep], first=r.first[keep], last=r.last[keep])
         if not len(keys):
             return keys, [np.zeros(0, np.int64)] + [np.zeros(0, np.uint64)] * 2
         ids, text = t.ids[r.docs[keep]][order], r.whole[keep][order]
@@ -135,33 +133,36 @@ def _radix(width: int, gram: int):
         same = np.minimum.reduceat(vals[1], first) == np.maximum.reduceat(vals[2], first)
         return np.where(same, np.minimum.reduceat(vals[0], first), NO_ID - 1)
 
-    def decided(t: Texts) -> tuple[Runs, np.ndarray, np.ndarray]:
+    def decided(t: Texts) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """The runs that survive, the smallest document of each, and which of them want a look at each window."""
-        r, keep = survivors(t)
-        for name in ("keys", "docs", "first", "last", "whole"):
-            setattr(r, name, getattr(r, name)[keep])
-        if not len(r.keys):
+        r = t.saved(1)
+        if not len(r["keys"]):
             return r, np.zeros(0, np.int64), np.zeros(0, bool)
-        low = t.longs(1)[np.searchsorted(np.unique(r.keys), r.keys)]
+        low = t.longs(1)[np.searchsorted(np.unique(r["keys"]), r["keys"])]
         return r, low, low == NO_ID - 1
 
     def by_window(t: Texts):
         r, _, open_ = decided(t)
-        keys, of = window_keys(t, r.first[open_], r.last[open_], width)
+        if not open_.any():
+            t.save(keys=np.zeros(0, np.uint64), of=np.zeros(0, np.int64))
+            return np.zeros(0, np.uint64), [np.zeros(0, np.int64)]
+        keys, of = window_keys(t, r["first"][open_], r["last"][open_], width)
         order, first, distinct = grouped(keys)
-        ids = t.ids[r.docs[open_]][of][order]
+        t.save(keys=keys, of=of)
+        ids = t.ids[r["docs"][open_]][of][order]
         return distinct, [np.minimum.reduceat(ids, first) if len(first) else ids]
 
     def cut(t: Texts, with_text: bool) -> pa.RecordBatch:
         r, low, open_ = decided(t)
-        own = t.ids[r.docs]
+        own = t.ids[r["docs"]]
         step = np.zeros(len(t.data) + 1, np.int32)
         sure = ~open_ & (low < own)
-        np.add.at(step, r.first[sure], 1)
-        np.add.at(step, r.last[sure] + width, -1)
-        keys, of = window_keys(t, r.first[open_], r.last[open_], width)
+        np.add.at(step, r["first"][sure], 1)
+        np.add.at(step, r["last"][sure] + width, -1)
+        s = t.saved(2)
+        keys, of = s["keys"], s["of"]
         if len(keys):
-            where = np.arange(len(keys)) - np.searchsorted(of, of) + r.first[open_][of]
+            where = np.arange(len(keys)) - np.searchsorted(of, of) + r["first"][open_][of]
             gone = where[t.longs(2)[np.searchsorted(np.unique(keys), keys)] < own[open_][of]]
             step += np.bincount(gone, minlength=len(step)).astype(np.int32)
             step -= np.bincount(gone + width, minlength=len(step)).astype(np.int32)

@@ -134,26 +134,26 @@ def _steps(width: int, rounds: int):
 
     def by_window(t: Texts):
         p = list(parts(t))
-        keys, n = counted(joined([x.window_keys(keep, width)[0] for x, keep in zip(p, kept_runs(t, p), strict=True)]))
+        found = [x.window_keys(keep, width) for x, keep in zip(p, kept_runs(t, p), strict=True)]
+        before = np.cumsum([0, *[len(x.starts) for x in p]])
+        every = joined([k for k, _ in found])
+        t.save(key=every, word=np.concatenate([w + b for (_, w), b in zip(found, before, strict=False)]) if found else np.zeros(0, np.int64))
+        keys, n = counted(every)
         return keys, [n]
 
     def cut(t: Texts, with_text: bool) -> pa.RecordBatch:
-        p = list(parts(t))
-        found = [x.window_keys(keep, width) for x, keep in zip(p, kept_runs(t, p), strict=True)]
-        keys = np.unique(joined([k for k, _ in found]))
-        bits = t.bits(1)
+        s = t.saved(1)
+        hit = s["word"][t.bits(1)[np.searchsorted(np.unique(s["key"]), s["key"])]] if len(s["key"]) else s["word"]
+        own = [t.data[a:b].tobytes().split() for a, b in zip(t.at[:-1].tolist(), t.at[1:].tolist(), strict=True)]
+        first = np.cumsum([0, *map(len, own)])
+        n = int(first[-1])
+        gone = np.cumsum(np.bincount(hit, minlength=n + 1) - np.bincount(hit + width, minlength=n + 1))[:n] > 0
         n_words, n_removed, kept = [], [], []
-        for x, (k, w), (i, j) in zip(p, found, slices(t.at, SLICE), strict=True):
-            hit = w[bits[np.searchsorted(keys, k)]] if len(k) else w
-            n = len(x.starts)
-            gone = np.cumsum(np.bincount(hit, minlength=n + 1) - np.bincount(hit + width, minlength=n + 1))[:n] > 0
-            for d in range(i, j):
-                a, b = int(x.first[d - i]), int(x.first[d - i + 1])
-                own = t.data[t.at[d] : t.at[d + 1]].tobytes().split()
-                lost = int(gone[a:b].sum())
-                n_words.append(b - a)
-                n_removed.append(lost)
-                kept.append(b" ".join(compress(own, (~gone[a:b]).tolist()) if lost else own))
+        for words_of, a, b in zip(own, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            lost = int(gone[a:b].sum())
+            n_words.append(b - a)
+            n_removed.append(lost)
+            kept.append(b" ".join(compress(words_of, (~gone[a:b]).tolist()) if lost else words_of))
         ids = pa.array(t.ids, pa.int64(), mask=t.ids == NO_ID)
         cols = [ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"]

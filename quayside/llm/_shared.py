@@ -42,9 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors see.
 
-    Only where the setting is absent (local tests) a temporary folder takes its place.
+    Only where the setting is absent and the master is local (tests) a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="quayside-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -53,6 +55,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that none of the others equals, whatever their case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """checkpoint() needs a folder; the cluster's own setting wins."""
     if spark.sparkContext.getCheckpointDir() is None:
@@ -63,7 +73,21 @@ def stored(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """df, written to a shared folder and read again: the lineage ends there and lost executors cost nothing."""
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(spark: SparkSession, *dfs: DataFrame) -> None:
+    """Delete what stored() wrote for these, once all that was made of it is stored itself."""
+    for df in dfs:
+        _, path = _paths.pop(id(df), (None, None))
+        if path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(files: DataFrame) -> DataFrame:

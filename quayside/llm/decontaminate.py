@@ -8,7 +8,8 @@ normalised document once. Places map back to the original text through the word
 Cases: null and empty texts have no words and are never contaminated; an item without words or without
 an id is no item; equal item rows count once; an empty benchmark leaves every document clean;
 one row comes out per document row, repeated doc_ids included; other columns are ignored.
-A benchmark of more than `automaton_bytes` is read in blocks, each with its own automaton and pass.
+of a very long text the words' places are held at once. A worker builds an automaton once. Its size is some hundred times that of the benchmark, so a
+benchmark of more than `automaton_bytes` is read in blocks, each with its own automaton and pass over the texts, one after another.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import covered, slices, text_bytes, words
-from ._shared import release, stored
+from ._shared import fresh, release, stored
 
 WIDTH = 13
-AUTOMATON_BYTES = 16 << 20
+AUTOMATON_BYTES = 2 << 20
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[:0x30] = FOLD[0x3A:0x41] = FOLD[0x5B:0x61] = FOLD[0x7B:0x80] = 0x20
 FOLD[0x41:0x5B] += 0x20
@@ -55,14 +56,23 @@ def _automaton(items: list[tuple[str, str]], width: int):
     return found if owners else None
 
 
+_automata: dict = {}
+
+
+def automaton(items: list[tuple[str, str]], width: int):
+    """One for each Python worker and block of the benchmark; the last one is kept."""
+    key = (width, hash(tuple(items)))
+    if key not in _automata:
+        _automata.clear()
+        _automata[key] = _automaton(items, width)
+    return _automata[key]
+
+
 def _scan(items: list[tuple[str, str]], width: int, again: bool = False, keep_text: bool = False):
     """again: the batches carry the items and spans that earlier blocks of the benchmark found."""
-    made = []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(_automaton(items, width))
-        found = made[0]
+        found = automaton(items, width)
         release()
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
@@ -107,31 +117,28 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark, a stated query set, in blocks of at most about `most` bytes."""
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """The benchmark, a stated query set, in blocks of at most about `most` bytes or one item, and whether each is the last."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").dropna().distinct()
     held, size = [], 0
     for r in items.toLocalIterator():
         if held and size + len(r.text) > most:
-            yield held
+            yield held, False
             held, size = [], 0
         held.append((r.item, r.text))
         size += len(r.text)
-    yield held
+    yield held, True
 
 
 def benchmark_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, items (with a window in it), and spans: the hit runs as
     word places [first, stop) and as byte places [begin, end) of the original text in UTF-8."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").dropna().distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    if total <= automaton_bytes:
-        return rows.mapInArrow(_scan([(r.item, r.text) for r in items.collect()], width), SCHEMA)
-    again = False
-    for block in _blocks(items, automaton_bytes):
-        rows = stored(rows.mapInArrow(_scan(block, width, again, True), SCHEMA.replace("long,", "long, text string,", 1)), spark, "benchmark-block")
-        again = True
-    return rows.drop("text")
+    rows, again = docs.select(F.col("doc_id").cast("long"), "text"), False
+    for block, last in _blocks(benchmark, automaton_bytes):
+        rows = rows.mapInArrow(_scan(block, width, again, not last), SCHEMA if last else SCHEMA.replace("long,", "long, text string,", 1))
+        if not last:
+            rows, again = stored(rows, spark, "benchmark-block"), True
+    return rows
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -147,9 +154,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     """The documents that are not contaminated, with all their columns. The verdict is computed beside the row, so rows with a null or
     repeated doc_id stand for themselves; the spans that earlier blocks of the benchmark found go along."""
     names = docs.columns
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").dropna().distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = [[(r.item, r.text) for r in items.collect()]] if total <= automaton_bytes else _blocks(items, automaton_bytes)
+    spans, bad = fresh("_spans", names), fresh("_bad", names)
 
     def judge(block: list[tuple[str, str]], again: bool):
         scan = _scan(block, width, again)
@@ -158,18 +163,17 @@ def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
             for b in batches:
                 own = {"doc_id": b.column("doc_id"), "text": b.column("text")}
                 if again:
-                    own |= {"items": pa.array([[]] * b.num_rows, pa.list_(pa.string())), "spans": b.column("_spans")}
+                    own |= {"items": pa.array([[]] * b.num_rows, pa.list_(pa.string())), "spans": b.column(spans)}
                 for x in scan(iter([pa.RecordBatch.from_arrays(list(own.values()), list(own))])):
                     n_words, n_hit = x.column("n_words").to_numpy(), x.column("n_hit").to_numpy()
-                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), x.column("spans"), pa.array((n_hit > 0) & (20 * n_hit >= n_words))], [*names, "_spans", "_bad"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), x.column("spans"), pa.array((n_hit > 0) & (20 * n_hit >= n_words))], [*names, spans, bad])
 
         return run
 
-    schema = docs.select("*", F.expr("cast(null as array<struct<first:long,stop:long,begin:long,end:long>>)").alias("_spans"), F.expr("cast(null as boolean)").alias("_bad")).schema
+    schema = docs.select("*", F.expr("cast(null as array<struct<first:long,stop:long,begin:long,end:long>>)").alias(spans), F.expr("cast(null as boolean)").alias(bad)).schema
     rows, again = docs, False
-    for block in blocks:
+    for block, last in _blocks(benchmark, automaton_bytes):
         rows = rows.mapInArrow(judge(block, again), schema)
-        if total > automaton_bytes:
-            rows = stored(rows, spark, "benchmark-block")
-        again = True
-    return rows.filter("not _bad").select(*names)
+        if not last:
+            rows, again = stored(rows, spark, "benchmark-block"), True
+    return rows.filter(~F.col(bad)).select(*names)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytes import mix, slices, text_bytes, window_hashes, word_hashes, words
-from ._shared import release, stored, whole_groups
+from ._shared import forget, release, stored, whole_groups
 
 N = 5
 THRESHOLD = 0.8
@@ -267,7 +267,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root"))
         low = down.groupBy("node").agg(F.min("root").alias("m"))
         small = with_least(down, low).select(F.col("root").alias("node"), F.col("m").alias("root")).unionByName(low.select("node", F.col("m").alias("root")))
-        edges = stored(small.filter("node != root").distinct(), spark, "small-star")
+        done, edges = edges, stored(small.filter("node != root").distinct(), spark, "small-star")
+        forget(spark, done, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select("node", F.col("root").alias("label")).unionByName(edges.select(F.col("root").alias("node"), F.col("root").alias("label"))).distinct()
@@ -292,6 +293,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = N, threshold: fl
         texts = texts.groupBy("row_key").agg(F.first("text").alias("text"))
         fetched = keyed.join(texts, "row_key").select("node", F.col("n_copies").alias("copies"), "sig", "text")
         found = stored(verified(need.join(fetched, "node"), n, threshold, trees, depth, full, agree), spark, "links")
+        forget(spark, need)
         seen, expected = found.agg(F.sum("found"), F.sum("expected")).first()
         if not seen or seen / expected >= recall or depth == 1:
             break
@@ -301,6 +303,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = N, threshold: fl
     known = nodes.filter("n_copies > 1").select("node").unionByName(links.select("node")).distinct()
     about = nodes.select("h1", "h2", "node", "copy_of", "n_copies").join(known, "node").join(links, "node", "left").join(labels, "node", "left")
     about = stored(about.withColumn("label", F.coalesce("label", "node")), spark, "classes")
+    forget(spark, nodes, found)
     least = about.groupBy("label").agg(F.min("copy_of").alias("class_id"))
     about = about.join(least, "label")
     # A class may hold a third of all rows: each stands once for each salt.
@@ -323,11 +326,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
     grouped = found.filter("n_links > 0").select("row_key", "label", "doc_id")
     first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key")).alias("f")).select("label", F.col("f.row_key").alias("first"))
     lost = stored(grouped.join(first, "label").filter("row_key != first").select(F.col("row_key").alias("_lost")).distinct(), spark, "lost")
-    kept = docs.withColumn("_row_key", row_key()).join(lost, F.col("_row_key") == F.col("_lost"), "left_anti")
+    names = docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_doc"), row_key().alias("_row_key"))
+    kept = rows.join(lost, F.col("_row_key") == F.col("_lost"), "left_anti")
     twins = grouped.join(first, F.col("row_key") == F.col("first")).groupBy("row_key").count().filter("count > 1")
     if not twins.isEmpty():
         nth = F.row_number().over(Window.partitionBy("_row_key").orderBy(F.lit(0)))
         pairs = twins.select(F.col("row_key").alias("_twin"))
         apart = kept.join(pairs, F.col("_row_key") == F.col("_twin"), "left")
         kept = apart.withColumn("_nth", F.when(F.col("_twin").isNotNull(), nth).otherwise(1)).filter("_nth = 1")
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col("_doc").getField(c).alias(c) for c in names])

@@ -10,8 +10,10 @@ Shards keep a source with a third of all rows from meeting in one task: a shard
 max(1000, 4 * sqrt(all rows)) rows, so neither the rows of a shard nor the shards of a source grow in proportion.
 
 Cases: a null source is a source of its own, the last one; null and empty texts have size 0 and are never taken; sources
-of size 0 have target 0; equal rows are rows of their own (which of them is taken from may vary, the result as a whole does
-not); an empty table gives no rows; other columns are ignored.
+of size 0 have target 0; documents are placed by a hash of doc_id, source and text, so rows that share a null or repeated doc_id are spread over shards;
+rows equal in all three are rows of their own (which of them is taken from may vary, the result as a whole does
+not); of equal quotients the source first by code point, null last, the lower shard gets the block; a very long text is one row and
+only its size is kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,9 +67,13 @@ def sainte_lague(parties: DataFrame, votes: str, seats: str, by: list[str], key:
     return each.withColumn("_won", won & (F.col(votes) > 0)).groupBy(*names).agg((F.min("_low") + F.sum(F.col("_won").cast("long"))).alias("quota"))
 
 
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, most_repeats: int = MOST_REPEATS) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, taken."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    """Per row: doc_id, size, source_size, target, taken, row (a hash of doc_id, source and text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_key().alias("row"))
     rows = stored(rows, spark, "sizes")
     stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -78,7 +84,7 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = SEED, block_words: int
     quotas = stored(quotas, spark, "quotas")
 
     # Each source stands once for each salt, so that the rows of a large source are spread over tasks.
-    place = F.xxhash64(F.lit(seed), "doc_id")
+    place = F.xxhash64(F.lit(seed), "row")
     salted = quotas.select(F.col("source").alias("_s"), "source_size", "target", F.col("quota").alias("blocks"), "n_shards", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     dealt = rows.withColumn("place", place).join(salted, F.col("source").eqNullSafe(F.col("_s")) & (F.pmod("place", F.lit(SALTS)) == F.col("_salt")))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("place"), F.col("n_shards"))).drop("_s", "_salt", "n_shards")
@@ -90,20 +96,21 @@ def mix(spark: SparkSession, docs: DataFrame, seed: int = SEED, block_words: int
     start = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.greatest(F.ceil(F.col("words") / block_words), F.lit(1))) * block_words
     shards = shards.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "words", full.cast("long").alias("rounds"), (ring - full * F.col("words")).cast("long").alias("rest"), start.cast("long").alias("start"))
 
-    order = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "shard").orderBy("place", "row", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("begin", F.coalesce(F.sum("size").over(order), F.lit(0)))
     both = placed.join(shards, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")))
     end, stop = F.col("begin") + F.col("size"), F.col("start") + F.col("rest")
     overlap = lambda a, b: F.greatest(F.lit(0), F.least(end, b) - F.greatest(F.col("begin"), a))
     part = overlap(F.col("start"), stop) + overlap(F.lit(0), stop - F.col("words"))
-    return both.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + part).alias("taken"))
+    return both.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + part).alias("taken"), "row")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents of the mix, whole, as often as it takes them: a remainder of half of a document or more counts as one.
 
-    Rows that share a doc_id share their takes."""
-    takes = mix(spark, docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = takes.filter("taken > 0").select("_id", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("_times")).filter("_times > 0")
-    every = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    Rows equal in doc_id, source and text share their takes evenly."""
+    takes = mix(spark, docs).groupBy(F.col("row").alias("_row")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = takes.filter("taken > 0").select("_row", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("_times")).filter("_times > 0")
+    names = docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_doc"), row_key().alias("_row")).join(times, "_row")
+    return rows.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col("_doc").getField(c).alias(c) for c in names])

@@ -35,7 +35,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+    return mixing.mix(spark, table(spark, sf_dir, "documents")).drop("row")
 
 
 def op7_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:

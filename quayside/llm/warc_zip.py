@@ -169,11 +169,11 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, package_by
     """Write all pages; a row (file, n_records) for each package, made by the writing tasks."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, part = Store(folder), TaskContext.get().partitionId()
+        store, part, attempt = Store(folder), TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         records, index, at, nth = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            name = store.publish(f"part-{part:06d}-{nth:05d}.wacz", package(records, index, zip64))
+            name = store.publish(f"part-{part:06d}-{nth:05d}-{attempt}.wacz", package(records, index, zip64))
             return pa.RecordBatch.from_pydict({"file": [name], "n_records": [len(index)]})
 
         for b in batches:

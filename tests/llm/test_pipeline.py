@@ -38,7 +38,8 @@ def test_stages(spark, sf):
             assert Counter(r.doc_id for r in after) == Counter({r.doc_id: (2 * r.taken + r.size) // (2 * r.size) for r in got if r.size})
             assert {(r.doc_id, r.text) for r in after} <= set(rows)
         else:
-            assert Counter(tuple(r) for r in after) == tokens.plain_tokens(rows)
+            order = {r.text: r.h for r in spark.createDataFrame(before).selectExpr("text", "xxhash64(text) AS h").collect()}
+            assert Counter(tuple(r) for r in after) == tokens.plain_tokens(rows, order)
 
 
 def test_run(spark, sf):
@@ -52,3 +53,24 @@ def test_clean_documents_stay(spark, sf):
     kept = {r.doc_id for r in corpus_pipeline.good_quality(spark, docs, sf).collect()}
     assert len(good & kept) >= 0.97 * len(good)
     assert not [r for r in docs.collect() if r.doc_id in kept and len(re.findall(r"\$\$\$|%%%", r.text)) > 30]
+
+
+def test_odd_rows(spark, sf):
+    """Null and repeated ids, repeated rows, clashing columns, a long text, empty tables: each stage decides by row."""
+    dirty = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    prose = [" ".join(f"word{(k * 7 + j * j) % 997}" for j in range(60)) + "." for k in range(4)]
+    rows = [(None, dirty, "a"), (None, prose[0], "a"), (5, prose[1], None), (5, dirty, None), (5, prose[1], None), (6, "x " * 200_000, "b"), (7, None, "b"), (7, "", "b")]
+    schema = "doc_id long, text string, source string, _doc int, _row int, _times int, _row_key int, _bad int, _spans int, row_key int"
+    docs = spark.createDataFrame([(*r, *range(7)) for r in rows], schema)
+    clean = corpus_pipeline.decontaminated(spark, docs, sf)
+    left = Counter((r.doc_id, r.text) for r in clean.collect())
+    assert clean.columns == docs.columns and left == Counter((d, t) for d, t, _ in rows if t != dirty)
+    single = corpus_pipeline.near_copies(spark, docs, sf)
+    assert single.columns == docs.columns
+    assert Counter(r.text for r in single.collect()) == Counter({dirty: 1, prose[0]: 1, prose[1]: 1, "x " * 200_000: 1, None: 1, "": 1})
+    mixed = corpus_pipeline.mixed(spark, docs, sf)
+    assert mixed.columns == docs.columns
+    taken = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert taken and set(taken) <= {(d, t) for d, t, _ in rows if t} and taken[(5, prose[1])] in (2, 4, 6, 0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), sf).collect() == []

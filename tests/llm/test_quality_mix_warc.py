@@ -187,6 +187,10 @@ def test_mix(spark, sf):
     assert mixing.mix(spark, df.limit(0)).collect() == []
     mixed = mixing.mixed_documents(spark, df)
     assert mixed.columns == df.columns and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 3
+    rows = [(None if k % 2 else 7, "s", f"w{k % 40} " * (k % 40 + 1)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(spark, df)
+    assert got.select("row").distinct().count() == 40 and got.count() == 400 and abs(got.agg(F.sum("taken")).first()[0] - sum(k % 40 + 1 for k in range(400))) <= mixing.BLOCK_WORDS
 
 
 def test_seats(spark):

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Click and campaign identifiers that do not change what a page shows: fixed values.
-TRACKING = ("gclid", "fbclid", "yclid", "msclkid", "dclid", "igshid", "mc_cid", "mc_eid", "_ga", "_gl")
+TRACKING = ("gclid", "fbclid", "msclkid", "yclid", "mc_cid", "mc_eid", "_ga", "ref", "referrer")
+#: Characters that stay as they are in a path: fixed values.
+PATH_SAFE = "/-_.~!$&'()*+,;=:@"
 ASSET_SUFFIXES = ("css", "js", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "woff", "woff2", "ttf", "mp4", "mp3", "zip")
 
 
@@ -33,14 +35,36 @@ def is_tracking(name: Column) -> Column:
     return F.lower(name).startswith("utm_") | F.lower(name).isin(*TRACKING)
 
 
-def canonical(url: Column) -> Column:
-    """https, lower-case host, no default port, no trailing slash, tracking parameters, fragment; sorted query. "" for what is no
-    web address."""
+def decoded(text: Column, plus: bool = False) -> Column:
+    """Percent signs decoded; a lone % stays. plus: a plus sign is a space."""
+    own = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.try_url_decode(own if plus else F.replace(own, F.lit("+"), F.lit("%2B")))
+
+
+def encoded(text: Column, safe: str = "") -> Column:
+    """Percent-encoded but for letters, digits, -._~ and the characters of safe."""
+    own = F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    for c in safe:
+        if c not in "-._~":
+            own = F.replace(own, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return own
+
+
+def canonical(url: Column, forced_host: Column | None = None) -> Column:
+    """https, lower-case host (or another one given) without user, final point and default port, one spelling of the path without a trailing slash, no
+    tracking parameters, the others sorted by name and value, no fragment. "" for what is no web address."""
     own = F.trim(url)
-    kept = F.array_sort(F.filter(F.split(query(own), "&"), lambda p: (p != "") & ~is_tracking(F.split(p, "=")[0])))
+    place = F.regexp_replace(F.regexp_extract(own, "^[A-Za-z]+://([^/?#]*)", 1), "^.*@", "")
+    name = F.lower(F.regexp_replace(place, ":[0-9]*$", ""))
+    port = F.regexp_extract(place, ":([0-9]+)$", 1)
+    site = F.concat(F.regexp_replace(F.coalesce(F.lower(forced_host), name) if forced_host is not None else name, "\\.+$", ""), F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port)))
+    way = F.regexp_replace(encoded(decoded(F.regexp_extract(own, "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)), PATH_SAFE), "/+$", "")
+    pair = lambda p: F.struct(decoded(F.substring_index(p, "=", 1), True).alias("k"), decoded(F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p)), True).alias("v"))
+    pairs = F.filter(F.transform(F.filter(F.split(query(own), "&"), lambda p: p != ""), pair), lambda x: ~is_tracking(x["k"]))
+    kept = F.transform(F.array_sort(pairs), lambda x: F.concat(encoded(x["k"]), F.lit("="), encoded(x["v"])))
     tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    made = F.concat(F.lit("https://"), host(own), path(own), tail)
-    return F.when(scheme(own).isin("http", "https") & (host(own) != ""), made).otherwise("")
+    made = F.concat(F.lit("https://"), site, F.when(way == "", "/").otherwise(way), tail)
+    return F.when(scheme(own).isin("http", "https") & (name != ""), made).otherwise("")
 
 
 def document_id(url: Column) -> Column:
@@ -96,3 +120,32 @@ def ancestors(url: Column) -> Column:
 def is_ghost(url: Column) -> Column:
     """A template placeholder or a bare scheme, not an address."""
     return F.coalesce(url.rlike("[{}<>]|%7[bBdD]|\\$\\{|undefined$|/null$") | url.rlike("^https?:/*$"), F.lit(True))
+
+
+def without_language(url: Column, languages: tuple[str, ...]) -> Column:
+    """Lower-case segments of the path, a language marker in front left out."""
+    s = segments(url)
+    return F.when(F.coalesce(F.get(s, F.lit(0)), F.lit("")).isin(*languages), F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1)))).otherwise(s)
+
+
+def own_language(url: Column, foreign: tuple[str, ...], prefixes: tuple[str, ...] = ()) -> Column:
+    """No other language's segment in front and, where prefixes are declared, one of them (the root passes)."""
+    first = F.coalesce(F.get(segments(url), F.lit(0)), F.lit(""))
+    declared = (path(url) == "/") | F.array_contains(F.transform(F.array(*map(F.lit, prefixes)), lambda p: F.lower(path(url)).startswith(p)), True) if prefixes else F.lit(True)
+    return ~first.isin(*foreign) & declared
+
+
+def wanted_file(url: Column, root: str, trusted: tuple[str, ...]) -> Column:
+    """A PDF over https on the site or on a trusted one."""
+    hosts = F.array(*map(F.lit, (root, *trusted)))
+    return url.startswith("https://") & is_pdf(url) & F.exists(hosts, lambda h: (host(url) == h) | host(url).endswith(F.concat(F.lit("."), h)))
+
+
+def page_link(url: Column, page: Column) -> Column:
+    """An address that opens a PDF at a page; "" without an address."""
+    return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(F.concat(url, F.lit("#page="), page.cast("string")))
+
+
+def is_broken(url: Column) -> Column:
+    """White space, a second scheme or no host at all."""
+    return url.rlike("\\s|^https?:/*$|https?://.*https?://") | ~url.rlike("^https?://[^/]+")

@@ -16,20 +16,15 @@ def nearest_band(df: DataFrame, value: str, bands: list[int], tolerance: float =
     return df.withColumn("band", F.when(fits, near["band"]))
 
 
-def containing_band(df: DataFrame, value: str, bands: DataFrame, low: str, high: str, order: str) -> DataFrame:
-    """The first band (by `order`) with low <= value <= high. bands is a short published table: its size is checked, and a long one is
-    cut into buckets that both sides meet in."""
+def containing_band(df: DataFrame, value: str, bands: DataFrame, low: str, high: str, order: str, cell: float = 10) -> DataFrame:
+    """The first band (by `order`) with low <= value <= high, or nulls. Bands are cut into cells of the given width, in which they meet the distinct
+    values by equality; the bands found go back to the rows by value."""
     names = bands.columns
-    entry = F.struct(F.col(order).alias("_order"), *names)
-    if bands.limit(10_001).count() <= 10_000:
-        listed = df.withColumn("_bands", bands.agg(F.collect_list(entry)).scalar())
-        fits = F.filter("_bands", lambda b: (F.col(value) >= b[low]) & (F.col(value) <= b[high]))
-        return listed.withColumn("_band", F.array_min(fits)).select(*df.columns, *[F.col(f"_band.{c}").alias(c) for c in names])
-    width = bands.agg(F.percentile_approx(F.col(high) - F.col(low) + 1, 0.5)).first()[0]
-    cells = bands.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_at", F.floor(F.col(value) / width))
-    pairs = rows.join(cells, (F.col("_at") == F.col("_cell")) & (F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high)), "left")
-    return pairs.groupBy("_row", *df.columns).agg(F.min(entry).alias("_band")).select(*df.columns, *[F.col(f"_band.{c}").alias(c) for c in names])
+    cells = bands.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))))
+    values = df.select(F.col(value).alias("_value")).distinct().withColumn("_at", F.floor(F.col("_value") / cell))
+    inside = (F.col("_at") == F.col("_cell")) & (F.col("_value") >= F.col(low)) & (F.col("_value") <= F.col(high))
+    found = values.join(cells, inside).groupBy("_value").agg(F.min(F.struct(F.col(order).alias("_order"), *names)).alias("_band"))
+    return df.join(found, F.col(value) == F.col("_value"), "left").select(*df.columns, *[F.col(f"_band.{c}").alias(c) for c in names])
 
 
 def tiered(df: DataFrame, catalogue: DataFrame, tiers: list[tuple[Column, Column]], id_cols: list[str], target: str) -> DataFrame:

@@ -32,19 +32,23 @@ def best_of_duplicates(scored: DataFrame, keys: list[str], tie: str) -> DataFram
     return scored.withColumn("_n", nth).filter("_n = 1").drop("_n")
 
 
-def word_score(word: Column, tokens: Column, field: Column) -> Column:
-    """1 for an equal token, .85 for a prefix, .6 for a substring of the field, .5 for a token within one edit (words of four letters and
-    more), .35 for one that begins as the word does (three letters)."""
-    of = lambda t: (
-        F.when(t == word, 1.0).when(t.startswith(word), 0.85).when(field.contains(word), 0.6)
-        .when((F.length(word) >= 4) & (F.levenshtein(t, word, 1) >= 0), 0.5).when((F.length(word) >= 4) & (F.substring(t, 1, 3) == F.substring(word, 1, 3)), 0.35).otherwise(0.0)
+def word_score(word: Column, tokens: Column, field: Column, fuzzy: bool = True) -> Column:
+    """How well a word meets a field: 1 for an equal token; else .85 where one of word and token begins the other, .6 where a token or the field holds the
+    word; else .5 where they agree in four letters from the left; else, for words of four letters and more, .4 for a token within the edits that the
+    word's length allows (two from seven letters on), or .35 where that holds for as much of a longer token as the word has."""
+    slack = F.when(F.length(word) >= 7, 2).otherwise(1)
+    near = lambda t: F.levenshtein(t, word) <= slack
+    any_ = lambda test: F.exists(tokens, test)
+    last = F.when(F.length(word) < 4, 0.0).when(any_(near), 0.4).when(any_(lambda t: (F.length(t) > F.length(word)) & near(F.substring(t, F.lit(1), F.length(word)))), 0.35).otherwise(0.0)
+    return (
+        F.when(F.array_contains(tokens, word), 1.0).when(any_(lambda t: t.startswith(word) | word.startswith(t)), 0.85).when(any_(lambda t: t.contains(word)) | field.contains(word), 0.6)
+        .when((F.length(word) >= 4) & any_(lambda t: (F.length(t) >= 4) & (F.substring(t, 1, 4) == F.substring(word, 1, 4))), 0.5).otherwise(last if fuzzy else F.lit(0.0))
     )
-    return F.aggregate(tokens, F.lit(0.0), lambda s, t: F.greatest(s, of(t)))
 
 
 def entry_score(words: list[str], fields: list[tuple[Column, float]], phrase: str) -> Column:
     """Sum over the words of the best field, weighted; 8 more if the first field holds the phrase; 0 if any word finds nothing."""
-    each = [F.greatest(*[word_score(F.lit(w), F.split(f, " "), f) * weight for f, weight in fields], F.lit(0.0)) for w in words]
+    each = [F.greatest(*[word_score(F.lit(w), F.filter(F.split(f, "[^\\p{L}\\p{N}]+"), lambda t: t != ""), f) * weight for f, weight in fields], F.lit(0.0)) for w in words]
     total = sum(each[1:], each[0])
     missed = F.least(*each, F.lit(1e9)) == 0
     return F.when(missed, 0.0).otherwise(total + F.when(fields[0][0].contains(phrase), 8.0).otherwise(0.0))

@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers them all."""
 
-from . import addresses, documents, offers, search, state, streams, upkeep  # noqa: F401
+from . import addresses, documents, offers, rules, search, state, streams, upkeep  # noqa: F401

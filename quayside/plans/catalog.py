@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -21,6 +21,25 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def literal(v) -> str:
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else repr(v)
+
+
+def rule(name: str, doc: str, schema: str, rows: list[tuple], made: dict[str, Callable[[], Column]], sql: dict[str, str]) -> None:
+    """A rule over a small table of stated cases: its columns and those that `made` adds, with the SQL of each."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    kinds = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    typed = ", ".join(f"CAST({c.strip().split(' ')[0]} AS {kinds[c.strip().split(' ')[1]]}) AS {c.strip().split(' ')[0]}" for c in schema.split(","))
+    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    text = f"WITH v AS (SELECT {typed} FROM (VALUES {values}) AS t({', '.join(names)})) SELECT {', '.join([*names, *[f'{e} AS {k}' for k, e in sql.items()]])} FROM v"
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return spark.createDataFrame(rows, schema).select(*names, *[f().alias(k) for k, f in made.items()])
+
+    query.__name__, query.__doc__ = name, doc
+    register(name, text)(query)
+
+
 def queries() -> dict[str, Query]:
     return _queries
 

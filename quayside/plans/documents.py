@@ -56,7 +56,7 @@ def stub_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(X.is_stub(F.col("text"))).select("doc_id", F.length(X.strip(F.col("text"))).cast("long").alias("n"))
 
 
-@register("toc_filter", f"WITH l AS (SELECT doc_id, list_slice({LINES.format(n=1)}, 1, 40) AS l FROM documents) SELECT doc_id, len(l) >= 20 AND len(list_filter(l, lambda s: regexp_matches(s, '^([-*+]|[0-9]+[.)])\\s|\\|'))) > 0.8 * len(l) AS is_contents FROM l")
+@register("toc_filter", f"WITH l AS (SELECT doc_id, text, list_slice({LINES.format(n=1)}, 1, 40) AS l FROM documents) SELECT doc_id, contains(substr(text, 1, 400), '— Site İçeriği') OR len(l) >= 20 AND len(list_filter(l, lambda s: starts_with(s, '- [') OR starts_with(s, '* ['))) > 0.8 * len(l) AS is_contents FROM l")
 def toc_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.looks_like_contents(F.col("text")).alias("is_contents"))
 
@@ -66,31 +66,45 @@ LANG_WORDS = ("der", "die", "und", "von", "zu", "dem", "den", "als", "in", "ist"
 
 @register(
     "lang_score",
-    f"""WITH t AS (SELECT doc_id, lower(substr(text, 1, 8000)) AS own FROM documents), s AS (SELECT doc_id, own, length(own) AS n FROM t)
-    SELECT doc_id, CASE WHEN n < 40 THEN 0.0 ELSE CAST(round(CAST((least((n - length(regexp_replace(own, '[äöüß]', '', 'g'))) * 25.0 / n, 1.0)
-      + least(len(list_intersect(list_distinct(string_split_regex(own, '[^\\p{{L}}]+')), {list(LANG_WORDS)})) / 6.0, 1.0)
-      + least(length(regexp_replace(own, '[^\\p{{L}}]', '', 'g')) * 1.5 / n, 1.0)) / 3 AS DECIMAL(20, 12)), 3) AS DOUBLE) END AS score FROM s""",
+    f"""WITH t AS (SELECT doc_id, substr(text, 1, 8000) AS own FROM documents), s AS (SELECT doc_id, own, length(own) AS n, length(regexp_replace(own, '[^\\p{{L}}]', '', 'g')) AS letters FROM t)
+    SELECT doc_id, CASE WHEN length(regexp_replace(own, '^\\s+|\\s+$', '', 'g')) < 40 THEN 0.0 ELSE CAST(round(CAST((CASE WHEN letters = 0 THEN 0 ELSE least((n - length(regexp_replace(own, '[äöüßÄÖÜ]', '', 'g'))) / letters * 25.0, 1.0) END
+      + least(len(list_intersect(list_distinct(string_split_regex(lower(own), '[^\\p{{L}}\\p{{N}}_]+')), {list(LANG_WORDS)})) / 6.0, 1.0)
+      + least(letters / n * 1.5, 1.0)) / 3 AS DECIMAL(20, 12)), 3) AS DOUBLE) END AS score FROM s""",
 )
 def lang_score(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.language_score(F.col("text"), "äöüß", LANG_WORDS).alias("score"))
+    return table(spark, d, "documents").select("doc_id", X.language_score(F.col("text"), "äöüßÄÖÜ", LANG_WORDS).alias("score"))
 
 
-BOILER = """WITH l AS (SELECT DISTINCT source, doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: length(s) >= 1)) AS line FROM documents),
-    p AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY source), b AS (SELECT l.source, line, count(*) AS n FROM l GROUP BY l.source, line)"""
+PAGED = "SELECT conv_id, turn, 'Verification of ' || conv_id || chr(10) || text || chr(10) || CASE WHEN turn % 2 = 0 THEN 'even page' ELSE 'page ' || turn END AS text FROM conversations"
+STAMPS = f"""WITH pg AS ({PAGED}), l AS (SELECT DISTINCT conv_id, turn, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '')) AS line FROM pg),
+    n AS (SELECT conv_id, count(*) AS pages FROM pg GROUP BY 1), b AS (SELECT conv_id, line, count(*) AS n FROM l GROUP BY 1, 2), s AS (SELECT b.conv_id, line, b.n FROM b JOIN n USING (conv_id) WHERE pages >= 3 AND b.n >= pages * 0.8)"""
 
 
-@register("boilerplate_lines", BOILER + " SELECT b.source, b.line, b.n FROM b JOIN p USING (source) WHERE n_docs >= 3 AND b.n >= 0.04 * n_docs AND b.n > 1")
+def _paged(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of several pages: the turns of a conversation, each with a stamp above and a foot below."""
+    foot = F.when(F.col("turn") % 2 == 0, "even page").otherwise(F.concat(F.lit("page "), F.col("turn").cast("string")))
+    text = F.concat(F.lit("Verification of "), F.col("conv_id").cast("string"), F.lit("\n"), "text", F.lit("\n"), foot)
+    return table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
+
+
+@register("boilerplate_lines", STAMPS + " SELECT conv_id, line, n FROM s")
 def boilerplate_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines on a share of a source's documents, each line counted once for each."""
-    return dedup.common_lines(table(spark, d, "documents"), "source", share=0.04, least_docs=3).filter("n > 1")
+    """Lines on four fifths of a document's pages, if it has three or more; a line counts once a page."""
+    pages = _paged(spark, d)
+    lines = pages.select("conv_id", F.explode(F.array_distinct(X.lines(F.col("text")))).alias("line")).groupBy("conv_id", "line").agg(F.count("*").alias("n"))
+    counts = pages.groupBy("conv_id").agg(F.count("*").alias("pages"))
+    return lines.join(counts, "conv_id").filter((F.col("pages") >= 3) & (F.col("n") >= F.col("pages") * 0.8)).select("conv_id", "line", "n")
 
 
-@register("strip_boilerplate", BOILER + ", s AS (SELECT b.source, b.line FROM b JOIN p USING (source) WHERE n_docs >= 3 AND b.n >= 0.04 * n_docs AND b.n > 1) SELECT l.doc_id, count(*) AS n_lines, count(s.line) AS n_stripped FROM l LEFT JOIN s USING (source, line) GROUP BY l.doc_id")
+@register("strip_boilerplate", STAMPS + """, g AS (SELECT conv_id, list(line) AS stamps FROM s GROUP BY 1)
+    SELECT conv_id, turn, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(stamps, []), trim(x))), chr(10))) AS kept, len(list_filter(string_split(text, chr(10)), lambda x: list_contains(coalesce(stamps, []), trim(x)))) AS n_stripped FROM pg LEFT JOIN g USING (conv_id)""")
 def strip_boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    own = docs.select("source", "doc_id", F.explode(X.lines(F.col("text"))).alias("line")).distinct()
-    stamps = boilerplate_lines(spark, d).select("source", "line", F.lit(1).alias("stamp"))
-    return own.join(stamps, ["source", "line"], "left").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count("stamp").alias("n_stripped"))
+    """Each page without its document's stamps. A document has at most as many stamps as a page has lines."""
+    stamps = boilerplate_lines(spark, d).groupBy("conv_id").agg(F.collect_set("line").alias("stamps"))
+    rows = _paged(spark, d).join(stamps, "conv_id", "left").withColumn("stamps", F.coalesce("stamps", F.array().cast("array<string>")))
+    own = F.split("text", "\n")
+    kept = F.filter(own, lambda s: ~F.array_contains(F.col("stamps"), F.trim(s)))
+    return rows.select("conv_id", "turn", F.md5(F.array_join(kept, "\n").cast("binary")).alias("kept"), (F.size(own) - F.size(kept)).cast("long").alias("n_stripped"))
 
 
 @register("chunk_windows_8196_820", "SELECT doc_id, pos, start, length(substr(text, start + 1, 8196)) AS n_chars, md5(substr(text, start + 1, 8196)) AS chunk_hash FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 820, 1) - 1, 7376)) AS start FROM documents) w, LATERAL (SELECT start // 7376 AS pos)")
@@ -111,21 +125,41 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return chunk_windows_8196_820(spark, d).select(key.alias("chunk_id"), F.sha2(key, 256).alias("point_key"), "doc_id")
 
 
-@register("chunk_paragraph_pack")
+def _fold_sql(pieces: str, most: int, gap: str) -> str:
+    """Pieces packed in order, as X.packed does it."""
+    own = f"list_transform({pieces}, lambda p: [p])"
+    step = f"lambda a, x: CASE WHEN a[-1] = '' THEN list_concat(a[:-2], x) WHEN length(a[-1]) + {len(gap)} + length(x[1]) <= {most} THEN list_concat(a[:-2], [a[-1] || '{gap}' || x[1]]) ELSE list_concat(a, x) END"
+    return f"list_transform(list_reduce({own}, {step}), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g'))"
+
+
+def chunk_sql(most: int) -> str:
+    paragraphs = _fold_sql("string_split(text, chr(10) || chr(10))", most, "\n\n")
+    sentences = _fold_sql("string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))", most, " ")
+    split = f"flatten(list_transform({paragraphs}, lambda p: CASE WHEN length(p) <= {most} THEN [p] ELSE {sentences} END))"
+    hard = f"flatten(list_transform({split}, lambda p: CASE WHEN length(p) <= {most} THEN [p] ELSE list_transform(generate_series(0, (length(p) - 1) // {most}), lambda k: substr(p, k * {most} + 1, {most})) END))"
+    return f"list_filter(CASE WHEN length(text) <= {most} THEN [text] ELSE {hard} END, lambda s: s <> '' OR length(text) <= {most})"
+
+
+@register("chunk_paragraph_pack", f"WITH c AS (SELECT doc_id, {chunk_sql(8196)} AS c FROM documents) SELECT doc_id, generate_subscripts(c, 1) - 1 AS pos, length(unnest(c)) AS n_chars, md5(unnest(c)) AS chunk_hash FROM c")
 def chunk_paragraph_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences packed to 800 characters in order; a running sum would give other borders, so this is a fold per document."""
-    packs = X.packed(X.sentences(F.col("text")), 800)
-    return table(spark, d, "documents").select("doc_id", F.posexplode(packs).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk_hash"))
+    """Texts beyond 8,196 characters in pieces: paragraphs packed in order, then sentences, then a cut. A running sum would give other borders, so this is a
+    fold in each document."""
+    pieces = X.chunks(F.col("text"), 8196)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk_hash"))
+
+
+LEAD = "regexp_replace(c[i][-820:], CASE WHEN strpos(c[i][-820:], ' ') BETWEEN 1 AND length(c[i][-820:]) - 1 THEN '^[^ ]* ' ELSE '^$' END, '')"
 
 
-@register("chunk_overlap_words")
+@register(
+    "chunk_overlap_words",
+    f"""WITH c AS (SELECT doc_id, {chunk_sql(8196)} AS c FROM documents), o AS (SELECT doc_id, list_transform(generate_series(0, len(c) - 1), lambda i: CASE WHEN i = 0 OR trim({LEAD}) = '' THEN c[i + 1] ELSE {LEAD} || chr(10) || chr(10) || c[i + 1] END) AS c FROM c)
+    SELECT doc_id, generate_subscripts(c, 1) - 1 AS pos, length(unnest(c)) AS n_chars, md5(unnest(c)) AS chunk_hash FROM o""",
+)
 def chunk_overlap_words(spark: SparkSession, d: str) -> DataFrame:
-    """Each window after the first begins with the end of the one before it, from a word boundary."""
-    pieces = X.packed(X.sentences(F.col("text")), 1200)
-    own = table(spark, d, "documents").select("doc_id", pieces.alias("p"))
-    lead = lambda k: F.regexp_replace(F.substring(F.element_at(F.col("p"), k), -120, 120), "^\\S*\\s+", "")
-    joined = F.transform("p", lambda x, i: F.when(i == 0, x).otherwise(F.concat(lead(i.cast("int")), F.lit(" "), x)))
-    return own.select("doc_id", F.posexplode(joined).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n_chars"))
+    """Each piece after the first begins with the last 820 characters of the one before, from a word's beginning."""
+    pieces = X.with_overlap(X.chunks(F.col("text"), 8196), 820)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk_hash"))
 
 
 @register("title_slug", f"SELECT doc_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(substr(regexp_replace(replace(trim(regexp_replace({fold_sql('substr(text, 1, 120)')}, '[^a-z0-9]+', ' ', 'g')), ' ', '-'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '') AS s FROM documents)")

@@ -68,7 +68,12 @@ def embedding_dimensions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _field_sql(f: str, w: str, weight: int) -> str:
-    return f"list_max(list_transform(string_split({f}, ' '), lambda t: CASE WHEN t = '{w}' THEN 1.0 WHEN starts_with(t, '{w}') THEN 0.85 WHEN contains({f}, '{w}') THEN 0.6 WHEN levenshtein(t, '{w}') <= 1 THEN 0.5 WHEN substr(t, 1, 3) = substr('{w}', 1, 3) THEN 0.35 ELSE 0.0 END)) * {weight}"
+    t = f"list_filter(string_split_regex({f}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+    slack, n = 2 if len(w) >= 7 else 1, len(w)
+    has = lambda test: f"len(list_filter({t}, lambda t: {test})) > 0"
+    typo = f"WHEN {has(f'levenshtein(t, {chr(39)}{w}{chr(39)}) <= {slack}')} THEN 0.4 WHEN {has(f'length(t) > {n} AND levenshtein(substr(t, 1, {n}), {chr(39)}{w}{chr(39)}) <= {slack}')} THEN 0.35" if n >= 4 else ""
+    stem = f"WHEN {has(f'length(t) >= 4 AND substr(t, 1, 4) = {chr(39)}{w[:4]}{chr(39)}')} THEN 0.5" if n >= 4 else ""
+    return f"(CASE WHEN list_contains({t}, '{w}') THEN 1.0 WHEN {has(f'starts_with(t, {chr(39)}{w}{chr(39)}) OR starts_with({chr(39)}{w}{chr(39)}, t)')} THEN 0.85 WHEN contains({f}, '{w}') THEN 0.6 {stem} {typo} ELSE 0.0 END) * {weight}"
 
 
 _WORDS = [f"greatest({_field_sql('name', w, 8)}, {_field_sql('brand', w, 3)}, {_field_sql('kind', w, 1)}, 0.0)" for w in ("small", "boltt")]

@@ -8,22 +8,49 @@ from pyspark.sql import functions as F
 MONEY = "decimal(18,2)"
 
 
-def level_schedule(amount: Column, pay: Column, rate: str, n: int) -> Column:
-    """Rows (n, payment, profit, principal, remaining) of a level plan. A fold: the balance goes from step to step, each step rounded
-    half up to cents, and the last payment is what remains."""
-    r = F.lit(rate).cast("decimal(8,4)")
-    row = "array<struct<n:int,payment:decimal(18,2),profit:decimal(18,2),principal:decimal(18,2),remaining:decimal(18,2)>>"
-    start = F.struct(amount.cast(MONEY).alias("balance"), F.array().cast(row).alias("rows"))
+ROW = "struct<n:int,payment:decimal(18,2),profit:decimal(18,2),taxes:decimal(18,2),principal:decimal(18,2),remaining:decimal(18,2)>"
+
+
+def cents(value: Column) -> Column:
+    return F.round(value, 2).cast(MONEY)
+
+
+def plan(amount: Column, steps: Column, pay: Column, multiplier, first_tax: float, second_tax: float, close_payment: bool) -> Column:
+    """Rows of a plan by a fold: the balance goes from step to step, each figure rounded half up to cents. steps: 1 to the last; multiplier(k): the profit's
+    share of the balance. The last principal is what remains; close_payment: the last payment is then made anew of its parts."""
+    start = F.struct(amount.cast(MONEY).alias("balance"), F.array().cast(f"array<{ROW}>").alias("rows"))
+    tax = lambda profit, t: cents(profit * F.lit(t).cast("decimal(8,4)"))
 
     def step(state: Column, k: Column) -> Column:
-        profit = F.round(state["balance"] * r, 2).cast(MONEY)
-        last = k == n
-        payment = F.when(last, (state["balance"] + profit).cast(MONEY)).otherwise(pay)
-        principal = (payment - profit).cast(MONEY)
+        profit = cents(state["balance"] * multiplier(k))
+        taxes = (tax(profit, first_tax) + tax(profit, second_tax)).cast(MONEY)
+        last = k == F.size(steps)
+        principal = F.when(last, state["balance"]).otherwise((pay - profit - taxes).cast(MONEY))
+        payment = F.when(last, (principal + profit + taxes).cast(MONEY)).otherwise(pay) if close_payment else pay
         left = (state["balance"] - principal).cast(MONEY)
-        return F.struct(left.alias("balance"), F.concat(state["rows"], F.array(F.struct(k.alias("n"), payment.alias("payment"), profit.alias("profit"), principal.alias("principal"), left.alias("remaining")).cast(row[6:-1]))).alias("rows"))
+        row = F.struct(k.alias("n"), payment.alias("payment"), profit.alias("profit"), taxes.alias("taxes"), principal.alias("principal"), left.alias("remaining")).cast(ROW)
+        return F.struct(left.alias("balance"), F.concat(state["rows"], F.array(row)).alias("rows"))
+
+    return F.aggregate(steps, start, step, lambda s: s["rows"])
+
+
+def taxed_schedule(amount: Column, term: Column, rate: float, first_tax: float, second_tax: float) -> Column:
+    """A level plan: priced at rate * (1 + taxes), profit at the bare rate."""
+    full = rate * (1 + first_tax + second_tax)
+    pay = F.round(amount.cast("double") / ((1 - F.pow(F.lit(1 + full), -term)) / full), 2).cast(MONEY)
+    share = F.lit(rate).cast("decimal(8,4)")
+    return plan(amount, F.sequence(F.lit(1), term), pay, lambda k: share, first_tax, second_tax, False)
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step, lambda s: s["rows"])
+def dated_schedule(amount: Column, dates: Column, start: Column, rate: float, first_tax: float, second_tax: float) -> Column:
+    """A plan on due dates: discount factors by days / 30, rounded to six places; profit by the days since the date before, rounded to four; the last
+    payment takes what remains."""
+    full = rate * (1 + first_tax + second_tax)
+    factors = F.transform(dates, lambda x: F.round(1 / F.pow(F.lit(1 + full), F.datediff(x, start) / 30), 6))
+    pay = F.round(amount.cast("double") / F.aggregate(factors, F.lit(0.0), lambda a, x: a + x), 2).cast(MONEY)
+    days = F.transform(dates, lambda x, i: F.datediff(x, F.when(i == 0, start).otherwise(F.get(dates, i - 1))))
+    shares = F.transform(days, lambda n: (F.round(F.pow(F.lit(1 + rate), n / 30), 4) - 1).cast("decimal(8,4)"))
+    return plan(amount, F.sequence(F.lit(1), F.size(dates)), pay, lambda k: F.get(shares, k - 1), first_tax, second_tax, True)
 
 
 def spread(buy: Column, sell: Column) -> Column:

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import cut
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """edges: src, dst; seeds: node. node and its least depth, up to max_depth. Each level joins the last one's new nodes with
+
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """edges: src, dst; seeds: node. node and its least depth, until nothing new is found or up to max_depth. Each level joins the last one's new nodes with
     the edges and leaves out what has been seen; a level is checkpointed, so that plans don't grow and lost executors cost one level."""
-    spark = edges.sparkSession
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    front = seen
-    for depth in range(1, max_depth + 1):
+    edges = cut(edges)
+    seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    front, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         found = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         front = cut(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
+from ..operators import ordering
 from ._tables import table
 from .catalog import register
 
@@ -78,11 +79,13 @@ def url_prefix_tree_counts(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "url_leaf_fingerprint",
     f"""WITH n AS (SELECT unnest({ANCESTORS}) AS node, {CANON} AS leaf FROM pages), u AS (SELECT DISTINCT node, leaf FROM n)
-    SELECT node, sha1(string_agg(leaf, chr(10) ORDER BY leaf)) AS fingerprint, count(*) AS n_leaves FROM u GROUP BY node""",
+    SELECT node, CAST(sum(CAST(CAST('0x' || substr(md5(leaf), 1, 12) AS BIGINT) AS HUGEINT)) AS DECIMAL(38,0)) % 1000000007 AS low, CAST(sum(CAST(CAST('0x' || substr(md5(leaf), 13, 12) AS BIGINT) AS HUGEINT)) AS DECIMAL(38,0)) % 998244353 AS high, count(*) AS n_leaves FROM u GROUP BY node""",
 )
 def url_leaf_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    each = table(spark, d, "pages").select(F.explode(U.ancestors(F.col("url"))).alias("node"), U.canonical(F.col("url")).alias("leaf"))
-    return each.groupBy("node").agg(F.sha1(F.array_join(F.array_sort(F.collect_set("leaf")), "\n").cast("binary")).alias("fingerprint"), F.count_distinct("leaf").alias("n_leaves"))
+    """A digest of the set of addresses below a node: sums of parts of each one's hash, so no order and no list is needed."""
+    each = table(spark, d, "pages").select(F.explode(U.ancestors(F.col("url"))).alias("node"), U.canonical(F.col("url")).alias("leaf")).distinct()
+    part = lambda at: F.sum(F.conv(F.substring(F.md5(F.col("leaf").cast("binary")), at, 12), 16, 10).cast("decimal(38,0)"))
+    return each.groupBy("node").agg((part(1) % F.lit(1000000007).cast("decimal(38,0)")).cast("bigint").alias("low"), (part(13) % F.lit(998244353).cast("decimal(38,0)")).cast("bigint").alias("high"), F.count("*").alias("n_leaves"))
 
 
 @register("url_tree_leaves", f"WITH n AS (SELECT DISTINCT unnest({ANCESTORS}) AS node FROM pages) SELECT node FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE regexp_replace(b.node, '/[^/]*$', '') = a.node AND b.node <> a.node)")
@@ -110,11 +113,13 @@ def page_link_graph_indegree(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "linked_from_map",
     """WITH a AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1)) AS href FROM pages)
-    SELECT href, array_to_string(list(page_id ORDER BY page_id), ',') AS linked_from, min(page_id) AS first_page FROM a GROUP BY href""",
+    SELECT href, page_id AS linked_from, min(page_id) OVER (PARTITION BY href) = page_id AS first FROM a""",
 )
 def linked_from_map(spark: SparkSession, d: str) -> DataFrame:
+    """Links turned round: a row for each page that links to an address, the first one marked. An address may be linked from any share of all pages."""
     each = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"[^>]*>'), F.lit(1))).alias("href")).distinct()
-    return each.groupBy("href").agg(F.array_join(F.array_sort(F.collect_list("page_id")), ",").alias("linked_from"), F.min("page_id").alias("first_page"))
+    first = each.groupBy("href").agg(F.min("page_id").alias("first_page"))
+    return each.join(first, "href").select("href", F.col("page_id").alias("linked_from"), (F.col("page_id") == F.col("first_page")).alias("first"))
 
 
 @register(
@@ -198,12 +203,10 @@ def coverage_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "round_robin_pages",
-    f"SELECT page_id, host, row_number() OVER (ORDER BY turn, host) AS pos FROM (SELECT page_id, {HOST} AS host, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS turn FROM pages) ORDER BY pos LIMIT 100",
+    f"SELECT page_id, host, row_number() OVER (ORDER BY turn, host) AS pos FROM (SELECT page_id, {HOST} AS host, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS turn FROM pages)",
 )
 def round_robin_pages(spark: SparkSession, d: str) -> DataFrame:
-    """The first hundred pages when every site takes its turn."""
-    from pyspark.sql import Window as W
-
+    """All pages in the order in which every site takes its turn."""
     each = table(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("host"))
-    first = each.withColumn("turn", F.row_number().over(W.partitionBy("host").orderBy("page_id"))).orderBy("turn", "host").limit(100)
-    return first.select("page_id", "host", F.row_number().over(W.orderBy("turn", "host")).cast("long").alias("pos"))
+    turns = ordering.placed_within(each, ["host"], [F.col("page_id")], "turn")
+    return ordering.placed(turns, [F.col("turn"), F.col("host")]).select("page_id", "host", "pos")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dedup
+from ..operators import dedup, ordering
 from ._tables import table
 from .catalog import register
 
@@ -162,9 +162,9 @@ def chunk_overlap_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk_hash"))
 
 
-@register("title_slug", f"SELECT doc_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(substr(regexp_replace(replace(trim(regexp_replace({fold_sql('substr(text, 1, 120)')}, '[^a-z0-9]+', ' ', 'g')), ' ', '-'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '') AS s FROM documents)")
+@register("title_slug", f"SELECT doc_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(substr(regexp_replace(replace(trim(regexp_replace({fold_sql('string_split(text, chr(10))[1]')}, '[^a-z0-9]+', ' ', 'g')), ' ', '-'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '') AS s FROM documents)")
 def title_slug(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.slug(F.substring("text", 1, 120)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", X.slug(F.split("text", "\n")[0]).alias("slug"))
 
 
 @register("fold_key", f"SELECT p_partkey, regexp_replace({fold_sql('p_name')}, '[^a-z0-9]', '', 'g') AS key FROM part")
@@ -251,10 +251,10 @@ def ends_cut(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.ends_cut(F.col("text")).alias("cut"))
 
 
-@register("header_passage", "SELECT doc_id, array_to_string(list_filter([source, CASE WHEN lang = 'en' THEN '' ELSE upper(lang) END, substr(text, 1, 10)], lambda x: x <> ''), ' — ') AS header FROM documents")
+@register("header_passage", "SELECT doc_id, array_to_string(list_filter([source, CASE WHEN lang = 'en' THEN '' ELSE upper(lang) END, string_split(text, chr(10))[1]], lambda x: x <> ''), ' — ') AS header FROM documents")
 def header_passage(spark: SparkSession, d: str) -> DataFrame:
     """Parts of a header that are not empty, joined."""
-    parts = F.array("source", F.when(F.col("lang") == "en", "").otherwise(F.upper("lang")), F.substring("text", 1, 10))
+    parts = F.array("source", F.when(F.col("lang") == "en", "").otherwise(F.upper("lang")), F.split("text", "\n")[0])
     return table(spark, d, "documents").select("doc_id", F.array_join(F.filter(parts, lambda x: x != ""), " — ").alias("header"))
 
 
@@ -291,6 +291,7 @@ def group_size_shape(spark: SparkSession, d: str) -> DataFrame:
 @register("weighted_samples", "SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE rn <= greatest(12, ceil(0.2 * n))")
 def weighted_samples(spark: SparkSession, d: str) -> DataFrame:
     """Of each source the longest fifth, twelve at least."""
-    own = W.partitionBy("source")
-    ranked = table(spark, d, "documents").select("source", "doc_id", "n_chars", F.row_number().over(own.orderBy(F.col("n_chars").desc(), "doc_id")).alias("rn"), F.count("*").over(own).alias("n"))
-    return ranked.filter(F.col("rn") <= F.greatest(F.lit(12), F.ceil(0.2 * F.col("n")))).select("source", "doc_id", "n_chars")
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    n = docs.groupBy("source").agg(F.count("*").alias("n"))
+    ranked = ordering.placed_within(docs, ["source"], [F.col("n_chars").desc(), F.col("doc_id")]).join(n, "source")
+    return ranked.filter(F.col("pos") <= F.greatest(F.lit(12), F.ceil(0.2 * F.col("n")))).select("source", "doc_id", "n_chars")

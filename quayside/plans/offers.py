@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import finance, lookups, tables
+from ..operators import finance, lookups, ordering, tables
 from ._tables import table
 from .catalog import register
 
@@ -120,15 +120,21 @@ def range_band(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "tightest_product",
-    """WITH p AS (SELECT p_partkey, p_type, p_size AS max_term, p_retailprice AS max_amount FROM part WHERE p_partkey < 500), q AS (SELECT o_orderkey, CAST(o_totalprice / 1000 AS INT) % 40 + 1 AS term, 900 + o_orderkey % 50 AS amount FROM orders WHERE o_orderkey < 300)
-    SELECT o_orderkey, min(max_term) AS max_term, count(*) AS n_fit, count(DISTINCT p_type) AS n_stems FROM q JOIN p ON term <= max_term AND amount <= max_amount GROUP BY o_orderkey""",
+    """WITH p AS (SELECT p_type, p_size AS max_term, floor(p_retailprice) AS max_amount FROM part), q AS (SELECT o_orderkey, CAST(o_totalprice / 1000 AS INT) % 40 + 1 AS term, 900 + o_orderkey % 50 AS amount FROM orders),
+    c AS (SELECT DISTINCT term, amount FROM q), f AS (SELECT c.term, c.amount, min(max_term) AS max_term, count(*) AS n_fit, count(DISTINCT p_type) AS n_stems FROM c JOIN p ON c.term <= p.max_term AND c.amount <= p.max_amount GROUP BY 1, 2)
+    SELECT o_orderkey, f.max_term, n_fit, n_stems FROM q JOIN f USING (term, amount)""",
 )
 def tightest_product(spark: SparkSession, d: str) -> DataFrame:
-    """Products whose bounds hold a request; the tightest one. The catalogue of one bank is a fixed short list."""
-    p = table(spark, d, "part").filter("p_partkey < 500").select("p_type", F.col("p_size").alias("max_term"), F.col("p_retailprice").alias("max_amount"))
-    q = table(spark, d, "orders").filter("o_orderkey < 300").select("o_orderkey", (F.round(F.col("o_totalprice") / 1000).cast("int") % 40 + 1).alias("term"), (900 + F.col("o_orderkey") % 50).alias("amount"))
-    fit = q.join(F.broadcast(p), (F.col("term") <= F.col("max_term")) & (F.col("amount") <= F.col("max_amount")))
-    return fit.groupBy("o_orderkey").agg(F.min("max_term").alias("max_term"), F.count("*").alias("n_fit"), F.count_distinct("p_type").alias("n_stems"))
+    """Products whose bounds hold a request; the tightest one. Products are counted by term, whole amount and type before anything meets: an amount
+    above all requests' counts as the highest one, so there are at most 50 x 52 cells a type, and 40 x 50 kinds of request."""
+    p = table(spark, d, "part").select("p_type", F.col("p_size").alias("max_term"), F.least(F.floor("p_retailprice"), F.lit(950)).alias("max_amount"))
+    cells = p.filter("max_amount >= 900").groupBy("p_type", "max_term", "max_amount").agg(F.count("*").alias("n"))
+    q = table(spark, d, "orders").select("o_orderkey", (F.round(F.col("o_totalprice") / 1000).cast("int") % 40 + 1).alias("term"), (900 + F.col("o_orderkey") % 50).alias("amount"))
+    # Each cell serves all terms up to its own and all amounts up to its own: both are dealt out step by step.
+    by_term = cells.withColumn("term", F.explode(F.sequence(F.lit(1), F.least("max_term", F.lit(40))))).groupBy("p_type", "term", "max_amount").agg(F.sum("n").alias("n"), F.min("max_term").alias("max_term"))
+    each = by_term.withColumn("amount", F.explode(F.sequence(F.lit(900), F.least("max_amount", F.lit(949)))))
+    fit = each.groupBy("term", "amount").agg(F.min("max_term").alias("max_term"), F.sum("n").alias("n_fit"), F.count_distinct("p_type").alias("n_stems"))
+    return q.join(F.broadcast(fit), ["term", "amount"]).select("o_orderkey", "max_term", "n_fit", "n_stems")
 
 
 @register(
@@ -154,19 +160,23 @@ def as_of_last_value(spark: SparkSession, d: str) -> DataFrame:
     return lookups.as_of(errors, buys, "user_id", "ts", "bought", "last_value").select("event_id", "last_value")
 
 
+PLAN = "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, 3 + CAST(o_orderkey % 10 AS INT) AS term FROM orders"
+
+
 @register(
     "amortisation_schedule",
-    """WITH RECURSIVE o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(round(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.105582 AS DECIMAL(38,8)), 2) AS DECIMAL(18,2)) AS pay FROM orders WHERE o_orderkey % 50 = 0),
-    r AS (SELECT o_orderkey, 1 AS n, pay, amount AS before, CAST(round(amount * 0.0400, 2) AS DECIMAL(18,2)) AS profit FROM o
-      UNION ALL SELECT o_orderkey, n + 1, pay, CAST(before + profit - pay AS DECIMAL(18,2)), CAST(round(CAST(before + profit - pay AS DECIMAL(18,2)) * 0.0400, 2) AS DECIMAL(18,2)) FROM r WHERE n < 12)
-    SELECT o_orderkey, n, CAST(CASE WHEN n = 12 THEN before + profit ELSE pay END AS DOUBLE) AS payment, CAST(profit AS DOUBLE) AS profit, CAST(CASE WHEN n = 12 THEN before ELSE pay - profit END AS DOUBLE) AS principal, CAST(CASE WHEN n = 12 THEN 0 ELSE before + profit - pay END AS DOUBLE) AS remaining FROM r""",
+    f"""WITH RECURSIVE o AS (SELECT o_orderkey, amount, term, CAST(round(CAST(amount AS DOUBLE) / ((1 - pow(1.052, -term)) / 0.052), 2) AS DECIMAL(18,2)) AS pay FROM ({PLAN})),
+    s AS (SELECT o_orderkey, term, pay, 1 AS n, amount AS before, CAST(round(amount * 0.0400, 2) AS DECIMAL(18,2)) AS profit FROM o
+      UNION ALL SELECT o_orderkey, term, pay, n + 1, left_, CAST(round(left_ * 0.0400, 2) AS DECIMAL(18,2)) FROM (SELECT *, CAST(before - (pay - profit - round(profit * 0.15, 2) - round(profit * 0.15, 2)) AS DECIMAL(18,2)) AS left_ FROM s WHERE n < term))
+    SELECT o_orderkey, n, CAST(pay AS DOUBLE) AS payment, CAST(profit AS DOUBLE) AS profit, CAST(2 * round(profit * 0.15, 2) AS DOUBLE) AS taxes, CAST(CASE WHEN n = term THEN before ELSE pay - profit - 2 * round(profit * 0.15, 2) END AS DOUBLE) AS principal,
+      CAST(CASE WHEN n = term THEN 0 ELSE before - (pay - profit - 2 * round(profit * 0.15, 2)) END AS DOUBLE) AS remaining FROM s""",
 )
 def amortisation_schedule(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve level payments; every step is rounded, the last one closes to zero."""
-    o = table(spark, d, "orders").filter("o_orderkey % 50 = 0").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
-    o = o.withColumn("pay", F.round((F.col("amount") * F.lit("0.105582").cast("decimal(8,6)")), 2).cast("decimal(18,2)"))
-    rows = o.select("o_orderkey", F.inline(finance.level_schedule(F.col("amount"), F.col("pay"), "0.0400", 12)))
-    return rows.select("o_orderkey", "n", *[F.col(c).cast("double").alias(c) for c in ("payment", "profit", "principal", "remaining")])
+    """Level payments priced at the rate with both taxes on it; each period's profit is the bare rate on the balance; every step is rounded, and the last
+    principal closes to zero. A plan for every order."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), (3 + F.col("o_orderkey") % 10).cast("int").alias("term"))
+    rows = o.select("o_orderkey", F.inline(finance.taxed_schedule(F.col("amount"), F.col("term"), 0.04, 0.15, 0.15)))
+    return rows.select("o_orderkey", "n", *[F.col(c).cast("double").alias(c) for c in ("payment", "profit", "taxes", "principal", "remaining")])
 
 
 @register(
@@ -262,11 +272,11 @@ def clamp_defaults(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "probe_plan",
-    "SELECT n_name AS bank, p_type AS capability, count(*) AS n_products FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN (SELECT p_type, p_name FROM part WHERE p_partkey < 50) GROUP BY 1, 2",
+    "SELECT n_name AS bank, p_type AS capability, n_products FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN (SELECT p_type, count(*) AS n_products FROM part GROUP BY 1)",
 )
 def probe_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Every bank with every capability: a fixed list of banks beside a fixed list of products."""
-    caps = table(spark, d, "part").filter("p_partkey < 50").groupBy(F.col("p_type").alias("capability")).agg(F.count("*").alias("n_products"))
+    """Every bank with every capability: a capability is a type of product, of which there are few; its products are counted first."""
+    caps = table(spark, d, "part").groupBy(F.col("p_type").alias("capability")).agg(F.count("*").alias("n_products"))
     banks = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("bank"))
     listed = caps.agg(F.collect_list(F.struct("capability", "n_products")).alias("all")).scalar()
     return banks.select("bank", F.inline(listed))
@@ -281,8 +291,12 @@ def hoist_constants(spark: SparkSession, d: str) -> DataFrame:
 
 @register("latency_percentiles", "SELECT event_type, median(value) AS median, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS INT)] AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Exact median; the 95th percentile is the element at place floor(0.95 n), by rank, so no group is collected."""
-    e = table(spark, d, "events")
-    ranked = e.select("event_type", "value", F.row_number().over(W.partitionBy("event_type").orderBy("value")).alias("rn"))
-    n = e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("median"), F.floor(0.95 * F.count("*")).alias("at"))
-    return n.join(ranked, (n["event_type"] == ranked["event_type"]) & (F.col("rn") == F.col("at"))).select(n["event_type"], "median", F.col("value").alias("p95"))
+    """Exact median; the 95th percentile is the element at place floor(0.95 n). Both are read off places in one order over types and values, so that a type
+    may hold any share of the events."""
+    ranked = ordering.placed(table(spark, d, "events").select("event_type", "value", "event_id"), [F.col("event_type"), F.col("value"), F.col("event_id")])
+    first, n = F.col("first"), F.col("n")
+    places = [(first + F.floor((n - 1) / 2)).alias("low"), (first + F.floor(n / 2)).alias("high"), (first + F.floor(0.95 * n) - 1).alias("p95")]
+    types = ranked.groupBy("event_type").agg(F.min("pos").alias("first"), F.count("*").alias("n")).select("event_type", *places)
+    hit = ranked.join(F.broadcast(types), "event_type").filter(F.col("pos").isin(F.col("low"), F.col("high"), F.col("p95")))
+    of = lambda k: F.max(F.when(F.col("pos") == F.col(k), F.col("value")))
+    return hit.groupBy("event_type").agg(((of("low") + of("high")) / 2).alias("median"), of("p95").alias("p95"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dedup, search, tables
+from ..operators import dedup, ordering, search, tables
 from ._tables import table
 from .catalog import register
 
@@ -171,11 +171,11 @@ def restore_lost_values(spark: SparkSession, d: str) -> DataFrame:
     return old.join(new, ["table_id", "bank", "value"], "left_anti")
 
 
-@register("typed_sort_blanks_last", "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size > 40 THEN NULL ELSE p_size END DESC NULLS LAST, p_name, p_partkey) AS pos FROM part ORDER BY pos LIMIT 200")
+@register("typed_sort_blanks_last", "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size > 40 THEN NULL ELSE p_size END DESC NULLS LAST, p_name, p_partkey) AS pos FROM part")
 def typed_sort_blanks_last(spark: SparkSession, d: str) -> DataFrame:
     """Blanks come last whichever way a column is sorted."""
-    first = table(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_size") <= 40, F.col("p_size")).alias("s")).orderBy(F.desc_nulls_last("s"), "p_name", "p_partkey").limit(200)
-    return first.select("p_partkey", F.row_number().over(W.orderBy(F.desc_nulls_last("s"), "p_name", "p_partkey")).cast("long").alias("pos"))
+    own = table(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_size") <= 40, F.col("p_size")).alias("s"))
+    return ordering.placed(own, [F.desc_nulls_last("s"), F.col("p_name"), F.col("p_partkey")]).select("p_partkey", "pos")
 
 
 @register("faceted_filter", "SELECT p_partkey FROM part WHERE (contains(lower(p_name), 'bolt') OR contains(lower(p_brand), 'bolt')) AND p_type IN ('SMALL', 'LARGE', 'PROMO') AND p_retailprice BETWEEN 950 AND 1100")

@@ -143,11 +143,11 @@ def window_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", shown.alias("shown")).withColumn("closed", V.window_dates(F.col("shown"))["end"].isNotNull())
 
 
-@register("date_cascade", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start, CAST(CAST(o_orderdate AS DATE) + 45 AS VARCHAR) AS \"end\", 'range' AS rule FROM orders")
+@register("date_cascade", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start, CAST(CAST(o_orderdate AS DATE) + 45 AS VARCHAR) AS \"end\", 'label' AS rule FROM orders")
 def date_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Dates in running text, by the cascade of rules; years before 2000 are moved up for it."""
     day = F.to_date("o_orderdate")
-    text = F.concat(F.lit("Kampanya "), F.date_format(F.add_months(day, 480), "d.MM.yyyy"), F.lit(" - "), F.date_format(F.add_months(F.date_add(day, 45), 480), "d.MM.yyyy"), F.lit(" arası."))
+    text = F.concat(F.lit("Kampanya Tarihleri: "), F.date_format(F.add_months(day, 480), "d.MM.yyyy"), F.lit(" - "), F.date_format(F.add_months(F.date_add(day, 45), 480), "d.MM.yyyy"), F.lit(" arası."))
     got = table(spark, d, "orders").select("o_orderkey", V.validity(text).alias("v"), day.alias("d0"))
     back = lambda c: F.date_format(F.add_months(F.to_date(c), -480), "yyyy-MM-dd")
     return got.select("o_orderkey", F.coalesce(back("v.start"), F.lit("")).alias("start"), F.coalesce(back("v.end"), F.lit("")).alias("end"), "v.rule")

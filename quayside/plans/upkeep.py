@@ -9,22 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import dedup, graphs
+from ..operators import dedup, finance, graphs, ordering
 from ._tables import table
 from .catalog import register
 
 
 @register(
     "graph_reach",
-    """WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 3 + 1) % 2000 AS dst FROM part UNION SELECT p_partkey, (p_partkey * 7 + 2) % 2000 FROM part),
-    r AS (SELECT 0 AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 6) SELECT node, min(depth) AS depth FROM r GROUP BY node""",
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey % n AS src, (p_partkey * 3 + 1) % n AS dst FROM part, n UNION SELECT p_partkey % n, (p_partkey * 7 + 2) % n FROM part, n),
+    r AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 60) SELECT node, min(depth) AS depth FROM r GROUP BY node""",
 )
 def graph_reach(spark: SparkSession, d: str) -> DataFrame:
-    """What a crawl from one page reaches in six steps."""
-    k = F.col("p_partkey")
+    """What a crawl from one page reaches, level by level until nothing new is found. The SQL stops at depth 60, which no page here has."""
     part = table(spark, d, "part")
-    edges = part.select(k.alias("src"), ((k * 3 + 1) % 2000).alias("dst")).union(part.select(k, (k * 7 + 2) % 2000)).distinct()
-    return graphs.reach(edges, spark.range(1).select(F.col("id").alias("node")), 6).select("node", "depth")
+    n = part.count()
+    k = F.col("p_partkey")
+    edges = part.select((k % n).alias("src"), ((k * 3 + 1) % n).alias("dst")).union(part.select(k % n, (k * 7 + 2) % n)).distinct()
+    return graphs.reach(edges, spark.range(1).select(F.col("id").alias("node"))).select("node", "depth")
 
 
 @register("mark_removed_by_url", "SELECT page_id, coalesce(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) IN (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) FROM pages WHERE page_id % 9 = 0), false) AS removed FROM pages")
@@ -158,8 +159,8 @@ def distinct_points_in_order(spark: SparkSession, d: str) -> DataFrame:
 @register("offers_first_order", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal <= 0, s_nationkey, s_suppkey) AS pos FROM supplier")
 def offers_first_order(spark: SparkSession, d: str) -> DataFrame:
     """Offers first, then by bank."""
-    w = W.orderBy(F.col("s_acctbal") <= 0, "s_nationkey", "s_suppkey")
-    return table(spark, d, "supplier").select("s_suppkey", F.row_number().over(w).cast("long").alias("pos"))
+    own = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
+    return ordering.placed(own, [F.col("s_acctbal") <= 0, F.col("s_nationkey"), F.col("s_suppkey")]).select("s_suppkey", "pos")
 
 
 @register("remap_ids_in_arrays", "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_transform(list(l_suppkey), lambda x: CASE WHEN x = 7 THEN 3 ELSE x END))), ',') AS ids FROM lineitem GROUP BY l_orderkey")
@@ -176,15 +177,24 @@ def family_limits(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("p_type").agg(F.count_distinct("l_suppkey").alias("banks"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.min("l_extendedprice").alias("cheapest"))
 
 
-@register("card_installment_plan")
+_FULL = "CAST(1.05057 AS DOUBLE)"
+
+
+@register(
+    "card_installment_plan",
+    f"""WITH RECURSIVE o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(date_trunc('month', o_orderdate) AS DATE) + 16 AS day FROM orders),
+    p AS (SELECT o_orderkey, amount, day, (SELECT sum(round(1 / pow({_FULL}, date_diff('day', day, CAST(day + k * INTERVAL 1 MONTH AS DATE)) / 30), 6)) FROM (SELECT unnest([1, 2, 3, 4, 5, 6]) AS k)) AS f FROM o),
+    q AS (SELECT o_orderkey, day, amount, CAST(round(CAST(amount AS DOUBLE) / f, 2) AS DECIMAL(18,2)) AS pay FROM p),
+    w AS (SELECT o_orderkey, day, k, CAST(round(pow(CAST(1.0389 AS DOUBLE), date_diff('day', CAST(day + (k - 1) * INTERVAL 1 MONTH AS DATE), CAST(day + k * INTERVAL 1 MONTH AS DATE)) / 30), 4) - 1 AS DECIMAL(8,4)) AS m FROM q, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS k)),
+    s AS (SELECT q.o_orderkey, pay, 1 AS n, amount AS before, CAST(round(amount * m, 2) AS DECIMAL(18,2)) AS profit FROM q JOIN w ON w.o_orderkey = q.o_orderkey AND k = 1
+      UNION ALL SELECT o_orderkey, pay, k, left_, CAST(round(left_ * m, 2) AS DECIMAL(18,2)) FROM (SELECT s.o_orderkey, pay, k, m, CAST(before - (pay - profit - 2 * round(profit * 0.15, 2)) AS DECIMAL(18,2)) AS left_ FROM s JOIN w ON w.o_orderkey = s.o_orderkey AND k = n + 1))
+    SELECT o_orderkey, n, CAST(CASE WHEN n = 6 THEN before + profit + 2 * round(profit * 0.15, 2) ELSE pay END AS DOUBLE) AS payment, CAST(profit AS DOUBLE) AS profit, CAST(2 * round(profit * 0.15, 2) AS DOUBLE) AS taxes,
+      CAST(CASE WHEN n = 6 THEN before ELSE pay - profit - 2 * round(profit * 0.15, 2) END AS DOUBLE) AS principal FROM s""",
+)
 def card_installment_plan(spark: SparkSession, d: str) -> DataFrame:
-    """A plan anchored on due dates: each payment is discounted by (1 + rate) ^ (days / 30); the level instalment brings the discounted sum to
-    the amount, and the last one takes the rounding."""
-    day = F.to_date("o_orderdate")
+    """A plan on the statement days after a purchase on one: six payments, the level one priced at the taxed rate by days, the last one made of what remains."""
+    day = F.date_add(F.trunc("o_orderdate", "month"), 16)
     dates = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.add_months(day, k))
-    factors = F.transform(dates, lambda x: F.round(1 / F.pow(F.lit(1.0389), F.datediff(x, day) / 30), 6))
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", dates.alias("dates"), factors.alias("f"))
-    o = o.withColumn("pay", F.round(F.col("o_totalprice") / F.aggregate("f", F.lit(0.0), lambda a, x: a + x), 2))
-    rows = o.select("o_orderkey", "o_totalprice", "pay", "f", F.posexplode("dates").alias("n", "due"))
-    last = F.round((F.col("o_totalprice") - F.col("pay") * (F.aggregate("f", F.lit(0.0), lambda a, x: a + x) - F.element_at("f", 6))) / F.element_at("f", 6), 2)
-    return rows.select("o_orderkey", (F.col("n") + 1).alias("n"), "due", F.when(F.col("n") == 5, last).otherwise(F.col("pay")).alias("payment"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), dates.alias("dates"), day.alias("day"))
+    rows = o.select("o_orderkey", F.inline(finance.dated_schedule(F.col("amount"), F.col("dates"), F.col("day"), 0.0389, 0.15, 0.15)))
+    return rows.select("o_orderkey", "n", *[F.col(c).cast("double").alias(c) for c in ("payment", "profit", "taxes", "principal")])

@@ -63,8 +63,9 @@ def test_values(one, f, s, want):
 
 
 @pytest.mark.parametrize(("s", "start", "end", "rule"), [
-    ("**Kampanya Tarihleri**6.08.2026 - 31.12.2026", "2026-08-06", "2026-12-31", "range"), ("1 Nisan – 31 Aralık 2026", "2026-04-01", "2026-12-31", "shared year"),
-    ("31 Aralık 2026 tarihine kadar", None, "2026-12-31", "long date"), ("5 Mayıs 2026 ve 1 Ocak 2026", "2026-01-01", "2026-05-05", "two dates"), ("31.02.2026", None, None, "none"), ("son gün 3.4.2026", None, "2026-04-03", "numeric date"),
+    ("**Kampanya Tarihleri**6.08.2026 - 31.12.2026", "2026-08-06", "2026-12-31", "label"), ("1.2.2026 — 3.4.2026 arası", "2026-02-01", "2026-04-03", "range"), ("3.4.2026 - 1.2.2026", None, None, ""), ("1 Nisan – 31 Aralık 2026", "2026-04-01", "2026-12-31", "prose"),
+    ("31 Aralık 2026 tarihine kadar", None, "2026-12-31", "prose"), ("31.12.2026 tarihine kadar geçerlidir", None, "2026-12-31", "prose"), ("5 Mayıs 2026 ve 1 OCAK 2026, sonra 1 Subat 2027", "2026-01-01", "2026-05-05", "prose"),
+    ("5 mayis 2026, yine 5 Mayıs 2026", None, "2026-05-05", "prose"), ("31.02.2026", None, None, ""), ("son gün 3.4.2026", None, None, ""), ("1 Ekim 1999", None, "1999-10-01", "prose"), ("", None, None, ""),
 ])
 def test_validity(one, s, start, end, rule):
     got = one(values.validity, s)

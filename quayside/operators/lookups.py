@@ -7,13 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def nearest(value: Column, bands: list[int], tolerance: float = 0.15) -> Column:
+    """The nearest of a short list of bands, the smaller of two as near; past the last band the last; null beyond the tolerance."""
+    near = F.array_min(F.transform(F.array(*[F.lit(b) for b in sorted(bands)]), lambda b: F.struct(F.abs(b - value).alias("off"), b.alias("band"))))
+    return F.when((value >= max(bands)) | (near["off"] <= tolerance * value), near["band"])
+
+
 def nearest_band(df: DataFrame, value: str, bands: list[int], tolerance: float = 0.15) -> DataFrame:
-    """The nearest of a short list of bands, the smaller of two as near; past the last band the last; null beyond the
-    tolerance. The list is part of the expression, so there is no join."""
-    options = F.array(*[F.lit(b) for b in sorted(bands)])
-    near = F.array_min(F.transform(options, lambda b: F.struct(F.abs(b - F.col(value)).alias("off"), b.alias("band"))))
-    fits = (F.col(value) >= max(bands)) | (near["off"] <= tolerance * F.col(value))
-    return df.withColumn("band", F.when(fits, near["band"]))
+    """Adds band. The list is part of the expression, so there is no join."""
+    return df.withColumn("band", nearest(F.col(value), bands, tolerance))
 
 
 def containing_band(df: DataFrame, value: str, bands: DataFrame, low: str, high: str, order: str, cell: float = 10) -> DataFrame:

@@ -89,7 +89,7 @@ def sitemap_locations(xml: Column) -> Column:
 def robots_rules(text: Column) -> Column:
     """Disallowed prefixes of the group for all agents."""
     group = F.regexp_extract(text, "(?is)user-agent:\\s*\\*\\s*\\n(.*?)(?:\\n\\s*user-agent:|$)", 1)
-    return F.filter(F.regexp_extract_all(group, F.lit("(?im)^\\s*disallow:\\s*(\\S*)"), F.lit(1)), lambda p: p != "")
+    return F.filter(F.regexp_extract_all(group, F.lit("(?im)^[ \\t]*disallow:[ \\t]*(\\S*)"), F.lit(1)), lambda p: p != "")
 
 
 def html_options(page: Column, name: str) -> Column:

@@ -13,6 +13,8 @@ _sql: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if name in _queries:
+            raise ValueError(f"two queries are called {name}")
         _queries[name] = f
         if sql is not None:
             _sql[name] = sql
@@ -25,13 +27,20 @@ def literal(v) -> str:
     return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else repr(v)
 
 
+KINDS = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def values(schema: str, rows: list[tuple]) -> str:
+    """Stated rows as a subquery."""
+    columns = [c.strip().split(" ") for c in schema.split(",")]
+    typed = ", ".join(f"CAST({n} AS {KINDS[k]}) AS {n}" for n, k in columns)
+    return f"(SELECT {typed} FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS t({', '.join(n for n, _ in columns)}))"
+
+
 def rule(name: str, doc: str, schema: str, rows: list[tuple], made: dict[str, Callable[[], Column]], sql: dict[str, str]) -> None:
     """A rule over a small table of stated cases: its columns and those that `made` adds, with the SQL of each."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    kinds = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
-    typed = ", ".join(f"CAST({c.strip().split(' ')[0]} AS {kinds[c.strip().split(' ')[1]]}) AS {c.strip().split(' ')[0]}" for c in schema.split(","))
-    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
-    text = f"WITH v AS (SELECT {typed} FROM (VALUES {values}) AS t({', '.join(names)})) SELECT {', '.join([*names, *[f'{e} AS {k}' for k, e in sql.items()]])} FROM v"
+    text = f"WITH v AS {values(schema, rows)} SELECT {', '.join([*names, *[f'{e} AS {k}' for k, e in sql.items()]])} FROM v"
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         return spark.createDataFrame(rows, schema).select(*names, *[f().alias(k) for k, f in made.items()])

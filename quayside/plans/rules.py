@@ -168,8 +168,8 @@ rule("without_pictographs", "Text without pictographs, spaces in order.", "text
 
 PRICES = [(t,) for t in ("6.684,28 TL", "18.114,26", "% 36.731684", "%3,75", "1,234.50", "-5,5", "bedava", "", None, "1.000", "0,99 %")]
 TR = "coalesce(TRY_CAST(replace(replace(regexp_replace(text, '[^0-9,.-]', '', 'g'), '.', ''), ',', '.') AS DOUBLE), 0)"
-rule("money_text", "Points between thousands, a decimal comma; nothing readable is 0.", "text string", PRICES, {"value": lambda: V.money(C("text"))}, {"value": TR})
-rule("rate_text", "With a comma points part thousands, without one the point is decimal.", "text string", PRICES, {"value": lambda: V.rate(C("text"))}, {"value": f"CASE WHEN contains(text, ',') THEN {TR} ELSE coalesce(TRY_CAST(regexp_replace(text, '[^0-9,.-]', '', 'g') AS DOUBLE), 0) END"})
+rule("money_read", "Points between thousands, a decimal comma; nothing readable is 0.", "text string", PRICES, {"value": lambda: V.money(C("text"))}, {"value": TR})
+rule("rate_read", "With a comma points part thousands, without one the point is decimal.", "text string", PRICES, {"value": lambda: V.rate(C("text"))}, {"value": f"CASE WHEN contains(text, ',') THEN {TR} ELSE coalesce(TRY_CAST(regexp_replace(text, '[^0-9,.-]', '', 'g') AS DOUBLE), 0) END"})
 rule("money_english", "A point is decimal, commas part thousands.", "text string", PRICES, {"value": lambda: V.money_en(C("text"))}, {"value": "coalesce(TRY_CAST(regexp_replace(text, '[^0-9.-]', '', 'g') AS DOUBLE), 0)"})
 CODES = [(c,) for c in ("TL", "trl", " usd ", "ALT (gr)", "GUM", "EURO", "Dolar", "XPT", "")]
 code_sql = "coalesce(" + "CASE upper(trim(code)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.CURRENCIES.items()) + " END, upper(trim(code)))"

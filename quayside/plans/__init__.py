@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers them all."""
 
-from . import addresses, documents, lookup_cases, offers, payloads, rules, search, state, streams, upkeep  # noqa: F401
+from . import addresses, documents, file_cases, lookup_cases, offers, payloads, rules, search, state, streams, upkeep, view_cases  # noqa: F401

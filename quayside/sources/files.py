@@ -63,9 +63,9 @@ def front_matter(text: Column) -> tuple[Column, Column]:
     pattern = "(?s)^---[ ]*\\r?\\n(.*?)\\r?\\n---[ ]*(?:\\r?\\n|$)(.*)$"
     has = text.rlike(pattern)
     head = F.filter(F.split(F.regexp_extract(text, pattern, 1), "\\r?\\n"), lambda s: s.contains(":"))
-    pair = lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)).alias("k"), F.regexp_replace(F.trim(F.substring(s, F.length(F.substring_index(s, ":", 1)) + 2, F.lit(100_000))), '^["\']|["\']$', "").alias("v"))
+    pair = lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)).alias("k"), F.regexp_replace(F.trim(F.substring(s, F.length(F.substring_index(s, ":", 1)) + 2, F.length(s))), '^["\']|["\']$', "").alias("v"))
     entries = F.transform(head, pair)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.lit(1_000)), lambda o: o["k"] == e["k"]))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
     return F.when(has, F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>")), F.when(has, F.regexp_extract(text, pattern, 2)).otherwise(text)
 
 
@@ -119,8 +119,10 @@ def write_records(df: DataFrame, path: str, key: str) -> None:
 
 
 def write_sheet(df: DataFrame, path: str) -> None:
-    """CSV as spreadsheets of this locale read it: semicolons, CRLF, blank for null."""
-    df.write.mode("overwrite").option("sep", ";").option("lineSep", "\r\n").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """CSV as spreadsheets of this locale read it: semicolons, CRLF, blank for null, a byte order mark before the header."""
+    names = df.columns
+    marked = df.select(*[F.col(c).alias(("\ufeff" if k == 0 else "") + c) for k, c in enumerate(names)])
+    marked.write.mode("overwrite").option("sep", ";").option("lineSep", "\r\n").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def put_blobs(old: DataFrame, new: DataFrame) -> DataFrame:

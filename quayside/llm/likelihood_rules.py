@@ -4,12 +4,11 @@ Words and pairs of neighbouring words are hashed into `n_buckets` buckets, a fix
 alone and not on how large the corpus is. Two multinomials over the buckets, of the trusted documents and of the whole raw corpus, give each bucket
 the weight log(p_trusted / p_raw). Both are smoothed by `PRIOR` occurrences that follow the raw share of trusted text, so a
 bucket seen a few times weighs little. A document's score is the mean weight of its words and pairs; at `threshold` or above it is kept, unless a base rule
-fails. Every word and pair of every document is counted; a task sums its own by bucket before the shuffle. The weights have a proven size, one row a bucket at most, so they are broadcast; the
-words and pairs are scored where they are read and sums go back to the rows by a 64-bit hash of the text, equal texts having equal scores.
+fails. Every word and pair of every document is counted; a task sums its own by bucket before the shuffle. The weights have a proven size, four bytes a bucket, so they go to all tasks as one array.
 
 Cases: null and empty texts have no words and fail the base rules; without trusted documents all weights are the
 same and every document's score is 0; labels of absent documents are ignored, a document with several
-labels is trusted if one of them is good; scores are rounded to nine places, so that the order of sums doesn't matter, and one equal to the threshold is kept; rows repeat in the result as in the input, and each counts in the raw corpus;
+labels is trusted if one of them is good; scores are rounded to six places, so that the order of sums doesn't matter, and one equal to the threshold is kept; rows repeat in the result as in the input, and each counts in the raw corpus;
 a very long text is one row of its task, and needs memory for its words' hashes; an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,6 +26,8 @@ MAX_REPEAT_PERCENT = 30
 THRESHOLD = -0.2
 PRIOR = 16
 N_BUCKETS = 1 << 20
+#: Weights are gathered in arrays of so many buckets.
+CELLS = 1 << 16
 #: Up to so many trusted ids, 8 bytes each, are sent to all tasks; beyond, texts and ids meet by a shuffle.
 SENT_IDS = 1 << 20
 SPACES = " \t\n\x0b\f\r"
@@ -85,32 +86,41 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKET
     return stored(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")), docs.sparkSession, "bucket-counts")
 
 
-def bucket_weights(counts: DataFrame) -> DataFrame:
-    """bucket and w, for each bucket that occurs."""
+def bucket_weights(counts: DataFrame, n_buckets: int = N_BUCKETS) -> DataFrame:
+    """One row, w: the weights of all buckets in order, as 32-bit floats. They are gathered in arrays of CELLS buckets first."""
     raw, good = (x or 0 for x in counts.agg(F.sum("raw"), F.sum("good")).first())
     share = good / raw if raw else 0.0
     weight = F.log((F.col("good") + PRIOR * share) / (F.col("raw") + PRIOR)) - math.log(share) if share else F.lit(0.0)
-    return counts.select("bucket", weight.alias("w"))
+    own = counts.select("bucket", weight.alias("w"))
+    every = counts.sparkSession.range(n_buckets).withColumnRenamed("id", "bucket").join(own, "bucket", "left").select("bucket", F.coalesce("w", F.lit(0.0)).cast("float").alias("w"))
+    ordered = lambda key: F.transform(F.array_sort(F.collect_list(F.struct(key, "w"))), lambda x: x["w"])
+    cells = every.groupBy(F.floor(F.col("bucket") / CELLS).alias("cell")).agg(ordered("bucket").alias("w"))
+    return stored(cells.agg(F.flatten(ordered("cell")).alias("w")), counts.sparkSession, "bucket-weights")
 
 
 def score(docs: DataFrame, weights: DataFrame, n_buckets: int = N_BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, the counts, base_failed, score (null without words) and kept. weights has at most n_buckets rows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    each = rows.select(key.alias("_key"), F.explode(bucketed(word_array(F.col("text")), n_buckets)).alias("bucket"))
-    means = each.join(F.broadcast(weights), "bucket", "left").groupBy("_key").agg(F.round(F.avg(F.coalesce("w", F.lit(0.0))), 9).alias("score"))
+    """Per row: doc_id, the counts, base_failed, score (null without words) and kept. weights: as bucket_weights gives them.
 
-    def over(words: Column) -> Column:
-        pairs = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: paired(h, 1))
-        return F.struct(F.size(words).cast("long").alias("n"), repeated_words(pairs).alias("repeat"))
+    A text is read once: its words' and pairs' buckets become rows, which meet the array of weights, and are summed by doc_id and a hash of the
+    text before anything moves. Rows equal in both come out as often as they went in."""
+    table = weights.scalar()
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    parts = rows.select("doc_id", key.alias("_key"), *[c.alias(k) for k, c in text_counts(F.col("text")).items()], let(word_array(F.col("text")), over).alias("_x"))
-    made = parts.join(means.hint("merge"), "_key", "left").select("doc_id", F.col("_x.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_x.repeat").alias("n_repeat_words"), "score")
+    def over(words: Column) -> Column:
+        both = lambda h, p: F.struct(F.size(words).cast("long").alias("n"), repeated_words(p).alias("repeat"), F.transform(F.concat(h, p), lambda x: F.pmod(x, F.lit(n_buckets)).cast("int")).alias("buckets"))
+        return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(paired(h, 1), lambda p: both(h, p)))
+
+    text = F.col("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_key"), *[c.alias(k) for k, c in text_counts(text).items()], let(word_array(text), over).alias("_x"))
+    rows = rows.select("doc_id", "_key", F.col("_x.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_x.repeat").alias("n_repeat_words"), F.posexplode_outer("_x.buckets").alias("_pos", "_bucket"))
+    each = rows.select("doc_id", "_key", *counts, F.coalesce("_pos", F.lit(0)).alias("_pos"), F.get(table, F.col("_bucket")).cast("double").alias("_w"))
+    made = each.groupBy("doc_id", "_key").agg(*[F.max(c).alias(c) for c in counts], F.round(F.avg("_w"), 6).alias("score"), F.count_if(F.col("_pos") == 0).alias("_times"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return made.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    made = made.select("doc_id", *counts, "score", failed.alias("base_failed"), (~failed & F.coalesce(F.col("score") >= threshold, F.lit(False))).alias("kept"), F.explode(F.expr("sequence(1, cast(_times AS int))")).alias("_n"))
+    return made.drop("_n")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int = N_BUCKETS) -> DataFrame:
     """Trusted: documents labelled as good."""
-    weights = bucket_weights(bucket_counts(docs, labels.filter("quality = 1"), n_buckets))
+    weights = bucket_weights(bucket_counts(docs, labels.filter("quality = 1"), n_buckets), n_buckets)
     return score(docs, weights, n_buckets, threshold)

@@ -238,7 +238,10 @@ def conversation_feedback_join(spark: SparkSession, d: str) -> DataFrame:
     return q.join(a, ["conv_id", "turn"]).orderBy(F.col("conv_id").desc(), F.col("turn").desc()).limit(20)
 
 
-@register("greedy_token_groups")
+@register(
+    "greedy_token_groups",
+    f"WITH g AS (SELECT conv_id, list(text ORDER BY turn) AS m FROM conversations GROUP BY 1), p AS (SELECT conv_id, {_fold_sql('m', 600, chr(10))} AS p FROM g) SELECT conv_id, generate_subscripts(p, 1) - 1 AS pos, length(unnest(p)) AS n_chars FROM p",
+)
 def greedy_token_groups(spark: SparkSession, d: str) -> DataFrame:
     """Messages of a conversation grouped in order under a budget of 600 characters; none is cut, a longer one stands alone."""
     msgs = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"])
@@ -258,13 +261,14 @@ def header_passage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(F.filter(parts, lambda x: x != ""), " — ").alias("header"))
 
 
-@register("uuid5_point_ids")
+@register("uuid5_point_ids", """WITH h AS (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)
+    SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""")
 def uuid5_point_ids(spark: SparkSession, d: str) -> DataFrame:
     """Version 5 UUIDs in the URL namespace, from expressions only."""
     return table(spark, d, "pages").select("page_id", X.uuid5("6ba7b8119dad11d180b400c04fd430c8", F.col("url")).alias("point_id"))
 
 
-@register("sentence_split")
+@register("sentence_split", "WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')) AS s FROM documents) SELECT doc_id, count(*) AS n_sentences, max(length(s)) AS longest FROM s GROUP BY doc_id")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
     return own.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("sentence")).alias("longest"))

@@ -6,11 +6,13 @@ gives each line's probability of being good, and the mean of these, weighted by
 quality. A document's label counts for all of its lines while learning.
 
 Learning uses a bounded sample of the labelled rows: `max_docs` (documented parameter), those with the
-least hash of doc_id among the rows that may be learned from. Scoring reads every whole text.
+least hash of doc_id among the rows that may be learned from, without texts of more than `MAX_LINES` lines (documented parameter), so what comes to
+the driver is at most max_docs * MAX_LINES rows of features. A learned text's lines all bear its label, so the table of neighbouring states learns how firmly
+states hold together, not where they turn. Scoring reads every whole text.
 
 Cases: null and empty texts are one empty line and get a score; a null doc_id is scored, is never learned from and never
 held out; labels with a null quality or without a document are ignored, of several labels of one document the lowest
-counts; with no label, or labels of one kind only, all scores are the share of good labels (0.5 without any); rows
+counts; of equal scores none comes first, for each row has its own verdict; a very long text is scored whole, with memory in proportion to its lines and words; with no label, or labels of one kind only, all scores are the share of good labels (0.5 without any); rows
 repeat in the result as in the input; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
@@ -28,6 +30,7 @@ from ._bytes import mix, slices, text_bytes, window_hashes, word_hashes, words
 from ._shared import release
 
 MAX_DOCS = 6000
+MAX_LINES = 256
 SLICE = 1 << 19
 THRESHOLD = 0.7
 CLASSES = {
@@ -216,6 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("label").slice(i, j - i), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "label", "x", "length"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    texts = texts.filter(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)) <= MAX_LINES)
     got = texts.mapInArrow(features, "doc_id long, label int, x binary, length binary").toArrow().to_pydict()
     rows = sorted(zip(got["doc_id"], got["x"], got["length"], got["label"], strict=True))[:max_docs]
     width = line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0].shape[1]

@@ -51,4 +51,20 @@ SELECT page_id, url, strlen(html) AS payload_bytes,
   array_to_string(list_transform(generate_series(0, 31), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, (j // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (j % 4))) & 31) + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM q"""
 
-ORACLES = {"op1_minhash_forest": JACCARD, "op3_decontamination": CONTAMINATION, "op5_substring_dedup": REPEATED_BYTES, "op7_warc_packages": WARC, "op9_recompression_dedup": REPEATED_WORDS}
+TEMPLATES = """WITH d AS MATERIALIZED (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+t AS MATERIALIZED (SELECT doc_id, pos, line, list_transform(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN chr(1) ELSE x END) AS w FROM l),
+u AS MATERIALIZED (SELECT doc_id, pos, w, len(w) AS n FROM t WHERE len(w) > 0),
+lead AS (SELECT doc_id, n, unnest([1, 2, 3]) AS place, unnest(w[1:3] || list_transform(generate_series(1, greatest(3 - n, 0)), lambda k: NULL)) AS token FROM u),
+known AS MATERIALIZED (SELECT n, place, token FROM lead WHERE token IS NOT NULL AND token <> chr(1) GROUP BY 1, 2, 3 HAVING count(DISTINCT doc_id) >= 10),
+leaf AS MATERIALIZED (SELECT u.doc_id, u.pos, u.w, u.n, concat_ws(chr(2), u.n, CASE WHEN a.token IS NULL THEN chr(1) ELSE w[1] END, CASE WHEN u.n < 2 THEN '' WHEN b.token IS NULL THEN chr(1) ELSE w[2] END, CASE WHEN u.n < 3 THEN '' WHEN c.token IS NULL THEN chr(1) ELSE w[3] END) AS leaf
+  FROM u LEFT JOIN known a ON a.n = u.n AND a.place = 1 AND a.token = w[1] LEFT JOIN known b ON b.n = u.n AND b.place = 2 AND b.token = w[2] LEFT JOIN known c ON c.n = u.n AND c.place = 3 AND c.token = w[3]),
+big AS (SELECT leaf FROM leaf GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10), k AS MATERIALIZED (SELECT * FROM leaf WHERE leaf IN (SELECT leaf FROM big)),
+tok AS MATERIALIZED (SELECT doc_id, pos, leaf, n, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM k),
+const AS MATERIALIZED (SELECT leaf, place, token FROM tok WHERE token <> chr(1) GROUP BY 1, 2, 3 HAVING count(DISTINCT doc_id) >= 10),
+made AS MATERIALIZED (SELECT doc_id, pos, t.leaf AS leaf, string_agg(coalesce(c.token, chr(1)), chr(2) ORDER BY t.place) AS template, count(c.token) AS fixed, any_value(n) AS n FROM tok t LEFT JOIN const c ON c.leaf = t.leaf AND c.place = t.place AND c.token = t.token GROUP BY doc_id, pos, t.leaf),
+bad AS (SELECT leaf, template FROM made WHERE fixed >= 0.5 * n GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 10), gone AS (SELECT doc_id, pos FROM made WHERE fixed >= 0.5 * n AND (leaf, template) IN (SELECT leaf, template FROM bad)),
+r AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS kept FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_dropped, length(kept) AS n_chars_kept, sha256(kept) AS kept_sha256 FROM r"""
+
+ORACLES = {"op10_line_templates": TEMPLATES, "op1_minhash_forest": JACCARD, "op3_decontamination": CONTAMINATION, "op5_substring_dedup": REPEATED_BYTES, "op7_warc_packages": WARC, "op9_recompression_dedup": REPEATED_WORDS}

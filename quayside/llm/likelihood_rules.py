@@ -40,7 +40,8 @@ def let(value: Column, body) -> Column:
 
 
 def word_array(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    bare = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
 
 
 def text_counts(text: Column) -> dict[str, Column]:
@@ -70,10 +71,9 @@ def repeated_words(pairs: Column) -> Column:
     return let(let(pairs, lambda p: let(paired(p, 2), lambda q: paired(q, 4))), over)
 
 
-def bucketed(words: Column, n_buckets: int) -> Column:
-    """Bucket numbers of all words and pairs."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return let(hashes, lambda h: F.transform(F.concat(h, paired(h, 1)), lambda x: F.pmod(x, F.lit(n_buckets))))
+def gram_hashes(words: Column) -> Column:
+    """Hashes of all words and pairs."""
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.concat(h, paired(h, 1)))
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS, sent_ids: int = SENT_IDS) -> DataFrame:
@@ -82,8 +82,8 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKET
     good = trusted.select(F.col("doc_id").cast("long").alias("_good")).dropna().distinct()
     good = F.broadcast(good) if good.count() <= sent_ids else good.hint("merge")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, F.col("doc_id") == F.col("_good"), "left")
-    each = rows.select(F.col("_good").isNotNull().cast("long").alias("good"), F.explode(bucketed(word_array(F.col("text")), n_buckets)).alias("bucket"))
-    return stored(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")), docs.sparkSession, "bucket-counts")
+    each = rows.select(F.col("_good").isNotNull().cast("long").alias("good"), F.explode(gram_hashes(word_array(F.col("text")))).alias("hash"))
+    return stored(each.groupBy(F.pmod("hash", F.lit(n_buckets)).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("good").alias("good")), docs.sparkSession, "bucket-counts")
 
 
 def bucket_weights(counts: DataFrame, n_buckets: int = N_BUCKETS) -> DataFrame:
@@ -107,13 +107,13 @@ def score(docs: DataFrame, weights: DataFrame, n_buckets: int = N_BUCKETS, thres
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def over(words: Column) -> Column:
-        both = lambda h, p: F.struct(F.size(words).cast("long").alias("n"), repeated_words(p).alias("repeat"), F.transform(F.concat(h, p), lambda x: F.pmod(x, F.lit(n_buckets)).cast("int")).alias("buckets"))
+        both = lambda h, p: F.struct(F.size(words).cast("long").alias("n"), repeated_words(p).alias("repeat"), F.concat(h, p).alias("hashes"))
         return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(paired(h, 1), lambda p: both(h, p)))
 
     text = F.col("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_key"), *[c.alias(k) for k, c in text_counts(text).items()], let(word_array(text), over).alias("_x"))
-    rows = rows.select("doc_id", "_key", F.col("_x.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_x.repeat").alias("n_repeat_words"), F.posexplode_outer("_x.buckets").alias("_pos", "_bucket"))
-    each = rows.select("doc_id", "_key", *counts, F.coalesce("_pos", F.lit(0)).alias("_pos"), F.get(table, F.col("_bucket")).cast("double").alias("_w"))
+    rows = rows.select("doc_id", "_key", F.col("_x.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_x.repeat").alias("n_repeat_words"), F.posexplode_outer("_x.hashes").alias("_pos", "_hash"))
+    each = rows.select("doc_id", "_key", *counts, F.coalesce("_pos", F.lit(0)).alias("_pos"), F.get(table, F.pmod("_hash", F.lit(n_buckets)).cast("int")).cast("double").alias("_w"))
     made = each.groupBy("doc_id", "_key").agg(*[F.max(c).alias(c) for c in counts], F.round(F.avg("_w"), 6).alias("score"), F.count_if(F.col("_pos") == 0).alias("_times"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     made = made.select("doc_id", *counts, "score", failed.alias("base_failed"), (~failed & F.coalesce(F.col("score") >= threshold, F.lit(False))).alias("kept"), F.explode(F.expr("sequence(1, cast(_times AS int))")).alias("_n"))

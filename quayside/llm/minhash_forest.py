@@ -1,7 +1,8 @@
 """N-gram Jaccard join with a MinHash LSH forest.
 
 Texts with the same words are one class. A class's set of word n-grams gives a signature of trees x depth least hashes, and
-each tree orders the classes by its part of the signature: classes that share a prefix lie in one branch. The
+each tree is a prefix trie of its part of the signatures: classes that share a prefix lie in one branch. Branches are found by grouping on the prefix, which
+gives the runs that sorting the signatures would give, without a total order. The
 matched prefixes start at the full depth and are shortened until pairs at the threshold are found with the
 target recall; after verification the recall is estimated from the pairs found, each counted by the inverse of its
 chance of being found, and prefixes are shortened further if it falls short. A pair is judged in the first tree only in which its classes share a
@@ -11,6 +12,8 @@ Large branches are dealt into blocks, and every pair of blocks is a task of its
 so a branch that holds a third of the corpus neither meets in one task nor writes out its pairs. Groups are
 the connected components of the links, found by alternating large-star and small-star rounds.
 
+A very long text is read whole by the task that has it, with memory in proportion to its words.
+
 Cases: words are split at ASCII white space and taken unchanged; a text of fewer words than n is one n-gram; null and empty texts have no n-gram and no
 link, each is its own group; rows with a null doc_id take part, and ids in the result are the least non-null ones of a
 group or class (null if there are none); equal rows are copies of each other; an empty table gives no rows; other columns
@@ -19,6 +22,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +41,8 @@ RECALL = 0.999
 BLOCK = 512
 SLICE = 1 << 18
 SALTS = 8
-#: Pairs whose signatures agree in less than the threshold minus this are not verified: over five standard deviations.
+#: Pairs whose signatures agree in less than the threshold minus this are not verified: over five standard deviations. The chance of losing a pair so is part
+#: of the estimate of recall.
 MARGIN = 0.25
 _random = np.random.Generator(np.random.PCG64(11))
 _FACTORS = _random.integers(1, 1 << 63, TREES * DEPTH * 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,6 +120,15 @@ def recall_at(similarity: float, trees: int, depth: int) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
+def passing(similarity: np.ndarray, size: int, agree: float) -> np.ndarray:
+    """The chance that signatures of so many values agree in a share of at least `agree` of them."""
+    n = np.arange(size + 1)
+    ways = np.array([math.comb(size, int(k)) for k in n], np.float64)
+    q = np.clip(similarity, 1e-12, 1 - 1e-12)[:, None]
+    each = ways * q**n * (1 - q) ** (size - n)
+    return each[:, n >= agree * size].sum(1)
+
+
 def branches(nodes: DataFrame, trees: int, depth: int, full: int) -> DataFrame:
     """Nodes in branches of two and more: branch, tree, the blocks a <= b of the task, own (the node's block), node."""
     prefix = lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.substring(F.col("sig"), t * (4 * full) + 1, F.lit(4 * depth))).alias("branch"))
@@ -224,7 +238,7 @@ def verified(rows: DataFrame, n: int, threshold: float, trees: int, depth: int,
                 weight, node = cols["copies"][i:j], cols["node"][i:j]
                 x, y = pairs.T
                 links = np.bincount(x, weight[y], j - i) + np.bincount(y, weight[x], j - i)
-                chance = 1 / np.maximum(1e-9, recall_at(score, trees, depth))
+                chance = 1 / np.maximum(1e-9, recall_at(score, trees, depth) * passing(score, trees * full, agree))
                 found, expected = np.bincount(x, minlength=j - i), np.bincount(x, chance, j - i)
                 has = np.flatnonzero(links > 0)
                 out.append([node[has], node[root[has]], links[has].astype(np.int64), found[has], expected[has]])

@@ -11,7 +11,7 @@ tokens and templates are summed in each batch before they are shuffled, so a lin
 documents hold costs one entry a batch.
 
 Cases: null text has one empty line, as the empty text; lines of fewer than `min_tokens` tokens are kept (the query looks at all);
-equal lines of one document count once for it, and all are dropped or kept together; repeated rows count as documents;
+equal lines of one document count once for it, and all are dropped or kept together; repeated rows count as documents; a very long text is a batch of its own and needs memory in proportion to its tokens;
 an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
@@ -103,36 +103,38 @@ def template_keys(leaf: np.ndarray, count: np.ndarray, keys: np.ndarray, constan
 
 
 def _steps(depth: int, min_docs: int, min_tokens: int, share: float):
-    def leading(t: Texts):
-        counts, leads, docs = [], [], []
+    def leads(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token counts of used lines, the codes of their leading tokens, and their texts."""
+        counts, codes, docs = [], [], []
         for i, j in slices(t.at, SLICE):
             x = Lines(t, i, j, min_tokens)
             n = x.count[x.used]
             line, place = spread(np.minimum(n, depth))
             lead = np.zeros((len(n), depth), np.uint64)
             lead[line, place] = x.codes(x.used[line], place)
-            counts.append(n.astype(np.int32))
-            leads.append(lead)
-            docs.append(x.doc[x.used].astype(np.int32))
-        count, doc = _joined(counts, np.int32), _joined(docs, np.int32)
-        lead = np.concatenate(leads) if leads else np.zeros((0, depth), np.uint64)
-        t.save(count=count, lead=lead, doc=doc)
+            counts.append(n)
+            codes.append(lead)
+            docs.append(x.doc[x.used])
+        return _joined(counts, np.int64), np.concatenate(codes) if codes else np.zeros((0, depth), np.uint64), _joined(docs, np.int64)
+
+    def leading(t: Texts):
+        count, lead, doc = leads(t)
         keys, line, _ = leading_keys(count, lead)
         keys, n = counted_once_a_document(keys, doc[line])
         return keys, [n]
 
     def leaves(t: Texts):
-        s = t.saved(0)
-        keys, line, place = leading_keys(s["count"], s["lead"])
+        count, lead, doc = leads(t)
+        keys, line, place = leading_keys(count, lead)
         lost = ~(_yes(keys, t.bits(0)) & (keys != 0))
-        lead = s["lead"]
         lead[line[lost], place[lost]] = VARIABLE  # the leaf's wildcard child
-        leaf = leaf_keys(s["count"], lead)
+        leaf = leaf_keys(count, lead)
         t.save(leaf=leaf)
-        keys, n = counted_once_a_document(leaf, s["doc"])
+        keys, n = counted_once_a_document(leaf, doc)
         return keys, [n]
 
-    def tokens(t: Texts):
+    def in_leaves(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lines in leaves that count: (leaf, place, token) keys of all tokens, token counts, texts, numbers among the batch's lines, and leaves."""
         leaf = t.saved(1)["leaf"]
         keep = _yes(leaf, t.bits(1))
         keys, counts, docs, numbers, seen, before = [], [], [], [], 0, 0
@@ -148,16 +150,18 @@ def _steps(depth: int, min_docs: int, min_tokens: int, share: float):
             docs.append(x.doc[of])
             numbers.append(of + before)
             seen, before = seen + len(x.used), before + len(x.count)
-        every, count, doc = _joined(keys, np.uint64), _joined(counts, np.int64), _joined(docs, np.int64)
-        t.save(key=every, count=count, doc=doc, number=_joined(numbers, np.int64), leaf=leaf[keep])
-        found, n = counted_once_a_document(every, doc[spread(count)[0]])
+        return _joined(keys, np.uint64), _joined(counts, np.int64), _joined(docs, np.int64), _joined(numbers, np.int64), leaf[keep]
+
+    def tokens(t: Texts):
+        keys, count, doc, _, _ = in_leaves(t)
+        found, n = counted_once_a_document(keys, doc[spread(count)[0]])
         return found, [n]
 
     def templates(t: Texts):
-        s = t.saved(2)
-        key, ok = template_keys(s["leaf"], s["count"], s["key"], _yes(s["key"], t.bits(2)) & (s["key"] != 0), share)
-        t.save(key=key[ok], number=s["number"][ok])
-        keys, n = counted_once_a_document(key[ok], s["doc"][ok])
+        keys, count, doc, number, leaf = in_leaves(t)
+        key, ok = template_keys(leaf, count, keys, _yes(keys, t.bits(2)) & (keys != 0), share)
+        t.save(key=key[ok], number=number[ok])
+        keys, n = counted_once_a_document(key[ok], doc[ok])
         return keys, [n]
 
     def cut(t: Texts, with_text: bool) -> pa.RecordBatch:

@@ -11,7 +11,7 @@ Pass 3, the full window: single windows of the groups that remain. Their equal g
 repeated windows, told apart by 64-bit hashes within equal leading digits.
 
 Cases: null text is empty; a null doc_id counts as larger than any other and removes nothing elsewhere; rows with the
-same doc_id never remove each other's bytes; texts shorter than the width keep everything; an empty
+same doc_id never remove each other's bytes; texts shorter than the width keep everything; a very long text is cut into overlapping pieces while windows are made; an empty
 table gives no rows; columns other than doc_id and text are ignored.
 """
 

@@ -12,7 +12,7 @@ Symbols that stand for one run only in the whole corpus are done; the others rev
 and every window of those is then compared by its own hash: equal ones are the repeats.
 
 Cases: null text has no words; texts shorter than a window keep everything; a window repeated inside one
-text is a repeat; equal rows repeat each other; an empty table gives no rows; columns other than doc_id and text
+text is a repeat; equal rows repeat each other; a very long text is a batch of its own and needs memory in proportion to its words; an empty table gives no rows; columns other than doc_id and text
 are ignored.
 """
 

@@ -9,7 +9,7 @@ Records with equal payloads of at least `min_bytes` bytes are written once: the
 are revisits that refer to it. Equality is that of SHA-256 and length.
 
 Cases: null html is an empty payload; a null page_id is written with an id of its own kind, read back as null, and
-counts as smaller than any other; rows with equal page_id and payload are one response and revisits of it;
+counts as smaller than any other; a very long payload is a package of its own, held whole by its task; rows with equal page_id and payload are one response and revisits of it;
 an empty table gives no packages and no rows; columns other than page_id, url and html are ignored.
 """
 

@@ -1,4 +1,4 @@
-"""Streaming queries over the events table, each driven once to its end, with the batch SQL that gives the same rows."""
+"""Streaming queries over the events table, each driven once to its end into files of the shared folder, with the batch SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -7,33 +7,41 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import shared_base
 from ..streaming import boards
 from .catalog import register
 
 
-def _run(stream: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def _appended(stream: DataFrame) -> DataFrame:
+    """What an appending stream writes."""
+    base = f"{shared_base(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-@register("stream_latest_board", "SELECT event_type AS instrument, user_id % 4 AS bank, arg_max(value, (ts, event_id)) AS value, count(*) AS version FROM events GROUP BY 1, 2")
+def _upserted(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The newest row of each key of an updating stream."""
+    base = f"{shared_base(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.outputMode("update").foreachBatch(boards.upsert_into(f"{base}/rows", keys, order)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return boards.last_version(stream.sparkSession, f"{base}/rows")
+
+
+@register("stream_latest_board", "SELECT event_type AS instrument, user_id % 4 AS bank, arg_max(value, (ts, event_id)) AS value, count(*) AS updates FROM events GROUP BY 1, 2")
 def stream_latest_board(spark: SparkSession, d: str) -> DataFrame:
-    return _run(boards.latest_board(boards.read_events(spark, d)), "complete").drop("ts")
+    return _upserted(boards.latest_board(boards.read_events(spark, d)), ["instrument", "bank"], "updates").drop("ts")
 
 
 @register("stream_edge_alerts", "SELECT user_id, event_id, value FROM (SELECT event_id, user_id, value, value > 40 AS hit, lag(value > 40) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE hit AND NOT coalesce(before, false)")
 def stream_edge_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return _run(boards.edge_alerts(boards.read_events(spark, d), 40), "append")
+    return _appended(boards.edge_alerts(boards.read_events(spark, d), 40))
 
 
 @register("stream_status_changes", "SELECT user_id, event_id, state, ts AS since FROM (SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN 'down' ELSE 'ok' END AS state, lag(CASE WHEN event_type = 'error' THEN 'down' ELSE 'ok' END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE (before IS NULL AND state <> 'ok') OR before <> state")
 def stream_status_changes(spark: SparkSession, d: str) -> DataFrame:
-    return _run(boards.status_since(boards.read_events(spark, d)), "append")
+    return _appended(boards.status_since(boards.read_events(spark, d)))
 
 
 @register("stream_hourly_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, CAST(round(CAST(sum(value) AS DECIMAL(20,6)), 2) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
 def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
-    got = _run(boards.windowed_counts(boards.read_events(spark, d)), "complete")
+    got = _upserted(boards.windowed_counts(boards.read_events(spark, d)), ["start", "event_type"], "n")
     return got.select("start", "event_type", "n", F.round(F.col("total").cast("decimal(20,6)"), 2).cast("double").alias("total"))

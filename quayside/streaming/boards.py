@@ -18,9 +18,9 @@ def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet
 
 
 def latest_board(events: DataFrame) -> DataFrame:
-    """The newest value of each instrument and bank. State is one row a key, in update or complete mode."""
+    """The newest value of each instrument and bank, in update mode: state is one row for each of them, however long the stream runs."""
     newest = F.max_by(F.struct("value", "ts"), F.struct("ts", "event_id"))
-    return events.groupBy(F.col("event_type").alias("instrument"), (F.col("user_id") % 4).alias("bank")).agg(newest.alias("n"), F.count("*").alias("version")).select("instrument", "bank", "n.value", "n.ts", "version")
+    return events.groupBy(F.col("event_type").alias("instrument"), (F.col("user_id") % 4).alias("bank")).agg(newest.alias("n"), F.count("*").alias("updates")).select("instrument", "bank", "n.value", "n.ts", "updates")
 
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -59,16 +59,23 @@ def status_since(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, state string, since timestamp", "state string, since timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_into(path: str, key: str, order: str):
+def upsert_into(path: str, key: str | list[str], order: str):
     """A foreachBatch writer that keeps the newest row of each key as Parquet versions; a batch that runs again gives the same version."""
+    keys = [key] if isinstance(key, str) else key
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("r")).select("r.*")
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("r")).select("r.*")
         if n > 0:
             old = spark.read.parquet(f"{path}/version={n - 1}")
-            newest = newest.unionByName(old.join(newest.select(key), key, "left_anti"))
+            newest = newest.unionByName(old.join(newest.select(*keys), keys, "left_anti"))
         newest.write.mode("overwrite").parquet(f"{path}/version={n}")
 
     return write
 
+
+def last_version(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that upsert_into wrote last."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("version")).first()[0]
+    return rows.filter(F.col("version") == last).drop("version")

@@ -122,7 +122,7 @@ def _radix(width: int, gram: int):
         r = Runs(t, width, gram, True)
         keep = t.bits(0)[np.searchsorted(np.unique(r.keys), r.keys)] if len(r.keys) else np.zeros(0, bool)
         order, first, keys = grouped(r.keys[keep])
-        t.save(keys=r.keys[keep], docs=r.docs[keep], first=r.first[keep], last=r.last[keep])
+        t.save(of=np.searchsorted(keys, r.keys[keep]).astype(np.uint32), first=r.first[keep].astype(np.uint32), n=(r.last - r.first + 1)[keep].astype(np.uint32))
         if not len(keys):
             return keys, [np.zeros(0, np.int64)] + [np.zeros(0, np.uint64)] * 2
         ids, text = t.ids[r.docs[keep]][order], r.whole[keep][order]
@@ -133,36 +133,30 @@ def _radix(width: int, gram: int):
         same = np.minimum.reduceat(vals[1], first) == np.maximum.reduceat(vals[2], first)
         return np.where(same, np.minimum.reduceat(vals[0], first), NO_ID - 1)
 
-    def decided(t: Texts) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        """The runs that survive, the smallest document of each, and which of them want a look at each window."""
+    def decided(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs that survive: first and last window, text, the smallest document of the run's group, and whether it wants a look at each window."""
         r = t.saved(1)
-        if not len(r["keys"]):
-            return r, np.zeros(0, np.int64), np.zeros(0, bool)
-        low = t.longs(1)[np.searchsorted(np.unique(r["keys"]), r["keys"])]
-        return r, low, low == NO_ID - 1
+        first = r["first"].astype(np.int64)
+        low = t.longs(1)[r["of"]]
+        return first, first + r["n"] - 1, np.searchsorted(t.at, first, "right") - 1, low, low == NO_ID - 1
 
     def by_window(t: Texts):
-        r, _, open_ = decided(t)
-        if not open_.any():
-            t.save(keys=np.zeros(0, np.uint64), of=np.zeros(0, np.int64))
-            return np.zeros(0, np.uint64), [np.zeros(0, np.int64)]
-        keys, of = window_keys(t, r["first"][open_], r["last"][open_], width)
-        order, first, distinct = grouped(keys)
-        t.save(keys=keys, of=of)
-        ids = t.ids[r["docs"][open_]][of][order]
-        return distinct, [np.minimum.reduceat(ids, first) if len(first) else ids]
+        first, last, doc, _, open_ = decided(t)
+        keys, of = window_keys(t, first[open_], last[open_], width)
+        order, begins, distinct = grouped(keys)
+        ids = t.ids[doc[open_]][of][order]
+        return distinct, [np.minimum.reduceat(ids, begins) if len(begins) else ids]
 
     def cut(t: Texts, with_text: bool) -> pa.RecordBatch:
-        r, low, open_ = decided(t)
-        own = t.ids[r["docs"]]
+        first, last, doc, low, open_ = decided(t)
+        own = t.ids[doc]
         step = np.zeros(len(t.data) + 1, np.int32)
         sure = ~open_ & (low < own)
-        np.add.at(step, r["first"][sure], 1)
-        np.add.at(step, r["last"][sure] + width, -1)
-        s = t.saved(2)
-        keys, of = s["keys"], s["of"]
+        np.add.at(step, first[sure], 1)
+        np.add.at(step, last[sure] + width, -1)
+        keys, of = window_keys(t, first[open_], last[open_], width)
         if len(keys):
-            where = np.arange(len(keys)) - np.searchsorted(of, of) + r["first"][open_][of]
+            where = np.arange(len(keys)) - np.searchsorted(of, of) + first[open_][of]
             gone = where[t.longs(2)[np.searchsorted(np.unique(keys), keys)] < own[open_][of]]
             step += np.bincount(gone, minlength=len(step)).astype(np.int32)
             step -= np.bincount(gone + width, minlength=len(step)).astype(np.int32)

@@ -137,13 +137,14 @@ def _steps(width: int, rounds: int):
         found = [x.window_keys(keep, width) for x, keep in zip(p, kept_runs(t, p), strict=True)]
         before = np.cumsum([0, *[len(x.starts) for x in p]])
         every = joined([k for k, _ in found])
-        t.save(key=every, word=np.concatenate([w + b for (_, w), b in zip(found, before, strict=False)]) if found else np.zeros(0, np.int64))
         keys, n = counted(every)
+        word = np.concatenate([w + b for (_, w), b in zip(found, before, strict=False)]) if found else np.zeros(0, np.int64)
+        t.save(of=np.searchsorted(keys, every).astype(np.uint32), word=word.astype(np.uint32))
         return keys, [n]
 
     def cut(t: Texts, with_text: bool) -> pa.RecordBatch:
         s = t.saved(1)
-        hit = s["word"][t.bits(1)[np.searchsorted(np.unique(s["key"]), s["key"])]] if len(s["key"]) else s["word"]
+        hit = s["word"][t.bits(1)[s["of"]]].astype(np.int64)
         own = [t.data[a:b].tobytes().split() for a, b in zip(t.at[:-1].tolist(), t.at[1:].tolist(), strict=True)]
         first = np.cumsum([0, *map(len, own)])
         n = int(first[-1])

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quayside.llm import decontaminate, line_crf, minhash_forest, mixing, token_files
-from quayside.llm._shared import stored, table
+from quayside.llm._shared import forget, stored, table
 from quayside.ship import ship
 
 
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), spark, f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), spark, f"pipeline-{name}")
+        forget(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

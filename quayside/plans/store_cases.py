@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..operators import graphs
+from ..operators import graphs, ordering
 from ._tables import table
 from .addresses import HOST, PATH
 from .catalog import register, rule
@@ -89,8 +89,7 @@ rule("bank_without_calculator", "A bank that offers none of the capabilities: ev
 def candidate_pages(spark: SparkSession, d: str) -> DataFrame:
     """A site's first three pages whose address names a tool: the limit is the feature."""
     own = table(spark, d, "pages").filter(U.path(C("url")).rlike("5|hesap")).select(U.host(C("url")).alias("host"), "page_id")
-    first = own.groupBy("host").agg(F.slice(F.array_sort(F.collect_set("page_id")), 1, 3).alias("ids"))
-    return first.select("host", F.explode("ids").alias("page_id"))
+    return ordering.placed_within(own, ["host"], [C("page_id")]).filter("pos <= 3").select("host", "page_id")
 
 
 COMPONENTS = [('{"category":"finance","components":[{"id":"a","kind":"slider"},{"id":"b","kind":"table"}]}',), ('{"category":"cards","components":[]}',)]
@@ -206,8 +205,6 @@ def resumed_queue(spark: SparkSession, d: str) -> DataFrame:
 @register("reports_fanned_out", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 16")
 def reports_fanned_out(spark: SparkSession, d: str) -> DataFrame:
     """A user's queue holds the last sixteen; the oldest drop out: the limit is the feature."""
-    from ..operators import ordering
-
     return ordering.placed_within(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], [C("event_id").desc()]).filter("pos <= 16").select("user_id", "event_id")
 
 

@@ -209,6 +209,17 @@ class Exchange:
         return self._over_batches(lambda t: iter([work(t)]), False, schema)
 
 
+def answered(keys: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    """The answer to each key, given those to the sorted distinct keys."""
+    if not len(keys):
+        return np.zeros(0, answers.dtype)
+    order = np.argsort(keys)
+    k = keys[order]
+    out = np.empty(len(keys), answers.dtype)
+    out[order] = answers[np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]))]
+    return out
+
+
 def at_least(n: int) -> Callable[[np.ndarray, list[np.ndarray]], np.ndarray]:
     """join: whether the counts of a key come to n or more."""
     return lambda first, vals: np.add.reduceat(vals[0].astype(np.int64), first) >= n

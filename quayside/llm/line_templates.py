@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._bytes import mix, slices, word_hashes, words
-from ._exchange import NO_ID, Exchange, Texts, at_least, counted_once_a_document
+from ._exchange import NO_ID, Exchange, Texts, answered, at_least, counted_once_a_document
 
 DEPTH = 3
 MIN_DOCS = 10
@@ -74,11 +74,6 @@ def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _yes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The answers to keys, given those to their sorted distinct ones."""
-    return bits[np.searchsorted(np.unique(keys), keys)] if len(keys) else np.zeros(0, bool)
-
-
 def leading_keys(count: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(count, place, token) keys of the leading tokens of lines, 0 for variable ones; the line and the place of each."""
     line, place = spread(np.minimum(count, lead.shape[1]))
@@ -126,7 +121,7 @@ def _steps(depth: int, min_docs: int, min_tokens: int, share: float):
     def leaves(t: Texts):
         count, lead, doc = leads(t)
         keys, line, place = leading_keys(count, lead)
-        lost = ~(_yes(keys, t.bits(0)) & (keys != 0))
+        lost = ~(answered(keys, t.bits(0)) & (keys != 0))
         lead[line[lost], place[lost]] = VARIABLE  # the leaf's wildcard child
         leaf = leaf_keys(count, lead)
         t.save(leaf=leaf)
@@ -136,7 +131,7 @@ def _steps(depth: int, min_docs: int, min_tokens: int, share: float):
     def in_leaves(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the lines in leaves that count: (leaf, place, token) keys of all tokens, token counts, texts, numbers among the batch's lines, and leaves."""
         leaf = t.saved(1)["leaf"]
-        keep = _yes(leaf, t.bits(1))
+        keep = answered(leaf, t.bits(1))
         keys, counts, docs, numbers, seen, before = [], [], [], [], 0, 0
         for i, j in slices(t.at, SLICE):
             x = Lines(t, i, j, min_tokens)
@@ -159,7 +154,7 @@ def _steps(depth: int, min_docs: int, min_tokens: int, share: float):
 
     def templates(t: Texts):
         keys, count, doc, number, leaf = in_leaves(t)
-        key, ok = template_keys(leaf, count, keys, _yes(keys, t.bits(2)) & (keys != 0), share)
+        key, ok = template_keys(leaf, count, keys, answered(keys, t.bits(2)) & (keys != 0), share)
         t.save(key=key[ok], number=number[ok])
         keys, n = counted_once_a_document(key[ok], doc[ok])
         return keys, [n]
@@ -168,7 +163,7 @@ def _steps(depth: int, min_docs: int, min_tokens: int, share: float):
         s = t.saved(3)
         _, doc = lines_of(t.data, t.at)
         drop = np.zeros(len(doc), bool)
-        drop[s["number"][_yes(s["key"], t.bits(3))]] = True
+        drop[s["number"][answered(s["key"], t.bits(3))]] = True
         n_lines, n_dropped, kept = [], [], []
         cuts = np.searchsorted(doc, np.arange(len(t.ids) + 1)).tolist()
         for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._bytes import BASE, BYTE_CODES, INVERSE, mix, powers, sliding_min, slices
-from ._exchange import NO_ID, Exchange, Texts, at_least, counted_once_a_document, least
+from ._exchange import NO_ID, Exchange, Texts, answered, at_least, counted_once_a_document, least
 
 WIDTH = 50
 GRAM = 20
@@ -120,7 +120,7 @@ def _radix(width: int, gram: int):
 
     def by_run(t: Texts):
         r = Runs(t, width, gram, True)
-        keep = t.bits(0)[np.searchsorted(np.unique(r.keys), r.keys)] if len(r.keys) else np.zeros(0, bool)
+        keep = answered(r.keys, t.bits(0))
         order, first, keys = grouped(r.keys[keep])
         t.save(of=np.searchsorted(keys, r.keys[keep]).astype(np.uint32), first=r.first[keep].astype(np.uint32), n=(r.last - r.first + 1)[keep].astype(np.uint32))
         if not len(keys):
@@ -157,7 +157,7 @@ def _radix(width: int, gram: int):
         keys, of = window_keys(t, first[open_], last[open_], width)
         if len(keys):
             where = np.arange(len(keys)) - np.searchsorted(of, of) + first[open_][of]
-            gone = where[t.longs(2)[np.searchsorted(np.unique(keys), keys)] < own[open_][of]]
+            gone = where[answered(keys, t.longs(2)) < own[open_][of]]
             step += np.bincount(gone, minlength=len(step)).astype(np.int32)
             step -= np.bincount(gone + width, minlength=len(step)).astype(np.int32)
         removed = np.cumsum(step)[:-1] > 0

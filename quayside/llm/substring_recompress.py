@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._bytes import mix, slices, window_hashes, word_hashes, words
-from ._exchange import NO_ID, Exchange, Texts, at_least, counted
+from ._exchange import NO_ID, Exchange, Texts, answered, at_least, counted
 
 WIDTH = 35
 ROUNDS = 3
@@ -128,9 +128,8 @@ def _steps(width: int, rounds: int):
         return keys, [n]
 
     def kept_runs(t: Texts, p: list[Windows]) -> list[np.ndarray]:
-        keys = np.unique(joined([x.keys for x in p]))
-        bits = t.bits(0)
-        return [bits[np.searchsorted(keys, x.keys)] if len(x.keys) else np.zeros(0, bool) for x in p]
+        keep = answered(joined([x.keys for x in p]), t.bits(0))
+        return np.split(keep, np.cumsum([len(x.keys) for x in p])[:-1]) if p else []
 
     def by_window(t: Texts):
         p = list(parts(t))

@@ -31,7 +31,7 @@ from ._shared import release
 
 MAX_DOCS = 6000
 MAX_LINES = 256
-SLICE = 1 << 19
+SLICE = 1 << 18
 THRESHOLD = 0.7
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "exclaim": b"!?", "pause": b",;:", "stop": b".",

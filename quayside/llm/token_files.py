@@ -45,8 +45,8 @@ IDS_PER_FILE = 1 << 24
 #: Ids that are packed, unpacked or held at once.
 PIECE = 1 << 18
 SLICE = 2 << 20
-CACHED_WORDS = 1 << 20
-CACHED_RUNS = 1 << 17
+CACHED_WORDS = 1 << 19
+CACHED_RUNS = 1 << 16
 #: Words of ASCII and Latin-1 letters without apostrophes and angle brackets, and the runs in them after lower-casing.
 SIMPLE = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 #: How byte-level tokenizers write the bytes that are no printable Latin-1 characters: fixed values.

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, likelihood_rules, line_crf, line_templates, minhash_forest, mixing, sql, substring_radix, substring_recompress, token_files, warc_zip
+from . import ball_tree, chat_format, decontaminate, likelihood_rules, line_crf, line_templates, minhash_forest, mixing, sql, substring_radix, substring_recompress, token_files, warc_zip
 from ._shared import table
 
 
@@ -54,8 +55,19 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_template_lines(spark, table(spark, sf_dir, "documents"), min_tokens=1)
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
+    return chat_format.format_chats(spark, chat_format.row_records(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_minhash_forest, op2_token_files, op3_decontamination, op4_line_crf, op5_substring_dedup, op6_sainte_lague_mix, op7_warc_packages, op8_likelihood_rules, op9_recompression_dedup, op10_line_templates)
+    own = (op1_minhash_forest, op2_token_files, op3_decontamination, op4_line_crf, op5_substring_dedup, op6_sainte_lague_mix, op7_warc_packages, op8_likelihood_rules, op9_recompression_dedup, op10_line_templates, op11_ball_tree, op13_chat_format)
     return {f.__name__: f for f in own}
 
 

@@ -67,4 +67,24 @@ bad AS (SELECT leaf, template FROM made WHERE fixed >= 0.5 * n GROUP BY 1, 2 HAV
 r AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS kept FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
 SELECT doc_id, n_lines, n_dropped, length(kept) AS n_chars_kept, sha256(kept) AS kept_sha256 FROM r"""
 
-ORACLES = {"op10_line_templates": TEMPLATES, "op1_minhash_forest": JACCARD, "op3_decontamination": CONTAMINATION, "op5_substring_dedup": REPEATED_BYTES, "op7_warc_packages": WARC, "op9_recompression_dedup": REPEATED_WORDS}
+_D = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_ROUNDS = "".join(
+    f""", n{r} AS MATERIALIZED (SELECT v.nth, v.vec_id, v.x, arg_min(c.j, {{'d': {_D}, 'j': c.j}}) AS j, min({_D}) AS d FROM v CROSS JOIN c{r} c GROUP BY v.nth, v.vec_id, v.x),
+p{r} AS (SELECT j, i, CAST(floor(CAST(sum(val) AS DOUBLE) / count(*)) AS BIGINT) AS y FROM (SELECT j, unnest(x) AS val, generate_subscripts(x, 1) AS i FROM n{r}) GROUP BY j, i),
+c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT j, list(y ORDER BY i) AS x FROM p{r} GROUP BY j) m USING (j))"""
+    for r in range(10)
+)
+
+KMEANS = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY key, x) - 1 AS j, x FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS key, x FROM v ORDER BY key, x LIMIT 8)){_ROUNDS},
+last AS MATERIALIZED (SELECT v.nth, v.vec_id, arg_min(c.j, {{'d': {_D}, 'j': c.j}}) AS j, min({_D}) AS d FROM v CROSS JOIN c10 c GROUP BY v.nth, v.vec_id)
+SELECT vec_id, CAST(l.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY l.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM last l JOIN c10 c USING (j)"""
+
+_ESCAPED = "replace(replace(replace(coalesce({}, ''), '\\', '\\\\'), '###', '\\h'), '</turn>', '\\e')"
+_ROLE, _TEXT = f"replace({_ESCAPED.format('role')}, ':', '\\c')", _ESCAPED.format("text")
+CHATS = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(4 + length({_ROLE}) + 2 + length({_TEXT}) + 8) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+ORACLES = {"op11_ball_tree": KMEANS, "op13_chat_format": CHATS, "op10_line_templates": TEMPLATES, "op1_minhash_forest": JACCARD, "op3_decontamination": CONTAMINATION, "op5_substring_dedup": REPEATED_BYTES, "op7_warc_packages": WARC, "op9_recompression_dedup": REPEATED_WORDS}

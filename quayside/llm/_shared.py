@@ -86,8 +86,13 @@ def forget(spark: SparkSession, *dfs: DataFrame) -> None:
     for df in dfs:
         _, path = _paths.pop(id(df), (None, None))
         if path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a shared folder, whatever file system it is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(files: DataFrame) -> DataFrame:

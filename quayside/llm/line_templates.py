@@ -191,7 +191,7 @@ def drop_template_lines(
     leading, leaves, tokens, templates, cut = _steps(depth, min_docs, min_tokens, constant_share)
     x = Exchange(spark, docs, **sizes)
     x.ask(leading, at_least(min_docs), ["u2"])
-    x.ask(leaves, at_least(min_docs), ["u2"])
-    x.ask(tokens, at_least(min_docs), ["u2"])
-    x.ask(templates, at_least(min_docs), ["u2"])
-    return x.result(lambda t: cut(t, with_text), RESULT + ", kept string" * with_text)
+    x.ask(leaves, at_least(min_docs), ["u2"], (0,))
+    x.ask(tokens, at_least(min_docs), ["u2"], (1,))
+    x.ask(templates, at_least(min_docs), ["u2"], (1, 2))
+    return x.result(lambda t: cut(t, with_text), RESULT + ", kept string" * with_text, (3,))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, chat_format, decontaminate, likelihood_rules, line_crf, line_templates, minhash_forest, mixing, sql, substring_radix, substring_recompress, token_files, warc_zip
+from . import ball_tree, chat_format, decontaminate, likelihood_rules, line_crf, line_templates, minhash_forest, mixing, sql, substring_radix, substring_recompress, token_alignment, token_files, warc_zip
 from ._shared import table
 
 
@@ -59,6 +59,12 @@ def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.cluster(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -67,7 +73,7 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_minhash_forest, op2_token_files, op3_decontamination, op4_line_crf, op5_substring_dedup, op6_sainte_lague_mix, op7_warc_packages, op8_likelihood_rules, op9_recompression_dedup, op10_line_templates, op11_ball_tree, op13_chat_format)
+    own = (op1_minhash_forest, op2_token_files, op3_decontamination, op4_line_crf, op5_substring_dedup, op6_sainte_lague_mix, op7_warc_packages, op8_likelihood_rules, op9_recompression_dedup, op10_line_templates, op11_ball_tree, op12_token_alignment, op13_chat_format)
     return {f.__name__: f for f in own}
 
 

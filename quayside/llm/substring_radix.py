@@ -186,6 +186,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, gra
     leading, by_run, join_runs, by_window, cut = _radix(width, gram)
     x = Exchange(spark, docs, **sizes)
     x.ask(leading, at_least(2), ["u2"])
-    x.ask(by_run, join_runs, ["i8", "u8", "u8"])
-    x.ask(by_window, least, ["i8"])
-    return x.result(lambda t: cut(t, with_text), RESULT + ", kept binary" * with_text)
+    x.ask(by_run, join_runs, ["i8", "u8", "u8"], (0,))
+    x.ask(by_window, least, ["i8"], (1,))
+    return x.result(lambda t: cut(t, with_text), RESULT + ", kept binary" * with_text, (1, 2))

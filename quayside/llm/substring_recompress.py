@@ -172,5 +172,5 @@ def remove_repeated_windows(spark: SparkSession, docs: DataFrame, width: int = W
     symbols, by_window, cut = _steps(width, rounds)
     x = Exchange(spark, docs, **sizes)
     x.ask(symbols, at_least(2), ["u2"])
-    x.ask(by_window, at_least(2), ["u2"])
-    return x.result(lambda t: cut(t, with_text), RESULT + ", kept string" * with_text)
+    x.ask(by_window, at_least(2), ["u2"], (0,))
+    return x.result(lambda t: cut(t, with_text), RESULT + ", kept string" * with_text, (1,))

@@ -5,9 +5,8 @@ document, of the line and of the lines before and after it; a 2x2 table scores n
 gives each line's probability of being good, and the mean of these, weighted by line length, is the document's
 quality. A document's label counts for all of its lines while learning.
 
-Learning uses a bounded sample of the labelled rows: `max_docs` (documented parameter), those with the
-least hash of doc_id among the rows that may be learned from, without texts of more than `MAX_LINES` lines (documented parameter), so what comes to
-the driver is at most max_docs * MAX_LINES rows of features. A learned text's lines all bear its label, so the table of neighbouring states learns how firmly
+Learning uses a bounded sample of the labelled documents: those with the least hash of doc_id among the documents at hand that may be learned
+from, at most `max_docs` of them and at most `max_lines` lines in all (documented parameters), so what comes to the driver is at most max_lines rows of features. A learned text's lines all bear its label, so the table of neighbouring states learns how firmly
 states hold together, not where they turn. Scoring reads every whole text.
 
 Cases: null and empty texts are one empty line and get a score; a null doc_id is scored, is never learned from and never
@@ -30,7 +29,8 @@ from ._bytes import mix, slices, text_bytes, window_hashes, word_hashes, words
 from ._shared import release
 
 MAX_DOCS = 6000
-MAX_LINES = 256
+#: Lines of the sample in all.
+MAX_LINES = 200_000
 SLICE = 1 << 18
 THRESHOLD = 0.7
 CLASSES = {
@@ -203,11 +203,26 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
-    """Learn from at most max_docs labelled rows that aren't held out. Their ids, at most max_docs, are
-    broadcast; their lines' features come to the driver."""
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> Model:
+    """Learn from at most max_docs labelled documents that aren't held out, in the order of a hash of their ids, as long as they have no more than max_lines lines in all;
+    one that has more alone is passed over. Labels of documents that aren't there take no place. The ids, at most max_docs, come to the driver and are
+    broadcast; the features of their lines come to the driver."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).dropna().filter(~held_out(F.col("doc_id")))
-    sample = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label")).join(ids, "doc_id", "left_semi")
+    drawn = [r.doc_id for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()]
+    spark = docs.sparkSession
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
+    some = spark.createDataFrame([(d,) for d in drawn], "doc_id long")
+    size = {r.doc_id: r.n for r in docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.alias("n")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.sum("n").alias("n")).collect()}
+    within, room = [], max_lines
+    for d in drawn:
+        if size[d] <= room:
+            within.append((d,))
+            room -= size[d]
+        elif size[d] <= max_lines:
+            break
+    sample = known.join(F.broadcast(spark.createDataFrame(within, "doc_id long")), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -219,7 +234,6 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("label").slice(i, j - i), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "label", "x", "length"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    texts = texts.filter(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)) <= MAX_LINES)
     got = texts.mapInArrow(features, "doc_id long, label int, x binary, length binary").toArrow().to_pydict()
     rows = sorted(zip(got["doc_id"], got["x"], got["length"], got["label"], strict=True))[:max_docs]
     width = line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0].shape[1]

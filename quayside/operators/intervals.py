@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def hull(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """The widest window of each key; an open side stays open only if all are."""
@@ -24,9 +26,4 @@ def verdict(start: Column, end: Column, today: Column) -> Column:
 
 def islands(df: DataFrame, key: str, order: list[str], state: str, time: str) -> DataFrame:
     """Since when each row's state has held without a break: adds since."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(key).orderBy(*order)
-    marked = df.withColumn("_new", F.when(F.lag(state).over(w).eqNullSafe(F.col(state)), 0).otherwise(1))
-    numbered = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.withColumn("since", F.min(time).over(W.partitionBy(key, "_island"))).drop("_new", "_island")
+    return scan.since(scan.ranged(df, [key], order), [key], order, state, time).drop("_part")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def nearest(value: Column, bands: list[int], tolerance: float = 0.15) -> Column:
     """The nearest of a short list of bands, the smaller of two as near; past the last band the last; null beyond the tolerance."""
@@ -43,15 +44,14 @@ def tiered(df: DataFrame, catalogue: DataFrame, tiers: list[tuple[Column, Column
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str) -> DataFrame:
-    """The last value of `right` at or before each row's time, by union and one running window: no pair of rows is formed."""
+    """The last value of `right` at or before each row's time, by union and a running scan: no pair of rows is formed, and a key may hold any share of the rows."""
     a = left.withColumn("_t", F.col(left_time)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(1))
     b = right.select(by, F.col(right_time).alias("_t"), F.col(value).alias("_v"), F.lit(0).alias("_side"))
     for c in left.columns:
         if c != by:
             b = b.withColumn(c, F.lit(None).cast(left.schema[c].dataType))
-    seen = W.partitionBy(by).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = a.unionByName(b.select(a.columns)).withColumn(value, F.last("_v", ignorenulls=True).over(seen))
-    return both.filter("_side = 1").drop("_t", "_v", "_side")
+    both = scan.ranged(a.unionByName(b.select(a.columns)), [by], ["_t", "_side"])
+    return scan.last_so_far(both, [by], ["_t", "_side"], "_v", value).filter("_side = 1").drop("_t", "_v", "_side", "_part")
 
 
 def scope_partition(scope: DataFrame, members: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

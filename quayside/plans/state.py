@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import incremental, intervals
+from ..operators import incremental, intervals, scan
 from ._tables import table
 from .catalog import register
 
@@ -70,8 +70,8 @@ def scd_first_last_seen(spark: SparkSession, d: str) -> DataFrame:
 
 @register("movement_diff", "SELECT event_id, CASE WHEN p IS NULL THEN 'first' WHEN value > p THEN 'up' WHEN value < p THEN 'down' ELSE 'same' END AS move FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events)")
 def movement_diff(spark: SparkSession, d: str) -> DataFrame:
-    p = F.lag("value").over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    e = table(spark, d, "events").select("event_id", "value", p.alias("p"))
+    keys, order = ["user_id", "event_type"], ["ts", "event_id"]
+    e = scan.previous(scan.ranged(table(spark, d, "events").select(*keys, *order, "value"), keys, order), keys, order, "value", "p")
     return e.select("event_id", F.when(F.col("p").isNull(), "first").when(F.col("value") > F.col("p"), "up").when(F.col("value") < F.col("p"), "down").otherwise("same").alias("move"))
 
 
@@ -79,7 +79,8 @@ def movement_diff(spark: SparkSession, d: str) -> DataFrame:
 def edge_alert(spark: SparkSession, d: str) -> DataFrame:
     """An alert fires when its condition turns true, not while it stays so."""
     hit = F.col("value") > 40
-    e = table(spark, d, "events").select("event_id", "user_id", hit.alias("hit"), F.lag(hit).over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
+    e = scan.ranged(table(spark, d, "events").select("event_id", "user_id", "ts", hit.alias("hit")), ["user_id"], ["ts", "event_id"])
+    e = scan.previous(e, ["user_id"], ["ts", "event_id"], "hit", "before")
     return e.filter(F.col("hit") & ~F.coalesce("before", F.lit(False))).select("event_id", "user_id")
 
 
@@ -97,7 +98,8 @@ def status_since_islands(spark: SparkSession, d: str) -> DataFrame:
 def status_changes(spark: SparkSession, d: str) -> DataFrame:
     """Changes only; being fine when first seen is silent."""
     state = F.when(F.col("event_type") == "error", "down").otherwise("ok")
-    e = table(spark, d, "events").select("user_id", "event_id", state.alias("state"), F.lag(state).over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
+    e = scan.ranged(table(spark, d, "events").select("user_id", "event_id", "ts", state.alias("state")), ["user_id"], ["ts", "event_id"])
+    e = scan.previous(e, ["user_id"], ["ts", "event_id"], "state", "before")
     return e.filter((F.col("before").isNull() & (F.col("state") != "ok")) | (F.col("before") != F.col("state"))).select("user_id", "event_id", "before", "state")
 
 

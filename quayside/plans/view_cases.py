@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import ordering, search
+from ..operators import ordering, scan, search
 from ._tables import table
 from .catalog import register, rule, values
 from .documents import fold_sql
@@ -257,7 +257,8 @@ def capability_gate(spark: SparkSession, d: str) -> DataFrame:
 def alerts_by_automation(spark: SparkSession, d: str) -> DataFrame:
     """Alerts on the turn of a condition, by automation."""
     hit = C("value") > 60
-    e = table(spark, d, "events").select("user_id", hit.alias("hit"), F.lag(hit).over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
+    e = scan.ranged(table(spark, d, "events").select("user_id", "ts", "event_id", hit.alias("hit")), ["user_id"], ["ts", "event_id"])
+    e = scan.previous(e, ["user_id"], ["ts", "event_id"], "hit", "before")
     return e.groupBy("user_id").agg(F.count("*").alias("n_runs"), F.count_if(C("hit") & ~F.coalesce("before", F.lit(False))).alias("n_alerts"))
 
 

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from .ordering import cut
 
 
-def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df in ranges, with the number of each row's range: the input of the functions below."""
+def ranged(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """df in ranges, with the number of each row's range: the input of the functions below. Small ranges are put together unless their number is given."""
     columns = [F.col(c) for c in (*keys, *order)]
-    return cut(df.repartitionByRange(*columns).select("*", F.spark_partition_id().alias("_part")))
+    return cut((df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns)).select("*", F.spark_partition_id().alias("_part")))
 
 
 def _carried(rows: DataFrame, summary: DataFrame, keys: list[str], carry: Column, name: str) -> DataFrame:

@@ -68,10 +68,10 @@ def test_scans_over_a_hot_key_equal_windows(spark, share):
     rows = spark.range(3000).select(
         F.col("id"), F.when(F.col("id") < 3000 * share, 1).when(F.col("id") % 50 != 0, F.col("id") % 7).alias("k"), (F.xxhash64("id") % 1000).alias("t"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("v"), F.when(F.xxhash64("id", F.lit(2)) % 5 != 0, "a").otherwise("b").alias("s"),
     )
-    there = scan.ranged(rows, ["k"], ["t", "id"])
+    there = scan.ranged(rows, ["k"], ["t", "id"], 8)
     if share:
         sizes = [r["count"] for r in there.filter("k = 1").groupBy("_part").count().collect()]
-        assert len(sizes) > 1 and max(sizes) < 1500
+        assert len(sizes) > 1 and max(sizes) < 900
     got = scan.last_so_far(scan.previous(there, ["k"], ["t", "id"], "v", "p"), ["k"], ["t", "id"], "v", "l").select("id", "p", "l")
     rows.createOrReplaceTempView("scan_rows")
     want = spark.sql("SELECT id, lag(v) OVER w AS p, last(v, true) OVER (PARTITION BY k ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS l FROM scan_rows WINDOW w AS (PARTITION BY k ORDER BY t, id)")

@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ._bytes import mix, text_bytes, word_hashes
 from ._exchange import NO_ID, Exchange, Texts
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+PIECE_CHUNKS = 1 << 15
+PIECE_BYTES = 1 << 19
 SLICE = 1 << 20
 #: The split of byte-level BPE into runs that its tokens don't cross: a fixed pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -140,9 +142,9 @@ def chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     p = np.flatnonzero(((data[1:] == 0x20) | (data[1:] == 0x0A)) & ~gap[:-1]) + 1
     wide = p[data[p - 1] >= 0x80]
     if len(wide):
-        d = data.astype(np.int64)
-        two = (d[wide - 2] << 8) | d[wide - 1]
-        three = (d[np.maximum(wide - 3, 0)] << 16) | two
+        d = lambda at: data[np.maximum(at, 0)].astype(np.int64)
+        two = (d(wide - 2) << 8) | d(wide - 1)
+        three = (d(wide - 3) << 16) | two
         p = np.setdiff1d(p, wide[np.isin(two, SPACES_2) | np.isin(three, SPACES_3)], assume_unique=True)
     return np.union1d(p, at[:-1])
 
@@ -157,7 +159,7 @@ class Line:
     def __init__(self) -> None:
         import duckdb
 
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
 
     def __call__(self, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Linked tokens (of A, of B), and the group of each token of A and of B, all by number."""
@@ -192,38 +194,47 @@ class Batch:
         ends = np.append(starts[1:], len(data))
         self.first = np.searchsorted(starts, at)
         _, where, self.of = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        self.of = self.of.astype(np.int32)
         s, e = starts[where], ends[where]
-        rare = np.concatenate([[0], np.cumsum(data >= RARE)])
-        raw = data.tobytes()
-        chunks = [raw[i:j].decode() for i, j in zip(s.tolist(), e.tolist(), strict=True)]
-        (a, n_a), (b, n_b) = map(_flat, both.encode(chunks, (rare[e] == rare[s]).tolist()))
-        self.n_a, self.n_b = n_a, n_b
-        # What the tokens say must be the bytes of the chunk.
+        parts, self.texts, i = [], [], 0
+        while i < len(s):
+            # A piece of all distinct chunks at a time, so that lists and joins stay small.
+            j = min(max(i + 1, int(np.searchsorted(np.cumsum((e - s)[i:]), PIECE_BYTES, "right")) + i), i + PIECE_CHUNKS, len(s))
+            parts.append(self._piece(data, s[i:j], e[i:j], both, line))
+            i = j
+        joined = [np.concatenate(x) for x in zip(*parts, strict=True)] or [np.zeros(0, np.int64)] * 6
+        self.n_a, self.n_b, self.same, self.n_groups, self.n_links, pairs = joined
+        self.fine = np.diff(t.at) > 0
+        if self.n_docs:
+            self.fine &= np.add.reduceat(~self.same.astype(bool)[self.of], self.first[:-1]) == 0
+        # Pairs of ids, each once, and the pairs of each chunk.
+        self.pairs, self.pair_of = np.unique(pairs.astype(np.uint64), return_inverse=True)
+        self.pair_of = self.pair_of.astype(np.int32)
+        self.link_begin = np.cumsum(self.n_links) - self.n_links
+
+    def _piece(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, both: Tokenizers, line: Line) -> tuple[np.ndarray, ...]:
+        """Of some chunks: numbers of tokens of A and B, whether these say what the chunk does, numbers of groups and links, and the linked pairs chunk by chunk."""
+        raw = [data[i:j].tobytes() for i, j in zip(s.tolist(), e.tolist(), strict=True)]
+        common = np.maximum.reduceat(np.append(data[ranges(s, e - s)], 0), np.cumsum(e - s) - (e - s)) < RARE
+        (a, n_a), (b, n_b) = map(_flat, both.encode([x.decode() for x in raw], common.tolist()))
         of_a, of_b = np.repeat(np.arange(len(s)), n_a), np.repeat(np.arange(len(s)), n_b)
         size_a, size_b = both.a.size[a], both.b.size[b]
         same = (np.bincount(of_a, size_a, len(s)) == e - s) & (np.bincount(of_b, size_b, len(s)) == e - s)
         if same.any():
-            keep_a, keep_b = same[of_a], same[of_b]
             want = data[ranges(s[same], (e - s)[same])]
-            odd = (both.a.joined(a[keep_a]) != want) | (both.b.joined(b[keep_b]) != want)
+            odd = (both.a.joined(a[same[of_a]]) != want) | (both.b.joined(b[same[of_b]]) != want)
             if odd.any():
                 same[np.flatnonzero(same)[np.unique(np.repeat(np.arange(int(same.sum())), (e - s)[same])[odd])]] = False
-        self.same = same
         keep_a, keep_b = same[of_a], same[of_b]
         a, b, of_a, of_b = a[keep_a], b[keep_b], of_a[keep_a], of_b[keep_b]
-        self.fine = np.diff(t.at) > 0
-        self.fine &= np.add.reduceat(np.append(~same[self.of], False), self.first[:-1]) == 0 if self.n_docs else self.fine
         link_a, link_b, group_a, group_b = line(size_a[keep_a], size_b[keep_b]) if len(a) else [np.zeros(0, np.int64)] * 4
-        self._texts(len(s), a, b, of_a, of_b, group_a, group_b)
-        # Pairs of ids, each once, and the pairs of each chunk.
-        order = np.argsort(of_a[link_a], kind="stable")
+        n_groups = self._texts(len(s), a, b, of_a, of_b, group_a, group_b)
+        order = np.argsort(link_a, kind="stable")
         link_a, link_b = link_a[order], link_b[order]
-        self.pairs, self.pair_of = np.unique((a[link_a].astype(np.uint64) << np.uint64(32)) | b[link_b].astype(np.uint64), return_inverse=True)
-        self.n_links = np.bincount(of_a[link_a], minlength=len(s))
-        self.link_begin = np.cumsum(self.n_links) - self.n_links
+        return n_a, n_b, same.astype(np.int64), n_groups, np.bincount(of_a[link_a], minlength=len(s)), (a[link_a] << 32) | b[link_b]
 
-    def _texts(self, n: int, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> None:
-        """What stands in the digest for each chunk, each group closed by a semicolon."""
+    def _texts(self, n: int, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> np.ndarray:
+        """What stands in the digest for each chunk, each group closed by a semicolon; how many groups each has."""
         last = lambda g: np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool)
         end = np.concatenate([np.where(last(group_a), 1, 0), np.where(last(group_b), 2, 0)])
         side = np.concatenate([np.zeros(len(a), np.int64), np.ones(len(b), np.int64)])
@@ -233,14 +244,14 @@ class Batch:
         of = np.concatenate([of_a, of_b])[order]
         cut = at[np.searchsorted(of, np.arange(n + 1))].tolist()
         raw = raw.tobytes()
-        self.texts = [raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        self.n_groups = np.bincount(of_b, last(group_b), n).astype(np.int64)
+        self.texts += [raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        return np.bincount(of_b, last(group_b), n).astype(np.int64)
 
     def uses(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text that has tokens, its distinct chunks: text, chunk, how often."""
         doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
         fine = self.fine[doc]
-        key, n = np.unique(doc[fine] * max(1, len(self.n_a)) + self.of[fine], return_counts=True)
+        key, n = np.unique(doc[fine] * np.int64(max(1, len(self.n_a))) + self.of[fine], return_counts=True)
         return key // max(1, len(self.n_a)), key % max(1, len(self.n_a)), n
 
     def documents_of_pairs(self, doc: np.ndarray, chunk: np.ndarray) -> np.ndarray:
@@ -253,16 +264,16 @@ class Batch:
             j = max(i + 1, int(np.searchsorted(weight[cuts], weight[cuts[i]] + SLICE, "right")) - 1)
             d, c = doc[cuts[i] : cuts[j]], chunk[cuts[i] : cuts[j]]
             pair = self.pair_of[ranges(self.link_begin[c], self.n_links[c])]
-            key = np.unique(np.repeat(d, self.n_links[c]) * len(self.pairs) + pair)
+            key = np.unique(np.repeat(d, self.n_links[c]) * np.int64(len(self.pairs)) + pair)
             if len(key):
                 total += np.bincount(key % len(self.pairs), minlength=len(self.pairs))
             i = j
         return total
 
     def digests(self) -> list[str]:
-        of, out = self.of.tolist(), []
+        out = []
         for d, (i, j) in enumerate(zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)):
-            out.append(hashlib.sha256(b"".join(map(self.texts.__getitem__, of[i:j]))[:-1]).hexdigest() if self.fine[d] else "")
+            out.append(hashlib.sha256(b"".join(map(self.texts.__getitem__, self.of[i:j].tolist()))[:-1]).hexdigest() if self.fine[d] else "")
         return out
 
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 TRACKING = ("gclid", "fbclid", "msclkid", "yclid", "mc_cid", "mc_eid", "_ga", "ref", "referrer")
 #: Characters that stay as they are in a path: fixed values.
 PATH_SAFE = "/-_.~!$&'()*+,;=:@"
-ASSET_SUFFIXES = ("css", "js", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "woff", "woff2", "ttf", "mp4", "mp3", "zip")
+ASSET_SUFFIXES = (
+    "css", "js", "mjs", "map", "png", "jpg", "jpeg", "gif", "svg", "webp", "avif", "ico", "bmp", "woff", "woff2", "ttf", "otf", "eot", "mp4", "mp3", "wav", "avi", "mov", "webm", "zip", "rar", "gz", "7z", "exe", "dmg",
+    "doc", "docx", "xls", "xlsx", "ppt", "pptx",
+)
 
 
 def scheme(url: Column) -> Column:

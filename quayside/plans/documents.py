@@ -228,14 +228,15 @@ def token_concat(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "conversation_feedback_join",
-    "SELECT * FROM (SELECT q.conv_id, q.turn, length(q.text) AS asked, length(a.text) AS answered FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant' ORDER BY q.conv_id DESC, q.turn DESC LIMIT 20)",
+    "SELECT conv_id, turn, asked, answered FROM (SELECT q.conv_id, q.turn, length(q.text) AS asked, length(a.text) AS answered, row_number() OVER (PARTITION BY q.conv_id ORDER BY q.turn DESC) AS nth FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant') WHERE nth <= 20",
 )
 def conversation_feedback_join(spark: SparkSession, d: str) -> DataFrame:
-    """The newest twenty question and answer pairs."""
+    """The newest twenty question and answer pairs of each conversation; Spark cuts the groups before and after the shuffle."""
     c = table(spark, d, "conversations")
     q = c.filter("role = 'user'").select("conv_id", "turn", F.length("text").cast("long").alias("asked"))
     a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.length("text").cast("long").alias("answered"))
-    return q.join(a, ["conv_id", "turn"]).orderBy(F.col("conv_id").desc(), F.col("turn").desc()).limit(20)
+    nth = F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("turn").desc()))
+    return q.join(a, ["conv_id", "turn"]).withColumn("_n", nth).filter("_n <= 20").drop("_n")
 
 
 @register(

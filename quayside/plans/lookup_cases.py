@@ -64,10 +64,10 @@ PRICES = [("USD", "1", 40.0, 41.0), ("USD", "1", 40.0, 60.0), ("XAU", "gram", 41
 rule("broken_spread", "A spread that is missing, negative or above a quarter.", "code string, unit string, buy double, sell double", PRICES, {"broken": lambda: finance.spread_looks_broken(C("buy"), C("sell"))}, {"broken": "coalesce((sell - buy) / nullif((sell + buy) / 2, 0) * 100 > 25 OR (sell - buy) / nullif((sell + buy) / 2, 0) * 100 < 0, true)"})
 rule("spread_percent", "The spread in percent of the middle.", "code string, unit string, buy double, sell double", PRICES, {"spread": lambda: F.round(finance.spread(C("buy"), C("sell")), 6)}, {"spread": "round(CASE WHEN buy + sell > 0 THEN (sell - buy) / ((sell + buy) / 2) * 100 END, 6)"})
 rule("rate_group", "Parities, metals, coins and currencies.", "code string, unit string, buy double, sell double", PRICES, {"kind": lambda: F.when(C("code").contains("/"), "parity").when(C("unit") == "gram", "metal").when(C("unit") == "coin", "coin").otherwise("currency")}, {"kind": "CASE WHEN contains(code, '/') THEN 'parity' WHEN unit = 'gram' THEN 'metal' WHEN unit = 'coin' THEN 'coin' ELSE 'currency' END"})
-LIMITS = [(100.0, 12, 50.0, 1000.0, 3, 36), (10.0, 12, 50.0, None, 3, 36), (100.0, 48, None, None, None, 36), (0.0, 12, None, None, None, None), (2000.0, 2, 50.0, 1000.0, 3, 36)]
-rule("limit_reason", "Amount and term against the bounds that are declared; an absent bound passes.", "amount double, term int, low double, high double, least int, most int", LIMITS,
-     {"reason": lambda: F.when((C("amount") <= 0) | (C("term") <= 0), "not positive").when(C("amount") < C("low"), "amount below").when(C("amount") > C("high"), "amount above").when(C("term") < C("least"), "term below").when(C("term") > C("most"), "term above")},
-     {"reason": "CASE WHEN amount <= 0 OR term <= 0 THEN 'not positive' WHEN amount < low THEN 'amount below' WHEN amount > high THEN 'amount above' WHEN term < least THEN 'term below' WHEN term > most THEN 'term above' END"})
+LIMITS = [(100.0, 12, 50.0, 1000.0, 3, 36), (100.0, 12, 0.0, 0.0, 0, 0), (10.0, 12, 50.0, None, 3, 36), (100.0, 48, None, None, None, 36), (0.0, 12, None, None, None, None), (2000.0, 2, 50.0, 1000.0, 3, 36)]
+rule("limit_reason", "Amount and term against the bounds that are declared; an absent bound and one of 0 are none.", "amount double, term int, low double, high double, least int, most int", LIMITS,
+     {"reason": lambda: F.when((C("amount") <= 0) | (C("term") <= 0), "not positive").when(C("amount") > F.nullif("high", F.lit(0.0)), "amount above").when(C("amount") < C("low"), "amount below").when(C("term") > F.nullif("most", F.lit(0)), "term above").when(C("term") < C("least"), "term below")},
+     {"reason": "CASE WHEN amount <= 0 OR term <= 0 THEN 'not positive' WHEN high <> 0 AND amount > high THEN 'amount above' WHEN amount < low THEN 'amount below' WHEN most <> 0 AND term > most THEN 'term above' WHEN term < least THEN 'term below' END"})
 QUOTES = [(1000.0, 12, 95.0, 1140.0, 12, 3.0), (1000.0, 12, 0.0, 0.0, 0, 3.0), (1000.0, 12, 80.0, 960.0, 12, 3.0), (1000.0, 12, 95.0, 1140.0, 11, 3.0), (1000.0, 12, 84.0, 1008.0, 12, 3.0)]
 rule("quote_reason", "The first rule that a quote breaks.", "amount double, term int, pay double, total double, n_rows int, rate double", QUOTES,
      {"reason": lambda: F.when(C("pay") <= 0, "no quote").when(C("total") <= C("amount"), "total not above amount").when((C("n_rows") > 0) & (C("n_rows") != C("term")), "plan length").when(C("total") - C("amount") < 0.5 * C("amount") * C("rate") / 100, "profit below half a month's")},

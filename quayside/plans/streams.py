@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import shared_base
-from ..streaming import boards
+from ..streaming import boards, status
 from .catalog import register
 
 
@@ -23,7 +23,7 @@ def _upserted(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row of each key of an updating stream."""
     base = f"{shared_base(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream.writeStream.outputMode("update").foreachBatch(boards.upsert_into(f"{base}/rows", keys, order)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return boards.last_version(stream.sparkSession, f"{base}/rows")
+    return boards.last_version(stream.sparkSession, f"{base}/rows", stream.schema)
 
 
 @register("stream_latest_board", "SELECT event_type AS instrument, user_id % 4 AS bank, arg_max(value, (ts, event_id)) AS value, count(*) AS updates FROM events GROUP BY 1, 2")
@@ -45,3 +45,31 @@ def stream_status_changes(spark: SparkSession, d: str) -> DataFrame:
 def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
     got = _upserted(boards.windowed_counts(boards.read_events(spark, d)), ["start", "event_type"], "n")
     return got.select("start", "event_type", "n", F.round(F.col("total").cast("decimal(20,6)"), 2).cast("double").alias("total"))
+
+
+CHECKS = "CASE WHEN value > 45 THEN 'down' WHEN value > 15 THEN 'slow' ELSE 'ok' END"
+
+
+@register(
+    "stream_status_merge",
+    f"""WITH e AS (SELECT user_id, event_id, event_type AS product, {CHECKS} AS state, epoch_us(ts) AS us FROM events WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)),
+    g AS (SELECT *, CASE WHEN us // 1000 > lag(us) OVER w // 1000 + {status.QUIET_MS} THEN 1 ELSE 0 END AS gap FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), s AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY us, event_id) AS seg FROM g),
+    p AS (SELECT *, lag(state) OVER (PARTITION BY user_id, seg, product ORDER BY us, event_id) AS prior FROM s), t AS (SELECT *, prior IS DISTINCT FROM state AS turned FROM p),
+    f AS (SELECT *, max(CASE WHEN turned THEN us END) OVER (PARTITION BY user_id, seg, product ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM t)
+    SELECT user_id, product, event_id, coalesce(prior, 'unknown') AS before, since, state, us AS at FROM f WHERE turned AND (prior IS NOT NULL OR state <> 'ok')
+    UNION ALL SELECT user_id, NULL, NULL, NULL, max(us), 'stale', max(us) + {status.QUIET_MS * 1000} FROM s GROUP BY user_id, seg HAVING max(us) // 1000 + {status.QUIET_MS} <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)""",
+)
+def stream_status_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of all sources in six files, those of the same minutes spread over two of them, read in many micro-batches with a restart in between."""
+    base = f"{shared_base(spark).rstrip('/')}/status-{uuid.uuid4().hex}"
+    e = spark.read.schema(boards.EVENT).parquet(f"{d}/events.parquet").select("ts", "user_id", "event_id", F.col("event_type").alias("product"), F.expr(CHECKS).alias("state"))
+    first, last = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    # A row may come up to four minutes after its time.
+    seen = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(240)) * 1_000_000
+    slot = F.least(F.floor((seen - F.lit(first or 0)) * 6 / F.lit(max(1, (last or 0) - (first or 0)))), F.lit(5)).cast("int")
+    for k in range(6):
+        e.filter(slot == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if k in (2, 5):
+            checks = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+            status.run_to_end(status.status_changes(checks), base)
+    return spark.read.schema(status.OUT).parquet(f"{base}/rows")

@@ -59,23 +59,53 @@ def status_since(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, state string, since timestamp", "state string, since timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_into(path: str, key: str | list[str], order: str):
-    """A foreachBatch writer that keeps the newest row of each key as Parquet versions; a batch that runs again gives the same version."""
+BUCKETS = 16
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The batch numbers that each bucket's folder holds, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    for b in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "bucket_of_key=*/batch_of_rows=*")) or []:
+        out.setdefault(int(b.getPath().getParent().getName().split("=")[1]), []).append(int(b.getPath().getName().split("=")[1]))
+    return {b: sorted(n) for b, n in out.items()}
+
+
+def upsert_into(path: str, key: str | list[str], order: str, buckets: int = BUCKETS):
+    """A foreachBatch writer that keeps the newest row of each key. Keys are hashed into bucket folders, and a batch rewrites those that it has keys of, each as
+    a new version named by the batch: it starts from the last version before its own number, so a batch that runs again gives the same. The version before
+    stays for that; older ones go. Other buckets keep their files."""
     keys = [key] if isinstance(key, str) else key
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("r")).select("r.*")
-        if n > 0:
-            old = spark.read.parquet(f"{path}/version={n - 1}")
-            newest = newest.unionByName(old.join(newest.select(*keys), keys, "left_anti"))
-        newest.write.mode("overwrite").parquet(f"{path}/version={n}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("r")).select("r.*", bucket.alias("bucket_of_key")).persist()
+        touched = sorted(r.bucket_of_key for r in newest.select("bucket_of_key").distinct().collect())
+        have = _versions(spark, path)
+        before = {b: max((v for v in have.get(b, []) if v < n), default=None) for b in touched}
+        rows = newest
+        places = [f"{path}/bucket_of_key={b}/batch_of_rows={v}" for b, v in before.items() if v is not None]
+        if places:
+            old = spark.read.schema(batch.schema).parquet(*places).select("*", bucket.alias("bucket_of_key"))
+            rows = newest.unionByName(old.join(newest.select(*keys), keys, "left_anti"))
+        if touched:
+            rows.withColumn("batch_of_rows", F.lit(n)).repartition(len(touched), "bucket_of_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket_of_key", "batch_of_rows").parquet(path)
+        newest.unpersist()
+        folder = spark._jvm.org.apache.hadoop.fs.Path
+        fs = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for b, v in before.items():
+            for older in have.get(b, []):
+                if v is not None and older < v:
+                    fs.delete(folder(f"{path}/bucket_of_key={b}/batch_of_rows={older}"), True)
 
     return write
 
 
-def last_version(spark: SparkSession, path: str) -> DataFrame:
-    """The rows that upsert_into wrote last."""
-    rows = spark.read.parquet(path)
-    last = rows.agg(F.max("version")).first()[0]
-    return rows.filter(F.col("version") == last).drop("version")
+def last_version(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The rows that upsert_into wrote last: the newest version of each bucket."""
+    places = [f"{path}/bucket_of_key={b}/batch_of_rows={n[-1]}" for b, n in sorted(_versions(spark, path).items())]
+    if not places:
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(*places)

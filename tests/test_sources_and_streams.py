@@ -113,4 +113,25 @@ def test_streams_in_many_batches(spark, tmp_path, sf):
     q = stream.writeStream.foreachBatch(boards.upsert_into(out, "user_id", "ts")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     last = {r.user_id: r.event_id for r in rows}
-    assert {r.user_id: r.event_id for r in spark.read.parquet(f"{out}/version=3").collect()} == last
+    assert {r.user_id: r.event_id for r in boards.last_version(spark, out).collect()} == last
+
+
+def test_upsert_rewrites_only_the_buckets_of_a_batch(spark, tmp_path):
+    out = str(tmp_path / "target")
+    write = boards.upsert_into(out, "k", "t", buckets=8)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "target").rglob("*.parquet")}
+    batch = lambda rows: spark.createDataFrame(rows, "k long, t long, n string")
+    held = lambda: {r.k: (r.t, r.n) for r in boards.last_version(spark, out).collect()}
+    write(batch([(k, 0, "a") for k in range(100)]), 0)
+    before = files()
+    write(batch([(3, 1, "b"), (3, 2, "c"), (1000, 1, "new")]), 1)
+    want = {k: (0, "a") for k in range(100)} | {3: (2, "c"), 1000: (1, "new")}
+    now = files()
+    assert held() == want and all(now[p] == t for p, t in before.items()) and 1 <= len(set(now) - set(before)) <= 2
+    write(batch([(3, 1, "b"), (3, 2, "c"), (1000, 1, "new")]), 1)
+    assert held() == want and len(files()) == len(now)
+    write(batch([(3, 5, "d")]), 2)
+    write(batch([(3, 6, "e")]), 3)
+    assert held() == want | {3: (6, "e")} and len(files()) <= len(now) + 1
+    write(batch([]), 4)
+    assert held() == want | {3: (6, "e")}

@@ -28,10 +28,11 @@ def records_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return files.read_records(spark, path).select("doc_id", "lang", "site", F.sha2("text", 256).alias("digest"))
 
 
-@register("records_missing", "SELECT CAST(NULL AS VARCHAR) AS doc_id, CAST(0 AS BIGINT) AS n")
+@register("records_missing", "SELECT url, count(*) AS n_pages, CAST(0 AS BIGINT) AS n_known FROM pages GROUP BY url")
 def records_missing(spark: SparkSession, d: str) -> DataFrame:
-    """A file that isn't there is an empty table."""
-    return files.read_records_or_none(spark, _folder(spark, "nothing")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    """A file that isn't there is an empty table: no address is known from a run before."""
+    before = files.read_records_or_none(spark, _folder(spark, "nothing")).select(C("doc_id").alias("known"))
+    return table(spark, d, "pages").join(before, C("url") == C("known"), "left").groupBy("url").agg(F.count("*").alias("n_pages"), F.count("known").alias("n_known"))
 
 
 @register("queue_round_trip", "SELECT url, page_id AS priority FROM pages")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import finance
 from ._tables import table
-from .catalog import register, rule, values
+from .catalog import given, register, rule, values
 
 C = F.col
 TODAY = "2026-06-15"
@@ -78,48 +78,49 @@ rule("profit_share_reason", "Net above zero, gross not below net, and the gross
      {"reason": "CASE WHEN net <= 0 THEN 'no profit' WHEN gross < net THEN 'gross below net' WHEN abs(gross - amount * rate / 100 * days / 365) > 0.15 * gross THEN 'rate contradicts' END"})
 
 # ---- lookups ----
-MEMBERS = [("A", "home", "p1"), ("A", "home", "p2"), ("B", "home", "q1"), ("C", "car", "r1"), ("X", "home", "z")]
-BANKS = [("A", "finance,rates"), ("B", "rates"), ("C", "finance"), ("D", "finance")]
-M, B = values("bank string, family string, product string", MEMBERS), values("bank string, can string", BANKS)
+M = "(SELECT p_brand AS bank, p_type AS family, p_name AS product FROM part)"
+B = "(SELECT DISTINCT p_brand AS bank, CASE WHEN length(p_brand) = 7 THEN 'rates' ELSE 'finance,rates' END AS can FROM part)"
 
 
-def _two(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(MEMBERS, "bank string, family string, product string"), spark.createDataFrame(BANKS, "bank string, can string")
+def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return given(spark, d, M[1:-1]), given(spark, d, B[1:-1])
 
 
 @register("scope_by_capability", f"SELECT bank FROM {B} WHERE list_contains(string_split(can, ','), 'finance')")
 def scope_by_capability(spark: SparkSession, d: str) -> DataFrame:
-    return _two(spark)[1].filter(F.array_contains(F.split("can", ","), "finance")).select("bank")
+    return _two(spark, d)[1].filter(F.array_contains(F.split("can", ","), "finance")).select("bank")
 
 
-@register("family_in_scope", f"SELECT b.bank, coalesce(m.product, 'not offered') AS product FROM {B} b LEFT JOIN (SELECT * FROM {M} WHERE family = 'home') m ON b.bank = m.bank WHERE list_contains(string_split(can, ','), 'finance')")
+@register("family_in_scope", f"SELECT b.bank, coalesce(m.product, 'not offered') AS product FROM {B} b LEFT JOIN (SELECT * FROM {M} WHERE family = 'SMALL') m ON b.bank = m.bank WHERE list_contains(string_split(can, ','), 'finance')")
 def family_in_scope(spark: SparkSession, d: str) -> DataFrame:
     """Members of a family at the banks in scope; a bank without one says so."""
-    m, b = _two(spark)
+    m, b = _two(spark, d)
     scope = b.filter(F.array_contains(F.split("can", ","), "finance")).select("bank")
-    return scope.join(m.filter("family = 'home'").select("bank", "product"), "bank", "left").select("bank", F.coalesce("product", F.lit("not offered")).alias("product"))
+    return scope.join(m.filter("family = 'SMALL'").select("bank", "product"), "bank", "left").select("bank", F.coalesce("product", F.lit("not offered")).alias("product"))
 
 
 @register("members_without_capability", f"SELECT bank, family, product FROM {M} m WHERE NOT EXISTS (SELECT 1 FROM {B} b WHERE b.bank = m.bank AND list_contains(string_split(can, ','), 'finance'))")
 def members_without_capability(spark: SparkSession, d: str) -> DataFrame:
-    m, b = _two(spark)
+    m, b = _two(spark, d)
     return m.join(b.filter(F.array_contains(F.split("can", ","), "finance")).select("bank"), "bank", "left_anti").select("bank", "family", "product")
 
 
 @register("first_member_of_bank", f"SELECT bank, family, min(product) AS product FROM {M} GROUP BY 1, 2")
 def first_member_of_bank(spark: SparkSession, d: str) -> DataFrame:
-    return _two(spark)[0].groupBy("bank", "family").agg(F.min("product").alias("product"))
+    return _two(spark, d)[0].groupBy("bank", "family").agg(F.min("product").alias("product"))
 
 
-ALIASES = [("ev", "home"), ("konut", "home"), ("araba", "car")]
+ALIASES = [("ev", "SMALL"), ("konut", "SMALL"), ("araba", "ECONOMY")]
+NAMES_ASKED = "SELECT DISTINCT CASE p_size % 5 WHEN 0 THEN 'ev' WHEN 1 THEN 'araba' WHEN 2 THEN lower(p_type) ELSE p_type END AS asked FROM part"
 
 
-@register("family_by_alias", f"SELECT a.asked, coalesce(f.family, a.asked) AS family, count(m.product) AS n FROM (SELECT unnest(['ev', 'home', 'araba', 'boat']) AS asked) a LEFT JOIN {values('alias string, family string', ALIASES)} f ON f.alias = a.asked LEFT JOIN {M} m ON m.family = coalesce(f.family, a.asked) GROUP BY 1, 2")
+@register("family_by_alias", f"SELECT a.asked, coalesce(f.family, a.asked) AS family, count(m.product) AS n FROM ({NAMES_ASKED}) a LEFT JOIN {values('alias string, family string', ALIASES)} f ON f.alias = a.asked LEFT JOIN {M} m ON m.family = coalesce(f.family, a.asked) GROUP BY 1, 2")
 def family_by_alias(spark: SparkSession, d: str) -> DataFrame:
-    """Members of a family asked for by any of its names."""
-    asked = spark.createDataFrame([(x,) for x in ("ev", "home", "araba", "boat")], "asked string")
-    named = asked.join(spark.createDataFrame(ALIASES, "alias string, family string"), C("asked") == C("alias"), "left").select("asked", F.coalesce("family", "asked").alias("family"))
-    return named.join(_two(spark)[0].select(C("family").alias("_f"), "product"), C("family") == C("_f"), "left").groupBy("asked", "family").agg(F.count("product").alias("n"))
+    """Members of every family asked for, by any of its names; the names are a short list."""
+    alias = F.element_at(F.create_map(*[F.lit(x) for kv in ALIASES for x in kv]), C("asked"))
+    named = given(spark, d, NAMES_ASKED).select("asked", F.coalesce(alias, "asked").alias("family"))
+    counts = _two(spark, d)[0].groupBy("family").agg(F.count("product").alias("n"))
+    return named.join(counts, "family", "left").select("asked", "family", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @register("fan_out_outcomes", "SELECT CASE WHEN o_orderstatus = 'P' THEN 'error' ELSE 'answer' END AS outcome, count(*) AS n, count(DISTINCT o_orderkey) AS n_keys FROM orders GROUP BY 1")
@@ -203,69 +204,78 @@ def tool_evidence(spark: SparkSession, d: str) -> DataFrame:
     return said.join(table(spark, d, "pages").select("page_id"), "page_id").select("conv_id", "turn", "page_id")
 
 
-POINTS, GIVEN = ["abc-100", "abc-200", "xyz-1"], ["abc-100", "abc-10", "bc-200", "zzz", "abc"]
+POINTS = "SELECT source AS doc, lang || '-' || doc_id AS point FROM documents"
+CITED = "SELECT source AS doc, CASE doc_id % 3 WHEN 0 THEN lang || '-' || doc_id WHEN 1 THEN lang || '-' || CAST(floor(doc_id / 10) AS BIGINT) ELSE 'x' || lang || '-' || doc_id || '-y' END AS given FROM documents WHERE doc_id % 50 < 3"
 
 
-@register("evidence_resolved", f"WITH p AS (SELECT unnest({POINTS}) AS point), g AS (SELECT unnest({GIVEN}) AS given), m AS (SELECT given, point, count(*) OVER (PARTITION BY given) AS n FROM g JOIN p ON contains(point, given) OR contains(given, point)) SELECT given, coalesce((SELECT point FROM p WHERE point = given), (SELECT point FROM m WHERE m.given = g.given AND n = 1)) AS point FROM g")
+@register(
+    "evidence_resolved",
+    f"""WITH p AS ({POINTS}), g AS (SELECT DISTINCT * FROM ({CITED})), m AS (SELECT g.doc, given, min(point) AS point, count(*) AS n FROM g JOIN p ON g.doc = p.doc AND (contains(point, given) OR contains(given, point)) GROUP BY 1, 2)
+    SELECT g.doc, g.given, coalesce((SELECT min(point) FROM p WHERE point = g.given AND p.doc = g.doc), (SELECT point FROM m WHERE m.given = g.given AND m.doc = g.doc AND n = 1)) AS point FROM g""",
+)
 def evidence_resolved(spark: SparkSession, d: str) -> DataFrame:
-    """An id as given; else the only one that holds it or is held by it. The ids of one answer's evidence are a short list: they are part of the
-    expression."""
-    near = F.filter(F.array(*map(F.lit, POINTS)), lambda p: p.contains(C("given")) | C("given").contains(p))
-    exact = F.when(C("given").isin(*POINTS), C("given"))
-    return spark.createDataFrame([(g,) for g in GIVEN], "given string").select("given", F.coalesce(exact, F.when(F.size(near) == 1, F.get(near, F.lit(0)))).alias("point"))
+    """An id as cited; else the only one of its document that holds it or is held by it. Ids meet over their substrings of the lengths that the cited ones have, and the cited ones over theirs, so no pairs of a document are formed."""
+    points, cited = given(spark, d, POINTS), given(spark, d, CITED).distinct()
+    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(C(c), i, n)))))
+    inside = points.select("doc", "point", F.explode(parts("point")).alias("given")).join(cited, ["doc", "given"]).select("doc", "given", "point")
+    around = cited.select("doc", "given", F.explode(parts("given")).alias("point")).join(points, ["doc", "point"]).select("doc", "given", "point")
+    near = inside.unionByName(around).distinct().groupBy("doc", "given").agg(F.count("*").alias("n"), F.min("point").alias("one"), F.max(F.when(C("point") == C("given"), C("point"))).alias("same"))
+    return cited.join(near, ["doc", "given"], "left").select("doc", "given", F.coalesce("same", F.when(C("n") == 1, C("one"))).alias("point"))
 
 
 # ---- chunks, votes and dates ----
 VOTES = [("a", n, p) for n, p in ((0, 0), (3, 1), (3, 0), (9, 0), (10, 5), (10, 4), (12, 12))]
 rule("page_relevance", "Below ten parts one vote for is enough; from ten on the majority, ties for; no votes are for.", "id string, n int, pros int", VOTES, {"relevant": lambda: F.when(C("n") == 0, True).when(C("n") < 10, C("pros") > 0).otherwise(C("n") - C("pros") <= C("pros"))}, {"relevant": "CASE WHEN n = 0 THEN true WHEN n < 10 THEN pros > 0 ELSE n - pros <= pros END"})
-DATED = [("p", 0, "2026-03-01", None, ""), ("p", 1, "2026-02-01", "2026-05-01", "running"), ("p", 2, None, "2026-06-01", "over"), ("q", 0, None, None, None), ("q", 1, None, None, "over"), ("r", 0, "2026-01-01", "2026-01-31", "running")]
-DS = "page string, pos int, start string, stop string, status string"
+DATED = (
+    "SELECT CAST(o_custkey AS STRING) AS page, o_orderkey AS pos, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) END AS start, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(1997 + o_orderkey % 5 AS STRING) || substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 5) END AS stop, "
+    "CASE o_orderstatus WHEN 'F' THEN 'over' WHEN 'O' THEN 'running' WHEN 'P' THEN '' END AS status FROM orders"
+)
 
 
-@register("dates_first_status", f"SELECT page, min(start) AS start, max(stop) AS stop, arg_min(status, pos) FILTER (coalesce(status, '') <> '') AS status FROM {values(DS, DATED)} GROUP BY page")
+@register("dates_first_status", f"SELECT page, min(start) AS start, max(stop) AS stop, arg_min(status, pos) FILTER (coalesce(status, '') <> '') AS status FROM ({DATED}) GROUP BY page")
 def dates_first_status(spark: SparkSession, d: str) -> DataFrame:
     """A page's dates over its parts: first start, last end, the first status that says something."""
-    return spark.createDataFrame(DATED, DS).groupBy("page").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by(F.when(F.coalesce("status", F.lit("")) != "", C("status")), F.when(F.coalesce("status", F.lit("")) != "", C("pos"))).alias("status"))
+    return given(spark, d, DATED).groupBy("page").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by(F.when(F.coalesce("status", F.lit("")) != "", C("status")), F.when(F.coalesce("status", F.lit("")) != "", C("pos"))).alias("status"))
 
 
-@register("dates_last_status", f"SELECT page, min(start) AS start, max(stop) AS stop, arg_max(status, pos) FILTER (coalesce(status, '') <> '') AS status FROM {values(DS, DATED)} GROUP BY page")
+@register("dates_last_status", f"SELECT page, min(start) AS start, max(stop) AS stop, arg_max(status, pos) FILTER (coalesce(status, '') <> '') AS status FROM ({DATED}) GROUP BY page")
 def dates_last_status(spark: SparkSession, d: str) -> DataFrame:
     """The same with the last status."""
-    return spark.createDataFrame(DATED, DS).groupBy("page").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max_by(F.when(F.coalesce("status", F.lit("")) != "", C("status")), F.when(F.coalesce("status", F.lit("")) != "", C("pos"))).alias("status"))
+    return given(spark, d, DATED).groupBy("page").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max_by(F.when(F.coalesce("status", F.lit("")) != "", C("status")), F.when(F.coalesce("status", F.lit("")) != "", C("pos"))).alias("status"))
 
 
-@register("dates_any_ended", f"SELECT page, min(start) AS start, max(stop) AS stop, coalesce(bool_or(status = 'over'), false) AS ended FROM {values(DS, DATED)} GROUP BY page")
+@register("dates_any_ended", f"SELECT page, min(start) AS start, max(stop) AS stop, coalesce(bool_or(status = 'over'), false) AS ended FROM ({DATED}) GROUP BY page")
 def dates_any_ended(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(DATED, DS).groupBy("page").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.coalesce(F.bool_or(C("status") == "over"), F.lit(False)).alias("ended"))
+    return given(spark, d, DATED).groupBy("page").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.coalesce(F.bool_or(C("status") == "over"), F.lit(False)).alias("ended"))
 
 
-@register("cell_window", f"SELECT page, coalesce(min(start), '?') || ' - ' || coalesce(max(stop), '?') AS window_ FROM {values(DS, DATED)} GROUP BY page")
+@register("cell_window", f"SELECT page, coalesce(min(start), '?') || ' - ' || coalesce(max(stop), '?') AS window_ FROM ({DATED}) GROUP BY page")
 def cell_window(spark: SparkSession, d: str) -> DataFrame:
     """A cell's window: the hull of its sources'."""
-    return spark.createDataFrame(DATED, DS).groupBy("page").agg(F.concat_ws(" - ", F.coalesce(F.min("start"), F.lit("?")), F.coalesce(F.max("stop"), F.lit("?"))).alias("window_"))
+    return given(spark, d, DATED).groupBy("page").agg(F.concat_ws(" - ", F.coalesce(F.min("start"), F.lit("?")), F.coalesce(F.max("stop"), F.lit("?"))).alias("window_"))
 
 
-@register("validity_columns", f"SELECT page, 'rate' AS col, status AS value FROM {values(DS, DATED)} WHERE pos = 0 UNION ALL SELECT page, 'rate (Validity)', coalesce(min(start), '?') || ' - ' || coalesce(max(stop), '?') FROM {values(DS, DATED)} GROUP BY page")
+@register("validity_columns", f"SELECT page, 'rate' AS col, status AS value FROM ({DATED}) WHERE pos % 7 = 0 UNION ALL SELECT page, 'rate (Validity)', coalesce(min(start), '?') || ' - ' || coalesce(max(stop), '?') FROM ({DATED}) GROUP BY page")
 def validity_columns(spark: SparkSession, d: str) -> DataFrame:
     """A column of validity beside each column of data."""
-    rows = spark.createDataFrame(DATED, DS)
+    rows = given(spark, d, DATED)
     made = cell_window(spark, d).select("page", F.lit("rate (Validity)").alias("col"), C("window_").alias("value"))
-    return rows.filter("pos = 0").select("page", F.lit("rate").alias("col"), C("status").alias("value")).unionByName(made)
+    return rows.filter("pos % 7 = 0").select("page", F.lit("rate").alias("col"), C("status").alias("value")).unionByName(made)
 
 
-@register("row_stamp", f"SELECT page, max(start) AS start, CASE WHEN min(stop) >= max(start) THEN min(stop) END AS stop FROM {values(DS, DATED)} WHERE start IS NOT NULL AND stop IS NOT NULL GROUP BY page")
+@register("row_stamp", f"SELECT page, max(start) AS start, CASE WHEN min(stop) >= max(start) THEN min(stop) END AS stop FROM ({DATED}) WHERE start IS NOT NULL AND stop IS NOT NULL GROUP BY page")
 def row_stamp(spark: SparkSession, d: str) -> DataFrame:
     """A row's stamp: the intersection of its closed windows."""
-    return spark.createDataFrame(DATED, DS).filter("start IS NOT NULL AND stop IS NOT NULL").groupBy("page").agg(F.max("start").alias("start"), F.min("stop").alias("e")).select("page", "start", F.when(C("e") >= C("start"), C("e")).alias("stop"))
+    return given(spark, d, DATED).filter("start IS NOT NULL AND stop IS NOT NULL").groupBy("page").agg(F.max("start").alias("start"), F.min("stop").alias("e")).select("page", "start", F.when(C("e") >= C("start"), C("e")).alias("stop"))
 
 
-WIDE = [("k1", "a", None), ("k2", "", None), ("k3", "b", None)]
+WIDE = "SELECT p_partkey AS k, CASE WHEN p_size > 10 THEN p_name ELSE '' END AS x, CASE WHEN p_size > 100 THEN p_type WHEN p_size > 20 THEN '' END AS y FROM part"
 
 
-@register("columns_without_values", f"SELECT sum(CASE WHEN x IS NOT NULL AND x <> '' THEN 1 ELSE 0 END) = 0 AS x_empty, sum(CASE WHEN y IS NOT NULL AND y <> '' THEN 1 ELSE 0 END) = 0 AS y_empty FROM {values('k string, x string, y string', WIDE)}")
+@register("columns_without_values", f"SELECT sum(CASE WHEN x IS NOT NULL AND x <> '' THEN 1 ELSE 0 END) = 0 AS x_empty, sum(CASE WHEN y IS NOT NULL AND y <> '' THEN 1 ELSE 0 END) = 0 AS y_empty FROM ({WIDE})")
 def columns_without_values(spark: SparkSession, d: str) -> DataFrame:
     empty = lambda c: F.sum(F.when(F.coalesce(C(c), F.lit("")) != "", 1).otherwise(0)) == 0
-    return spark.createDataFrame(WIDE, "k string, x string, y string").agg(empty("x").alias("x_empty"), empty("y").alias("y_empty"))
+    return given(spark, d, WIDE).agg(empty("x").alias("x_empty"), empty("y").alias("y_empty"))
 
 
 # ---- counts ----

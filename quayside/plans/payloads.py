@@ -220,11 +220,6 @@ RETRY = [('{"code":0,"data":1}',), ('{"code":503}',), ("<html>",)]
 rule("retry_on_body", "A body whose content says that it should be asked for again.", "body string", RETRY, {"again": lambda: F.coalesce(J("body", "$.code") != "0", F.lit(True))}, {"again": "CASE WHEN json_valid(body) THEN coalesce(json_extract_string(body, '$.code') <> '0', true) ELSE true END"})
 INFO = [("Title:  A b\nPages: 3\nEncrypted: no",), ("",)]
 rule("document_info", "Lines of key and value.", "out string", INFO, {"pages": lambda: F.trim(F.regexp_extract("out", "(?m)^Pages:\\s*(.*)$", 1)), "title": lambda: F.trim(F.regexp_extract("out", "(?m)^Title:\\s*(.*)$", 1))}, {"pages": "trim(regexp_extract(out, '(?m)^Pages:\\s*(.*)$', 1))", "title": "trim(regexp_extract(out, '(?m)^Title:\\s*(.*)$', 1))"})
-ROBOTS = [("User-agent: *\nDisallow: /private\nDisallow:\nAllow: /\n",), ("User-agent: other\nDisallow: /\n",), ("",)]
-GROUP = "regexp_extract(txt, '(?is)user-agent:\\s*\\*\\s*\\n(.*?)(?:\\n\\s*user-agent:|$)', 1)"
-rule("robots_prefixes", "Prefixes that the group for all agents forbids; no file forbids nothing.", "txt string", ROBOTS, {"prefixes": lambda: joined(files.robots_rules(C("txt")))}, {"prefixes": f"array_to_string(list_filter(regexp_extract_all({GROUP}, '(?im)^[ \\t]*disallow:[ \\t]*(\\S*)', 1), lambda p: p <> ''), '|')"})
-ASKED = [(t, p) for t in (ROBOTS[0][0], "") for p in ("/private/x", "/public")]
-rule("robots_allowed", "Whether a path may be fetched.", "txt string, path string", ASKED, {"allowed": lambda: ~F.exists(files.robots_rules(C("txt")), lambda r: C("path").startswith(r))}, {"allowed": f"len(list_filter(regexp_extract_all({GROUP}, '(?im)^[ \\t]*disallow:[ \\t]*(\\S*)', 1), lambda p: p <> '' AND starts_with(path, p))) = 0"})
 MAPS = [("<urlset><url><loc> https://h/a?x=1&amp;y=2 </loc></url><url><LOC>https://h/b</LOC></url><url><loc>https://h/c</urlset>",), ("",)]
 rule("sitemap_locations", "Locations of a site map, however badly it is made.", "xml string", MAPS, {"locations": lambda: joined(files.sitemap_locations(C("xml")))}, {"locations": "array_to_string(list_transform(regexp_extract_all(xml, '(?is)<loc>\\s*(.*?)\\s*</loc>', 1), lambda u: replace(u, '&amp;', '&')), '|')"})
 MARKUP = [('<a href="/a.pdf?x=1">A</a><a href="b.DOCX">B</a><img src="/i.png"><img src="data:x"><img src="/t/pixel.gif"><img src="/i.png"><a href="/page">P</a>',), ("",)]

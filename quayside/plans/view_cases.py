@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import ordering, scan, search
 from ._tables import table
-from .catalog import register, rule, values
+from .catalog import given, register, rule
 from .documents import fold_sql
+from .given import GIVEN
 
 C = F.col
 ROUND = lambda c, n=4: F.round(c.cast("decimal(38,10)"), n).cast("double")
@@ -290,9 +291,9 @@ rule("probe_outcome", "What a probe says: too slow, known, down or fine.", PS, P
 rule("audit_outcome", "A failure counts only when it fails again.", PS, PROBES, {"failed": lambda: ~C("first") & ~C("again")}, {"failed": "NOT first AND NOT again"})
 
 
-@register("health_by_bank", f"SELECT bank, count(*) FILTER (first) AS ok, count(*) FILTER (NOT first) AS down FROM {values(PS, PROBES)} GROUP BY bank")
+@register("health_by_bank", f"SELECT bank, count(*) FILTER (first) AS ok, count(*) FILTER (NOT first) AS down FROM ({GIVEN[PS]}) GROUP BY bank")
 def health_by_bank(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(PROBES, PS).groupBy("bank").agg(F.count_if(C("first")).alias("ok"), F.count_if(~C("first")).alias("down"))
+    return given(spark, d, GIVEN[PS]).groupBy("bank").agg(F.count_if(C("first")).alias("ok"), F.count_if(~C("first")).alias("down"))
 
 
 WIDTHS = [(1, "a|b|c", 3), (2, "a|b", 3), (3, "a|b|c|d", 3)]

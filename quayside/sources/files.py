@@ -86,12 +86,6 @@ def sitemap_locations(xml: Column) -> Column:
     return F.transform(F.regexp_extract_all(xml, F.lit("(?is)<loc>\\s*(.*?)\\s*</loc>"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
 
 
-def robots_rules(text: Column) -> Column:
-    """Disallowed prefixes of the group for all agents."""
-    group = F.regexp_extract(text, "(?is)user-agent:\\s*\\*\\s*\\n(.*?)(?:\\n\\s*user-agent:|$)", 1)
-    return F.filter(F.regexp_extract_all(group, F.lit("(?im)^[ \\t]*disallow:[ \\t]*(\\S*)"), F.lit(1)), lambda p: p != "")
-
-
 def html_options(page: Column, name: str) -> Column:
     """(value, label) of every option of a named select."""
     body = F.regexp_extract(page, f"(?is)<select[^>]*name=[\"']{name}[\"'][^>]*>(.*?)</select>", 1)

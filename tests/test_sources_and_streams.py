@@ -50,18 +50,18 @@ def test_html_and_payloads(spark):
     plan = "<table><tr><th>Taksit Tutarı</th><th>Ana Para</th><th>Kâr</th><th>Kalan</th></tr><tr><td>1.000,50</td><td>900</td><td>100,50</td><td>0</td></tr></table>"
     js = json.dumps({"Data": [{"c": "TL", "n": "lira", "b": "1,5", "s": "2"}, {"c": "X", "n": "x", "b": "0", "s": "2"}]})
     ajax = json.dumps([{"command": "insert", "selector": "#a", "data": "1"}, {"command": "other"}])
-    df = spark.createDataFrame([(page, plan, js, ajax, "<urlset><url><loc> https://h/a?x=1&amp;y=2 </loc></url></urlset>", "User-agent: *\nDisallow: /x\nAllow: /\nDisallow:\n")], "page string, plan string, js string, ajax string, xml string, robots string")
+    df = spark.createDataFrame([(page, plan, js, ajax, "<urlset><url><loc> https://h/a?x=1&amp;y=2 </loc></url></urlset>")], "page string, plan string, js string, ajax string, xml string")
     r = df.select(
         quotes.products(F.col("page"), "cur").alias("p"), quotes.rates_from_table(F.col("page")).alias("t"),
         quotes.schedule_from_html(F.col("plan"), {"payment": "Taksit Tutarı", "principal": "Ana Para", "profit": "Kâr", "remaining": "Kalan"}).alias("s"),
         quotes.rates_from_json(F.col("js"), "Data array<struct<c:string,n:string,b:string,s:string>>", "Data", "c", "n", "b", "s").alias("j"),
-        quotes.commands(F.col("ajax")).alias("a"), files.sitemap_locations(F.col("xml")).alias("x"), files.robots_rules(F.col("robots")).alias("r"),
+        quotes.commands(F.col("ajax")).alias("a"), files.sitemap_locations(F.col("xml")).alias("x"),
         quotes.ms_date(F.lit("/Date(1754006400000+0300)/")).alias("d"), quotes.first_positive([F.lit(0.0), F.lit(2.5)]).alias("f"),
     ).first()
     assert [(x.code, x.name) for x in r.p] == [("1", "US Dollar"), ("2", "Euro")]
     assert [(x.code, x.buy, x.sell) for x in r.t] == [("USD", 40.10, 41.20)]
     assert [(x.n, x.payment, x.principal, x.profit, x.tax) for x in r.s] == [(1, 1000.5, 900.0, 100.5, 0.0)]
-    assert [(x.code, x.buy) for x in r.j] == [("TRY", 1.5)] and r.a == {"#a": "1"} and r.x == ["https://h/a?x=1&y=2"] and r.r == ["/x"] and r.d == "2025-08-01" and (r.f.attempt, r.f.value) == (1, 2.5)
+    assert [(x.code, x.buy) for x in r.j] == [("TRY", 1.5)] and r.a == {"#a": "1"} and r.x == ["https://h/a?x=1&y=2"] and r.d == "2025-08-01" and (r.f.attempt, r.f.value) == (1, 2.5)
     q = spark.range(1).select(quotes.quote(F.lit(100.0), F.lit(2), F.lit(0.0), F.lit(0.0), F.array().cast(quotes.SCHEDULE)).alias("q")).first().q
     assert q.refused == "no quote"
 

@@ -115,7 +115,7 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _radix(width: int, gram: int):
     def leading(t: Texts):
         r = Runs(t, width, gram)
-        keys, n = counted_once_a_document(r.keys, r.docs)
+        keys, n = counted_once_a_document(r.keys, r.docs, 2)
         return keys, [n]
 
     def by_run(t: Texts):
@@ -185,7 +185,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, gra
     fall inside a character)."""
     leading, by_run, join_runs, by_window, cut = _radix(width, gram)
     x = Exchange(spark, docs, **sizes)
-    x.ask(leading, at_least(2), ["u2"])
+    x.ask(leading, at_least(2), ["u1"])
     x.ask(by_run, join_runs, ["i8", "u8", "u8"], (0,))
     x.ask(by_window, least, ["i8"], (1,))
     return x.result(lambda t: cut(t, with_text), RESULT + ", kept binary" * with_text, (1, 2))

@@ -124,7 +124,7 @@ def _steps(width: int, rounds: int):
     joined = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.uint64)
 
     def symbols(t: Texts):
-        keys, n = counted(joined([p.keys for p in parts(t)]))
+        keys, n = counted(joined([p.keys for p in parts(t)]), 2)
         return keys, [n]
 
     def kept_runs(t: Texts, p: list[Windows]) -> list[np.ndarray]:
@@ -136,7 +136,7 @@ def _steps(width: int, rounds: int):
         found = [x.window_keys(keep, width) for x, keep in zip(p, kept_runs(t, p), strict=True)]
         before = np.cumsum([0, *[len(x.starts) for x in p]])
         every = joined([k for k, _ in found])
-        keys, n = counted(every)
+        keys, n = counted(every, 2)
         word = np.concatenate([w + b for (_, w), b in zip(found, before, strict=False)]) if found else np.zeros(0, np.int64)
         t.save(of=np.searchsorted(keys, every).astype(np.uint32), word=word.astype(np.uint32))
         return keys, [n]
@@ -171,6 +171,6 @@ def remove_repeated_windows(spark: SparkSession, docs: DataFrame, width: int = W
     Per row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by one space."""
     symbols, by_window, cut = _steps(width, rounds)
     x = Exchange(spark, docs, **sizes)
-    x.ask(symbols, at_least(2), ["u2"])
-    x.ask(by_window, at_least(2), ["u2"], (0,))
+    x.ask(symbols, at_least(2), ["u1"])
+    x.ask(by_window, at_least(2), ["u1"], (0,))
     return x.result(lambda t: cut(t, with_text), RESULT + ", kept string" * with_text, (1,))

@@ -3,9 +3,8 @@
 Texts with the same words are one class. A class's set of word n-grams gives a signature of trees x depth least hashes, and
 each tree is a prefix trie of its part of the signatures: classes that share a prefix lie in one branch. Branches are found by grouping on the prefix, which
 gives the runs that sorting the signatures would give, without a total order. The
-matched prefixes start at the full depth and are shortened until pairs at the threshold are found with the
-target recall; after verification the recall is estimated from the pairs found, each counted by the inverse of its
-chance of being found, and prefixes are shortened further if it falls short. A pair is judged in the first tree only in which its classes share a
+matched prefixes start at the full depth. They are shortened until pairs at the threshold have the target recall by calculation, and then until the recall that is measured reaches
+it: a bounded sample of texts is joined with all others exactly, by n-grams, and the pairs found so are looked up in the tries. A pair is judged in the first tree only in which its classes share a
 branch, and its Jaccard similarity is computed from the texts.
 
 Large branches are dealt into blocks, and every pair of blocks is a task of its own; only sums per class and a spanning set of links leave it,
@@ -22,7 +21,6 @@ are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +39,10 @@ RECALL = 0.999
 BLOCK = 512
 SLICE = 1 << 18
 SALTS = 8
-#: Pairs whose signatures agree in less than the threshold minus this are not verified: over five standard deviations. The chance of losing a pair so is part
-#: of the estimate of recall.
+#: The sample that the recall is measured with: texts, bytes of a text, and n-grams in all.
+SAMPLE, SAMPLE_BYTES, SAMPLE_GRAMS = 256, 1 << 16, 1 << 18
+#: Pairs whose signatures agree in less than the threshold minus this are not verified: over five standard deviations. Pairs lost so count as lost in the measured
+#: recall.
 MARGIN = 0.25
 _random = np.random.Generator(np.random.PCG64(11))
 _FACTORS = _random.integers(1, 1 << 63, TREES * DEPTH * 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,13 +120,60 @@ def recall_at(similarity: float, trees: int, depth: int) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
-def passing(similarity: np.ndarray, size: int, agree: float) -> np.ndarray:
-    """The chance that signatures of so many values agree in a share of at least `agree` of them."""
-    n = np.arange(size + 1)
-    ways = np.array([math.comb(size, int(k)) for k in n], np.float64)
-    q = np.clip(similarity, 1e-12, 1 - 1e-12)[:, None]
-    each = ways * q**n * (1 - q) ** (size - n)
-    return each[:, n >= agree * size].sum(1)
+def sampled(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of classes drawn by a hash: their nodes and how many n-grams each has; all distinct n-grams, sorted by value, and the class of each."""
+    drawn = nodes.select("node", "row_key").orderBy(F.xxhash64("node", F.lit(5)), "node").limit(4 * SAMPLE)
+    texts = docs.select(row_key().alias("row_key"), "text").filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(drawn), "row_key").groupBy("node").agg(F.first("text").alias("text"))
+    rows = sorted((r.node, r.text) for r in texts.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(SAMPLE).collect())
+    data, at = text_bytes(pa.array([t for _, t in rows], pa.string()))
+    every, cut, _, _ = shingles(data, at, n)
+    grams = [np.unique(every[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    fits = int(np.searchsorted(np.cumsum([len(g) for g in grams]), SAMPLE_GRAMS, "right"))
+    size = np.array([len(g) for g in grams[:fits]], np.int64)
+    flat, of = (np.concatenate(grams[:fits]), np.repeat(np.arange(fits), size)) if fits else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    order = np.argsort(flat, kind="stable")
+    return np.array([r[0] for r in rows[:fits]], np.int64), size, flat[order], of[order]
+
+
+def measured(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int, threshold: float, trees: int, full: int, agree: float) -> list[float] | None:
+    """The share of a sample's exact pairs that tries of depth 1, 2, ... full find; None if the sample has no pairs. The sample, of a proven size, goes to every task with its code."""
+    own, size, flat, of = sampled(spark, docs, nodes, n)
+    if not len(flat):
+        return None
+    distinct, begin = np.unique(flat, return_index=True)
+    count = np.diff(np.append(begin, len(flat)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.asarray(b.column("row_key"))
+            data, at = text_bytes(b.column("text"))
+            out: list[tuple[int, int]] = []
+            for i, j in slices(at, SLICE):
+                every, cut, _, _ = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], n)
+                where = np.searchsorted(distinct, every)
+                hit = np.zeros(len(every), bool)
+                inside = where < len(distinct)
+                hit[inside] = distinct[where[inside]] == every[inside]
+                doc = np.repeat(np.arange(j - i), np.diff(cut))
+                for d in np.unique(doc[hit]).tolist():
+                    g = np.unique(where[cut[d] : cut[d + 1]][hit[cut[d] : cut[d + 1]]])
+                    m = count[g]
+                    shared = np.bincount(of[np.repeat(begin[g] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))], minlength=len(size))
+                    total = len(np.unique(every[cut[d] : cut[d + 1]]))
+                    out += [(int(own[k]), int(keys[i + d])) for k in np.flatnonzero(shared >= threshold * (size + total - shared)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int64())], ["own", "row_key"])
+            release()
+
+    pairs = docs.select(row_key().alias("row_key"), "text").filter("text IS NOT NULL").mapInArrow(scan, "own long, row_key long")
+    pairs = pairs.join(nodes.select("row_key", "node", "sig"), "row_key").filter("node != own")
+    pairs = pairs.join(nodes.select(F.col("node").alias("own"), F.col("sig").alias("own_sig")), "own")
+    at = lambda c, t, d: F.substring(F.col(c), t * (4 * full) + 1 + 4 * d, F.lit(4))
+    alike = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(full - 1)), lambda d: (at("sig", t, d) == at("own_sig", t, d)).cast("int"))))
+    first = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.aggregate(F.slice("alike", t * full + 1, full), F.struct(F.lit(0).alias("n"), F.lit(1).alias("on")), lambda s, x: F.struct((s["n"] + s["on"] * x).alias("n"), (s["on"] * x).alias("on")), lambda s: s["n"]))
+    reach = pairs.withColumn("alike", alike).select(F.when(F.aggregate("alike", F.lit(0), lambda s, x: s + x) >= agree * trees * full, F.array_max(first)).otherwise(0).alias("reach"))
+    n_of = {r.reach: r["count"] for r in reach.groupBy("reach").count().collect()}
+    every = sum(n_of.values())
+    return [sum(c for k, c in n_of.items() if k >= d) / every for d in range(1, full + 1)] if every else None
 
 
 def branches(nodes: DataFrame, trees: int, depth: int, full: int) -> DataFrame:
@@ -212,7 +259,7 @@ def wanted(tasks: DataFrame, nodes: DataFrame, trees: int, depth: int, full: int
 
 def verified(rows: DataFrame, n: int, threshold: float, trees: int, depth: int, full: int, agree: float) -> DataFrame:
     """rows: tasks with sig, copies and text. Per task and class with a link: node, root (of a set that the task's links
-    connect), links (copies of the classes linked), found and expected: its pairs, and those weighted by the inverse of the chance to be found."""
+    connect), links (copies of the classes linked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in whole_groups(batches, TASK):
@@ -231,22 +278,20 @@ def verified(rows: DataFrame, n: int, threshold: float, trees: int, depth: int,
                 both = common(grams, pairs)
                 score = both / (size[pairs[:, 0]] + size[pairs[:, 1]] - both)
                 linked = score >= threshold
-                pairs, score = pairs[linked], score[linked]
+                pairs = pairs[linked]
                 if not len(pairs):
                     continue
                 root = connect(j - i, pairs)
                 weight, node = cols["copies"][i:j], cols["node"][i:j]
                 x, y = pairs.T
                 links = np.bincount(x, weight[y], j - i) + np.bincount(y, weight[x], j - i)
-                chance = 1 / np.maximum(1e-9, recall_at(score, trees, depth) * passing(score, trees * full, agree))
-                found, expected = np.bincount(x, minlength=j - i), np.bincount(x, chance, j - i)
                 has = np.flatnonzero(links > 0)
-                out.append([node[has], node[root[has]], links[has].astype(np.int64), found[has], expected[has]])
+                out.append([node[has], node[root[has]], links[has].astype(np.int64)])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "root", "links", "found", "expected"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["node", "root", "links"])
             release()
 
-    return by_task(rows).mapInArrow(run, "node long, root long, links long, found long, expected double")
+    return by_task(rows).mapInArrow(run, "node long, root long, links long")
 
 
 def connect(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -299,19 +344,17 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = N, threshold: fl
     nodes = stored(classes.withColumn("node", F.xxhash64("h1", "h2")), spark, "nodes")
     while recall_at(threshold, trees, depth) < recall and depth > 1:
         depth -= 1
-    while True:
-        agree = max(0.0, threshold - MARGIN)
-        need = stored(wanted(branches(nodes, trees, depth, full), nodes, trees, depth, full, agree), spark, "wanted")
-        keyed = nodes.select("node", "row_key", "n_copies", "sig").join(need.select("node").distinct(), "node")
-        texts = docs.select(row_key().alias("row_key"), "text").join(keyed.select("row_key").distinct(), "row_key", "left_semi")
-        texts = texts.groupBy("row_key").agg(F.first("text").alias("text"))
-        fetched = keyed.join(texts, "row_key").select("node", F.col("n_copies").alias("copies"), "sig", "text")
-        found = stored(verified(need.join(fetched, "node"), n, threshold, trees, depth, full, agree), spark, "links")
-        forget(spark, need)
-        seen, expected = found.agg(F.sum("found"), F.sum("expected")).first()
-        if not seen or seen / expected >= recall or depth == 1:
-            break
+    agree = max(0.0, threshold - MARGIN)
+    shares = measured(spark, docs, nodes, n, threshold, trees, full, agree) if depth > 1 else None
+    while shares and depth > 1 and shares[depth - 1] < recall:
         depth -= 1
+    need = stored(wanted(branches(nodes, trees, depth, full), nodes, trees, depth, full, agree), spark, "wanted")
+    keyed = nodes.select("node", "row_key", "n_copies", "sig").join(need.select("node").distinct(), "node")
+    texts = docs.select(row_key().alias("row_key"), "text").join(keyed.select("row_key").distinct(), "row_key", "left_semi")
+    texts = texts.groupBy("row_key").agg(F.first("text").alias("text"))
+    fetched = keyed.join(texts, "row_key").select("node", F.col("n_copies").alias("copies"), "sig", "text")
+    found = stored(verified(need.join(fetched, "node"), n, threshold, trees, depth, full, agree), spark, "links")
+    forget(spark, need)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(spark, found)
     known = nodes.filter("n_copies > 1").select("node").unionByName(links.select("node")).distinct()

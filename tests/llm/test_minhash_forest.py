@@ -84,3 +84,38 @@ def test_depth_follows_recall(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(minhash_forest.jaccard_join(spark, df, trees=30, depth=6, recall=0.99999)) == plain(rows)
     assert minhash_forest.recall_at(0.8, 16, 4) > 0.999 > minhash_forest.recall_at(0.8, 16, 5)
+
+
+def edited(seed, n=40, words=160):
+    """Pairs of texts that differ in three words: a similarity a little above 0.8."""
+    r = random.Random(seed)
+    rows = []
+    for k in range(n):
+        base = [str(r.random()) for _ in range(words)]
+        own = list(base)
+        for i in (74 + k, 20, 132):
+            own[i] = "x"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(own))]
+    return rows
+
+
+def test_measured_recall_shortens_the_prefixes(spark, monkeypatch):
+    rows = edited(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash_forest, "recall_at", lambda *a: 1.0)  # the calculation promises too much
+    asked = []
+    original = minhash_forest.branches
+    monkeypatch.setattr(minhash_forest, "branches", lambda nodes, trees, depth, full: asked.append((depth, full)) or original(nodes, trees, depth, full))
+    got = result(minhash_forest.jaccard_join(spark, df, trees=3, depth=5, recall=0.8))
+    assert asked[0][0] < asked[0][1] == 5
+    found = sum(n for (*_, links), n in got.items() if links)
+    assert found >= 0.8 * sum(n for (*_, links), n in plain(rows).items() if links)
+
+
+def test_sample_has_a_bound_and_may_be_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash_forest, "SAMPLE_GRAMS", 400)
+    rows = edited(5, 12)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(minhash_forest.jaccard_join(spark, df)) == plain(rows)
+    alone = spark.createDataFrame(rows[::2], "doc_id long, text string")
+    assert result(minhash_forest.jaccard_join(spark, alone)) == plain(rows[::2])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import index, scan, vectors
+from ..operators import closeness, index, scan, vectors
 from ._tables import table
 from .catalog import register
 
@@ -56,6 +56,13 @@ def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(spark, table(spark, d, "embeddings"), "vec_id", "embedding", C("vec_id") % 100 == 0, C("label") % 2 == 0)
 
 
+@register("closest_types")
+def closest_types(spark: SparkSession, d: str) -> DataFrame:
+    """The three closest of all types for every name, by letter pairs or matching blocks, whichever is higher; tests compare it with all pairs."""
+    part = table(spark, d, "part")
+    return closeness.closest(part.select("p_name"), "p_name", part.select(F.concat_ws(" ", F.split("p_name", " ")[1], "p_type", "p_brand").alias("kind")), "kind", 3)
+
+
 LONG, STOP = 400, 10
 _WINDOWS = f"""WITH w AS (SELECT doc_id, k, substr(text, k * {LONG} + 1, {LONG}) AS w FROM (SELECT doc_id, text, unnest(generate_series(0, CAST(ceil(length(text) / {LONG}.0) AS BIGINT) - 1)) AS k FROM documents WHERE length(text) > 0)),
     m AS (SELECT *, length(w) - length(replace(w, ' ', '')) < 0.13 * length(w) AS bad FROM w), r AS (SELECT *, k - coalesce(max(CASE WHEN NOT bad THEN k END) OVER (PARTITION BY doc_id ORDER BY k), -1) AS run FROM m),

@@ -1,10 +1,15 @@
 """Indexes for many queries against plain scans."""
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quayside.operators import index, vectors
+from quayside.operators import closeness, index, vectors
+from quayside.plans import catalog
 
 
 def plain_neighbours(rows, asks, ok, k):
@@ -63,3 +68,31 @@ def test_all_tiers_are_found_through_keys(spark):
         "konut": [(0, 16.0)], "kred": [(0, 14.8), (3, 14.8)], "redi": [(0, 12.8), (3, 12.8)], "konur": [(0, 4.0)], "knut": [(0, 3.2)], "ehtiyac": [(1, 2.8)], "ihtiyca": [(1, 4.0)], "kart": [(3, 12.8)], "konut kredisi": [(0, 24.0)],
         "a": [(4, 16.0), (2, 12.8), (1, 12.8), (3, 12.8)],
     }
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcé ", max_size=14), st.text("abcé ", max_size=14))
+def test_ratio_of_matching_blocks(a, b):
+    assert closeness.blocks_ratio(a, b) == SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def plain_closeness(a, b):
+    pairs = lambda s: [s[i : i + 2] for i in range(max(1, len(s) - 1))]
+    x, y = pairs(a), pairs(b)
+    dot = sum(x.count(g) * y.count(g) for g in set(x))
+    if not dot:
+        return None
+    cos = dot / np.sqrt(sum(x.count(g) ** 2 for g in set(x)) * sum(y.count(g) ** 2 for g in set(y)))
+    return round(max(float(cos), SequenceMatcher(None, a, b, autojunk=False).ratio()), 6)
+
+
+def test_closest_types_are_those_of_all_pairs(spark, sf):
+    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
+    names = {p.p_name.lower() for p in parts}
+    kinds = {" ".join([p.p_name.split(" ")[1], p.p_type, p.p_brand]).lower() for p in parts}
+    got = {}
+    for r in catalog.queries()["closest_types"](spark, sf).orderBy("p_name", "pos").collect():
+        got.setdefault(r.p_name, []).append(r.score)
+    for n in names:
+        want = sorted((s for k in kinds if (s := plain_closeness(n, k)) is not None), reverse=True)[:3]
+        assert got[n] == pytest.approx(want, abs=2e-6)

@@ -110,11 +110,12 @@ def pages_by_precedence(spark: SparkSession, d: str) -> DataFrame:
     return files.read_pages(spark, [rich, plain]).select("url", C("fields")["version"].alias("version"), C("fields")["title"].alias("title"))
 
 
-@register("page_skip_reasons", "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'not required' WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 40 THEN 'too short' WHEN doc_id % 13 = 0 THEN 'expired' END AS reason FROM documents")
+@register("page_skip_reasons", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'not required' WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 40 THEN 'too short' WHEN quality = 0 THEN 'rejected' END AS reason FROM documents LEFT JOIN labels USING (doc_id)")
 def page_skip_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """Why a page is left out, as a column: rows stay."""
+    """Why a page is left out, as a column: rows stay. The judgements are a table of their own."""
     short = F.length(F.regexp_replace("text", "^\\s+|\\s+$", "")) < 40
-    return table(spark, d, "documents").select("doc_id", F.when(C("doc_id") % 11 == 0, "not required").when(short, "too short").when(C("doc_id") % 13 == 0, "expired").alias("reason"))
+    rows = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.when(C("toxic") == 1, "not required").when(short, "too short").when(C("quality") == 0, "rejected").alias("reason"))
 
 
 @register("richest_version", "SELECT page_id % 200 AS path, arg_min(page_id, CASE page_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END * 1000000 + page_id) AS chosen FROM pages GROUP BY 1")
@@ -131,21 +132,21 @@ def blobs_put_once(spark: SparkSession, d: str) -> DataFrame:
     return files.put_blobs(held, pages.select("content")).select("digest", C("n_bytes").cast("long").alias("n_bytes"))
 
 
-@register("blob_by_path", "SELECT page_id, sha256(html) AS digest, strlen(html) AS n_bytes FROM pages WHERE page_id % 10 = 3")
+@register("blob_by_path", "SELECT page_id, sha256(html) AS digest, strlen(html) AS n_bytes FROM pages")
 def blob_by_path(spark: SparkSession, d: str) -> DataFrame:
     """Content looked up by what refers to it."""
     pages = table(spark, d, "pages").select("page_id", C("html").cast("binary").alias("content"))
     blobs = files.put_blobs(pages.select(F.sha2("content", 256).alias("digest")).limit(0), pages.select("content"))
-    asked = pages.filter("page_id % 10 = 3").select("page_id", F.sha2("content", 256).alias("digest"))
+    asked = pages.select("page_id", F.sha2("content", 256).alias("digest"))
     return asked.join(blobs, "digest").select("page_id", "digest", C("n_bytes").cast("long").alias("n_bytes"))
 
 
-@register("memo_by_content", "SELECT p.page_id, CASE WHEN p.page_id % 4 = 0 THEN 'known' ELSE 'new' END AS outcome FROM pages p")
+@register("memo_by_content", "SELECT doc_id, CASE WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE source < 'm') THEN 'known' ELSE 'new' END AS outcome FROM documents WHERE text IS NOT NULL")
 def memo_by_content(spark: SparkSession, d: str) -> DataFrame:
-    """Outcomes kept by content, failures too: what has one isn't read again."""
-    pages = table(spark, d, "pages").select("page_id", F.sha2(F.concat(C("html"), C("page_id").cast("string")), 256).alias("digest"))
-    memo = pages.filter("page_id % 4 = 0").select("digest", F.lit("known").alias("outcome"))
-    return pages.join(memo, "digest", "left").select("page_id", F.coalesce("outcome", F.lit("new")).alias("outcome"))
+    """Outcomes kept by content, failures too: what has one (here: from the first sources) isn't read again, whatever its name."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
+    memo = docs.filter("source < 'm'").select("digest", F.lit("known").alias("outcome")).distinct()
+    return docs.join(memo, "digest", "left").select("doc_id", F.coalesce("outcome", F.lit("new")).alias("outcome"))
 
 
 @register("garbage_collected", "SELECT count(*) AS files, coalesce(sum(strlen(html)), 0) AS bytes FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 <> 0")

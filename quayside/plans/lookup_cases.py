@@ -165,11 +165,11 @@ def first_link_to_file(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("href").agg(F.min("page_id").alias("first_page"), F.count_distinct("page_id").alias("n_pages"))
 
 
-@register("payloads_merged", "SELECT doc_id, 'new' AS side FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'old' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 AND lang <> 'de'")
+@register("payloads_merged", "SELECT doc_id, 'new' AS side FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'old' FROM documents WHERE n_chars >= 500 AND lang <> 'en' AND lang <> 'de'")
 def payloads_merged(spark: SparkSession, d: str) -> DataFrame:
-    """New payloads, and the old ones that have no new one and are still wanted."""
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    new, old = docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 2 = 0")
+    """New payloads (one language), and the old ones (long texts) that have no new one and are still wanted."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    new, old = docs.filter("lang = 'en'"), docs.filter("n_chars >= 500")
     kept = old.join(new.select("doc_id"), "doc_id", "left_anti").filter("lang != 'de'")
     return new.select("doc_id", F.lit("new").alias("side")).unionByName(kept.select("doc_id", F.lit("old").alias("side")))
 

@@ -37,18 +37,17 @@ def payload_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "label")
 
 
-@register("held_hashes", "SELECT doc_id AS point_id, substr(sha256(text), 1, 16) AS text_hash FROM documents WHERE doc_id % 2 = 0")
+@register("held_hashes", "SELECT doc_id AS point_id, substr(sha256(text), 1, 16) AS text_hash FROM documents")
 def held_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """Ids and hashes of what an index holds."""
-    return table(spark, d, "documents").filter("doc_id % 2 = 0").select(C("doc_id").alias("point_id"), F.substring(F.sha2("text", 256), 1, 16).alias("text_hash"))
+    """Ids and hashes of all that an index holds."""
+    return table(spark, d, "documents").select(C("doc_id").alias("point_id"), F.substring(F.sha2("text", 256), 1, 16).alias("text_hash"))
 
 
-@register("new_files_of_pages", """WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1)) AS href FROM pages) SELECT href FROM l WHERE href NOT IN (SELECT '/' || p_name FROM part) AND length(href) % 2 = 0""")
+@register("new_files_of_pages", """WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1)) AS href FROM pages) SELECT href FROM l WHERE href NOT IN (SELECT regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) FROM pages)""")
 def new_files_of_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Targets of links that have not been fetched yet."""
+    """Targets of links that have not been fetched yet: no page has their path."""
     links = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"[^>]*>'), F.lit(1))).alias("href")).distinct()
-    fetched = table(spark, d, "part").select(F.concat(F.lit("/"), "p_name").alias("href"))
-    return links.filter("length(href) % 2 = 0").join(fetched, "href", "left_anti")
+    return links.join(table(spark, d, "pages").select(F.regexp_extract("url", "^https?://[^/]+([^?#]*)", 1).alias("href")), "href", "left_anti")
 
 
 @register("links_with_anchors", """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)<', 1)) AS href, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)<', 2)) AS label FROM pages) SELECT DISTINCT page_id, href, trim(label) AS label FROM a""")
@@ -107,16 +106,18 @@ def directory_upsert(spark: SparkSession, d: str) -> DataFrame:
     return new.join(old, "id", "full_outer").select("id", F.coalesce("topic", "was").alias("topic"), F.coalesce("link", "old_link").alias("link"))
 
 
-@register("directory_row_dropped", "SELECT n_nationkey FROM nation WHERE n_nationkey <> 7")
+@register("directory_row_dropped", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
 def directory_row_dropped(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").filter("n_nationkey != 7").select("n_nationkey")
+    """Entries of the directory whose table is gone (here: parts that no line has) go with it."""
+    live = table(spark, d, "lineitem").select(C("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part").select("p_partkey", "p_name").join(live, "p_partkey", "left_semi")
 
 
-@register("table_overwritten", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'new' ELSE 'old' END AS content, p_size AS created FROM part")
+@register("table_overwritten", "SELECT p_partkey, coalesce(n.content, p_name) AS content, p_size AS created FROM part LEFT JOIN (SELECT l_partkey, CAST(max(l_quantity) AS VARCHAR) AS content FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) n ON l_partkey = p_partkey")
 def table_overwritten(spark: SparkSession, d: str) -> DataFrame:
-    """New content, the time of creation kept."""
-    old = table(spark, d, "part").select("p_partkey", F.lit("old").alias("content"), C("p_size").alias("created"))
-    new = table(spark, d, "part").filter("p_size % 5 = 0").select("p_partkey", F.lit("new").alias("now"))
+    """New content (here: from returned lines) takes the place of the old, the time of creation is kept."""
+    old = table(spark, d, "part").select("p_partkey", C("p_name").alias("content"), C("p_size").alias("created"))
+    new = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(C("l_partkey").alias("p_partkey")).agg(F.max("l_quantity").cast("string").alias("now"))
     return old.join(new, "p_partkey", "left").select("p_partkey", F.coalesce("now", "content").alias("content"), "created")
 
 
@@ -194,12 +195,12 @@ def site_counters(spark: SparkSession, d: str) -> DataFrame:
     return now.join(before, "doc_id", "left").select("source", kind.alias("kind")).groupBy("source").pivot("kind", ["new", "changed", "unchanged"]).count().na.fill(0)
 
 
-@register("resumed_queue", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'deferred' ELSE 'done' END AS outcome FROM documents WHERE doc_id % 2 = 0 AND doc_id % 5 <> 0")
+@register("resumed_queue", "SELECT doc_id, CASE WHEN length(text) < 200 THEN 'deferred' ELSE 'done' END AS outcome FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
 def resumed_queue(spark: SparkSession, d: str) -> DataFrame:
-    """What a queue still holds after a stop: what is memoised isn't done again; passing failures are put off, not kept."""
-    queue = table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id")
-    memo = table(spark, d, "documents").filter("doc_id % 5 = 0").select("doc_id")
-    return queue.join(memo, "doc_id", "left_anti").withColumn("outcome", F.when(C("doc_id") % 6 == 0, "deferred").otherwise("done"))
+    """What a queue still holds after a stop (here: in the middle of the languages): contents that are memoised aren't done again; passing failures (short texts) are put off, not kept."""
+    queue = table(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("n"), F.sha2("text", 256).alias("digest"))
+    memo = queue.filter("lang = 'en'").select("digest").distinct()
+    return queue.join(memo, "digest", "left_anti").select("doc_id", F.when(C("n") < 200, "deferred").otherwise("done").alias("outcome"))
 
 
 @register("reports_fanned_out", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 16")
@@ -222,11 +223,12 @@ def branch_leaves_changed(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(added, "doc_id", "left").groupBy("source").agg(F.coalesce(F.bool_or("added"), F.lit(False)).alias("touched"))
 
 
-@register("validity_status", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'unknown' WHEN doc_id % 4 = 1 THEN 'expired' ELSE 'valid' END AS status FROM documents")
+@register("validity_status", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'unknown' WHEN CAST(o_orderdate AS DATE) + CAST(o_custkey % 400 AS INT) < DATE '1996-06-15' THEN 'expired' WHEN CAST(o_orderdate AS DATE) > DATE '1996-06-15' THEN 'upcoming' ELSE 'valid' END AS status FROM orders")
 def validity_status(spark: SparkSession, d: str) -> DataFrame:
-    """Computed from the date whenever it is asked for, never stored."""
-    end = F.when(C("doc_id") % 4 == 0, F.lit(None)).when(C("doc_id") % 4 == 1, "2020-01-01").otherwise("2030-01-01")
-    return table(spark, d, "documents").select("doc_id", F.when(end.isNull(), "unknown").when(end < "2026-06-15", "expired").otherwise("valid").alias("status"))
+    """Computed from the dates for a given day whenever it is asked for, never stored; an offer without an end is unknown."""
+    day, today = F.to_date("o_orderdate"), F.lit("1996-06-15").cast("date")
+    end = F.when(C("o_orderstatus") != "P", F.date_add(day, (C("o_custkey") % 400).cast("int")))
+    return table(spark, d, "orders").select("o_orderkey", F.when(end.isNull(), "unknown").when(end < today, "expired").when(day > today, "upcoming").otherwise("valid").alias("status"))
 
 
 @register("session_transcript", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) FILTER (role = 'assistant') AS n_answers FROM conversations GROUP BY conv_id")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import ordering, scan, search
+from ..operators import compare, ordering, scan, search
 from ._tables import table
 from .catalog import given, register, rule
 from .documents import fold_sql
@@ -189,17 +189,39 @@ def quotes_by_type(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.when(C("l_linestatus") == "F", "finance").otherwise("account").alias("type")).agg(F.count("*").alias("n"), ROUND(F.sum("l_extendedprice"), 2).alias("total"))
 
 
-@register("finance_comparison", f"SELECT l_suppkey AS bank, p_type AS family, min(l_extendedprice) AS instalment, {DEC('min(l_extendedprice) * 12', 2)} AS total FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'SMALL' GROUP BY 1, 2")
+_FINANCE = "SELECT DISTINCT l_suppkey AS bank, p_partkey, p_size, p_retailprice FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'SMALL'"
+
+
+@register(
+    "finance_comparison",
+    f"""WITH m AS ({_FINANCE}), q AS (SELECT bank, p_partkey, CASE WHEN 50000 > p_retailprice * p_size * 4 THEN 'amount above' WHEN 24 > p_size + 6 THEN 'term above' END AS r, round(50000 * (p_size / 1000.0) / (1 - pow(1 + p_size / 1000.0, -24)), 2) AS v FROM m),
+    b AS (SELECT bank, arg_min(p_partkey, (v, p_partkey)) FILTER (r IS NULL) AS p_partkey, min(v) FILTER (r IS NULL) AS value, arg_min(r, p_partkey) FILTER (r IS NOT NULL) AS why FROM q GROUP BY bank),
+    s AS (SELECT s_suppkey AS bank, p_partkey, value, CASE WHEN value IS NULL THEN coalesce(why, 'not offered') END AS reason FROM supplier LEFT JOIN b ON bank = s_suppkey WHERE s_acctbal >= 0)
+    SELECT bank, p_partkey, value, reason, CASE WHEN value IS NOT NULL THEN CAST(rank() OVER (PARTITION BY value IS NULL ORDER BY value) AS INTEGER) END AS place FROM s""",
+)
 def finance_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """A family's best quote at every bank."""
-    p = table(spark, d, "part").filter("p_type = 'SMALL'").select("p_partkey", C("p_type").alias("family"))
-    l = table(spark, d, "lineitem").select(C("l_suppkey").alias("bank"), "l_partkey", "l_extendedprice")
-    return l.join(p, C("l_partkey") == C("p_partkey")).groupBy("bank", "family").agg(F.min("l_extendedprice").alias("instalment"), ROUND(F.min("l_extendedprice") * 12, 2).alias("total"))
+    """A family's instalment for 50,000 over 24 months at every bank with a calculator (here: with a balance): the best that its own limits allow, or why there is none."""
+    rate = C("p_size") / 1000
+    refusal = F.when(F.lit(50000) > C("p_retailprice") * C("p_size") * 4, "amount above").when(F.lit(24) > C("p_size") + 6, "term above")
+    scope = table(spark, d, "supplier").filter("s_acctbal >= 0").select(C("s_suppkey").alias("bank"))
+    return compare.compared(scope, "bank", given(spark, d, _FINANCE), "p_partkey", F.round(50000 * rate / (1 - F.pow(1 + rate, F.lit(-24))), 2), refusal, False)
+
 
+_ACCOUNTS = "SELECT l_suppkey AS bank, CASE WHEN l_quantity < 13 THEN 32 WHEN l_quantity < 26 THEN 92 WHEN l_quantity < 39 THEN 181 ELSE 365 END AS days, max(l_tax) AS rate FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2"
 
-@register("account_comparison", f"SELECT l_suppkey AS bank, max(l_extendedprice * l_tax) AS net FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1")
+
+@register(
+    "account_comparison",
+    f"""WITH m AS ({_ACCOUNTS}), q AS (SELECT bank, days, CASE WHEN abs(days - 90) > 0.15 * 90 THEN 'no band near the term' WHEN rate <= 0.02 THEN 'no profit' END AS r, round(10000 * rate * days / 365 * 0.95, 4) AS v FROM m),
+    b AS (SELECT bank, arg_max(days, v) FILTER (r IS NULL) AS days, max(v) FILTER (r IS NULL) AS value, arg_min(r, days) FILTER (r IS NOT NULL) AS why FROM q GROUP BY bank),
+    s AS (SELECT s_suppkey AS bank, days, value, CASE WHEN value IS NULL THEN coalesce(why, 'not offered') END AS reason FROM supplier LEFT JOIN b ON bank = s_suppkey WHERE s_acctbal >= 0)
+    SELECT bank, days, value, reason, CASE WHEN value IS NOT NULL THEN CAST(rank() OVER (PARTITION BY value IS NULL ORDER BY value DESC) AS INTEGER) END AS place FROM s""",
+)
 def account_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").filter("l_linestatus = 'O'").groupBy(C("l_suppkey").alias("bank")).agg(F.max(C("l_extendedprice") * C("l_tax")).alias("net"))
+    """What 10,000 for about 90 days earn after tax at every bank with a calculator: the band within 15 percent of the term, or why there is none."""
+    refusal = F.when(F.abs(C("days") - 90) > 0.15 * 90, "no band near the term").when(C("rate") <= 0.02, "no profit")
+    scope = table(spark, d, "supplier").filter("s_acctbal >= 0").select(C("s_suppkey").alias("bank"))
+    return compare.compared(scope, "bank", given(spark, d, _ACCOUNTS), "days", F.round(10000 * C("rate") * C("days") / 365 * 0.95, 4), refusal, True)
 
 
 @register("card_comparison", "SELECT n_name AS bank, s_suppkey AS card, s_acctbal AS payment, rank() OVER (PARTITION BY n_name ORDER BY s_acctbal) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -209,10 +231,19 @@ def card_comparison(spark: SparkSession, d: str) -> DataFrame:
     return s.select(C("n_name").alias("bank"), C("s_suppkey").alias("card"), C("s_acctbal").alias("payment"), F.rank().over(W.partitionBy("n_name").orderBy("s_acctbal")).alias("place"))
 
 
-@register("exchange_comparison", f"SELECT user_id % 10 AS bank, {DEC('100 * min(value) / max(value)', 6)} AS result FROM events GROUP BY 1 HAVING max(value) > 0")
+@register(
+    "exchange_comparison",
+    """WITH r AS (SELECT user_id, arg_max(value, event_id) FILTER (event_type = 'view') AS buy, arg_max(value, event_id) FILTER (event_type = 'click') AS sell FROM events GROUP BY 1),
+    s AS (SELECT user_id, round(CASE WHEN buy >= 5 AND sell >= 5 THEN 100 * buy / sell END, 6) AS value, CASE WHEN coalesce(buy, 0) < 5 THEN 'no rate of the source' WHEN coalesce(sell, 0) < 5 THEN 'no rate of the target' END AS reason FROM r)
+    SELECT user_id, CASE WHEN value IS NOT NULL THEN 0 END AS board, value, reason, CASE WHEN value IS NOT NULL THEN CAST(rank() OVER (PARTITION BY value IS NULL ORDER BY value DESC) AS INTEGER) END AS place FROM s""",
+)
 def exchange_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """What a hundred of one currency give in another at every bank."""
-    return table(spark, d, "events").groupBy((C("user_id") % 10).alias("bank")).agg(F.min("value").alias("a"), F.max("value").alias("b")).filter("b > 0").select("bank", ROUND(100 * C("a") / C("b"), 6).alias("result"))
+    """What a hundred of one currency give in another at every bank, worked out from its latest two rates, or which of them is missing."""
+    e = table(spark, d, "events")
+    last = lambda kind: F.max_by("value", F.when(C("event_type") == kind, C("event_id")))
+    rates = e.groupBy("user_id").agg(last("view").alias("buy"), last("click").alias("sell")).withColumn("board", F.lit(0))
+    refusal = F.when(F.coalesce("buy", F.lit(0.0)) < 5, "no rate of the source").when(F.coalesce("sell", F.lit(0.0)) < 5, "no rate of the target")
+    return compare.compared(rates, "user_id", rates, "board", F.round(F.try_divide(100 * C("buy"), C("sell")), 6), refusal, True)
 
 
 VARIANTS = [("A", "car", "12-36", False), ("B", "car", None, True)]
@@ -246,11 +277,11 @@ def verdict_cache(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy((C("user_id") % 50).alias("branch")).agg(F.max_by("event_type", "event_id").alias("verdict"), F.max("event_id").alias("at"))
 
 
-@register("capability_gate", "SELECT DISTINCT event_type AS capability, user_id % 100 AS bank FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.event_type = 'error' AND x.event_id % 97 = 0 AND x.user_id % 100 = e.user_id % 100)")
+@register("capability_gate", "SELECT DISTINCT event_type AS capability, e.user_id AS bank FROM events e JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY 1) s USING (user_id) WHERE last <> 'error'")
 def capability_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Capabilities of banks that are not recorded as down."""
-    e = table(spark, d, "events").select(C("event_type").alias("capability"), (C("user_id") % 100).alias("bank"), "event_id")
-    down = e.filter("capability = 'error' AND event_id % 97 = 0").select("bank").distinct()
+    """Capabilities of banks whose last check was no error."""
+    e = table(spark, d, "events").select(C("event_type").alias("capability"), C("user_id").alias("bank"), "ts", "event_id")
+    down = e.groupBy("bank").agg(F.max_by("capability", F.struct("ts", "event_id")).alias("last")).filter("last = 'error'")
     return e.select("capability", "bank").distinct().join(down, "bank", "left_anti").select("capability", "bank")
 
 

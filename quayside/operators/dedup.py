@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import ordering
 
 
 def duplicate_groups(df: DataFrame, key: Column, id_col: str) -> DataFrame:
@@ -29,8 +29,9 @@ def common_lines(docs: DataFrame, group: str, share: float, least_docs: int) ->
 
 
 def unique_suffix(df: DataFrame, name: str, order: str) -> DataFrame:
-    nth = F.row_number().over(W.partitionBy(name).orderBy(order))
-    return df.withColumn(name, F.when(nth == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), nth.cast("string"))))
+    """Names made unique by -2, -3, ... in an order; a name may stand on any share of the rows."""
+    placed = ordering.placed_within(df, [name], [F.col(order)], "_nth")
+    return placed.withColumn(name, F.when(F.col("_nth") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), F.col("_nth").cast("string")))).drop("_nth")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
@@ -42,6 +46,41 @@ def taxed_schedule(amount: Column, term: Column, rate: float, first_tax: float,
     return plan(amount, F.sequence(F.lit(1), term), pay, lambda k: share, first_tax, second_tax, False)
 
 
+def _half_up(x: np.ndarray, by: int) -> np.ndarray:
+    """x / by as whole numbers, half away from zero."""
+    return np.sign(x) * ((2 * np.abs(x) + by) // (2 * by))
+
+
+def level_plans(df: DataFrame, key: str, amount: str, term: str, rate: float, first_tax: float, second_tax: float) -> DataFrame:
+    """The rows of taxed_schedule for every row of df: key, n, payment, profit, taxes, principal, remaining. The balances of an Arrow batch go from step to step together, in whole cents, so the
+    work is one pass for each step of the longest plan."""
+    full = rate * (1 + first_tax + second_tax)
+    pay = F.round(F.col(amount).cast("double") / ((1 - F.pow(F.lit(1 + full), -F.col(term))) / full), 2).cast(MONEY)
+    share, taxes_of = round(rate * 10_000), [round(t * 10_000) for t in (first_tax, second_tax)]
+    kind = dict(df.dtypes)[key]
+    names = ["payment", "profit", "taxes", "principal", "remaining"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            balance, steps, level = (np.asarray(b.column(c)) for c in ("_balance", "_steps", "_pay"))
+            live, made = np.flatnonzero(steps > 0), []
+            balance = balance.copy()
+            for k in range(1, int(steps.max(initial=0)) + 1):
+                live = live[steps[live] >= k]
+                held, paid = balance[live], level[live]
+                profit = _half_up(held * share, 10_000)
+                taxes = sum(_half_up(profit * t, 10_000) for t in taxes_of)
+                principal = np.where(steps[live] == k, held, paid - profit - taxes)
+                balance[live] = held - principal
+                made.append((live, np.full(len(live), k, np.int32), paid, profit, taxes, principal, balance[live]))
+            rows = [np.concatenate(c) for c in zip(*made, strict=True)] if made else [np.zeros(0, np.int64)] * 7
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows[0])), pa.array(rows[1].astype(np.int32)), *[pa.array(c / 100) for c in rows[2:]]], [key, "n", *names])
+
+    whole = lambda c: (c.cast(MONEY) * 100).cast("long")
+    cents_of = df.select(key, whole(F.col(amount)).alias("_balance"), F.col(term).cast("long").alias("_steps"), whole(pay).alias("_pay")).filter("_balance IS NOT NULL AND _steps IS NOT NULL AND _pay IS NOT NULL")
+    return cents_of.mapInArrow(run, f"{key} {kind}, n int, " + ", ".join(f"{c} double" for c in names))
+
+
 def dated_schedule(amount: Column, dates: Column, start: Column, rate: float, first_tax: float, second_tax: float) -> Column:
     """A plan on due dates: discount factors by days / 30, rounded to six places; profit by the days since the date before, rounded to four; the last
     payment takes what remains."""

@@ -175,8 +175,7 @@ def amortisation_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Level payments priced at the rate with both taxes on it; each period's profit is the bare rate on the balance; every step is rounded, and the last
     principal closes to zero. A plan for every order."""
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), (3 + F.col("o_orderkey") % 10).cast("int").alias("term"))
-    rows = o.select("o_orderkey", F.inline(finance.taxed_schedule(F.col("amount"), F.col("term"), 0.04, 0.15, 0.15)))
-    return rows.select("o_orderkey", "n", *[F.col(c).cast("double").alias(c) for c in ("payment", "profit", "taxes", "principal", "remaining")])
+    return finance.level_plans(o, "o_orderkey", "amount", "term", 0.04, 0.15, 0.15)
 
 
 @register(

@@ -114,3 +114,12 @@ def test_contamination_with_short_items(spark, tmp_path):
     spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {(r.doc_id, r.item_id) for r in catalog.queries()["contamination_join"](spark, str(tmp_path)).collect()}
     assert got == {(d, i) for d, t in texts for i, p in items if p in t}
+
+
+def test_level_plans_are_those_of_the_fold(spark):
+    rows = [(k, f"{k * k * 137.31 + 0.05:.2f}", 1 + k % 25) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, a string, term int").select("k", F.col("a").cast("decimal(18,2)").alias("a"), "term")
+    got = finance.level_plans(df, "k", "a", "term", 0.0325, 0.15, 0.05)
+    want = df.select("k", F.inline(finance.taxed_schedule(F.col("a"), F.col("term"), 0.0325, 0.15, 0.05))).select(*[F.col(c).cast("double").alias(c) if c not in ("k", "n") else c for c in got.columns])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == sum(t for *_, t in rows)
+    assert finance.level_plans(df.filter("k > 100"), "k", "a", "term", 0.04, 0.15, 0.15).collect() == []

@@ -266,7 +266,10 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_docs:
 
 
 def good_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns and no shuffle: the verdict is computed beside the row."""
+    """The documents that the classifier accepts, with all their columns and no shuffle: the verdict is computed beside the row. A model that no label was there
+    for rejects nothing."""
+    if model.prior == 0.5:
+        return docs
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,5 +72,18 @@ def test_odd_rows(spark, sf):
     assert mixed.columns == docs.columns
     taken = Counter((r.doc_id, r.text) for r in mixed.collect())
     assert taken and set(taken) <= {(d, t) for d, t, _ in rows if t} and taken[(5, prose[1])] in (2, 4, 6, 0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    judged = corpus_pipeline.good_quality(spark, docs, sf)
+    assert judged.columns == docs.columns and not Counter(tuple(r) for r in judged.collect()) - Counter(tuple(r) for r in docs.collect())
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).collect() == []
+
+
+def test_run_over_empty_tables(spark, sf, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_without_labels_no_document_is_rejected(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert line_crf.good_documents(docs, line_crf.learn(docs, labels.limit(0))).count() == docs.count()

@@ -1,8 +1,11 @@
 """A training corpus from raw documents: five stages, each over all that its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All
-but the last return the columns of documents. Empty tables, null ids and repeated rows are handled as the
-operators' docstrings say.
+but the last return the columns of documents.
+
+Cases: an empty table gives no rows at any stage; a null text is an empty one; rows with a null or repeated doc_id each stand for themselves; of equal rows one stays (near_copies), ties between
+copies go to the smaller doc_id; very long texts are read whole by the task that has them; other columns may have any names, also those that stages use themselves; without any label no
+document is rejected.
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ of all. Tasks are at most MAX_TASKS, whatever the number of batches and buckets.
 
 from __future__ import annotations
 
+import gc
 import io
 import math
 import uuid
@@ -240,6 +241,8 @@ class Exchange:
         rows = self._over_batches(ask, True, "batch long, bucket int, keys binary, " + ", ".join(f"{v} binary" for v in vals_of), needs)
         rows = rows.repartition(min(MAX_TASKS, 1 << shift), "bucket").sortWithinPartitions("bucket")
         self.answers.append(stored(rows.mapInArrow(answer, ANSWERS), self.spark, f"answers-{step}"))
+        del rows
+        drop_shuffles(self.spark)
 
     def result(self, work: Callable[[Texts], pa.RecordBatch], schema: str, needs: tuple[int, ...] = ()) -> DataFrame:
         """What work makes of each batch, stored; all else that the steps wrote is deleted."""
@@ -249,6 +252,12 @@ class Exchange:
         return out
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a finished step once the driver's garbage is collected, which else happens at no certain time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def answered(keys: np.ndarray, answers: np.ndarray) -> np.ndarray:
     """The answer to each key, given those to the sorted distinct keys."""
     if not len(keys):

@@ -124,7 +124,7 @@ def test_query(spark, sf):
 def test_batches_of_several_files_and_many_buckets(spark, grow):
     rows = [(i, f"text {i % 40} " * (1 + i % 9)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    x = _exchange.Exchange(spark, df, batch_bytes=1500, bucket_bytes=16, grow=grow)
+    x = _exchange.Exchange(spark, df, batch_bytes=1500, bucket_bytes=256, grow=grow)
     files = [len(r.file.split(",")) for r in x.batches.collect()]
     assert max(files) > 1 if grow == 1 << 10 else set(files) == {1}
 

@@ -190,7 +190,7 @@ class Exchange:
 
     def ask(self, keys_of: Callable[[Texts], tuple[np.ndarray, list[np.ndarray]]], join: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], types: list[str], needs: tuple[int, ...] = ()) -> None:
         """One step. keys_of: the sorted distinct keys of a batch, and arrays of values beside them, of these types.
-        join: from the keys of a bucket in order, and their values, an answer for each: booleans or int64. needs: the earlier steps whose answers keys_of looks at."""
+        join: from where each key of a bucket begins among all that were asked, and the values, an answer for each key or for each that asked: booleans or int64. needs: the earlier steps whose answers keys_of looks at."""
         shift, step = self.shift, len(self.answers)
         vals_of = [f"v{i}" for i in range(len(types))]
 
@@ -226,7 +226,7 @@ class Exchange:
                 first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 joined = join(first, [v[order] for v in vals])
                 each = np.empty(len(keys), joined.dtype)
-                each[order] = np.repeat(joined, np.diff(np.append(first, len(keys))))
+                each[order] = joined if len(joined) == len(keys) else np.repeat(joined, np.diff(np.append(first, len(keys))))
                 n = np.diff(cut)
                 if each.dtype == bool:
                     bits = np.zeros(int((-(-n // 8) * 8).sum()), bool)
@@ -274,9 +274,9 @@ def at_least(n: int) -> Callable[[np.ndarray, list[np.ndarray]], np.ndarray]:
     return lambda first, vals: np.add.reduceat(vals[0].astype(np.int64), first) >= n
 
 
-def least(first: np.ndarray, vals: list[np.ndarray]) -> np.ndarray:
-    """join: the least value of a key."""
-    return np.minimum.reduceat(vals[0], first)
+def beaten(first: np.ndarray, vals: list[np.ndarray]) -> np.ndarray:
+    """join: for each that asked, whether another's value of the key is smaller than its own."""
+    return np.repeat(np.minimum.reduceat(vals[0], first), np.diff(np.append(first, len(vals[0])))) < vals[0]
 
 
 def counted(keys: np.ndarray, most: int = 65535) -> tuple[np.ndarray, np.ndarray]:

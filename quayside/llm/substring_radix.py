@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._bytes import BASE, BYTE_CODES, INVERSE, mix, powers, sliding_min, slices
-from ._exchange import NO_ID, Exchange, Texts, answered, at_least, counted_once_a_document, least
+from ._exchange import NO_ID, Exchange, Texts, answered, at_least, beaten, counted_once_a_document
 
 WIDTH = 50
 GRAM = 20
@@ -157,7 +157,12 @@ def _radix(width: int, gram: int):
         keys, of = window_keys(t, first[open_], last[open_], width)
         if len(keys):
             where = np.arange(len(keys)) - np.searchsorted(of, of) + first[open_][of]
-            gone = where[answered(keys, t.longs(2)) < own[open_][of]]
+            # A window goes if its string has a smaller document in another batch, or in this one.
+            order, begins, _ = grouped(keys)
+            ids, n = own[open_][of][order], np.diff(np.append(begins, len(keys)))
+            lost = np.empty(len(keys), bool)
+            lost[order] = np.repeat(t.bits(2), n) | (np.repeat(np.minimum.reduceat(ids, begins), n) < ids)
+            gone = where[lost]
             step += np.bincount(gone, minlength=len(step)).astype(np.int32)
             step -= np.bincount(gone + width, minlength=len(step)).astype(np.int32)
         removed = np.cumsum(step)[:-1] > 0
@@ -187,5 +192,5 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, gra
     x = Exchange(spark, docs, **sizes)
     x.ask(leading, at_least(2), ["u1"])
     x.ask(by_run, join_runs, ["i8", "u8", "u8"], (0,))
-    x.ask(by_window, least, ["i8"], (1,))
+    x.ask(by_window, beaten, ["i8"], (1,))
     return x.result(lambda t: cut(t, with_text), RESULT + ", kept binary" * with_text, (1, 2))

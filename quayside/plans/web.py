@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import trees
 from ..sources import markup, robots
-from ._tables import table
+from ._tables import dealt, table
 from .catalog import register
 
 C = F.col
@@ -51,7 +51,8 @@ def html_select_options(spark: SparkSession, d: str) -> DataFrame:
     """Every option of every list of a form page for each product: groups, attributes, unclosed options, values left out."""
     one = lambda k: F.concat(F.lit("<option value="), k, F.lit(" data-limit='"), (k * F.floor("p_retailprice")).cast("long"), F.when(k == C("p_size"), "' selected").otherwise("'"), F.when(k % 7 == 0, " DISABLED>").otherwise(">"), k, F.lit("\n <i>months</i>"))
     page = F.concat(F.lit('<form><select name="term"><optgroup label="'), "p_type", F.lit(" &lt;"), "p_name", F.lit('&gt;">'), F.array_join(F.transform(F.sequence(F.lit(1), "p_size"), one), ""), F.lit("</select><select id='cur&quot;x'><option>TL</option><option>A &amp; B</select></form>"))
-    return markup.select_options(table(spark, d, "part").select("p_partkey", page.alias("page")), "p_partkey", "page")
+    part = dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice"))
+    return markup.select_options(part.select("p_partkey", page.alias("page")), "p_partkey", "page")
 
 
 HOST, PATH = "lower(regexp_extract(url, '^https?://([^/]+)', 1))", "regexp_extract(url, '^https?://[^/]+([^?#]*)', 1)"

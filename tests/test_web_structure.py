@@ -85,3 +85,22 @@ def test_as_of_over_stretches(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k long, at long")
     right = spark.createDataFrame([(1, 2, 20), (1, 5, 50), (3, 1, 1)], "k long, seen long, value long")
     assert sorted((r.k, r["at"], r.value) for r in lookups.as_of(left, right, "k", "at", "seen", "value").collect()) == [(1, 1, None), (1, 5, 50), (2, 9, None)]
+
+
+def test_layouts_are_shared_and_pages_dealt_out(spark, sf):
+    from quayside.plans import catalog
+
+    page = "<script>'<td>'</script><table><tr><th rowspan=2>{}<td>a &amp; {}<tr><td><![CDATA[<{}>]]></table>"
+    one, two = (markup.Page(page.format(*x)) for x in (("x", "y", "z"), ("p", "&lt;", "z")))
+    assert one.layout is two.layout
+    assert [[markup.tidy(c["parts"]) for c in p.cells] for p in (one, two)] == [["x", "a & y", "<z>"], ["p", "a & <", "<z>"]]
+    assert [(c["row_no"], c["col_no"]) for c in one.cells] == [(0, 0), (0, 1), (1, 1)]
+    wide = markup.Page("<table><tr><td rowspan=3 colspan=2>a<td>b<tr><td rowspan=1000 colspan=1000>c<tr><td>d").cells
+    assert [(c["row_no"], c["col_no"]) for c in wide] == [(0, 0), (0, 2), (1, 2), (2, 1002)]
+    # One small file is one read task; the pages made of it are more.
+    assert catalog.queries()["html_select_options"](spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_malformed_raw_elements():
+    for page, cells in (("<table><td><script\" \"a>x</script>y", ["y"]), ("<table><td><title/>x<td><style>a<td>", ["x", ""]), ("<table><td><title>a</TITLE >b", ["b"])):
+        assert [markup.tidy(c["parts"]) for c in markup.Page(page).cells] == cells

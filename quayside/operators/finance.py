@@ -81,15 +81,51 @@ def level_plans(df: DataFrame, key: str, amount: str, term: str, rate: float, fi
     return cents_of.mapInArrow(run, f"{key} {kind}, n int, " + ", ".join(f"{c} double" for c in names))
 
 
-def dated_schedule(amount: Column, dates: Column, start: Column, rate: float, first_tax: float, second_tax: float) -> Column:
-    """A plan on due dates: discount factors by days / 30, rounded to six places; profit by the days since the date before, rounded to four; the last
-    payment takes what remains."""
+def dated_terms(dates: Column, start: Column, rate: float, first_tax: float, second_tax: float) -> Column:
+    """What a plan on due dates takes from them alone: `factor`, the sum of the discount factors by days / 30, rounded to six places, and `shares`, the profit's share of the balance in
+    ten-thousandths by the days since the date before."""
     full = rate * (1 + first_tax + second_tax)
     factors = F.transform(dates, lambda x: F.round(1 / F.pow(F.lit(1 + full), F.datediff(x, start) / 30), 6))
-    pay = F.round(amount.cast("double") / F.aggregate(factors, F.lit(0.0), lambda a, x: a + x), 2).cast(MONEY)
-    days = F.transform(dates, lambda x, i: F.datediff(x, F.when(i == 0, start).otherwise(F.get(dates, i - 1))))
-    shares = F.transform(days, lambda n: (F.round(F.pow(F.lit(1 + rate), n / 30), 4) - 1).cast("decimal(8,4)"))
-    return plan(amount, F.sequence(F.lit(1), F.size(dates)), pay, lambda k: F.get(shares, k - 1), first_tax, second_tax, True)
+    before = F.concat(F.array(start), F.slice(dates, 1, F.size(dates) - 1))
+    days = F.zip_with(dates, before, F.datediff)
+    shares = F.transform(days, lambda n: ((F.round(F.pow(F.lit(1 + rate), n / 30), 4) - 1).cast("decimal(8,4)") * 10_000).cast("long"))
+    return F.struct(F.aggregate(factors, F.lit(0.0), lambda a, x: a + x).alias("factor"), shares.alias("shares"))
+
+
+def dated_plans(df: DataFrame, key: str, amount: str, dates: Column, start: str, rate: float, first_tax: float, second_tax: float) -> DataFrame:
+    """Plans on due dates that follow from `start`, at least one: key, n, payment, profit, taxes, principal, remaining. What depends on dates alone is worked out once for each start; the
+    balances of an Arrow batch go from step to step together, in whole cents, each figure half up to cents. The last payment takes what remains."""
+    terms = df.select(start).distinct().select(F.col(start).alias("_start"), dated_terms(dates, F.col(start), rate, first_tax, second_tax).alias("_terms")).select("_start", "_terms.*")
+    taxes_of = [round(t * 10_000) for t in (first_tax, second_tax)]
+    kind = dict(df.dtypes)[key]
+    names = ["payment", "profit", "taxes", "principal", "remaining"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            balance, level = (np.asarray(b.column(c)) for c in ("_balance", "_pay"))
+            steps = np.asarray(b.column("shares").value_lengths())
+            share, first = np.asarray(b.column("shares").flatten()), np.concatenate([[0], np.cumsum(steps)])
+            live, made = np.arange(len(steps)), []
+            balance = balance.copy()
+            for k in range(1, int(steps.max(initial=0)) + 1):
+                live = live[steps[live] >= k]
+                held, last = balance[live], steps[live] == k
+                profit = _half_up(held * share[first[live] + k - 1], 10_000)
+                taxes = sum(_half_up(profit * t, 10_000) for t in taxes_of)
+                principal = np.where(last, held, level[live] - profit - taxes)
+                balance[live] = held - principal
+                made.append((live, np.full(len(live), k, np.int32), np.where(last, held + profit + taxes, level[live]), profit, taxes, principal, balance[live]))
+            rows = [np.concatenate(c) for c in zip(*made, strict=True)] if made else [np.zeros(0, np.int64)] * 7
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows[0])), pa.array(rows[1].astype(np.int32)), *[pa.array(c / 100) for c in rows[2:]]], [key, "n", *names])
+
+    whole = lambda c: (c.cast(MONEY) * 100).cast("long")
+    met = df.select(key, F.col(amount).cast(MONEY).alias("_amount"), F.col(start).alias("_start")).join(F.broadcast(terms), "_start")
+    pay = F.round(F.col("_amount").cast("double") / F.col("factor"), 2)
+    cents_of = met.select(key, whole(F.col("_amount")).alias("_balance"), whole(pay).alias("_pay"), "shares").filter("_balance IS NOT NULL AND _pay IS NOT NULL")
+    made = cents_of.mapInArrow(run, f"{key} {kind}, n int, " + ", ".join(f"{c} double" for c in names))
+    # Without an amount or a start there are the steps, but no figures.
+    empty = df.filter(F.col(amount).cast(MONEY).isNull() | F.col(start).isNull()).select(key, F.explode(F.sequence(F.lit(1), F.size(dates))).alias("n"), *[F.lit(None).cast("double").alias(c) for c in names])
+    return made.unionByName(empty)
 
 
 def spread(buy: Column, sell: Column) -> Column:

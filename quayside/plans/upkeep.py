@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import dedup, finance, graphs, ordering
-from ._tables import table
+from ._tables import dealt, table
 from .catalog import register
 
 
@@ -194,7 +194,6 @@ _FULL = "CAST(1.05057 AS DOUBLE)"
 def card_installment_plan(spark: SparkSession, d: str) -> DataFrame:
     """A plan on the statement days after a purchase on one: six payments, the level one priced at the taxed rate by days, the last one made of what remains."""
     day = F.date_add(F.trunc("o_orderdate", "month"), 16)
-    dates = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.add_months(day, k))
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), dates.alias("dates"), day.alias("day"))
-    rows = o.select("o_orderkey", F.inline(finance.dated_schedule(F.col("amount"), F.col("dates"), F.col("day"), 0.0389, 0.15, 0.15)))
-    return rows.select("o_orderkey", "n", *[F.col(c).cast("double").alias(c) for c in ("payment", "profit", "taxes", "principal")])
+    o = dealt(table(spark, d, "orders").select("o_orderkey", "o_totalprice", day.alias("day")))
+    dates = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.add_months("day", k))
+    return finance.dated_plans(o, "o_orderkey", "o_totalprice", dates, "day", 0.0389, 0.15, 0.15).select("o_orderkey", "n", "payment", "profit", "taxes", "principal")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import incremental, intervals, scan
-from ._tables import table
+from ._tables import dealt, table
 from .catalog import register
 
 TODAY = "1998-06-30"
@@ -150,7 +150,7 @@ def date_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Dates in running text, by the cascade of rules; years before 2000 are moved up for it."""
     day = F.to_date("o_orderdate")
     text = F.concat(F.lit("Kampanya Tarihleri: "), F.date_format(F.add_months(day, 480), "d.MM.yyyy"), F.lit(" - "), F.date_format(F.add_months(F.date_add(day, 45), 480), "d.MM.yyyy"), F.lit(" arası."))
-    got = table(spark, d, "orders").select("o_orderkey", V.validity(text).alias("v"), day.alias("d0"))
+    got = dealt(table(spark, d, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", V.validity(text).alias("v"))
     back = lambda c: F.date_format(F.add_months(F.to_date(c), -480), "yyyy-MM-dd")
     return got.select("o_orderkey", F.coalesce(back("v.start"), F.lit("")).alias("start"), F.coalesce(back("v.end"), F.lit("")).alias("end"), "v.rule")
 

@@ -78,3 +78,15 @@ def test_dates(one):
     noon = datetime.datetime(2026, 8, 4, 12)  # a Tuesday
     assert one(lambda c: values.next_run(c, 21, 30, tuple(range(7))), noon) == datetime.datetime(2026, 8, 4, 18, 30)
     assert one(lambda c: values.next_run(c, 9, 0, tuple(range(7))), noon) == datetime.datetime(2026, 8, 5, 6)
+
+
+def test_validity_work_grows_with_the_text(spark):
+    """A thousand labels without a date: no pass over the tokens for each pass over the tokens."""
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        t = time.perf_counter()
+        assert values.decide(["kampanya", "tarihleri", ":"] * n + "1 . 02 . 2024 - 3 . 02 . 2024".split()) == ("2024-02-01", "2024-02-03", "label")
+        took.append(time.perf_counter() - t)
+    assert took[1] < 40 * took[0]

@@ -126,10 +126,10 @@ def range_band(spark: SparkSession, d: str) -> DataFrame:
 )
 def tightest_product(spark: SparkSession, d: str) -> DataFrame:
     """Products whose bounds hold a request; the tightest one. Products are counted by term, whole amount and type before anything meets: an amount
-    above all requests' counts as the highest one, so there are at most 50 x 52 cells a type, and 40 x 50 kinds of request."""
+    above all requests' counts as the highest one, so there are at most 50 x 52 cells a type, and 40 x 50 kinds of request. Halves of a thousand go to the even term, as in SQL."""
     p = table(spark, d, "part").select("p_type", F.col("p_size").alias("max_term"), F.least(F.floor("p_retailprice"), F.lit(950)).alias("max_amount"))
     cells = p.filter("max_amount >= 900").groupBy("p_type", "max_term", "max_amount").agg(F.count("*").alias("n"))
-    q = table(spark, d, "orders").select("o_orderkey", (F.round(F.col("o_totalprice") / 1000).cast("int") % 40 + 1).alias("term"), (900 + F.col("o_orderkey") % 50).alias("amount"))
+    q = table(spark, d, "orders").select("o_orderkey", (F.rint(F.col("o_totalprice") / 1000).cast("int") % 40 + 1).alias("term"), (900 + F.col("o_orderkey") % 50).alias("amount"))
     # Each cell serves all terms up to its own and all amounts up to its own: both are dealt out step by step.
     by_term = cells.withColumn("term", F.explode(F.sequence(F.lit(1), F.least("max_term", F.lit(40))))).groupBy("p_type", "term", "max_amount").agg(F.sum("n").alias("n"), F.min("max_term").alias("max_term"))
     each = by_term.withColumn("amount", F.explode(F.sequence(F.lit(900), F.least("max_amount", F.lit(949)))))

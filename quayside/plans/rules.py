@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions import values as V
+from ..sources import quotes
 from .catalog import rule
 from .documents import fold_sql
 
@@ -199,7 +200,7 @@ COLUMNS = [(c,) for c in ("rate", "rate (Validity)", "Validity", "x (validity)",
 rule("validity_column", "Columns that hold another one's validity.", "name string", COLUMNS, {"is_validity": lambda: C("name").endswith(" (Validity)")}, {"is_validity": "ends_with(name, ' (Validity)')"})
 rule("term_unit_word", "Units of a term in two languages; others are none.", "unit string", [(u,) for u in ("Gün", "gun", " ay ", "MONTHS", "day", "year", "")], {"term": lambda: V.term_unit(C("unit"))}, {"term": "CASE WHEN lower(trim(unit)) IN ('gün', 'gun', 'day', 'days') THEN 'day' WHEN lower(trim(unit)) IN ('ay', 'month', 'months') THEN 'month' END"})
 STAMPS = [(s,) for s in ("/Date(1735689600000)/", "/Date(1735689600000+0300)/", "/Date(-86400000)/", "x", "")]
-rule("script_date", "Milliseconds since 1970 in a script's wrapping.", "text string", STAMPS, {"day": lambda: F.coalesce(F.date_format(F.timestamp_millis(F.regexp_extract("text", "\\((-?[0-9]+)", 1).try_cast("bigint")), "yyyy-MM-dd"), F.lit(""))}, {"day": "coalesce(strftime(epoch_ms(TRY_CAST(regexp_extract(text, '\\((-?[0-9]+)', 1) AS BIGINT)), '%Y-%m-%d'), '')"})
+rule("script_date", "Milliseconds since 1970 in a script's wrapping.", "text string", STAMPS, {"day": lambda: F.coalesce(quotes.ms_date(C("text")), F.lit(""))}, {"day": "coalesce(strftime(epoch_ms(TRY_CAST(regexp_extract(text, '\\((-?[0-9]+)', 1) AS BIGINT)), '%Y-%m-%d'), '')"})
 HALVES = [(x,) for x in (1.005, 2.675, -1.005, 0.125, 10.0, 1e6)]
 rule("round_half_up", "Half away from zero on the decimal that is written.", "value double", HALVES, {"rounded": lambda: F.round(C("value").cast("string").cast("decimal(20,6)"), 2).cast("double")}, {"rounded": "CAST(round(CAST(value AS DECIMAL(20,6)), 2) AS DOUBLE)"})
 MONTHS_ON = [(d, n) for d, n in (("2026-01-31", 1), ("2024-01-31", 1), ("2026-12-15", 13), ("2026-03-31", -1))]

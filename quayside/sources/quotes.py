@@ -75,8 +75,11 @@ def first_positive(attempts: list[Column]) -> Column:
 
 
 def ms_date(text: Column) -> Column:
-    """/Date(ms+zone)/ as an ISO day in UTC."""
-    return F.date_format(F.timestamp_millis(F.regexp_extract(text, "\\((-?[0-9]+)", 1).try_cast("bigint")), "yyyy-MM-dd")
+    """/Date(ms+zone)/ as an ISO day in UTC; years beyond four digits without a sign, those before 0 without padding."""
+    ms = F.regexp_extract(text, "\\((-?[0-9]+)", 1).try_cast("bigint")
+    day = F.date_from_unix_date(((ms - F.pmod(ms, F.lit(86_400_000))) / 86_400_000).cast("int"))
+    year = F.year(day)
+    return F.concat(F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string")), F.date_format(day, "-MM-dd"))
 
 
 def commands(payload: Column) -> Column:

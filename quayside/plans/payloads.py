@@ -161,8 +161,8 @@ TRS = "regexp_extract_all(regexp_extract(page, '(?is)<table[^>]*>(.*?)</table>',
 at = lambda h: f"{CELLS.format(r='r')}[list_position(list_transform({CELLS.format(r=TRS + '[1]')}, lambda h: {FOLD('h')}), '{h}')]"
 plan_sql = f"(SELECT coalesce(string_agg({NUM(TR(at('taksittutari')))} || '/' || {NUM(TR(at('anapara')))} || '/' || {NUM(TR(at('kar')))} || '/' || {NUM(TR(at('kalan')))}, '|' ORDER BY n), '') FROM (SELECT unnest({TRS}[2:]) AS r, generate_subscripts({TRS}[2:], 1) AS n) WHERE {TR(at('taksittutari'))} > 0)"
 shown = lambda: joined(F.transform(quotes.schedule_from_html(C("page"), HEADERS), lambda r: F.concat_ws("/", *[num(r[k]) for k in HEADERS])))
-rule("plan_by_header", "A plan's columns are found by their folded headers, not by place; rows without a payment drop out.", "page string", PLAN, {"rows": shown}, {"rows": plan_sql})
-rule("plan_row_count", "How many payments a plan's table has.", "page string", PLAN, {"n": lambda: F.size(quotes.schedule_from_html(C("page"), HEADERS))}, {"n": f"CAST((SELECT count(*) FROM (SELECT unnest({TRS}[2:]) AS r) WHERE {TR(at('taksittutari'))} > 0) AS INTEGER)"})
+rule("plan_by_header", "A plan's columns are found by their folded headers, not by place; rows without a payment drop out.", "page string", PLAN, {"rows": shown}, {"rows": plan_sql}, costly=True)
+rule("plan_row_count", "How many payments a plan's table has.", "page string", PLAN, {"n": lambda: F.size(quotes.schedule_from_html(C("page"), HEADERS))}, {"n": f"CAST((SELECT count(*) FROM (SELECT unnest({TRS}[2:]) AS r) WHERE {TR(at('taksittutari'))} > 0) AS INTEGER)"}, costly=True)
 DETAIL = [("<li><b>Toplam Tutar</b><i>12.000,50</i></li><li><b>Yıllık Oran</b><i>% 45,1</i></li>",), ("<li><b>Oran</b><i>3</i></li>",)]
 LI = lambda n: f"regexp_extract_all(page, '<b>(.*?)</b><i>(.*?)</i>', {n})"
 rule("plan_detail", "The value beside a folded label.", "page string", DETAIL, {"value": lambda: F.try_element_at(F.map_from_arrays(F.transform(F.regexp_extract_all("page", F.lit("<b>(.*?)</b><i>(.*?)</i>"), F.lit(1)), X.fold), F.regexp_extract_all("page", F.lit("<b>(.*?)</b><i>(.*?)</i>"), F.lit(2))), F.lit("yillikoran"))}, {"value": f"{LI(2)}[list_position(list_transform({LI(1)}, lambda l: {FOLD('l')}), 'yillikoran')]"})

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from ._tables import dealt, table
 from .given import GIVEN
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,11 +65,12 @@ rules: dict[str, Rule] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def given(spark: SparkSession, d: str, sql: str) -> DataFrame:
+def given(spark: SparkSession, d: str, sql: str, costly: bool = False) -> DataFrame:
     """Rows that SQL makes of the given tables."""
     used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
     for t in used:
-        spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(t)
+        rows = table(spark, d, t)
+        (dealt(rows) if costly else rows).createOrReplaceTempView(t)
     try:
         return spark.sql(sql)
     finally:
@@ -76,15 +78,15 @@ def given(spark: SparkSession, d: str, sql: str) -> DataFrame:
             spark.catalog.dropTempView(t)
 
 
-def rule(name: str, doc: str, schema: str, rows: list[tuple], made: dict[str, Callable[[], Column]], sql: dict[str, str]) -> None:
-    """A rule. Its stated cases are tests; the query applies it to values made of a whole table, where there are such (plans/given.py)."""
+def rule(name: str, doc: str, schema: str, rows: list[tuple], made: dict[str, Callable[[], Column]], sql: dict[str, str], costly: bool = False) -> None:
+    """A rule. Its stated cases are tests; the query applies it to values made of a whole table, where there are such (plans/given.py). Rows of a costly one are dealt over all cores first."""
     rules[name] = Rule(doc, schema, rows, made, sql)
     over = GIVEN.get(name) or GIVEN.get(schema)
     if over is None:
         return
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return given(spark, d, over).select("k", *[f().alias(k) for k, f in made.items()])
+        return given(spark, d, over, costly).select("k", *[f().alias(k) for k, f in made.items()])
 
     query.__name__, query.__doc__ = name, doc
     register(name, f"WITH v AS ({over}) SELECT k, {', '.join(f'{e} AS {k}' for k, e in sql.items())} FROM v")(query)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.values import let
+
 DOCUMENT = (
     "doc_id string, url string, source_urls array<string>, site string, source_type string, fetched_at string, content_hash string, text_hash string, doc_kind string, title string, text string, lang string,"
     " sections array<struct<heading_path:string,anchor:string,level:int,text:string,order:int>>, campaign_start string, campaign_end string, duplicate_of string, attachments array<string>"
@@ -102,9 +104,10 @@ def html_rows(page: Column) -> Column:
 
 
 def by_header(rows: Column, fold) -> Column:
-    """Rows under their header as maps from folded header to cell: columns are found by name, not place."""
-    keys = F.transform(rows[0], fold)
-    return F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.map_from_arrays(F.slice(keys, F.lit(1), F.least(F.size(keys), F.size(r))), F.slice(r, F.lit(1), F.least(F.size(keys), F.size(r)))))
+    """Rows under their header as maps from folded header to cell: columns are found by name, not place. Rows and header are read once."""
+    cut = lambda xs, k, r: F.slice(xs, F.lit(1), F.least(F.size(k), F.size(r)))
+    below = lambda all_: F.slice(all_, F.lit(2), F.greatest(F.size(all_) - 1, F.lit(0)))
+    return let(rows, lambda all_: let(F.transform(F.get(all_, F.lit(0)), fold), lambda k: F.transform(below(all_), lambda r: F.map_from_arrays(cut(k, k, r), cut(r, k, r)))))
 
 
 def write_records(df: DataFrame, path: str, key: str) -> None:

@@ -135,3 +135,11 @@ def test_upsert_rewrites_only_the_buckets_of_a_batch(spark, tmp_path):
     assert held() == want | {3: (6, "e")} and len(files()) <= len(now) + 1
     write(batch([]), 4)
     assert held() == want | {3: (6, "e")}
+
+
+def test_by_header_reads_its_rows_once(spark):
+    """The rows are named once in the made column, not once for each cell of each row."""
+    page = "<table><tr><th>Ana Para</th><th>Kâr</th></tr><tr><td>1</td><td>2</td><td>3</td></tr><tr><td>4</td></tr></table>"
+    df = spark.createDataFrame([(page,), ("none",), (None,)], "p string").select(files.by_header(files.html_rows(F.col("p")), X.fold).alias("r"))
+    assert [r.r for r in df.collect()] == [[{"anapara": "1", "kar": "2"}, {"anapara": "4"}], [], None]
+    assert df._jdf.queryExecution().analyzed().toString().count("<table") == 1

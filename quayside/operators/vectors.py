@@ -21,6 +21,14 @@ SAMPLE = 8192
 TRIED = 64
 BLOCK = 2048
 ASKED = 256
+#: Rows that are held against all centroids at once, pairs of blocks that are scored at once, and vectors that wait for their blocks in a task.
+STEP, PAIRS, HELD = 1024, 8, 1 << 16
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, most):
+            yield b.slice(at, most)
 
 
 def _unit(batch: pa.RecordBatch, column: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +78,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, id_col: str, vector: str, q
     probe = _probe(rows, q, np.asarray(tried.column("id").combine_chunks())[at] if len(at) else np.zeros(0, np.int64), c, k, dims, recall)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches, STEP):
             of, u = _unit(b, "v", dims)
             if not len(of):
                 continue
@@ -89,16 +97,24 @@ def nearest(spark: SparkSession, vectors: DataFrame, id_col: str, vector: str, q
     def blocks(side: DataFrame, most: int, name: str) -> DataFrame:
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list[tuple[int, bytes]]] = {}
+            n = 0
 
             def out(j: int) -> pa.RecordBatch:
                 g = held.pop(j)
                 return pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([np.array([i for i, _ in g], np.int64).tobytes()], pa.binary()), pa.array([b"".join(u for _, u in g)], pa.binary())], ["list", f"{name}_ids", f"{name}_u"])
 
-            for b in batches:
+            for b in _sliced(batches, STEP):
+                n += b.num_rows
                 for j, i, u in zip(b.column("list").to_pylist(), b.column("id").to_pylist(), b.column("u").to_pylist(), strict=True):
                     held.setdefault(j, []).append((i, u))
                     if len(held[j]) >= most:
+                        n -= len(held[j])
                         yield out(j)
+                # However many lists a task has, few vectors wait: the largest lists go first, as smaller blocks.
+                while n > HELD:
+                    j = max(held, key=lambda j: len(held[j]))
+                    n -= len(held[j])
+                    yield out(j)
             for j in list(held):
                 yield out(j)
 
@@ -108,7 +124,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, id_col: str, vector: str, q
     met = blocks(placed.filter("asks"), ASKED, "q").join(blocks(placed.filter("NOT asks"), BLOCK, "h"), "list")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches, PAIRS):
             out: list[tuple[int, int, float]] = []
             for qi, qu, hi, hu in zip(*(b.column(m).to_pylist() for m in ("q_ids", "q_u", "h_ids", "h_u")), strict=True):
                 qid, hid = np.frombuffer(qi, np.int64), np.frombuffer(hi, np.int64)
@@ -130,7 +146,7 @@ def _probe(rows: DataFrame, q: np.ndarray, own: np.ndarray, c: np.ndarray, k: in
         return len(c)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches, STEP):
             of, u = _unit(b, "v", dims)
             if not len(of):
                 continue

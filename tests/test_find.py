@@ -96,3 +96,13 @@ def test_closest_types_are_those_of_all_pairs(spark, sf):
     for n in names:
         want = sorted((s for k in kinds if (s := plain_closeness(n, k)) is not None), reverse=True)[:3]
         assert got[n] == pytest.approx(want, abs=2e-6)
+
+
+def test_nearest_holds_few_rows_at_once(spark, monkeypatch):
+    """The same neighbours whatever the steps are."""
+    df = spark.createDataFrame([(k, [float((k * p) % 101 - 50) for p in (3, 7, 11, 13)]) for k in range(400)], "id long, v array<double>")
+    ask = lambda: sorted(map(tuple, vectors.nearest(spark, df, "id", "v", F.col("id") % 40 == 0, k=3, dims=4, lists=6, recall=1.0).collect()))
+    want = ask()
+    for name, n in (("STEP", 7), ("PAIRS", 1), ("HELD", 20)):
+        monkeypatch.setattr(vectors, name, n)
+    assert ask() == want and len(want) == 30

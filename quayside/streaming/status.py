@@ -1,12 +1,13 @@
 """Status of many sources from a stream of checks, in order of event time, with timers.
 
 Rows wait in state until the watermark has passed them, so rows that come late within the delay are still taken in order, and the result does not depend on
-how the stream was cut into micro-batches. A source holds a state for each of its products with the time since when it holds; products that a check does not name keep theirs.
+how the stream was cut into micro-batches. They wait in blocks, one call to the state for many rows. A source holds a state for each of its products with the time since when it holds; products that a check does not name keep theirs.
 A source without a check for QUIET is stale: a timer says so and its state is given back.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 DELAY = "10 minutes"
 QUIET_MS = 3 * 60 * 60 * 1000
 OUT = "user_id long, product string, event_id long, before string, since long, state string, at long"
+#: Rows of a block of the state.
+BLOCK = 4096
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,45 +31,71 @@ class StatusMerge(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us long, event_id long", "product string, state string")
+        #: Blocks of up to BLOCK rows as JSON, numbered in order of arrival.
+        self.waiting = handle.getMapState("waiting", "block long", "least long, rows string")
         self.products = handle.getMapState("products", "product string", "state string, since long")
         self.last = handle.getValueState("last", "us long")
 
+    def _put(self, rows: list[list], block: int) -> int:
+        """Rows in order of time into blocks from a number on; the next number."""
+        for at in range(0, len(rows), BLOCK):
+            some = rows[at : at + BLOCK]
+            self.waiting.updateValue((block,), (some[0][0], json.dumps(some, ensure_ascii=False)))
+            block += 1
+        return block
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, block = None, max((tuple(k)[0] for k, _ in self.waiting.iterator()), default=-1) + 1
         for part in rows:
-            for us, event, product, state in zip(part["us"].tolist(), part["event_id"].tolist(), part["product"].tolist(), part["state"].tolist(), strict=True):
-                self.waiting.updateValue((us, event), (product, state))
-                first = us if first is None else min(first, us)
+            new = sorted(zip(part["us"].tolist(), part["event_id"].tolist(), part["product"].tolist(), part["state"].tolist(), strict=True), key=lambda r: r[:2])
+            if new:
+                block = self._put([list(r) for r in new], block)
+                first = new[0][0] if first is None else min(first, new[0][0])
         if first is not None:
             self.handle.registerTimer(first // 1000)
-        yield pd.DataFrame(columns=[c.split(" ")[0] for c in OUT.split(", ")])
+        yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, out = timerValues.getCurrentWatermarkInMs(), []
-        rows = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator())
+        blocks = [(tuple(k)[0], *tuple(v)) for k, v in self.waiting.iterator()]
+        ripe = [b for b in blocks if b[1] // 1000 <= now]
+        # An event that came twice counts once, as it came last.
+        held = {(r[0], r[1]): (r[2], r[3]) for _, _, rows in sorted(ripe) for r in json.loads(rows)}
+        rows = sorted(held.items())
         due = [r for r in rows if r[0][0] // 1000 <= now]
         last = self.last.get()[0] if self.last.exists() else None
+        products = {tuple(k)[0]: tuple(v) for k, v in self.products.iterator()} if due else {}
+        known = dict(products)
         for (us, event), (product, state) in due:
             if last is not None and us // 1000 > last // 1000 + self.quiet_ms:
                 out.append(self._stale(key[0], last))
+                products, known = {}, {}
             last = us
-            before = self.products.getValue((product,)) if self.products.containsKey((product,)) else None
+            before = products.get(product)
             if before is None or before[0] != state:
                 if before is not None or state != "ok":
                     out.append((key[0], product, event, "unknown" if before is None else before[0], None if before is None else before[1], state, us))
-                self.products.updateValue((product,), (state, us))
-            self.waiting.removeKey((us, event))
+                products[product] = (state, us)
+        for product, value in products.items():
+            if known.get(product) != value:
+                self.products.updateValue((product,), value)
+        for block, _, _ in ripe if due else ():
+            self.waiting.removeKey((block,))
+        later = [[*k, *v] for k, v in rows[len(due) :]]
+        if due:
+            self._put(later, max(b[0] for b in blocks) + 1)
         if last is not None and last // 1000 + self.quiet_ms <= now:
             out.append(self._stale(key[0], last))
             self.last.clear()
         elif last is not None:
             self.last.update((last,))
             self.handle.registerTimer(last // 1000 + self.quiet_ms)
-        if len(rows) > len(due):
-            self.handle.registerTimer(rows[len(due)][0][0] // 1000)
-        made = pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")])
-        yield made.astype({"user_id": "int64", "event_id": "Int64", "since": "Int64", "at": "int64"})
+        least = [*[r[0] for r in later[:1]], *[b[1] for b in blocks if b[1] // 1000 > now]]
+        if least:
+            self.handle.registerTimer(min(least) // 1000)
+        if out:
+            made = pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")])
+            yield made.astype({"user_id": "int64", "event_id": "Int64", "since": "Int64", "at": "int64"})
 
     def _stale(self, source: int, last: int) -> tuple:
         self.products.clear()

@@ -143,3 +143,51 @@ def test_by_header_reads_its_rows_once(spark):
     df = spark.createDataFrame([(page,), ("none",), (None,)], "p string").select(files.by_header(files.html_rows(F.col("p")), X.fold).alias("r"))
     assert [r.r for r in df.collect()] == [[{"anapara": "1", "kar": "2"}, {"anapara": "4"}], [], None]
     assert df._jdf.queryExecution().analyzed().toString().count("<table") == 1
+
+
+class _Kept:
+    """A state variable that counts its calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.held = {}
+
+    def _of(name):  # noqa: N805
+        def call(self, *args):
+            _Kept.calls += 1
+            return {
+                "updateValue": lambda k, v: self.held.__setitem__(k, v), "update": lambda v: self.held.__setitem__((), v), "removeKey": lambda k: self.held.pop(k), "clear": lambda: self.held.clear(),
+                "iterator": lambda: iter(list(self.held.items())), "exists": lambda: bool(self.held), "get": lambda: self.held[()],
+            }[name](*args)
+
+        return call
+
+    updateValue, update, removeKey, clear, iterator, exists, get = map(_of, ("updateValue", "update", "removeKey", "clear", "iterator", "exists", "get"))  # noqa: N815
+
+
+def test_rows_wait_in_blocks():
+    """Few calls to the state for many rows, the rows that are not due wait on, and none is told twice."""
+    import pandas as pd
+
+    from quayside.streaming import status
+
+    class Handle:
+        getMapState = getValueState = lambda self, *a: _Kept()  # noqa: N815
+        timers = []
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.append(ms)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    merge, n, minute = status.StatusMerge(), 10_000, 60_000_000
+    merge.init(Handle())
+    part = pd.DataFrame({"us": [k * minute for k in range(n)][::-1], "event_id": range(n), "product": "p", "state": ["ok" if k % 2 else "down" for k in range(n)]})
+    assert list(merge.handleInputRows((1,), iter([part]), None)) == [] and Handle.timers == [0]
+    half = [r for df in merge.handleExpiredTimer((1,), At(4999 * 60_000), None) for r in df["at"].tolist()]
+    rest = [r for df in merge.handleExpiredTimer((1,), At(9999 * 60_000), None) for r in df["at"].tolist()]
+    assert [len(half), len(rest)] == [4999, 5000] and half + rest == [k * minute for k in range(1, n)]
+    assert _Kept.calls < 60 and not merge.waiting.held

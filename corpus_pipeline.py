@@ -15,35 +15,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quayside.llm import decontaminate, line_crf, minhash_forest, mixing, token_files
-from quayside.llm._shared import forget, stored, table
+from quayside.llm._shared import forget, small_batches, stored, table
 from quayside.ship import ship
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Executors have the package, and rows reach Python in small batches: what five stages leave behind in one executor adds up."""
+    return small_batches(ship(spark))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier rejects go. It learns from the labels of the documents at hand."""
-    return line_crf.good_documents(docs, line_crf.learn(docs, table(ship(spark), sf_dir, "labels")))
+    return line_crf.good_documents(docs, line_crf.learn(docs, table(ready(spark), sf_dir, "labels")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id."""
-    return minhash_forest.one_of_each_group(ship(spark), docs)
+    return minhash_forest.one_of_each_group(ready(spark), docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words are in benchmark passages go."""
-    return decontaminate.clean_documents(ship(spark), docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean_documents(ready(spark), docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, up to three times."""
-    return mixing.mixed_documents(ship(spark), docs)
+    return mixing.mixed_documents(ready(spark), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in files, read back: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
-    return token_files.tokenise(ship(spark), docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.tokenise(ready(spark), docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

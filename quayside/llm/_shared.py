@@ -35,6 +35,19 @@ except (OSError, AttributeError):
     _libc = None
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker in the pipeline.
+ARROW_BYTES = 4 << 20
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """From here on tasks of this session get rows in Arrow batches of ARROW_BYTES, or one row, where the session sets no limit of its own: executor and worker
+    each hold one batch and the buffers that it grew in. All rows come, in more batches."""
+    if spark.conf.get(_ARROW_LIMIT, None) is None:
+        spark.conf.set(_ARROW_LIMIT, str(ARROW_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -170,6 +183,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         if not batch.num_rows:
             continue
         held.append(batch)
+        if len(held) > 1 and all(batch.column(k)[-1] == held[0].column(k)[0] for k in keys):  # still the same group
+            continue
         t = pa.Table.from_batches(held).combine_chunks()
         cuts = _cuts(t, keys)
         if len(cuts) > 2:

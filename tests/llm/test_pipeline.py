@@ -4,11 +4,12 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 import test_minhash_forest as joins
 import test_quality_mix_warc as mixes
 import test_tokens_and_benchmark as tokens
 from quayside.llm import line_crf, mixing
-from quayside.llm._shared import stored
+from quayside.llm._shared import small_batches, stored, whole_groups
 
 
 def test_stages(spark, sf):
@@ -87,3 +88,33 @@ def test_run_over_empty_tables(spark, sf, tmp_path):
 def test_without_labels_no_document_is_rejected(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     assert line_crf.good_documents(docs, line_crf.learn(docs, labels.limit(0))).count() == docs.count()
+
+
+def test_rows_reach_python_in_small_batches(spark, sf):
+    """Batches of some ten thousand whole texts stayed in the memory of executors from stage to stage."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    docs = spark.range(9000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 200) AS text", "'en' AS lang", "'src1' AS source", "0 AS n_chars").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "n_bytes": [b.nbytes]})
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(limit)
+            stage(spark, docs.limit(0), sf)
+            got = docs.mapInArrow(sizes, "n long, n_bytes long").collect()
+            assert sum(r.n for r in got) == 9000 and max(r.n_bytes for r in got) < 5 << 20
+        spark.conf.set(limit, "1m")  # the session's own limit stays
+        assert small_batches(spark).conf.get(limit) == "1m"
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
+
+
+def test_groups_of_many_batches():
+    """A group is put together once, however many batches it comes in."""
+    keys = [0] * 3 + [1] * 40 + [2, 3, 3]
+    rows = pa.table({"k": pa.array(keys, pa.int64()), "v": list(range(len(keys)))})
+    got = list(whole_groups(iter(rows.to_batches(max_chunksize=2)), ["k"]))
+    assert [v for t, cuts in got for i, j in zip(cuts[:-1], cuts[1:], strict=True) for v in [t.column("v").to_pylist()[i:j]]] == [list(range(3)), list(range(3, 43)), [43], [44, 45]]

@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 caches: list = []
 
 
-def release(drop_caches: bool = True) -> None:
+def release(drop_caches: bool = True, keep: tuple = ()) -> None:
     """Give memory that large arrays held back to the system: Python workers live on between tasks, also those of other
-    operators, whose caches go too."""
+    operators, whose caches go too; keep: the caller's own."""
     if drop_caches:
         for c in caches:
-            c.clear()
+            if not any(c is k for k in keep):
+                c.clear()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)

@@ -44,7 +44,8 @@ PERCENTILE = 0.9
 IDS_PER_FILE = 1 << 24
 #: Ids that are packed, unpacked or held at once.
 PIECE = 1 << 18
-SLICE = 2 << 20
+#: Bytes of text encoded at once: what a task needs beside its batch grows with it.
+SLICE = 1 << 19
 CACHED_WORDS = 1 << 19
 CACHED_RUNS = 1 << 16
 #: Words of ASCII and Latin-1 letters without apostrophes and angle brackets, and the runs in them after lower-casing.
@@ -307,6 +308,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt, store = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), Store(folder)
         encode = encoder(tokenizer_path, end_id)
+        release(keep=(encode.runs, encode.table))
         nth, out, w = 0, None, None
 
         def flush() -> pa.RecordBatch:

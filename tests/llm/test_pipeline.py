@@ -4,12 +4,14 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
 import test_minhash_forest as joins
 import test_quality_mix_warc as mixes
 import test_tokens_and_benchmark as tokens
-from quayside.llm import line_crf, mixing
-from quayside.llm._shared import small_batches, stored, whole_groups
+from quayside.llm import decontaminate, line_crf, mixing, token_files
+from quayside.llm._bytes import text_bytes
+from quayside.llm._shared import release, small_batches, stored, whole_groups
 
 
 def test_stages(spark, sf):
@@ -118,3 +120,31 @@ def test_groups_of_many_batches():
     rows = pa.table({"k": pa.array(keys, pa.int64()), "v": list(range(len(keys)))})
     got = list(whole_groups(iter(rows.to_batches(max_chunksize=2)), ["k"]))
     assert [v for t, cuts in got for i, j in zip(cuts[:-1], cuts[1:], strict=True) for v in [t.column("v").to_pylist()[i:j]]] == [list(range(3)), list(range(3, 43)), [43], [44, 45]]
+
+
+def test_an_operator_leaves_no_memory_to_the_next(spark):
+    """A worker that encodes has let the automaton go, and keeps its own words; the one that decontaminates keeps its automaton."""
+    import public_tokenizers
+
+    found = decontaminate.automaton([("a", "one two three")], 13)
+    assert found is not None and decontaminate._automata
+    decontaminate.make_room()
+    assert decontaminate._automata
+    encode = token_files.encoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    list(encode(*text_bytes(pa.array(["some words stand here " * 10]))))
+    known = len(encode.table.keys)
+    release(keep=(encode.runs, encode.table))
+    assert not decontaminate._automata and len(encode.table.keys) == known > 0
+
+
+def test_texts_are_encoded_in_small_slices():
+    """What a worker holds beside its batch goes with the slice."""
+    import public_tokenizers
+
+    texts = [f"word{k} stands here, the {k % 97}th. " * 40 for k in range(3000)] + ["x1 " * 900_000, "", "end"]
+    encode = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    data, at = text_bytes(pa.array(texts))
+    got = [(ids, ends) for ids, ends in encode(data, at)]
+    assert max(len(ids) for ids, _ in got) < 1 << 19
+    plain = [x for t in texts for x in (*encode.tokenizer.encode(t, add_special_tokens=False).ids, 1)]
+    assert np.concatenate([ids for ids, _ in got]).tolist() == plain and sum(len(e) for _, e in got) == len(texts)

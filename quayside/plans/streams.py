@@ -60,16 +60,25 @@ CHECKS = "CASE WHEN value > 45 THEN 'down' WHEN value > 15 THEN 'slow' ELSE 'ok'
     UNION ALL SELECT user_id, NULL, NULL, NULL, max(us), 'stale', max(us) + {status.QUIET_MS * 1000} FROM s GROUP BY user_id, seg HAVING max(us) // 1000 + {status.QUIET_MS} <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)""",
 )
 def stream_status_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Checks of all sources in six files, those of the same minutes spread over two of them, read in many micro-batches with a restart in between."""
+    """Checks of all sources in six lots of files, those of the same minutes spread over two of them, read in many micro-batches, a lot each, with a restart in between."""
     base = f"{shared_base(spark).rstrip('/')}/status-{uuid.uuid4().hex}"
-    e = spark.read.schema(boards.EVENT).parquet(f"{d}/events.parquet").select("ts", "user_id", "event_id", F.col("event_type").alias("product"), F.expr(CHECKS).alias("state"))
-    first, last = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    e = spark.read.schema(boards.EVENT).parquet(f"{d}/events.parquet").select("ts", "user_id", "event_id", F.col("event_type").alias("product"), F.expr(CHECKS).alias("state")).filter("ts IS NOT NULL")
+    first, last, n = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts")), F.count("*")).first()
     # A row may come up to four minutes after its time.
     seen = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(240)) * 1_000_000
     slot = F.least(F.floor((seen - F.lit(first or 0)) * 6 / F.lit(max(1, (last or 0) - (first or 0)))), F.lit(5)).cast("int")
+    cores = spark.sparkContext.defaultParallelism
+    files, buckets, partitions = n // 3_000_000 + 1, max(status.BUCKETS, n // 100_000), cores * (n // (2_000_000 * cores) + 1)
     for k in range(6):
-        e.filter(slot == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        _in_files(e.filter(slot == k), files).write.mode("append").parquet(f"{base}/in")
         if k in (2, 5):
-            checks = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-            status.run_to_end(status.status_changes(checks), base)
+            checks = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
+            status.run_to_end(status.status_changes(checks, buckets=buckets), base, partitions)
     return spark.read.schema(status.OUT).parquet(f"{base}/rows")
+
+
+def _in_files(rows: DataFrame, n: int) -> DataFrame:
+    """Rows dealt so that writing them makes exactly n files, however few they are: each file has a row without any value, as an empty one would not be written."""
+    marks = rows.sparkSession.range(n).select(F.col("id").cast("int").alias("_file"))
+    dealt = rows.withColumn("_file", F.pmod(F.xxhash64(*rows.columns), F.lit(n)).cast("int")).unionByName(marks, allowMissingColumns=True)
+    return dealt.repartitionById(n, F.col("_file")).drop("_file")

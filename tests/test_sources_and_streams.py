@@ -191,3 +191,86 @@ def test_rows_wait_in_blocks():
     rest = [r for df in merge.handleExpiredTimer((1,), At(9999 * 60_000), None) for r in df["at"].tolist()]
     assert [len(half), len(rest)] == [4999, 5000] and half + rest == [k * minute for k in range(1, n)]
     assert _Kept.calls < 60 and not merge.waiting.held
+
+
+def _told(checks, now, quiet):
+    """What checks of (us, event_id, user_id, product, state) make, one source and one check at a time."""
+    out = []
+    for user in {c[2] for c in checks}:
+        held, last = {}, None
+        for us, event, _, product, state in sorted((c for c in checks if c[2] == user and c[0] // 1000 <= now), key=lambda c: c[:2]):
+            if last is not None and us // 1000 > last // 1000 + quiet:
+                out.append((user, None, None, None, last, "stale", last + quiet * 1000))
+                held = {}
+            last, (before, since) = us, held.get(product, (None, None))
+            if before != state:
+                if before is not None or state != "ok":
+                    out.append((user, product, event, before or "unknown", since, state, us))
+                held[product] = (state, us)
+        if last is not None and last // 1000 + quiet <= now:
+            out.append((user, None, None, None, last, "stale", last + quiet * 1000))
+    return out
+
+
+def _source_stream(seed=0, sources=300, n=12_000):
+    import random
+
+    r = random.Random(seed)
+    users = [None, *((1 << 60) + k for k in range(sources - 1))]
+    return [(r.randrange(2 * 86_400_000) * 1000 + r.choice((0, 0, 7)), (1 << 60) + k, r.choice(users), r.choice((None, "p", "q")), r.choice(("ok", "slow", "down"))) for k in range(n)]
+
+
+def test_sources_of_a_bucket_share_the_calls():
+    """The state is called as often for many sources as for one, and each is told what it would be told alone, however the stream is cut."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from quayside.streaming import status
+
+    class Handle:
+        getMapState = getValueState = lambda self, *a: _Kept()  # noqa: N815
+        timers = []
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.append(ms)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    kinds = pa.schema([("us", pa.int64()), ("event_id", pa.int64()), ("user_id", pa.int64()), ("product", pa.string()), ("state", pa.string()), ("bucket", pa.int32())])
+    packed = lambda checks: pa.Table.from_batches(status.pack(iter(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*c, 0) for c in checks), strict=True), kinds.types, strict=True)], schema=kinds).to_batches(1000)))).to_pandas()
+    checks, calls = _source_stream(), []
+    # Up to four minutes late; where some come twice, they count once.
+    came = sorted(checks + checks[::50], key=lambda c: c[0] // 1000 + hash(c[1]) % 240_000)
+    for lots in (1, 6):
+        merge, told, now, _Kept.calls, Handle.timers = status.StatusMerge(), [], 0, 0, []
+        merge.init(Handle())
+        for k in range(lots):
+            lot = came[len(came) * k // lots : len(came) * (k + 1) // lots]
+            assert list(merge.handleInputRows((0,), iter([packed(lot)]), At(now))) == []
+            told += [r for t in sorted(t for t in Handle.timers if t <= now) for df in merge.handleExpiredTimer((0,), At(now), None) for r in df.astype(object).itertuples(index=False, name=None)]
+            now = max(now, max(c[0] for c in lot) // 1000 - 600_000)
+        # What comes after the watermark is not taken, what comes with it in a block is.
+        late = (checks[0][2], "q", "late")
+        assert list(merge.handleInputRows((0,), iter([packed([(now * 1000 + 999, 1, *late), ((now + 1) * 1000, 2, *late)])]), At(now))) == []
+        for _ in range(2):
+            told += [r for df in merge.handleExpiredTimer((0,), At(now), None) for r in df.astype(object).itertuples(index=False, name=None)]
+        got = [tuple(None if pd.isna(v) else v for v in r) for r in told]
+        want = _told(checks, now, status.QUIET_MS)
+        assert len(got) == len(want) > 3000 and set(got) == set(want) and {c[2] for c in checks} == {g[0] for g in got}
+        rest = [r for _, block in merge.waiting.held.values() for r in status._unpacked(block).to_pylist()]
+        assert {r["event_id"] for r in rest} == {c[1] for c in checks if c[0] // 1000 > now} | {2} and all(t > now for t in Handle.timers[-1:])
+        calls.append(_Kept.calls)
+    assert calls[0] < 40 and calls[1] < 150
+
+
+def test_checks_go_into_as_many_files_as_said(spark, tmp_path):
+    """A lot of checks is one micro-batch, so it must have all its files, though it has fewer rows."""
+    from quayside.plans import streams
+
+    rows = spark.createDataFrame([(None, 1, 2, "p", "ok")], "ts timestamp, user_id long, event_id long, product string, state string").withColumn("ts", F.timestamp_micros(F.lit(5)))
+    for k, (some, n) in enumerate(((rows, 5), (rows.filter("user_id = 0"), 3))):
+        streams._in_files(some, n).write.parquet(str(tmp_path / str(k)))
+        assert len(list((tmp_path / str(k)).glob("*.parquet"))) == n
+        assert [tuple(r) for r in spark.read.parquet(str(tmp_path / str(k))).filter("ts IS NOT NULL").drop("ts").collect()] == [(1, 2, "p", "ok")][: 1 - k]

@@ -95,6 +95,11 @@ def _turns(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ends(start: np.ndarray) -> np.ndarray:
+    """The last row of each run, by where runs start."""
+    return np.roll(start, -1)
+
+
 def merge(held: pa.Table, due: pa.Table, now: int, quiet_ms: int) -> tuple[pd.DataFrame, pa.Table]:
     """What due checks, in order of arrival where they are the same event, and the time make of what the sources hold: the rows to tell and what is held then."""
     rows = pa.concat_tables([held, due])
@@ -106,7 +111,7 @@ def merge(held: pa.Table, due: pa.Table, now: int, quiet_ms: int) -> tuple[pd.Da
     new = np.arange(len(who)) >= held.num_rows
     order = np.lexsort((what, event, no_event, us, new, who))
     # An event of a product that came twice counts once, as it came last.
-    again = np.append(~_turns(*(c[order] for c in (what, event, us, new, who)))[1:], [False] * min(1, len(order))) & (new & ~no_event)[order]
+    again = ~_ends(_turns(*(c[order] for c in (what, event, no_event, us, new, who)))) & (new & ~no_event)[order]
     order = order[~again]
     who, what, how, us, at, event, no_event, new = (c[order] for c in (who, what, how, us, at, event, no_event, new))
 
@@ -115,7 +120,7 @@ def merge(held: pa.Table, due: pa.Table, now: int, quiet_ms: int) -> tuple[pd.Da
     gap = np.zeros(len(who), dtype=bool)
     gap[1:] = mine[1:] & (us[1:] // 1000 > us[:-1] // 1000 + quiet_ms)
     seg = np.cumsum(gap | ~mine)
-    end = np.append(~mine[1:], [True] * min(1, len(who)))
+    end = _ends(~mine)
     last, seg_last = us[end], seg[end]
     gone = last // 1000 + quiet_ms <= now
     at_gap = np.flatnonzero(gap) - 1
@@ -127,7 +132,7 @@ def merge(held: pa.Table, due: pa.Table, now: int, quiet_ms: int) -> tuple[pd.Da
     who, what, how, at, event, no_event, new, seg, nth = (c[by] for c in (who, what, how, at, event, no_event, new, seg, nth))
     start = _turns(seg, what)
     turned = start | _turns(how)
-    turn = np.maximum.accumulate(np.where(turned, np.arange(len(who)), 0)) if len(who) else by
+    turn = np.maximum.accumulate(np.where(turned, np.arange(len(who)), 0))
     ok = states.index(pa.scalar("ok", pa.string())).as_py()
     tell = np.flatnonzero(new & turned & (~start | (how != ok)))
     first = start[tell]
@@ -144,7 +149,7 @@ def merge(held: pa.Table, due: pa.Table, now: int, quiet_ms: int) -> tuple[pd.Da
         "at": np.append(at[tell], stale_us + quiet_ms * 1000),
     })
 
-    keep = np.flatnonzero(np.append(start[1:], [True] * min(1, len(who))) & (seg == seg_last[nth]) & ~gone[nth])
+    keep = np.flatnonzero(_ends(start) & (seg == seg_last[nth]) & ~gone[nth])
     kept = [users.take(pa.array(who[keep])), last[nth[keep]], pa.nulls(len(keep), pa.int64()), products.take(pa.array(what[keep])), states.take(pa.array(how[keep])), at[turn[keep]]]
     return told, pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in kept], schema=ROW)
 
@@ -160,18 +165,18 @@ class StatusMerge(StatefulProcessor):
         #: Blocks of up to BLOCK rows in order of time, numbered in order of arrival.
         self.waiting = handle.getMapState("waiting", "block long", "least long, rows binary")
         self.held = handle.getValueState("held", "rows binary")
-        #: When something is due next, in milliseconds: timers that were registered for later and come first find nothing due.
-        self.next = handle.getValueState("next", "ms long")
+        #: When something is due next, in milliseconds, and the number of the next block. Timers that were registered for later and come first find nothing due.
+        self.next = handle.getValueState("next", "ms long, block long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, block = None, max((tuple(k)[0] for k, _ in self.waiting.iterator()), default=-1) + 1
+        due, block = self.next.get() if self.next.exists() else (None, 0)
+        least = due
         for part in rows:
-            for least, packed in self._in_time(part, timerValues.getCurrentWatermarkInMs()) if "rows" in part else _blocks(_of_source(part, key[0])):
-                self.waiting.updateValue((block,), (least, packed))
-                first, block = least if first is None else min(first, least), block + 1
-        due = self.next.get()[0] if self.next.exists() else None
-        if first is not None and (due is None or first // 1000 < due):
-            self._wake(first // 1000)
+            for first, packed in self._in_time(part, timerValues.getCurrentWatermarkInMs()) if "rows" in part else _blocks(_of_source(part, key[0])):
+                self.waiting.updateValue((block,), (first, packed))
+                least, block = first // 1000 if least is None else min(least, first // 1000), block + 1
+        if least is not None:
+            self._wake(least, block, least != due)
         yield from ()
 
     def _in_time(self, part: pd.DataFrame, now: int) -> Iterator[tuple[int, bytes]]:
@@ -185,7 +190,8 @@ class StatusMerge(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        if not self.next.exists() or self.next.get()[0] > now:
+        at, number = self.next.get() if self.next.exists() else (now + 1, 0)
+        if at > now:
             return
         due, least = [], []
         for block, first, rows in sorted((tuple(k)[0], *tuple(v)) for k, v in self.waiting.iterator()):
@@ -207,15 +213,16 @@ class StatusMerge(StatefulProcessor):
         else:
             self.held.clear()
         if least:
-            self._wake(min(least))
+            self._wake(min(least), number)
         else:
             self.next.clear()
         if len(told):
             yield told
 
-    def _wake(self, ms: int) -> None:
-        self.next.update((ms,))
-        self.handle.registerTimer(ms)
+    def _wake(self, ms: int, block: int, timer: bool = True) -> None:
+        self.next.update((ms, block))
+        if timer:
+            self.handle.registerTimer(ms)
 
     def close(self) -> None:
         pass

@@ -263,6 +263,11 @@ def test_sources_of_a_bucket_share_the_calls():
         assert {r["event_id"] for r in rest} == {c[1] for c in checks if c[0] // 1000 > now} | {2} and all(t > now for t in Handle.timers[-1:])
         calls.append(_Kept.calls)
     assert calls[0] < 40 and calls[1] < 150
+    # An event without a number is none of the others; nothing makes nothing.
+    some = pa.Table.from_pylist([{"user_id": 1, "us": 5, "event_id": e, "product": "p", "state": s, "since": 5} for e, s in ((None, "down"), (0, "slow"), (None, "ok"), (0, "slow"))], status.ROW)
+    told, held = status.merge(status.ROW.empty_table(), some, 0, 1)
+    assert told["state"].tolist() == ["slow", "down", "ok"] and held.to_pylist() == [{"user_id": 1, "us": 5, "event_id": None, "product": "p", "state": "ok", "since": 5}]
+    assert [len(t) for t in status.merge(status.ROW.empty_table(), status.ROW.empty_table(), 0, 1)] == [0, 0]
 
 
 def test_checks_go_into_as_many_files_as_said(spark, tmp_path):

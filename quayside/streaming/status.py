@@ -22,6 +22,8 @@ QUIET_MS = 3 * 60 * 60 * 1000
 OUT = "user_id long, product string, event_id long, before string, since long, state string, at long"
 #: Rows of a block of the state at most, and rows that a task holds while it makes blocks.
 BLOCK, PACK = 4096, 1 << 18
+#: Rows that are merged at once, beyond those of one millisecond.
+MERGE = 1 << 18
 #: Buckets that sources are dealt into; what a stream started with holds for its checkpoint.
 BUCKETS = 64
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -82,6 +84,16 @@ def _buckets(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.timestamp("us", "UTC"), pa.int64(), pa.binary()), strict=True)], names=["bucket", "ts", "least", "rows"])
 
 
+def _slices(due: list[pa.Table], now: int) -> Iterator[tuple[pa.Table, int]]:
+    """Due rows by time, some MERGE at once, each with the millisecond that they reach to: a merge in steps makes the same rows."""
+    times = np.sort(np.concatenate([np.empty(0, dtype="int64"), *(t["us"].to_numpy() // 1000 for t in due)]))
+    begun = [0] * len(due)
+    for until in [*np.unique(times[MERGE - 1 :: MERGE]).tolist(), now]:
+        done = [_first_after(t, until) for t in due]
+        yield pa.concat_tables([ROW.empty_table(), *(t.slice(a, b - a) for t, a, b in zip(due, begun, done, strict=True))]), until
+        begun = done
+
+
 def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     """A number for each value, null being one, and the values."""
     found = column.combine_chunks().dictionary_encode(null_encoding="encode")
@@ -206,7 +218,10 @@ class StatusMerge(StatefulProcessor):
                 self.waiting.updateValue((block,), (first, _packed(rows.slice(n))))
             least.append(first // 1000)
         held = _unpacked(self.held.get()[0]) if self.held.exists() else ROW.empty_table()
-        told, held = merge(held, pa.concat_tables([ROW.empty_table(), *due]), now, self.quiet_ms)
+        for some, until in _slices(due, now):
+            told, held = merge(held, some, until, self.quiet_ms)
+            if len(told):
+                yield told
         if held.num_rows:
             self.held.update((_packed(held),))
             least.append(int(held["us"].to_numpy().min()) // 1000 + self.quiet_ms)
@@ -216,8 +231,6 @@ class StatusMerge(StatefulProcessor):
             self._wake(min(least), number)
         else:
             self.next.clear()
-        if len(told):
-            yield told
 
     def _wake(self, ms: int, block: int, timer: bool = True) -> None:
         self.next.update((ms, block))
